@@ -131,24 +131,25 @@ def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
     """
     if n < 1:
         raise ValueError("n must be >= 1")
-    p1, l1, p2, l2 = F.radians(lat1), F.radians(lon1), F.radians(lat2), F.radians(lon2)
-    arc = haversine(lat1, lon1, lat2, lon2, radius=1.0)
-
-    def point(i: Column) -> Column:
-        f = i / F.lit(float(n))
-        a, b = F.sin((1 - f) * arc) / F.sin(arc), F.sin(f * arc) / F.sin(arc)
-        x = a * F.cos(p1) * F.cos(l1) + b * F.cos(p2) * F.cos(l2)
-        y = a * F.cos(p1) * F.sin(l1) + b * F.cos(p2) * F.sin(l2)
-        z = a * F.sin(p1) + b * F.sin(p2)
-        return F.array(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x)))
-
-    raw = F.transform(F.sequence(F.lit(0), F.lit(n)), point)
-
-    def follow(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)[1]
-        lon = p[1] - F.floor((p[1] - last + 180) / 360) * 360
-        return F.concat(acc, F.array(F.array(p[0], lon)))
-
-    path = F.aggregate(F.slice(raw, 2, n), F.slice(raw, 1, 1), follow)
-    ends = F.array(F.array(lat1.cast("double"), lon1.cast("double")), F.array(lat2.cast("double"), lon2.cast("double")))
-    return F.when(arc < 1e-9, ends).otherwise(path)
+    rad = lambda c: F.radians(c.cast("double"))
+    ends = F.struct(
+        rad(lat1).alias("p1"), rad(lon1).alias("l1"), rad(lat2).alias("p2"), rad(lon2).alias("l2"),
+        haversine(lat1, lon1, lat2, lon2, radius=1.0).alias("arc"),
+    )
+
+    def path(e: Column) -> Column:
+        def point(i: Column) -> Column:
+            f = i / F.lit(float(n))
+            a, b = F.sin((1 - f) * e["arc"]) / F.sin(e["arc"]), F.sin(f * e["arc"]) / F.sin(e["arc"])
+            x = a * F.cos(e["p1"]) * F.cos(e["l1"]) + b * F.cos(e["p2"]) * F.cos(e["l2"])
+            y = a * F.cos(e["p1"]) * F.sin(e["l1"]) + b * F.cos(e["p2"]) * F.sin(e["l2"])
+            z = a * F.sin(e["p1"]) + b * F.sin(e["p2"])
+            # a minor arc never turns by more than half a circle from its start
+            turn = circular_diff(F.degrees(F.atan2(y, x)), F.degrees(e["l1"]))
+            return F.array(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(e["l1"]) + turn)
+
+        two = F.array(F.array(F.degrees(e["p1"]), F.degrees(e["l1"])), F.array(F.degrees(e["p2"]), F.degrees(e["l2"])))
+        return F.when(e["arc"] < 1e-9, two).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n)), point))
+
+    # a one-element array binds the ends once for all points
+    return F.get(F.transform(F.array(ends), path), F.lit(0))

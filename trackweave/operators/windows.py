@@ -163,13 +163,24 @@ def lag_summary(
         df.withColumn("_pair", pair), track, {"_hist": lambda w: F.collect_list("_pair").over(w.rangeBetween(-reach, 0))}, before=reach
     )
     names = [f"{value}__tri_{i}" for i in range(len(ages))]
-    for name, (low, high) in zip(names, ages):
-        age = lambda p: (F.col(axis) - p["t"]) / float(unit)
-        inside = lambda p, lo=low, hi=high: p["v"].isNotNull() & (age(p) >= lo) & ((age(p) <= hi) if lo == 0 else (age(p) < hi))
-        weight = lambda p, lo=low, hi=high: 1.0 + (hi - age(p)) / (hi - lo)
+    age = lambda p: (F.col(axis) - p["t"]) / float(unit)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+
+    def mean(low: float, high: float) -> Column:
+        def inside(p: Column) -> Column:
+            young = age(p) <= high if low == 0 else age(p) < high
+            return p["v"].isNotNull() & (age(p) >= low) & young
+
+        def weight(p: Column) -> Column:
+            return 1.0 + (high - age(p)) / (high - low)
+
+        def weighted(p: Column) -> Column:
+            return weight(p) * p["v"]
+
         hits = F.filter("_hist", inside)
-        total = lambda f, h=hits: F.aggregate(F.transform(h, f), F.lit(0.0), lambda a, b: a + b)
-        rows = rows.withColumn(name, F.when(F.size(hits) > 0, total(lambda p, w=weight: w(p) * p["v"]) / total(weight)))
+        return F.when(F.size(hits) > 0, total(F.transform(hits, weighted)) / total(F.transform(hits, weight)))
+
+    rows = rows.withColumns({name: mean(low, high) for name, (low, high) in zip(names, ages)})
     last = sc.finite(F.col(value))
     return rows.withColumns({f"{value}__last": last, f"{value}__delta": last - F.col(names[-1])}).drop("_pair", "_hist")
 

@@ -64,7 +64,9 @@ def query(name: str, sql: str | None = None, *, tel: bool = True):
         if sql is not None:
             body = sql.strip()
             if tel:
-                body = f"WITH {TELEMETRY.strip()}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {TELEMETRY.strip()} {body}"
+                head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+                rest = f", {body[len(head):]}" if body.startswith(head) else f" {body}"
+                body = f"{head}{TELEMETRY.strip()}{rest}"
             ORACLES[name] = body
         return fn
 
