@@ -115,7 +115,7 @@ def onsets(df: DataFrame, track: Track, *, state: Column, out: str = "onset") ->
 
 
 def temporal_evidence(
-    df: DataFrame, track: Track, *, p_value: str, alpha: float, mode: str, max_gap_s: float,
+    df: DataFrame, track: Track, *, p_value: str, alpha: float | Column, mode: str, max_gap_s: float,
     persistence_s: float | None = None, reference_surprisal: float | None = None, accumulation_threshold: float | None = None,
 ) -> DataFrame:
     """Evidence and alarm of one channel's p-values.
@@ -123,7 +123,7 @@ def temporal_evidence(
     ``instant``: p <= alpha. ``persistence``: time spent at p <= alpha. ``accumulation``:
     max(0, e + dt (-ln p - reference)). A non-positive or long step restarts the evidence.
     """
-    if not 0 < alpha < 1:
+    if not isinstance(alpha, Column) and not 0 < alpha < 1:
         raise ValueError("alpha must be inside (0, 1)")
     wanted = {"instant": (), "persistence": (persistence_s,), "accumulation": (reference_surprisal, accumulation_threshold)}
     given = [v for v in (persistence_s, reference_surprisal, accumulation_threshold) if v is not None]

@@ -72,35 +72,66 @@ def exact_split(ids: DataFrame, *, entity: str, weights: Mapping[str, float], se
     return ranked.select(entity, split.alias("split"))
 
 
+PARTITIONS = ("development", "test", "holdout")
+
+
+def partition_counts(sessions: int, forced: int) -> dict[str, int]:
+    """Sessions per partition: 70/15/15, at least one in test and holdout, development holding the forced ones."""
+    raw = dict(zip(PARTITIONS, (0.70 * sessions, 0.15 * sessions, 0.15 * sessions)))
+    n = {k: int(v) for k, v in raw.items()}
+    for k in ("test", "holdout"):
+        n[k] = max(n[k], 1)
+    n["development"] -= max(0, sum(n.values()) - sessions)
+    spare = sorted(PARTITIONS, key=lambda k: int(raw[k]) - raw[k])
+    for i in range(sessions - sum(n.values())):
+        n[spare[i % 3]] += 1
+    n["development"] = max(n["development"], forced)
+    for k in ("test", "holdout"):
+        cut = min(sum(n.values()) - sessions, n[k] - 1)
+        n[k] -= max(0, cut)
+    if sum(n.values()) != sessions:
+        raise ValueError("rare classes leave no session for test and holdout")
+    return n
+
+
 def session_split(
-    flights: DataFrame, *, session: str, fault_class: str, headline: Sequence[str], seed: str, shares: tuple[float, float] = (0.70, 0.85),
-    rare_max: int = 7, attempts: int = 200,
+    flights: DataFrame, *, session: str, fault_class: str, seed: str, rare_max: int = 7, attempts: int = 2000,
+    plain: Sequence[str] = ("normal", "unknown"),
 ) -> DataFrame:
-    """Whole sessions to development / calibration / holdout, near the shares given.
+    """Whole sessions to development / test / holdout, 70/15/15.
 
-    Sessions with a rare class (at most ``rare_max`` flights) go to development. Candidate
-    shuffles are hashed orders of the small session table; the first one putting every
-    headline class in all three partitions is taken, and none raises.
+    Sessions with a rare class (at most ``rare_max`` flights) stay in development. Attempts
+    are hashed orders of the other sessions; the first one that shows every frequent class
+    in all three partitions is taken, and none raises. Work grows with sessions x attempts.
     """
-    # size depends on the number of sessions and classes, not on flights
-    mix = flights.groupBy(session, fault_class).agg(F.count(F.lit(1)).alias("_n"))
-    classes = mix.groupBy(fault_class).agg(F.sum("_n").alias("_t"))
-    rare = mix.join(classes.filter((F.col("_t") <= rare_max) & ~F.col(fault_class).isin(*headline)), fault_class, "left_semi").select(session).distinct()
-    free = mix.select(session).distinct().join(rare, session, "left_anti")
-    tries = free.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    order = Window.partitionBy("attempt").orderBy(F.sha2(F.concat_ws("\0", F.lit(seed), F.col("attempt").cast("string"), F.col(session).cast("string")), 256))
-    whole = Window.partitionBy("attempt")
-    at = F.row_number().over(order) / F.count(F.lit(1)).over(whole)
-    placed = tries.withColumn("_at", at).withColumn(
-        "partition", F.when(F.col("_at") <= shares[0], "development").when(F.col("_at") <= shares[1], "calibration").otherwise("holdout")
-    )
-    forced = rare.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("partition", F.lit("development"))
-    every = placed.drop("_at").unionByName(forced)
-    seen = every.join(mix.filter(F.col(fault_class).isin(*headline)), session)
-    good = seen.select("attempt", fault_class, "partition").distinct().groupBy("attempt").agg(F.count(F.lit(1)).alias("_k"))
-    first = good.filter(F.col("_k") == 3 * len(headline)).agg(F.min("attempt").alias("attempt"))
-    chosen = F.coalesce(F.col("attempt"), F.raise_error(F.lit("no valid session split found")).cast("int"))
-    return every.join(first.select(chosen.alias("attempt")), "attempt").drop("attempt")
+    from trackweave.plans.durable import durable
+
+    fault = flights.filter(~F.coalesce(F.col(fault_class), F.lit("normal")).isin(*plain))
+    classes = durable(fault.groupBy(fault_class).agg(F.count(F.lit(1)).alias("_t")))
+    mix = durable(flights.groupBy(session, fault_class).agg(F.count(F.lit(1)).alias("_n")))
+    rare = mix.join(classes.filter(F.col("_t") <= rare_max), fault_class, "left_semi").select(session).distinct()
+    everyone = mix.select(session).distinct()
+    n, forced, headline = everyone.count(), rare.count(), classes.filter(F.col("_t") > rare_max)
+    if n < 3:
+        raise ValueError("a session split needs at least three sessions")
+    size = partition_counts(n, forced)
+    free_dev = size["development"] - forced
+    tries = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
+    hashed = F.sha2(F.concat_ws("\0", F.lit(seed), F.col("attempt").cast("string"), F.col(session).cast("string")), 256)
+    free = everyone.join(rare, session, "left_anti").withColumn("attempt", tries)
+    at = F.row_number().over(Window.partitionBy("attempt").orderBy(hashed, session))
+    placed = free.withColumn("_at", at).withColumn(
+        "partition",
+        F.when(F.col("_at") <= free_dev, "development").when(F.col("_at") <= free_dev + size["test"], "test").otherwise("holdout"),
+    ).drop("_at")
+    every = placed.unionByName(rare.withColumn("attempt", tries).withColumn("partition", F.lit("development")))
+    shown = every.join(mix.join(headline.select(fault_class), fault_class, "left_semi"), session)
+    good = shown.select("attempt", fault_class, "partition").distinct().groupBy("attempt").agg(F.count(F.lit(1)).alias("_k"))
+    wanted = 3 * headline.count()
+    first = good.filter(F.col("_k") == wanted).agg(F.min("attempt")).first()[0] if wanted else 0
+    if first is None:
+        raise ValueError("no session split shows every frequent class in every partition")
+    return every.filter(F.col("attempt") == first).drop("attempt")
 
 
 def balanced_roles(catalog: DataFrame, *, flight: str, mode: str, fault: str, is_fault: Column, quarantined: Column) -> DataFrame:
