@@ -285,7 +285,7 @@ def dt_histogram(df: DataFrame, track: Track, *, edges: Sequence[float]) -> Data
 def masked_error(x: Column, y: Column, mask: Column) -> tuple[Column, Column]:
     """(numerator, denominator) arrays per channel over (rows x channels) nested arrays."""
     rows = F.zip_with(x, F.zip_with(y, mask, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), lambda a, r: F.struct(a.alias("a"), r["b"].alias("b"), r["m"].alias("m")))
-    err = F.transform(rows, lambda r: F.zip_with(F.zip_with(r["a"], r["b"], lambda p, q: (p - q) * (p - q)), r["m"], lambda e, m: (e * m).cast("double")))
+    err = F.transform(rows, lambda r: F.zip_with(F.zip_with(r["a"], r["b"], lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), r["m"], lambda e, m: e * m.cast("double")))
     add = lambda acc, row: F.when(F.size(acc) == 0, row).otherwise(F.zip_with(acc, row, lambda p, q: p + q))
     empty = F.array().cast("array<double>")
     masks = F.transform(mask, lambda r: F.transform(r, lambda m: m.cast("double")))
@@ -299,12 +299,12 @@ def masked_mse(numerator: Column, denominator: Column) -> Column:
 
 def magnitude_score(x: Column, mask: Column) -> Column:
     """Masked sum of squares of a (rows x channels) window."""
-    row = lambda r, m: F.aggregate(F.zip_with(r, m, lambda a, b: (a * a * b).cast("double")), F.lit(0.0), lambda p, q: p + q)
+    row = lambda r, m: F.aggregate(F.zip_with(r, m, lambda a, b: F.pow(a.cast("double"), 2) * b.cast("double")), F.lit(0.0), lambda p, q: p + q)
     return F.aggregate(F.zip_with(x, mask, row), F.lit(0.0), lambda p, q: p + q)
 
 
 def input_norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + (v * v).cast("double")))
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + F.pow(v.cast("double"), 2)))
 
 
 def attitude_proxy(roll_deg: Column, rate_deg_s: Column, *, roll_scale: float = 25.0, rate_scale: float = 15.0) -> Column:
