@@ -38,7 +38,7 @@ CLS = f"""{Q}, f AS (SELECT *, CASE WHEN squawk_updated IS NULL THEN 'freshness_
  r AS (SELECT *, list_filter([CASE WHEN st IS NOT NULL THEN 'DECLARED_SQUAWK_' || upper(st) END, CASE WHEN et IS NOT NULL THEN 'DECLARED_EMERGENCY_' || trim(regexp_replace(upper(et), '[^A-Z0-9]+', '_', 'g'), '_') END,
   CASE WHEN st IS NOT NULL OR et IS NOT NULL THEN 'DECLARED_STATUS_' || upper(cons) END, CASE WHEN vs = 'schema_invalid' THEN 'POSITION_QUALITY_ADSB_VERSION_SCHEMA_INVALID' END,
   CASE WHEN nic_s NOT LIKE 'meets%' AND nic_s NOT LIKE 'reported_valid%' THEN 'POSITION_QUALITY_NIC_' || upper(nic_s) END, CASE WHEN nac_s NOT LIKE 'meets%' AND nac_s NOT LIKE 'reported_valid%' THEN 'POSITION_QUALITY_NAC_P_' || upper(nac_s) END,
-  CASE WHEN sil_s NOT LIKE 'meets%' AND sil_s NOT LIKE 'reported_valid%' THEN 'POSITION_QUALITY_SIL_' || upper(sil_s) END, 'ALTITUDE_AVAILABILITY_' || alt_state, CASE WHEN gap THEN 'MESSAGE_GAP' END], x -> x IS NOT NULL) AS codes FROM c),
+  CASE WHEN sil_s NOT LIKE 'meets%' AND sil_s NOT LIKE 'reported_valid%' THEN 'POSITION_QUALITY_SIL_' || upper(sil_s) END, 'ALTITUDE_AVAILABILITY_' || alt_state, CASE WHEN gap THEN 'MESSAGE_GAP' END], lambda z: z IS NOT NULL) AS codes FROM c),
  lg AS (SELECT source_id, row_pos, t, unnest(codes) AS code FROM r),
  ln AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY row_pos) AS pos FROM r), lp AS (SELECT source_id, pos, t, unnest(codes) AS code FROM ln),
  ep AS (SELECT *, CASE WHEN code = 'MESSAGE_GAP' OR pos - lag(pos) OVER (PARTITION BY source_id, code ORDER BY pos) IS DISTINCT FROM 1 THEN 1 ELSE 0 END AS st FROM lp),
@@ -182,10 +182,10 @@ def _(spark, d):
     return quality_rows(spark, d).filter(fl.is_emergency(F.col("squawk"), F.col("emergency"))).select("row_pos")
 
 
-@query("b8_callsign_search", """WITH m AS (SELECT c_custkey, c_name, CASE WHEN upper(trim(c_name)) = 'CUSTOMER#12' THEN 0 WHEN contains(upper(trim(c_name)), 'CUSTOMER#12') THEN 1 END AS match_rank FROM customer)
+@query("b8_callsign_search", """WITH m AS (SELECT c_custkey, c_name, CASE WHEN upper(trim(c_name)) = '0000012' THEN 0 WHEN contains(upper(trim(c_name)), '0000012') THEN 1 END AS match_rank FROM customer)
 SELECT c_name, match_rank FROM m WHERE match_rank IS NOT NULL ORDER BY match_rank, upper(trim(c_name)) LIMIT 1""", tel=False)
 def _(spark, d):
-    return rt.callsign_search(table(spark, d, "customer").select("c_custkey", "c_name"), query=" customer#12 ", callsign="c_name").select("c_name", "match_rank")
+    return rt.callsign_search(table(spark, d, "customer").select("c_custkey", "c_name"), query=" 0000012 ", callsign="c_name").select("c_name", "match_rank")
 
 
 @query("b9_mlat_filter", "SELECT source_type, count(*) FILTER (WHERE x > 40) AS n, round(count(*) FILTER (WHERE x > 40) / count(*), 6) AS share FROM tel GROUP BY source_type")
@@ -330,7 +330,8 @@ def _(spark, d):
     return ct.shared_owners(rows, day="day", entity="source_id", part="part")
 
 
-@query("l4_split_hash", "WITH s AS (SELECT DISTINCT source_id, CASE WHEN is_military THEN 'a' ELSE 'b' END AS split FROM tel) SELECT split, count(*) AS ids, sha256(string_agg(sha256(source_id), '' ORDER BY sha256(source_id))) AS digest FROM s GROUP BY split")
+@query("l4_split_hash", "WITH s AS (SELECT DISTINCT source_id, CASE WHEN is_military THEN 'a' ELSE 'b' END AS split FROM tel), b AS (SELECT split, substr(sha256(source_id), 1, 3) AS p, count(*) AS n, sha256(string_agg(sha256(source_id), '' ORDER BY sha256(source_id))) AS h FROM s GROUP BY 1, 2)
+SELECT split, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM b GROUP BY split")
 def _(spark, d):
     return ct.split_contract(telemetry(spark, d).withColumn("split", F.when(F.col("is_military"), "a").otherwise("b")), entity="source_id", split="split")
 
