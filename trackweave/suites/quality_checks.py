@@ -330,8 +330,8 @@ def _(spark, d):
     return ct.shared_owners(rows, day="day", entity="source_id", part="part")
 
 
-@query("l4_split_hash", "WITH s AS (SELECT DISTINCT source_id, CASE WHEN is_military THEN 'a' ELSE 'b' END AS split FROM tel), b AS (SELECT split, substr(sha256(source_id), 1, 3) AS p, count(*) AS n, sha256(string_agg(sha256(source_id), '' ORDER BY sha256(source_id))) AS h FROM s GROUP BY 1, 2)
-SELECT split, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM b GROUP BY split")
+@query("l4_split_hash", """WITH s AS (SELECT DISTINCT source_id, CASE WHEN is_military THEN 'a' ELSE 'b' END AS split FROM tel), b AS (SELECT split, substr(sha256(source_id), 1, 3) AS p, count(*) AS n, sha256(string_agg(sha256(source_id), '' ORDER BY sha256(source_id))) AS h FROM s GROUP BY 1, 2)
+SELECT split, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM b GROUP BY split""")
 def _(spark, d):
     return ct.split_contract(telemetry(spark, d).withColumn("split", F.when(F.col("is_military"), "a").otherwise("b")), entity="source_id", split="split")
 
