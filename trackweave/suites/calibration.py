@@ -88,7 +88,7 @@ def _(spark, d):
 
 
 KON = """kk AS (SELECT * FROM (VALUES (2, 3), (3, 5)) kk(k, n)), v AS (SELECT tel.*, round(x) AS s, row_number() OVER (PARTITION BY source_id ORDER BY t, row_pos) AS rn FROM tel),
- e AS (SELECT a.source_id, a.rn, k, n, list_sort(list(b.s), 'DESC')[k] AS eff FROM v a JOIN v b ON a.source_id = b.source_id JOIN kk ON b.rn BETWEEN a.rn - n + 1 AND a.rn GROUP BY ALL),
+ e AS (SELECT a.source_id, a.rn, k, n, list_sort(list(b.s), 'DESC')[k] AS eff FROM v a JOIN v b ON a.source_id = b.source_id JOIN kk ON b.rn BETWEEN a.rn - n + 1 AND a.rn GROUP BY a.source_id, a.rn, k, n),
  l AS (SELECT *, coalesce(lag(coalesce(eff, -1e9)) OVER (PARTITION BY source_id, k, n ORDER BY rn), -1e9) AS p, coalesce(eff, -1e9) AS s FROM e), hs AS (SELECT DISTINCT k, n, eff AS h FROM e WHERE eff IS NOT NULL),
  cu AS (SELECT hs.k, hs.n, h, count(l.rn) AS onsets FROM hs LEFT JOIN l ON l.k = hs.k AND l.n = hs.n AND p <= h AND s > h GROUP BY ALL),
  f AS (SELECT k, n, min(h) AS threshold, arg_min(onsets, h) AS o FROM cu WHERE onsets / ((SELECT count(*) FROM tel) * 60 / 3600) <= 2.0 GROUP BY k, n)"""
