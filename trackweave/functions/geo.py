@@ -95,18 +95,27 @@ def hex_center(cell: Column, resolution: int) -> tuple[Column, Column]:
     return _unproject(*_hex_plane(cell, resolution))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once however often it appears."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def close_ring(ring: Column) -> Column:
     """Ring of [lon, lat] pairs: shifted +360 across the antimeridian, null at a pole, closed.
 
     A ring whose corners leave the projection plane has no polygon and gives null.
     """
-    lons = F.transform(ring, lambda p: p[0])
-    wide = (F.array_max(lons) - F.array_min(lons)) > 180
-    shifted = F.transform(
-        ring, lambda p: F.array(F.when(wide & (p[0] < 0), p[0] + 360).otherwise(p[0]), p[1])
-    )
-    polar = F.exists(ring, lambda p: F.abs(p[1]) >= 90)
-    return F.when(~polar, F.concat(shifted, F.slice(shifted, 1, 1)))
+
+    def facts(r: Column) -> Column:
+        lons = F.transform(r, lambda p: p[0])
+        wide = (F.array_max(lons) - F.array_min(lons)) > 180
+        return F.struct(r.alias("r"), wide.alias("wide"), F.exists(r, lambda p: F.abs(p[1]) >= 90).alias("polar"))
+
+    def shift(f: Column) -> Column:
+        moved = F.transform(f["r"], lambda p: F.array(F.when(f["wide"] & (p[0] < 0), p[0] + 360).otherwise(p[0]), p[1]))
+        return F.when(~f["polar"], moved)
+
+    return bound(bound(bound(ring, facts), shift), lambda s: F.concat(s, F.slice(s, 1, 1)))
 
 
 def hex_polygon(cell: Column, resolution: int) -> Column:
@@ -114,14 +123,14 @@ def hex_polygon(cell: Column, resolution: int) -> Column:
     size = _hex_size(resolution)
     cx, cy = _hex_plane(cell, resolution)
 
-    def corner(i: Column) -> Column:
-        angle = F.radians(F.lit(60.0) * i - 30.0)
-        lat, lon = _unproject(cx + F.cos(angle) * size, cy + F.sin(angle) * size)
+    def corner(angle_deg: float, c: Column) -> Column:
+        a = math.radians(angle_deg)
+        lat, lon = _unproject(c["x"] + math.cos(a) * size, c["y"] + math.sin(a) * size)
         # a plane position beyond +-180 is the far side of the antimeridian
-        lon = F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
-        return F.array(lon, lat)
+        return bound(lon, lambda l: F.array(F.when(l > 180, l - 360).when(l < -180, l + 360).otherwise(l), lat))
 
-    return close_ring(F.transform(F.sequence(F.lit(0), F.lit(5)), corner))
+    center = F.struct(cx.alias("x"), cy.alias("y"))
+    return close_ring(bound(center, lambda c: F.array(*[corner(60.0 * i - 30.0, c) for i in range(6)])))
 
 
 def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, n: int = 32) -> Column:
@@ -151,5 +160,4 @@ def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
         two = F.array(F.array(F.degrees(e["p1"]), F.degrees(e["l1"])), F.array(F.degrees(e["p2"]), F.degrees(e["l2"])))
         return F.when(e["arc"] < 1e-9, two).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n)), point))
 
-    # a one-element array binds the ends once for all points
-    return F.get(F.transform(F.array(ends), path), F.lit(0))
+    return bound(ends, path)

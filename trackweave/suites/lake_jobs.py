@@ -151,7 +151,7 @@ def _(spark, d):
     lake.write_features(lake.feature_lines(telemetry(spark, d), where, ["row_pos", "x"]), path)
     f = F.from_json("value", "type string, properties struct<row_pos: long, x: double>, geometry struct<type: string, coordinates: array<double>>")
     return spark.read.text(path).select(
-        f["properties.row_pos"].alias("row_pos"), f["type"].alias("type"), f["geometry.type"].alias("gtype"), f["geometry.coordinates"][0].alias("lon"), f["geometry.coordinates"][1].alias("lat"), f["properties.x"].alias("x"),
+        f["properties"]["row_pos"].alias("row_pos"), f["type"].alias("type"), f["geometry"]["type"].alias("gtype"), f["geometry"]["coordinates"][0].alias("lon"), f["geometry"]["coordinates"][1].alias("lat"), f["properties"]["x"].alias("x"),
     )
 
 
@@ -264,22 +264,22 @@ def documents(spark, d):
 DOCS = "td AS (SELECT *, 'day-' || CAST(source_id AS BIGINT) % 4 || '#traces/x-' || source_id || '-' || row_pos // 15000 AS doc_id FROM tel)"
 
 
-@query("a2_parse_trace", f"""WITH {DOCS} SELECT source_id, round(t, 4) AS t, lat, lon, CASE WHEN NOT on_ground THEN round(alt * 0.3048, 1) END AS alt, round(alt_geom_m * 0.3048, 1) AS alt_geom_m, on_ground, round(ground_speed_ms * 0.5144, 2) AS gs, track_deg,
+@query("a2_parse_trace", f"""WITH {DOCS} SELECT source_id, t, lat, lon, CASE WHEN NOT on_ground THEN round(alt * 0.3048, 1) END AS alt, round(alt_geom_m * 0.3048, 1) AS alt_geom_m, on_ground, round(ground_speed_ms * 0.5144, 2) AS gs, track_deg,
  round(vertical_rate_ms * 100 * 0.00508, 3) + 0.0 AS vr, row_pos % 4 IN (1, 3) AS stale, row_pos % 4 IN (2, 3) AS new_leg, CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN false ELSE CAST(source_id AS BIGINT) % 2 = 1 END AS mil FROM td""")
 def _(spark, d):
     r = traces.trace_rows(documents(spark, d))
     return r.select(
-        "source_id", r6("timestamp_utc", 4).alias("t"), "lat", "lon", "alt", "alt_geom_m", "on_ground", F.col("ground_speed_ms").alias("gs"), "track_deg",
+        "source_id", F.col("timestamp_utc").alias("t"), "lat", "lon", "alt", "alt_geom_m", "on_ground", F.col("ground_speed_ms").alias("gs"), "track_deg",
         (F.col("vertical_rate_ms") + 0.0).alias("vr"), F.col("flags_stale").alias("stale"), F.col("flags_new_leg").alias("new_leg"), F.col("is_military").alias("mil"),
     )
 
 
 @query("a3_sparse_carry_forward", f"""WITH {DOCS}, u AS (SELECT *, row_pos % 4 = 0 AS up, CASE WHEN row_pos % 8 <> 0 THEN CAST(row_pos AS VARCHAR) END AS sq FROM td),
  c AS (SELECT *, last_value(CASE WHEN up THEN row_pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_pos) AS lp FROM u)
-SELECT c.source_id, round(c.t, 4) AS t, p.sq AS squawk, c.up AS squawk_updated, round(p.t, 4) AS update_t, round(c.t - p.t, 4) AS age FROM c LEFT JOIN u p ON p.row_pos = c.lp""")
+SELECT c.source_id, c.t, p.sq AS squawk, c.up AS squawk_updated, p.t AS update_t, c.t - p.t AS age FROM c LEFT JOIN u p ON p.row_pos = c.lp""")
 def _(spark, d):
     r = traces.carry_updates(traces.trace_rows(documents(spark, d)), fields={"squawk": "squawk"})
-    return r.select("source_id", r6("timestamp_utc", 4).alias("t"), "squawk", "squawk_updated", r6("squawk_update_timestamp_utc", 4).alias("update_t"), r6("squawk_update_age_s", 4).alias("age"))
+    return r.select("source_id", F.col("timestamp_utc").alias("t"), "squawk", "squawk_updated", F.col("squawk_update_timestamp_utc").alias("update_t"), F.col("squawk_update_age_s").alias("age"))
 
 
 @query("a1_trace_archive_scan", f"WITH {DOCS} SELECT DISTINCT 'day-' || CAST(source_id AS BIGINT) % 4 || '.tar' AS archive, 'traces/x-' || source_id || '-' || row_pos // 15000 || '.json.gz' AS member FROM td")
@@ -355,7 +355,7 @@ def _(spark, d):
     return out.select("row_pos", "icao24", "alt", "is_ground", "velocity", "signal_age_sec", "is_military")
 
 
-@query("h30_state_normaliser", "SELECT row_pos, source_id AS icao24, lat, lon, coalesce(round(alt, 1), 0) AS alt, x AS velocity, CASE WHEN row_pos % 3 = 0 THEN 'general' ELSE 'none' END AS emergency, on_ground AS is_ground, round(1705000000 - row_pos % 100, 1) - 1704999000 AS signal_age_sec FROM tel")
+@query("h30_state_normaliser", "SELECT row_pos, source_id AS icao24, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(round(alt, 1), 0) AS alt, x AS velocity, CASE WHEN row_pos % 3 = 0 THEN 'general' ELSE 'none' END AS emergency, on_ground AS is_ground, round(1705000000 - row_pos % 100, 1) - 1704999000 AS signal_age_sec FROM tel")
 def _(spark, d):
     i = F.col("row_pos")
     s = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
