@@ -216,15 +216,18 @@ def _path_norm(n: int) -> float:
 def fit_forest(df: DataFrame, channels: Mapping[str, tuple[float, float]], *, trees: int = 200, sample: int = 256, clip: float = 5.0, seed: str = "0", key: Sequence[str]) -> DataFrame:
     """Model table, one row per tree, from hashed samples of scaled complete rows; trees grow in parallel.
 
-    The pool is the trees x sample rows with the smallest hash, dealt to the trees in turn.
+    Every tree draws its rows, by its own hash, from one pool of 32 x sample rows with the
+    smallest hash, so the work after the one scan depends on the parameters alone.
     """
     cols = list(channels)
     ok = F.lit(True)
     for c in cols:
         ok = ok & sc.finite(F.col(c)).isNotNull()
     z = {c: F.greatest(F.lit(-clip), F.least((sc.finite(F.col(c)) - m) / s, F.lit(clip))) for c, (m, s) in channels.items()}
-    pool = bottom_k(df.filter(ok).select(*key, *[v.alias(f"_z{i}") for i, v in enumerate(z.values())]), k=trees * sample, seed=seed, key=key)
-    tree = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(trees)).alias("tree")
+    slim = df.filter(ok).select(*key, *[v.alias(f"_z{i}") for i, v in enumerate(z.values())])
+    pool = bottom_k(slim, k=32 * sample, seed=seed, key=key)
+    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
+    drawn = bottom_k(drawn, k=sample, seed=seed, key=["tree", *key], groups=["tree"])
     names = [f"_z{i}" for i in range(len(cols))]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +237,7 @@ def fit_forest(df: DataFrame, channels: Mapping[str, tuple[float, float]], *, tr
         return pd.DataFrame({"tree": [number], "n": [len(rows)], **{k: [v.tolist()] for k, v in t.items()}})
 
     schema = "tree long, n int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
-    return pool.select(tree, *names).groupBy("tree").applyInPandas(grow, schema)
+    return drawn.select("tree", *names).groupBy("tree").applyInPandas(grow, schema)
 
 
 def score_forest(df: DataFrame, model: DataFrame, channels: Mapping[str, tuple[float, float]], *, clip: float = 5.0, out: str = "isolation_score") -> DataFrame:
