@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.operators.decide import fold_groups, temporal_evidence
+from trackweave.operators.decide import fold_groups
 from trackweave.operators.episodes import alarm_episodes, row_exposure
 from trackweave.plans.durable import durable
 from trackweave.plans.ladder import ladder
-from trackweave.plans.track import Lag, Track, row_frame, runs, sweep
+from trackweave.plans.track import Lag, Running, Track, close, row_frame, runs, settle, since, sweep
 
 # fixed values: distribution function of a Poisson count with mean 1 at 0, 1, 2, ...
 POISSON_ONE = (
@@ -192,8 +192,6 @@ def fit_page_policy(
     logit = sc.logit_standardise(F.col(score), 0.0, 1.0)
     stats = rows.agg(F.avg(logit).alias("mu"), F.stddev_pop(logit).alias("sd")).first()
     sigma = stats.sd if stats.sd and stats.sd > 0 else 1.0
-    from trackweave.plans.track import Running
-
     z = rows.withColumn("_z", (logit - stats.mu) / sigma)
     z = sweep(z, track, {"_rn": Running(F.lit(1).cast("long"))})
     z = z.withColumn("_blk", F.floor((F.col("_rn") - 1) / block_rows)).select(*track.keys, "_blk", ((F.col("_rn") - 1) % block_rows).alias("_at"), "_z")
@@ -231,12 +229,26 @@ def fit_page_policy(
 def alpha_curve(
     rows: DataFrame, track: Track, *, p_value: str, alphas: Sequence[float], persistence_s: float, max_gap_s: float, merge_gap_s: float, evaluable: Column,
 ) -> DataFrame:
-    """Episodes per scoreable hour of the persistence rule at every alpha."""
+    """Episodes per scoreable hour of the persistence rule at every alpha.
+
+    Evidence only grows with alpha, so stretches that stay below ``persistence_s`` at the
+    largest alpha never alarm: only the others are spread over the alphas.
+    """
+    t, p, top = F.col(track.order[0]), F.col(p_value), float(max(alphas))
     seconds = row_exposure(rows, track, evaluable=evaluable, max_gap_s=max_gap_s).agg(F.sum("exposure_s")).scalar()
-    spread = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    base = settle(rows.select(*track.keys, *track.order, p_value), track)
+    base = sweep(base, track, {"_pt": Lag(t)}).withColumn("_dt", t - F.col("_pt"))
+    base = base.withColumn("_cut", F.col("_dt").isNull() | (F.col("_dt") <= 0) | (F.col("_dt") > max_gap_s))
+    mark = F.col("_cut") | (p > top)
+    base = sweep(base, track, {"_run": Running(mark.cast("long"))})
+    stretch = [*track.keys, "_run"]
+    full = base.groupBy(*stretch).agg(F.sum(F.when(mark, 0.0).otherwise(F.col("_dt"))).alias("_e")).filter(F.col("_e") >= persistence_s)
+    live = close(base).join(full.select(*stretch), stretch, "left_semi")
+    spread = live.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     line = track.by(*track.keys, "alpha")
-    scored = temporal_evidence(spread, line, p_value=p_value, alpha=F.col("alpha"), mode="persistence", max_gap_s=max_gap_s, persistence_s=persistence_s)
-    eps = alarm_episodes(scored, line, alarm=F.col("alarm"), merge_gap_s=merge_gap_s).groupBy("alpha").agg(F.count(F.lit(1)).alias("_n"))
+    off = F.col("_cut") | (p > F.col("alpha"))
+    scored = since(spread, line, {"_ev": (off, F.when(off, 0.0).otherwise(F.col("_dt")))})
+    eps = alarm_episodes(scored, line, alarm=F.col("_ev") >= persistence_s, merge_gap_s=merge_gap_s).groupBy("alpha").agg(F.count(F.lit(1)).alias("_n"))
     grid = rows.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
     out = grid.join(eps, "alpha", "left").withColumn("_s", seconds)
     return out.select("alpha", F.try_divide(F.coalesce("_n", F.lit(0)).cast("double"), F.col("_s") / 3600).alias("episodes_per_hour"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.plans.track import Lag, Running, Track, runs, sweep
+from trackweave.plans.track import Lag, Running, Track, Whole, runs, sweep
 
 
 def alarm_episodes(df: DataFrame, track: Track, *, alarm: Column, merge_gap_s: float) -> DataFrame:
@@ -51,8 +51,7 @@ def row_exposure(df: DataFrame, track: Track, *, evaluable: Column, max_gap_s: f
 def block_exposure(df: DataFrame, track: Track, *, block_s: float, origin: Column | None = None) -> DataFrame:
     """Observed seconds of every time block holding at least two rows, blocks counted from the entity's start."""
     t = track.order[0]
-    start = df.groupBy(*track.keys).agg(F.min(t).alias("_t0"))
-    rows = df.join(start, list(track.keys))
+    rows = sweep(df, track, {"_t0": Whole(F.col(t), "min")})
     zero = origin if origin is not None else F.col("_t0")
     return (
         rows.groupBy(*track.keys, F.floor((F.col(t) - zero) / block_s).alias("block"))

@@ -245,14 +245,11 @@ def timeline_stratum(t: Column, onset: Column) -> Column:
 
 def role_burden(per_flight: DataFrame, *, day: str, role: str, stratum: str, exposure: str, episodes: str) -> DataFrame:
     """Exposure, episodes, scoreable and alerted flights per (day, role) and per (day, role, stratum)."""
-    per_flight.createOrReplaceTempView("_role_burden")
-    cols = f"`{day}`, `{role}`"
-    return per_flight.sparkSession.sql(f"""
-        SELECT {cols}, `{stratum}`, grouping(`{stratum}`) AS is_total, sum(`{exposure}`) AS exposure_s, sum(`{episodes}`) AS episodes,
-               count_if(`{exposure}` > 0) AS scoreable_flights, count_if(`{episodes}` > 0) AS alerted_flights
-        FROM _role_burden GROUP BY GROUPING SETS (({cols}), ({cols}, `{stratum}`))""").withColumn(
-        "episodes_per_hour", F.try_divide(F.col("episodes").cast("double"), F.col("exposure_s") / 3600)
+    out = per_flight.groupingSets([[day, role], [day, role, stratum]], day, role, stratum).agg(
+        F.grouping(stratum).alias("is_total"), F.sum(exposure).alias("exposure_s"), F.sum(episodes).alias("episodes"),
+        F.count_if(F.col(exposure) > 0).alias("scoreable_flights"), F.count_if(F.col(episodes) > 0).alias("alerted_flights"),
     )
+    return out.withColumn("episodes_per_hour", F.try_divide(F.col("episodes").cast("double"), F.col("exposure_s") / 3600))
 
 
 def stress_burden(per_case: DataFrame, *, keys: Sequence[str] = ("domain", "contract", "method"), budget: float, warn_factor: float = 2.0) -> DataFrame:

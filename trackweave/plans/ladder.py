@@ -39,19 +39,17 @@ def ladder(
     picked = steps.select(*g, value).withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= sample)
     points = picked.groupBy(*g).agg(F.array_sort(F.collect_list(value)).alias("_s"))
     stride = sample // buckets
-    bounds = points.select(
-        *g,
-        F.when(
-            F.size("_s") == sample,
-            F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", i * stride)),
-        ).alias("_bounds"),
+    cut = F.when(
+        F.size("_s") == sample,
+        F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", i * stride)),
     )
-    placed = steps.join(bounds, g, "left").withColumn(
-        "_b",
-        F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_bounds", lambda x: x <= F.col(value)))
-        ),
-    ).drop("_bounds")
+    if groups:
+        placed = steps.join(points.select(*g, cut.alias("_bounds")), g, "left")
+    else:
+        # one list for the whole table: a scalar, not a join on a constant key
+        placed = steps.withColumn("_bounds", points.select(cut).scalar())
+    at = F.size(F.filter("_bounds", lambda x: x <= F.col(value)))
+    placed = placed.withColumn("_b", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(at)).drop("_bounds")
 
     w = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(_LO, 0)
     along = Window.partitionBy(*g).orderBy("_b")
