@@ -86,13 +86,13 @@ def simple_page_sums(
     rows = sweep(track.open(rows), track, {"_pt": Lag(F.col(t))})
     dt = F.col(t) - F.col("_pt")
     rows = rows.withColumn("_rs", ~F.col("_ok") | dt.isNull() | (dt <= 0) | (dt > max_gap_s))
-    steps = {}
+    steps, cut = {}, F.col("_rs")
     for k in z:
         v = F.col(f"_z_{k}")
         if z_clip is not None:
             v = F.when(v.isNotNull(), F.greatest(F.lit(-z_clip), F.least(v, F.lit(z_clip))))
-        steps[f"{k}_pos"] = (F.col("_rs"), F.coalesce(v - slack, F.lit(0.0)))
-        steps[f"{k}_neg"] = (F.col("_rs"), F.coalesce(-v - slack, F.lit(0.0)))
+        steps[f"{k}_pos"] = (cut, F.coalesce(v - slack, F.lit(0.0)))
+        steps[f"{k}_neg"] = (cut, F.coalesce(-v - slack, F.lit(0.0)))
     rows = accumulate(rows, track, steps)
     rows = rows.withColumn("cusum_score", F.greatest(*[F.col(s) for s in steps]))
     return close(rows.drop("_ok", "_pt", *[f"_z_{k}" for k in z])).withColumnRenamed("_rs", "reset")

@@ -365,30 +365,35 @@ def accumulate(df: DataFrame, track: Track, steps: Mapping[str, tuple[Column, Co
     on, pos = [*track.keys, CHUNK], track.position()
     along = Window.partitionBy(*track.keys).orderBy(CHUNK)
     rows, w = src, track.window()
+    # steps given the very same reset Column share its segments and their sort
+    shared: dict[int, int] = {}
+    seg = {k: shared.setdefault(id(reset), len(shared)) for k, (reset, _) in steps.items()}
     for k, (reset, inc) in steps.items():
         r = F.coalesce(reset, F.lit(False))
-        rows = rows.withColumns({f"_r_{k}": r.cast("long"), f"_i_{k}": F.when(r, 0.0).otherwise(F.coalesce(inc, F.lit(0.0)))})
-    rows = rows.withColumns({f"_g_{k}": F.sum(f"_r_{k}").over(w.rowsBetween(_LO, 0)) for k in steps})
-    for k in steps:
-        inner = Window.partitionBy(*on, f"_g_{k}").orderBy(*track.sorts()).rowsBetween(_LO, 0)
-        rows = rows.withColumn(f"_p_{k}", F.sum(f"_i_{k}").over(inner))
-        rows = rows.withColumn(f"_z_{k}", F.col(f"_p_{k}") - F.least(F.lit(0.0), F.min(f"_p_{k}").over(inner)))
+        rows = rows.withColumns({f"_r_{seg[k]}": r.cast("long"), f"_i_{k}": F.when(r, 0.0).otherwise(F.coalesce(inc, F.lit(0.0)))})
+    rows = rows.withColumns({f"_g_{i}": F.sum(f"_r_{i}").over(w.rowsBetween(_LO, 0)) for i in set(seg.values())})
+    inner = {i: Window.partitionBy(*on, f"_g_{i}").orderBy(*track.sorts()).rowsBetween(_LO, 0) for i in set(seg.values())}
+    rows = rows.withColumns({f"_p_{k}": F.sum(f"_i_{k}").over(inner[seg[k]]) for k in steps})
+    rows = rows.withColumns(
+        {f"_z_{k}": F.col(f"_p_{k}") - F.least(F.lit(0.0), F.min(f"_p_{k}").over(inner[seg[k]])) for k in steps}
+    )
     ends = rows.groupBy(*on).agg(
-        *[F.max(f"_g_{k}").alias(f"_k_{k}") for k in steps],
-        *[F.max_by(f"_z_{k}", pos).alias(f"_A_{k}") for k in steps],
-        *[F.max_by(f"_p_{k}", pos).alias(f"_B_{k}") for k in steps],
+        *[F.max(f"_g_{i}").alias(f"_k_{i}") for i in set(seg.values())],
+        *[F.max_by(F.struct(f"_z_{k}", f"_p_{k}"), pos).alias(f"_f_{k}") for k in steps],
+    )
+    ends = ends.withColumns(
+        {f"_q_{i}": F.sum(F.when(F.col(f"_k_{i}") > 0, 1).otherwise(0)).over(along.rowsBetween(_LO, 0)) for i in set(seg.values())}
+    )
+    outer = {i: Window.partitionBy(*track.keys, f"_q_{i}").orderBy(CHUNK).rowsBetween(_LO, 0) for i in set(seg.values())}
+    ends = ends.withColumns({f"_C_{k}": F.sum(F.col(f"_f_{k}._p_{k}")).over(outer[seg[k]]) for k in steps})
+    ends = ends.withColumns(
+        {f"_E_{k}": F.col(f"_C_{k}") + F.max(F.col(f"_f_{k}._z_{k}") - F.col(f"_C_{k}")).over(outer[seg[k]]) for k in steps}
     )
-    for k in steps:
-        ends = ends.withColumn(f"_q_{k}", F.sum(F.when(F.col(f"_k_{k}") > 0, 1).otherwise(0)).over(along.rowsBetween(_LO, 0)))
-    for k in steps:
-        inner = Window.partitionBy(*track.keys, f"_q_{k}").orderBy(CHUNK).rowsBetween(_LO, 0)
-        ends = ends.withColumn(f"_C_{k}", F.sum(f"_B_{k}").over(inner))
-        ends = ends.withColumn(f"_E_{k}", F.col(f"_C_{k}") + F.max(F.col(f"_A_{k}") - F.col(f"_C_{k}")).over(inner))
     ends = ends.select(*on, *[F.lag(f"_E_{k}").over(along).alias(f"_s_{k}") for k in steps])
     rows = rows.join(ends, on, "left")
     new = {
         k: F.when(
-            F.col(f"_g_{k}") == 0,
+            F.col(f"_g_{seg[k]}") == 0,
             F.greatest(F.col(f"_z_{k}"), F.coalesce(F.col(f"_s_{k}"), F.lit(0.0)) + F.col(f"_p_{k}")),
         ).otherwise(F.col(f"_z_{k}"))
         for k in steps
