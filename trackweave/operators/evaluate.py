@@ -48,10 +48,14 @@ def detection_summary(per_event: DataFrame, *, groups: Sequence[str] = ()) -> Da
     aggs = [F.count(F.lit(1)).alias("n_events"), F.count_if("detected").alias("n_detected")]
     if "covered_s" in per_event.columns:
         aggs += [F.avg("fraction").alias("macro_coverage"), F.try_divide(F.sum("covered_s"), F.sum("duration_s")).alias("micro_coverage")]
-    base = per_event.withColumn("_all", F.lit(0)).groupBy("_all", *g).agg(*aggs)
-    q = exact_quantiles(per_event.filter("detected").withColumn("_all", F.lit(0)), ["_all", *g], "first_alarm_delay_s",
-                        {"median_delay_s": 0.5, "p95_delay_s": 0.95}).drop("n")
-    out = base.join(q, ["_all", *g], "left").drop("_all")
+    probs = {"median_delay_s": 0.5, "p95_delay_s": 0.95}
+    base = per_event.groupBy(*g).agg(*aggs)
+    q = exact_quantiles(per_event.filter("detected"), g, "first_alarm_delay_s", probs)
+    if g:
+        out = base.join(q.drop("n"), g, "left")
+    else:
+        out = base.withColumn("_q", q.select(F.struct(*probs)).scalar())
+        out = out.withColumns({k: F.col("_q")[k] for k in probs}).drop("_q")
     low, high = sc.wilson(F.col("n_detected"), F.col("n_events"))
     return out.withColumns({"recall": F.col("n_detected") / F.col("n_events"), "recall_low": low, "recall_high": high})
 

@@ -27,15 +27,18 @@ MEMBER_SCHEMA = "source_file string, member string, offset long, size long, erro
 TEXT_SCHEMA = "source_file string, member string, json_text string, error string"
 
 
-def _open(uri: str):
+def filesystem(path: str):
+    """(filesystem, path on it) of a path or URI, whatever store it is on."""
     from pyarrow import fs
 
-    filesystem, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    return filesystem.open_input_file(path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _uri(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+def _open(path: str):
+    where, name = filesystem(path)
+    return where.open_input_file(name)
 
 
 def archive_members(spark: SparkSession, pattern: str) -> DataFrame:
@@ -49,7 +52,7 @@ def archive_members(spark: SparkSession, pattern: str) -> DataFrame:
             for path in pdf["path"]:
                 rows: list[tuple] = []
                 try:
-                    with _open(_uri(path)) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                    with _open(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
                         for m in tar:
                             if m.isfile() and "traces" in m.name and m.name.endswith((".json", ".json.gz")):
                                 rows.append((path, m.name, m.offset_data, m.size, None))
@@ -74,7 +77,7 @@ def read_members(members: DataFrame, *, tasks: int | None = None) -> DataFrame:
         for pdf in batches:
             for path, part in pdf.groupby("source_file", sort=False):
                 out = []
-                with _open(_uri(path)) as f:
+                with _open(path) as f:
                     for m in part.sort_values("offset").itertuples():
                         try:
                             f.seek(int(m.offset))

@@ -22,10 +22,10 @@ tel AS (
   SELECT CAST(user_id AS VARCHAR) AS source_id, event_id AS row_pos, epoch_us(ts) AS t_us,
          epoch_us(ts) / 1e6 AS t, value AS x,
          -60 + (event_id * 37 % 1200) / 10.0 AS lat, -180 + (event_id * 91 % 3600) / 10.0 AS lon,
-         CASE WHEN event_id % 13 <> 0 THEN 1000.0 + event_id * 53 % 9000 END AS alt,
-         CASE WHEN event_id % 17 <> 0 THEN 1010.0 + event_id * 53 % 9000 + event_id % 40 END AS alt_geom_m,
-         50.0 + event_id * 17 % 200 AS ground_speed_ms, (event_id * 13 % 360) * 1.0 AS track_deg,
-         (event_id * 7 % 40) / 4.0 - 5.0 AS vertical_rate_ms, (event_id * 11 % 60) - 30.0 AS roll_deg,
+         CASE WHEN event_id % 13 <> 0 THEN CAST(1000 + event_id * 53 % 9000 AS DOUBLE) END AS alt,
+         CASE WHEN event_id % 17 <> 0 THEN CAST(1010 + event_id * 53 % 9000 + event_id % 40 AS DOUBLE) END AS alt_geom_m,
+         CAST(50 + event_id * 17 % 200 AS DOUBLE) AS ground_speed_ms, CAST(event_id * 13 % 360 AS DOUBLE) AS track_deg,
+         CAST(event_id * 7 % 40 AS DOUBLE) / 4 - 5 AS vertical_rate_ms, CAST(event_id * 11 % 60 - 30 AS DOUBLE) AS roll_deg,
          event_type = 'signup' AS on_ground, event_type = 'error' AS alarm, event_id % 3 = 0 AS flags_new_leg,
          user_id % 7 = 0 AS is_military, event_type AS source_type, props
   FROM events)"""

@@ -40,7 +40,7 @@ def _(spark, d):
     return cb.corrected_selection(candidates(spark, d), budget=0.02)
 
 
-@query("k20_axis_gate", f"WITH {BOOT} SELECT min(CASE WHEN greatest(observed_rate, bootstrap_upper) <= 0.02 THEN h END) AS selected_h, 2 AS n_axes, CASE WHEN min(CASE WHEN greatest(observed_rate, bootstrap_upper) <= 0.02 THEN h END) IS NULL THEN 'blocked_no_threshold' ELSE 'allowed' END AS decision FROM ca")
+@query("k20_axis_gate", f"WITH {BOOT} SELECT min(CASE WHEN greatest(observed_rate, bootstrap_upper) <= 0.02 THEN h END) AS selected_h, 2::BIGINT AS n_axes, CASE WHEN min(CASE WHEN greatest(observed_rate, bootstrap_upper) <= 0.02 THEN h END) IS NULL THEN 'blocked_no_threshold' ELSE 'allowed' END AS decision FROM ca")
 def _(spark, d):
     cov = rb.median_mad(telemetry(spark, d), ["x", "alt"]).select(F.col("channel").alias("axis"), F.col("usable").alias("calibrated"))
     return cb.axis_gate(cov, cb.select_smallest(candidates(spark, d)), axes=["x", "alt"])

@@ -12,14 +12,14 @@ from trackweave.sources import lake, topics, traces
 from trackweave.sources import live as feed
 from trackweave.suites.base import query, r6, rounded, table, telemetry
 
-GOLD = """gold AS (SELECT t AS timestamp_utc, lat, lon, alt AS altitude_m, ground_speed_ms AS velocity_mps, track_deg AS heading_deg, vertical_rate_ms AS vertical_rate_mps, 'adsblol_hist' AS source_type, source_id, CAST(NULL AS VARCHAR) AS label, is_military FROM tel WHERE source_type = 'view'
- UNION ALL SELECT t, lat, lon, alt, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'uav_attack', source_id, 'x', CAST(NULL AS BOOLEAN) FROM tel WHERE source_type = 'click')"""
+GOLD = """gold AS (SELECT t AS timestamp_utc, lat, lon, alt AS altitude_m, ground_speed_ms AS velocity_mps, track_deg AS heading_deg, vertical_rate_ms AS vertical_rate_mps, 'adsblol_hist' AS source_type, source_id, CAST(NULL AS VARCHAR) AS label, is_military FROM tel WHERE source_type IN ('view', 'signup', 'purchase')
+ UNION ALL SELECT t, lat, lon, alt, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'uav_attack', source_id, 'x', CAST(NULL AS BOOLEAN) FROM tel WHERE source_type IN ('click', 'error'))"""
 
 
 def silver(spark, d):
     tel = telemetry(spark, d).withColumn("timestamp_utc", F.col("t"))
-    a = tel.filter("source_type = 'view'").withColumn("source_type", F.lit("adsblol_hist")).drop("label")
-    b = tel.filter("source_type = 'click'").select("timestamp_utc", "lat", "lon", "alt", F.lit("uav_attack").alias("source_type"), "source_id", F.lit("x").alias("label"))
+    a = tel.filter("source_type IN ('view', 'signup', 'purchase')").withColumn("source_type", F.lit("adsblol_hist")).drop("label")
+    b = tel.filter("source_type IN ('click', 'error')").select("timestamp_utc", "lat", "lon", "alt", F.lit("uav_attack").alias("source_type"), "source_id", F.lit("x").alias("label"))
     return {"adsblol_hist": a, "uav_attack": b}
 
 
@@ -175,7 +175,7 @@ def _(spark, d):
     return lake.long_to_wide(long, time="row_pos", entity="source_id", field="field", value="value", fields=["x", "alt", "gone"])
 
 
-@query("a22_range_csv", "SELECT n_nationkey * 4096 AS start, n_nationkey * 4096 + 255 AS end, 'Land, ' || n_name AS country FROM nation", tel=False)
+@query("a22_range_csv", "SELECT CAST(n_nationkey * 4096 AS BIGINT) AS start, CAST(n_nationkey * 4096 + 255 AS BIGINT) AS end, 'Land, ' || n_name AS country FROM nation", tel=False)
 def _(spark, d):
     path = lake.scratch(spark, "ranges")
     k = F.col("n_nationkey").cast("long") * 4096
@@ -292,10 +292,6 @@ def _(spark, d):
 def archives(spark, d):
     """One tar of gzipped documents per source file, plus a corrupt member, in the shared folder."""
     path = lake.scratch(spark, "tars")
-    local = path.removeprefix("file:")
-    import os
-
-    os.makedirs(local, exist_ok=True)
 
     def build(batches):
         import gzip
@@ -305,7 +301,9 @@ def archives(spark, d):
             for r in pdf.itertuples():
                 docs.setdefault(r.source_file, []).append((r.member, r.json_text))
         for name, members in docs.items():
-            with tarfile.open(f"{local}/{name}.tar", "w") as tar:
+            filesystem, target = traces.filesystem(f"{path}/{name}.tar")
+            filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with filesystem.open_output_stream(target) as out, tarfile.open(fileobj=out, mode="w|") as tar:
                 for member, text in [*sorted(members), ("traces/bad", None), ("readme", "x")]:
                     raw = b"\x1f\x8bbroken" if text is None else gzip.compress(text.encode())
                     info = tarfile.TarInfo(f"{member}.json.gz" if member != "readme" else "readme.txt")
@@ -314,7 +312,7 @@ def archives(spark, d):
             yield pd.DataFrame({"source_file": [name]})
 
     documents(spark, d).repartition("source_file").mapInPandas(build, "source_file string").count()
-    return local
+    return path
 
 
 @query("a21_inventory_profile", """WITH l AS (SELECT 'rows' AS metric, 'on_ground' AS key, count(*) AS n FROM tel WHERE on_ground UNION ALL SELECT 'rows', 'all', count(*) FROM tel UNION ALL SELECT 'row_length', '11', count(*) FROM tel UNION ALL
@@ -355,7 +353,7 @@ def _(spark, d):
     return out.select("row_pos", "icao24", "alt", "is_ground", "velocity", "signal_age_sec", "is_military")
 
 
-@query("h30_state_normaliser", "SELECT row_pos, source_id AS icao24, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(round(alt, 1), 0) AS alt, x AS velocity, CASE WHEN row_pos % 3 = 0 THEN 'general' ELSE 'none' END AS emergency, on_ground AS is_ground, round(1705000000 - row_pos % 100, 1) - 1704999000 AS signal_age_sec FROM tel")
+@query("h30_state_normaliser", "SELECT row_pos, source_id AS icao24, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(round(alt, 1), 0) AS alt, x AS velocity, CASE WHEN row_pos % 3 = 0 THEN 'general' ELSE 'none' END AS emergency, on_ground AS is_ground, CAST(1000 - row_pos % 100 AS DOUBLE) AS signal_age_sec FROM tel")
 def _(spark, d):
     i = F.col("row_pos")
     s = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

@@ -47,7 +47,7 @@ def _(spark, d):
     return live.read_state(spark, f"{path}/state").select("source_id", "row_pos", "x")
 
 
-@query("i3_cycle_sweep", "WITH s AS (SELECT source_id, max(row_pos // 500) AS cycle_id FROM tel GROUP BY source_id), m AS (SELECT max(cycle_id) AS c FROM s), p AS (SELECT max(cycle_id) AS p FROM s, m WHERE cycle_id < c) SELECT source_id, cycle_id FROM s, p WHERE cycle_id >= p")
+@query("i3_cycle_sweep", "WITH s AS (SELECT source_id, max(row_pos // 500) AS cycle_id FROM tel GROUP BY source_id), m AS (SELECT max(cycle_id) AS c FROM s), p AS (SELECT coalesce((SELECT max(cycle_id) FROM s, m WHERE cycle_id < c), (SELECT c FROM m)) AS p) SELECT source_id, cycle_id FROM s, p WHERE cycle_id >= p")
 def _(spark, d):
     path = scratch(spark, "cycles")
     job = live.upsert_latest(f"{path}/state", key="source_id", order=["cycle_id", "t", "row_pos"], keep=live.sweep_cycles)

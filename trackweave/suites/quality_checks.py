@@ -281,10 +281,11 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- sets and contracts
-@query("g1_union_sources", "SELECT row_pos, x, alt FROM tel WHERE source_type = 'view' UNION ALL SELECT row_pos, NULL, alt FROM tel WHERE source_type = 'click'")
+@query("g1_union_sources", "SELECT row_pos, x, alt FROM tel WHERE source_type IN ('view', 'signup', 'purchase') UNION ALL SELECT row_pos, NULL, alt FROM tel WHERE source_type IN ('click', 'error')")
 def _(spark, d):
     tel = telemetry(spark, d)
-    a, b = tel.filter("source_type = 'view'").select("row_pos", "x", "alt"), tel.filter("source_type = 'click'").select("row_pos", "alt")
+    a = tel.filter("source_type IN ('view', 'signup', 'purchase')").select("row_pos", "x", "alt")
+    b = tel.filter("source_type IN ('click', 'error')").select("row_pos", "alt")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -313,7 +314,7 @@ def _(spark, d):
     return ct.union_layers([a, b], on="cell")
 
 
-@query("l1_frame_check", "SELECT count(*) AS rows, 0 AS null_ids, 0 AS bad_times, 0 AS unordered, count(*) FILTER (WHERE alt IS NULL) AS bad_alt FROM tel")
+@query("l1_frame_check", "SELECT count(*) AS rows, 0::BIGINT AS null_ids, 0::BIGINT AS bad_times, 0::BIGINT AS unordered, count(*) FILTER (WHERE alt IS NULL) AS bad_alt FROM tel")
 def _(spark, d):
     return ct.frame_report(telemetry(spark, d), POSITION, time="t", entity="source_id", finite={"alt": "alt"})
 
@@ -336,7 +337,7 @@ def _(spark, d):
     return ct.split_contract(telemetry(spark, d).withColumn("split", F.when(F.col("is_military"), "a").otherwise("b")), entity="source_id", split="split")
 
 
-@query("l6_clean_truth", "SELECT count(*) AS rows, 0 AS violations FROM tel")
+@query("l6_clean_truth", "SELECT count(*) AS rows, 0::BIGINT AS violations FROM tel")
 def _(spark, d):
     rows = telemetry(spark, d).withColumns({"event_id": F.lit(None).cast("string"), "injection_active": F.lit(False), "observable_changed": F.lit(False), "evaluable_truth": F.lit(True)})
     return ct.clean_truth_report(rows)

@@ -151,7 +151,7 @@ def _(spark, d):
     return sg.drop_non_monotonic(df, POSITION, time="tt").select("source_id", "row_pos")
 
 
-QUAT = """q AS (SELECT *, (row_pos % 5 - 2) * 1.0 AS a, (row_pos % 3 - 1) * 1.0 AS b, (row_pos % 7 - 3) * 0.5 AS c, CASE WHEN row_pos % 11 <> 0 THEN 1.0 END AS e FROM tel),
+QUAT = """q AS (SELECT *, CAST(row_pos % 5 - 2 AS DOUBLE) AS a, CAST(row_pos % 3 - 1 AS DOUBLE) AS b, CAST(row_pos % 7 - 3 AS DOUBLE) / 2 AS c, CASE WHEN row_pos % 11 <> 0 THEN 1.0::DOUBLE END AS e FROM tel),
 f AS (SELECT * FROM q WHERE e IS NOT NULL),
 dd AS (SELECT *, a * lag(a) OVER w + b * lag(b) OVER w + c * lag(c) OVER w + e * lag(e) OVER w AS dot FROM f WINDOW w AS (PARTITION BY source_id ORDER BY t, row_pos)),
 n AS (SELECT *, sum(CASE WHEN dot = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY t, row_pos) AS z FROM dd),

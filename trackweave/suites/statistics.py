@@ -29,14 +29,14 @@ def _(spark, d):
     return out.select("row_pos", "ax", "ta")
 
 
-@query("c2_align_to_clock", f"""WITH {ALARMS}, v AS (SELECT source_id, t AS vt, x, alt FROM tel WHERE source_type = 'view'), c AS (SELECT * FROM tel WHERE source_type = 'click'),
+@query("c2_align_to_clock", f"""WITH {ALARMS}, v AS (SELECT source_id, t AS vt, x, alt FROM tel WHERE source_type = 'view'), c AS (SELECT * FROM tel WHERE source_type NOT IN ('view', 'error')),
  j AS (SELECT c.row_pos, c.t, c.source_id, c.x, v.x AS vx, v.alt, v.vt FROM c ASOF LEFT JOIN v ON c.source_id = v.source_id AND c.t >= v.vt),
  k AS (SELECT j.*, al.ax, al.ta FROM j ASOF LEFT JOIN al ON j.source_id = al.source_id AND j.t >= al.ta)
 SELECT row_pos, x, CASE WHEN t - vt <= 43200 THEN vx END AS view__x, CASE WHEN t - vt <= 43200 THEN alt END AS alt, coalesce(round(CASE WHEN t - vt <= 43200 THEN (t - vt) * 1000 END, 2), -1) AS view__x_ms,
  CASE WHEN t - ta <= 86400 THEN ax END AS ax, coalesce(round(CASE WHEN t - ta <= 86400 THEN (t - ta) * 1000 END, 2), -1) AS ax_ms FROM k""")
 def _(spark, d):
     tel = telemetry(spark, d)
-    clock = tel.filter("source_type = 'click'").select("source_id", "t", "row_pos", "x")
+    clock = tel.filter("source_type NOT IN ('view', 'error')").select("source_id", "t", "row_pos", "x")
     topics = {
         "view": (tel.filter("source_type = 'view'").select("source_id", "t", "x", "alt"), ["x", "alt"]),
         "err": (tel.filter("alarm").select("source_id", "t", F.col("x").alias("ax")), ["ax"]),
@@ -179,7 +179,7 @@ def _(spark, d):
 
 
 @query("d24_distribution", """WITH r AS (SELECT x, row_number() OVER (ORDER BY sha256('7' || chr(0) || row_pos || chr(0) || 'x')) AS k FROM tel), s AS (SELECT * FROM r WHERE k <= 500)
-SELECT 'x' AS channel, count(x) AS finite_n, 0 AS missing_n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std_population, min(x) AS min, max(x) AS max,
+SELECT 'x' AS channel, count(x) AS finite_n, 0::BIGINT AS missing_n, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std_population, min(x) AS min, max(x) AS max,
  (SELECT round(quantile_cont(x, 0.5), 5) FROM s) AS p50, (SELECT round(quantile_cont(x, 0.99), 5) FROM s) AS p99, (SELECT round(sqrt(ln(40) / (2 * count(*))), 6) FROM s) AS dkw_error FROM tel""")
 def _(spark, d):
     out = rb.distribution(telemetry(spark, d), ["x"], sample=500, seed="7", row_key=["row_pos"])
@@ -218,25 +218,25 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- ranks and conformal
-@query("c15_rank_against", """SELECT q.row_pos, (SELECT count(*) FROM tel r WHERE NOT r.alarm AND r.source_type = 'view' AND r.x >= q.x) AS n_ge,
- (SELECT count(*) FROM tel r WHERE NOT r.alarm AND r.source_type = 'view' AND r.x <= q.x) AS n_le FROM tel q WHERE alarm""")
+@query("c15_rank_against", """SELECT q.row_pos, (SELECT count(*) FROM tel r WHERE NOT r.alarm AND r.x >= q.x) AS n_ge,
+ (SELECT count(*) FROM tel r WHERE NOT r.alarm AND r.x <= q.x) AS n_le FROM tel q WHERE alarm""")
 def _(spark, d):
     tel = telemetry(spark, d)
-    return cf.rank_against(tel.filter("alarm"), tel.filter("source_type = 'view'"), groups=[], score="x").select("row_pos", "n_ge", "n_le")
+    return cf.rank_against(tel.filter("alarm"), tel.filter("NOT alarm"), groups=[], score="x").select("row_pos", "n_ge", "n_le")
 
 
-@query("h26_empirical_probability", """WITH v AS (SELECT x, is_military FROM tel WHERE source_type = 'view') SELECT q.row_pos, round(((SELECT count(*) FROM v r WHERE r.is_military = q.is_military AND r.x <= q.x) + 0.5)
+@query("h26_empirical_probability", """WITH v AS (SELECT x, is_military FROM tel WHERE NOT alarm) SELECT q.row_pos, round(((SELECT count(*) FROM v r WHERE r.is_military = q.is_military AND r.x <= q.x) + 0.5)
  / ((SELECT count(*) FROM v r WHERE r.is_military = q.is_military) + 1), 8) AS probability FROM tel q WHERE alarm""")
 def _(spark, d):
     tel = telemetry(spark, d)
-    out = cf.empirical_probability(tel.filter("alarm"), tel.filter("source_type = 'view'"), groups=["is_military"], score="x")
+    out = cf.empirical_probability(tel.filter("alarm"), tel.filter("NOT alarm"), groups=["is_military"], score="x")
     return out.select("row_pos", r6("probability", 8).alias("probability"))
 
 
 CONF = """sc AS (SELECT row_pos, source_type AS channel, CASE WHEN row_pos % 50 < 30 THEN 'level' WHEN row_pos % 50 < 49 THEN 'climb' ELSE 'descent' END AS ph, 'c' || row_pos % 3 AS ca, x AS score FROM tel),
  cal AS (SELECT * FROM sc WHERE row_pos % 2 = 0), q AS (SELECT * FROM sc WHERE row_pos % 2 = 1),
  n3 AS (SELECT channel, ph, ca, count(*) AS n FROM cal GROUP BY ALL), n2 AS (SELECT channel, ph, count(*) AS n FROM cal GROUP BY ALL), n1 AS (SELECT channel, count(*) AS n FROM cal GROUP BY ALL),
- lv AS (SELECT q.*, CASE WHEN n3.n >= 100 THEN 3 WHEN n2.n >= 100 THEN 2 ELSE 1 END AS l, n3.n AS a, n2.n AS b, n1.n AS c FROM q LEFT JOIN n3 USING (channel, ph, ca) LEFT JOIN n2 USING (channel, ph) LEFT JOIN n1 USING (channel)),
+ lv AS (SELECT q.*, CASE WHEN n3.n >= 20 THEN 3 WHEN n2.n >= 20 THEN 2 ELSE 1 END AS l, n3.n AS a, n2.n AS b, n1.n AS c FROM q LEFT JOIN n3 USING (channel, ph, ca) LEFT JOIN n2 USING (channel, ph) LEFT JOIN n1 USING (channel)),
  p AS (SELECT lv.row_pos, l, CASE l WHEN 3 THEN a WHEN 2 THEN b ELSE c END AS n, (SELECT count(*) FROM cal WHERE cal.channel = lv.channel AND (l = 1 OR cal.ph = lv.ph) AND (l < 3 OR cal.ca = lv.ca) AND cal.score >= lv.score) AS tail FROM lv)"""
 
 
@@ -252,7 +252,7 @@ def scored(spark, d):
 def conformal(spark, d):
     s = scored(spark, d)
     ref = cf.conformal_fit(s.filter("row_pos % 2 = 0"), role=cf.CALIBRATION_ROLE, contains_synthetic=False)
-    return cf.conformal_transform(s.filter("row_pos % 2 = 1"), ref, min_group_size=100)
+    return cf.conformal_transform(s.filter("row_pos % 2 = 1"), ref, min_group_size=20)
 
 
 LEVEL = "CASE l WHEN 3 THEN 'channel+context_phase+context_cadence' WHEN 2 THEN 'channel+context_phase' ELSE 'channel' END"
@@ -308,7 +308,7 @@ def _(spark, d):
 
 
 @query("d32_sampled_ranking", f"""WITH {AUC}, r AS (SELECT s, y, row_number() OVER (PARTITION BY y ORDER BY sha256('3' || chr(0) || row_pos)) AS k, count(*) OVER (PARTITION BY y) AS pop FROM sr),
- w AS (SELECT s, sum(CASE WHEN y THEN pop / 800.0 ELSE 0 END) AS p, sum(CASE WHEN y THEN 0 ELSE pop / 800.0 END) AS n FROM r WHERE k <= 800 GROUP BY s),
+ w AS (SELECT s, sum(CASE WHEN y THEN pop / least(pop, 800.0) ELSE 0 END) AS p, sum(CASE WHEN y THEN 0 ELSE pop / least(pop, 800.0) END) AS n FROM r WHERE k <= 800 GROUP BY s),
  c AS (SELECT *, sum(n) OVER (ORDER BY s) - n AS below, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp FROM w)
 SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auroc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS auprc FROM c""")
 def _(spark, d):
@@ -438,7 +438,7 @@ def _(spark, d):
 
 @query("d45_role_burden", """WITH f AS (SELECT source_id, CAST(CAST(min(make_timestamp(t_us)) AS DATE) AS VARCHAR) AS day, CASE WHEN is_military THEN 'holdout' ELSE 'fit' END AS role, 'c' || CAST(source_id AS BIGINT) % 3 AS stratum,
  CASE WHEN count(*) > 60 THEN count(*) * 60.0 ELSE 0 END AS e, count(*) FILTER (WHERE x > 150) AS ep FROM tel GROUP BY source_id, is_military)
-SELECT day, role, stratum, CAST(grouping(stratum) AS INTEGER) AS is_total, sum(e) AS exposure_s, CAST(sum(ep) AS BIGINT) AS episodes, count(*) FILTER (WHERE e > 0) AS scoreable_flights, count(*) FILTER (WHERE ep > 0) AS alerted_flights,
+SELECT day, role, stratum, CAST(grouping(stratum) AS INTEGER) AS is_total, CAST(sum(e) AS DOUBLE) AS exposure_s, CAST(sum(ep) AS BIGINT) AS episodes, count(*) FILTER (WHERE e > 0) AS scoreable_flights, count(*) FILTER (WHERE ep > 0) AS alerted_flights,
  round(sum(ep) / nullif(sum(e) / 3600, 0), 6) AS episodes_per_hour FROM f GROUP BY GROUPING SETS ((day, role), (day, role, stratum))""")
 def _(spark, d):
     f = telemetry(spark, d).groupBy("source_id", "is_military").agg(
@@ -485,7 +485,7 @@ def _(spark, d):
     return telemetry(spark, d).select("row_pos", r6(ev.attitude_proxy(F.col("roll_deg"), F.col("vertical_rate_ms"))).alias("proxy"))
 
 
-@query("d55_stress_burden", "SELECT source_type AS domain, 'c' || row_pos % 2 AS contract, CASE WHEN row_pos % 3 = 0 THEN 'native' ELSE 'cusum' END AS method, count(*) FILTER (WHERE alarm OR x > 50) AS episodes, count(*) * 10.0 AS exposure_s, round(count(*) FILTER (WHERE alarm OR x > 50) / (count(*) * 10.0 / 3600), 6) AS episodes_per_hour, count(*) FILTER (WHERE alarm OR x > 50) / (count(*) * 10.0 / 3600) > 200 AS warning FROM tel GROUP BY 1, 2, 3")
+@query("d55_stress_burden", "SELECT source_type AS domain, 'c' || row_pos % 2 AS contract, CASE WHEN row_pos % 3 = 0 THEN 'native' ELSE 'cusum' END AS method, count(*) FILTER (WHERE alarm OR x > 50) AS episodes, CAST(count(*) * 10 AS DOUBLE) AS exposure_s, round(count(*) FILTER (WHERE alarm OR x > 50) / (count(*) * 10.0 / 3600), 6) AS episodes_per_hour, count(*) FILTER (WHERE alarm OR x > 50) / (count(*) * 10.0 / 3600) > 200 AS warning FROM tel GROUP BY 1, 2, 3")
 def _(spark, d):
     i = F.col("row_pos")
     rows = telemetry(spark, d).select(
