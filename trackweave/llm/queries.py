@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import exactdup, mixing, neardup, packing, sharding
+from trackweave.llm import exactdup, language, mixing, neardup, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id")
     return sharding.place(docs, "doc_id", sharding.SHARDS, size=sharding.SIZE).select("doc_id", "slot", "shard")
+
+
+@_query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    trees = language.learn(docs.filter(~language.held_out(F.col("doc_id"), 4, 2)), id_col="doc_id", text_col="text", lang_col="lang")
+    out = language.predict(docs, trees)
+    return out.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels.filter(~language.held_out(F.col("doc_id"), 5, 0)))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
