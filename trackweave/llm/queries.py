@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import exactdup, language, mixing, neardup, packing, sharding, toxicity
+from trackweave.llm import contexts, exactdup, language, mixing, neardup, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +70,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, labels.filter(~language.held_out(F.col("doc_id"), 5, 0)))
     out = toxicity.score(docs, model)
     return out.select("doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language.held_out(F.col("doc_id"), 7, 2)
+    out = contexts.score(_documents(spark, sf_dir), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
