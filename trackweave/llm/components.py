@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,24 @@ def components(links: DataFrame) -> DataFrame:
     root = edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
     tops = edges.select(F.col("a").alias("node")).distinct().join(root.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     return root.unionByName(tops)
+
+
+def linked(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that give the same components as confirming all pairs of nodes with a common key.
+
+    ``keyed`` holds (key, node). Every node is compared with the smallest of its bucket only; once
+    components are known, buckets that still span several compare the nodes outside the
+    smallest's component with the rest. Pairs inside a component are never written out.
+    """
+    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
+    bucket = written(keyed.join(shared, "key"))
+    links = written(confirm(bucket.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
+    part = written(components(links))
+    spread = bucket.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    spread = spread.join(mixed, "key")
+    home = spread.filter("node = leader").select("key", F.col("component").alias("home"))
+    outside = spread.join(home, "key").filter("component <> home").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
+    rest = spread.filter("node <> leader").select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
+    pairs = outside.join(rest, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return links.union(confirm(pairs))

@@ -66,7 +66,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
     named = written(block_names(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("back")))
-    groups = named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    # a table of its own, so that the join may split a hot group
+    groups = written(named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")))
     out = named.join(groups, ["level", "name"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.back")).alias("kept"), "text_sha256")
 

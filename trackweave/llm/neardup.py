@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.components import components
+from trackweave.llm.components import components, linked
 from trackweave.llm.tables import written
 from trackweave.llm.text import LOWER, blocks, distinct, list_array, minima, mix, permutations, shingles, word_hashes, words
 
@@ -124,10 +124,7 @@ def near_duplicates(
     first = named.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     first = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
 
-    # members of buckets that hold more than one class, with the bucket's smallest
     keyed = first.select(F.explode("bands").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    bucket = written(keyed.join(shared, "key"))
     light = first.select("node", "n", "sketch")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -142,20 +139,7 @@ def near_duplicates(
         inter = F.size(F.array_intersect("va", "vb"))
         return both.filter(100 * inter >= percent * (F.size("va") + F.size("vb") - inter)).select("a", "b").distinct()
 
-    links = written(confirmed(bucket.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
-    part = written(components(links))
-
-    # buckets over several components: members outside the leader's component against the rest
-    spread = bucket.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    spread = spread.join(mixed, "key")
-    home = spread.filter("node = leader").select("key", F.col("component").alias("home"))
-    outside = spread.join(home, "key").filter("component <> home").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = spread.filter("node <> leader").select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    open_pairs = outside.join(rest, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = confirmed(open_pairs)
-
-    part = components(member.union(links).union(more))
+    part = components(member.union(linked(keyed, confirmed)))
     out = sig.select("doc_id", "n_shingles").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", "kept")

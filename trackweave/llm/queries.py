@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import contexts, exactdup, language, mixing, neardup, packing, sharding, toxicity
+from trackweave.llm import contexts, exactdup, fingerprints, language, mixing, neardup, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.held_out(F.col("doc_id"), 7, 2)
     out = contexts.score(_documents(spark, sf_dir), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
+
+
+@_query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_documents(spark, sf_dir))
