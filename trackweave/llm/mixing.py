@@ -81,27 +81,49 @@ def rake(cells: DataFrame, wanted: dict[str, float | dict[str, float]], *, round
     return cells
 
 
-def mix(
-    docs: DataFrame, wanted: dict[str, float | dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
-    topic: Column | None = None, rounds: int = 50, seed: str = "mix",
-) -> DataFrame:
-    """id, source, lang, topic, tokens, probability, draw and kept for each row."""
+def _cells(docs: DataFrame, id_col: str, text_col: str, topic: Column | None) -> DataFrame:
     text = F.col(text_col).cast("string")
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         (topic if topic is not None else topic_of(text)).alias("topic"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
     )
-    rows = written(rows)
+
+
+def probabilities(rows: DataFrame, wanted: dict[str, float | dict[str, float]], *, rounds: int = 50) -> DataFrame:
+    """(_source, _lang, _topic, probability) of each cell of the rows."""
     cells = rake(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), wanted, rounds=rounds)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     rates = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMS], rate.alias("_rate"))
     top = rates.agg(F.max("_rate").alias("_top"))
-    rates = rates.join(F.broadcast(top)).withColumn("probability", F.coalesce(F.col("_rate") / F.col("_top"), F.lit(1.0))).drop("_rate", "_top")
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMS]
-    out = rows.join(rates, same[0] & same[1] & same[2]).withColumn("draw", draw(F.col("doc_id"), seed))
+    return rates.join(F.broadcast(top)).withColumn("probability", F.coalesce(F.col("_rate") / F.col("_top"), F.lit(1.0))).drop("_rate", "_top")
+
+
+def _same(source: Column, lang: Column, topic: Column) -> Column:
+    return source.eqNullSafe(F.col("_source")) & lang.eqNullSafe(F.col("_lang")) & topic.eqNullSafe(F.col("_topic"))
+
+
+def mix(
+    docs: DataFrame, wanted: dict[str, float | dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
+    topic: Column | None = None, rounds: int = 50, seed: str = "mix",
+) -> DataFrame:
+    """id, source, lang, topic, tokens, probability, draw and kept for each row."""
+    rows = written(_cells(docs, id_col, text_col, topic))
+    rates = probabilities(rows, wanted, rounds=rounds)
+    out = rows.join(rates, _same(F.col("source"), F.col("lang"), F.col("topic"))).withColumn("draw", draw(F.col("doc_id"), seed))
     return out.select("doc_id", *DIMS, "tokens", "probability", "draw", (F.col("draw") < F.col("probability")).alias("kept"))
 
 
+def sampled(
+    docs: DataFrame, wanted: dict[str, float | dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
+    topic: Column | None = None, rounds: int = 50, seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with their own columns."""
+    rates = written(probabilities(_cells(docs, id_col, text_col, topic), wanted, rounds=rounds))
+    kind = topic if topic is not None else topic_of(F.col(text_col).cast("string"))
+    near = docs.join(rates, _same(F.col("source").cast("string"), F.col("lang").cast("string"), kind))
+    return near.filter(draw(F.col(id_col), seed) < F.col("probability")).select(*[docs[c] for c in docs.columns])
+
+
 #: shares of sources, languages and topics go as this power of their tokens
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 

@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from trackweave.llm.text import IS_SPACE, LOWER, blocks
+from trackweave.llm.text import IS_SPACE, LOWER, blocks, list_array
 
 #: classes of bytes: 0 white space, 1 letter (or part of one), 2 digit, 3 other; digits stand alone
 _KIND = np.full(256, 3, np.uint8)
@@ -220,8 +221,14 @@ def pack(
         waiting: list[tuple] = []
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+            arrays = []
+            for values, field in zip(zip(*found), schema):
+                if field.name == "ids":
+                    at = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+                    arrays.append(list_array(np.concatenate(values).view(np.int32), at, pa.int32()).cast(field.type))
+                else:
+                    arrays.append(pa.array(values, type=field.type))
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         def close() -> list[tuple]:
             nonlocal number
@@ -245,7 +252,7 @@ def pack(
                     size = length if n - lo >= length else min(piece, n - lo)
                     row = (key, lo, size, zlib.crc32(raw[4 * (a + lo) : 4 * (a + lo + size)]), n)
                     if ids:
-                        row = (*row, flat[a + lo : a + lo + size].tolist())
+                        row = (*row, flat[a + lo : a + lo + size])
                     if size == length:
                         ready.append((*row, number, 0))
                         number += 1
@@ -264,8 +271,6 @@ def pack(
         T.StructField("doc_tokens", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []),
         T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
     ])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = to_arrow_schema(out)
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, out)
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import contexts, exactdup, fingerprints, language, mixing, neardup, packing, sharding, toxicity
+from trackweave.llm import contexts, exactdup, fingerprints, language, licenses, mixing, neardup, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_documents(spark, sf_dir))
+
+
+@_query("op5_license_scan", licenses.scan_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir), licenses.TEMPLATES).withColumn("containment", F.round("containment", 6))
