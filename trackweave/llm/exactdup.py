@@ -33,17 +33,23 @@ def block_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last = F.greatest(F.ceil(F.octet_length("raw") / F.lit(block_bytes)).cast("int") - 1, F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("raw", i * block_bytes + 1, F.lit(block_bytes)))
     texts = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
-    rows = written(texts.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("raw", 256).alias("text_sha256"),
-        F.transform(cut, lambda b: F.xxhash64(b)).alias("hashes"),
-    ))
+    tagged = texts.withColumn("row", F.monotonically_increasing_id())
+
+    def described(of: DataFrame) -> DataFrame:
+        return written(of.select("doc_id", "row", F.sha2("raw", 256).alias("text_sha256"), F.transform(cut, lambda b: F.xxhash64(b)).alias("hashes")))
+
+    rows = described(tagged)
     blocks = texts.select(F.explode(cut).alias("block"))
     number = _numbered(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block", keep=(F.xxhash64("block").alias("h"),))
     shared = number.groupBy("h").count().filter("count > 1").select("h")
+    clash = not shared.isEmpty()
+    if clash:  # contents decide: rows and blocks are read from one table, so that they share row numbers
+        tagged = written(tagged)
+        rows = described(tagged)
     at = rows.select("row", F.posexplode("hashes").alias("pos", "h"))
     now = at.join(number.join(shared, "h", "left_anti"), "h").select("row", "pos", "name")
-    if not shared.isEmpty():
-        apart = texts.select(F.monotonically_increasing_id().alias("row"), F.posexplode(cut).alias("pos", "block")).withColumn("h", F.xxhash64("block")).join(shared, "h", "left_semi")
+    if clash:
+        apart = tagged.select("row", F.posexplode(cut).alias("pos", "block")).withColumn("h", F.xxhash64("block")).join(shared, "h", "left_semi")
         named = _numbered(apart.select("block").distinct(), "block").withColumn("name", -1 - F.col("name"))
         now = now.unionByName(apart.join(named, "block").select("row", "pos", "name"))
     count = rows.select("row", F.size("hashes").alias("n"))

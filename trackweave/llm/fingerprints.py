@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.components import components, linked
+from trackweave.llm.components import buckets, linked
 from trackweave.llm.tables import written
 from trackweave.llm.text import LOWER, blocks, bytes_of, list_array, minima, mix, permutations, shingles, word_hashes, words
 
@@ -76,7 +76,10 @@ def _alike(x: str, y: str) -> Column:
 
 
 def near_classes(found: DataFrame, *, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id for each row of ``fingerprints``: the smallest id reachable over band-mates of that likeness."""
+    """doc_id, class_id for each row of ``fingerprints``: the smallest id reachable over band-mates of that likeness.
+
+    Rows with one id and different texts keep the class of each text; a null id has none.
+    """
     found = written(found)
     named = found.filter(F.col("doc_id").isNotNull())
     first = named.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
@@ -87,10 +90,9 @@ def near_classes(found: DataFrame, *, least: float = 0.8) -> DataFrame:
         x, y = look.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), look.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
         return pairs.distinct().join(x, "a").join(y, "b").filter(_alike("fa", "fb") >= least).select("a", "b")
 
-    links = linked(first.select(F.explode("bands").alias("key"), "node"), verified)
-    same = named.select("doc_id", "fingerprint").join(look, "fingerprint").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    part = components(links.union(same)).withColumnRenamed("node", "doc_id")
-    return found.select("doc_id").join(part, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    part = linked(buckets(first.select(F.explode("bands").alias("key"), "node")), verified).withColumnRenamed("component", "class_id")
+    out = found.join(look, "fingerprint", "left").join(part, "node", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
 
 
 def _edited(text: str, following: str) -> str:

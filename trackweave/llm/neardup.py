@@ -7,9 +7,11 @@ candidates; the population count of the XOR of their bitmaps drops those whose s
 is surely below the threshold; what is left is confirmed on full shingle sets.
 
 No pairs within a group are written out. Equal sets are one class from the start. Within a
-band's bucket every class is compared with the bucket's smallest only; after components are
-known, buckets that still span several components compare the members outside the
-smallest's component with the rest. Pairs inside one component need no comparison, so the
+band's bucket every class is compared with the bucket's smallest, and in a crowded bucket with
+the smallest of one of its divisions, which differ from band to band; after components
+are known, buckets that still span several components compare the members outside the
+smallest's component with the rest, as far as their sets overlap with others at all: a text
+with many shingles of its own is like no other. Pairs inside one component need no comparison, so the
 components are those of all candidate pairs.
 
 A pair of similarity s shares no band with probability (1 - s^rows)^bands: 5e-6 for 0.8
@@ -26,14 +28,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.components import components, linked
+from trackweave.llm.components import PARITY_LONGS, bits_apart, buckets, linked
 from trackweave.llm.tables import written
 from trackweave.llm.text import LOWER, blocks, distinct, list_array, minima, mix, permutations, shingles, word_hashes, words
 
@@ -96,20 +97,21 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, bands: in
 
 
 def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles) of each row that has any."""
+    """(node, shingles, parity) of each row that has any; parity holds for each of its bits whether an odd number of shingles fall on it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, text_col):
             values, at = shingle_sets(data, offs, k)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), list_array(values.view(np.int64), at, pa.int64())], names=["node", "shingles"])
+            n, bits = batch.num_rows, 64 * PARITY_LONGS
+            spot = np.repeat(np.arange(n) * bits, np.diff(at)) + (mix(values) % U(bits)).astype(np.int64)
+            odd = (np.bincount(spot, minlength=n * bits) % 2).astype(np.uint8).reshape(n, bits)
+            parity = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([
+                batch.column(id_col), list_array(values.view(np.int64), at, pa.int64()), list_array(parity.ravel(), np.arange(n + 1) * PARITY_LONGS, pa.int64()),
+            ], names=["node", "shingles", "parity"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"node {kind}, shingles array<long>").filter(F.size("shingles") > 0)
-
-
-def _apart(x: str, y: str) -> Column:
-    """Bits in which the sketches x and y differ."""
-    return reduce(Column.__add__, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)])
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"node {kind}, shingles array<long>, parity array<long>").filter(F.size("shingles") > 0)
 
 
 def near_duplicates(
@@ -119,27 +121,46 @@ def near_duplicates(
     limit = sketch_limit(percent / 100, bands * rows)
     sig = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows))
     named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    member = named.select("digest", "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    first = named.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    first = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
-
-    keyed = first.select(F.explode("bands").alias("key"), "node")
+    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
+    first = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), one).select("digest", "node", "one.*"))
+    # rows that share an id
+    again = written(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"))
+    repeats = not again.isEmpty()
+    extra = None
+    if repeats:
+        several = named.join(again, "doc_id").join(first.select("digest", "node"), "digest")
+        extra = several.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     light = first.select("node", "n", "sketch")
+    bucket = written(buckets(first.select(F.explode("bands").alias("key"), "node")))
+    # the full sets of classes that share a bucket. A text is as large as its set: the joins of both
+    # are always merged, so that what they move is in proportion to the input at any size
+    need = bucket.select(F.col("node").alias(id_col)).distinct()
+    sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k)
+    sets = written(sets.dropDuplicates(["node", "shingles"]) if repeats else sets)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those alike by sketch and then by full sets."""
         x = light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         y = light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        likely = written(pairs.distinct().join(x, "a").join(y, "b").filter(sizes & (_apart("sa", "sb") <= limit)).select("a", "b", "na", "nb"))
-        need = likely.select(F.col("a").alias(id_col)).union(likely.select(F.col("b").alias(id_col))).distinct()
-        sets = full_sets(docs.join(need, id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k).dropDuplicates(["node", "shingles"])
-        both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("va")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("vb")), "b")
+        likely = written(pairs.distinct().join(x, "a").join(y, "b").filter(sizes & (bits_apart("sa", "sb", SKETCH_BITS // 64) <= limit)).select("a", "b"))
+        if likely.isEmpty():
+            return likely
+        va, vb = sets.select(F.col("node").alias("a"), F.col("shingles").alias("va")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("vb"))
+        both = likely.hint("merge").join(va, "a").hint("merge").join(vb, "b")
         inter = F.size(F.array_intersect("va", "vb"))
-        return both.filter(100 * inter >= percent * (F.size("va") + F.size("vb") - inter)).select("a", "b").distinct()
-
-    part = components(member.union(linked(keyed, confirmed)))
-    out = sig.select("doc_id", "n_shingles").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return both.filter(100 * inter >= percent * (F.size("va") + F.size("vb") - inter)).select("a", "b")
+
+    def support(nodes: DataFrame) -> DataFrame:
+        """(node, n, c, parity): the size of a node's set, how much of it occurs in other nodes' sets at all, its bitmap."""
+        own = sets.join(nodes, "node", "left_semi")
+        alone = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        n = F.size("shingles")
+        return own.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("c"), "parity")
+
+    part = linked(bucket, confirmed, extra, bound=None if repeats else support, percent=percent)
+    ids = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    out = sig.select("doc_id", "n_shingles", "digest").join(first.select("digest", "node"), "digest", "left").join(part, "node", "left")
+    out = out.withColumn("component_id", F.coalesce(ids, F.when(F.col("doc_id").isNotNull(), F.least("node", "doc_id")))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
