@@ -227,28 +227,38 @@ def fit_page_policy(
 
 
 def alpha_curve(
-    rows: DataFrame, track: Track, *, p_value: str, alphas: Sequence[float], persistence_s: float, max_gap_s: float, merge_gap_s: float, evaluable: Column,
+    rows: DataFrame, track: Track, *, p_values: Sequence[str], alphas: Sequence[float], persistence_s: float, max_gap_s: float, merge_gap_s: float, evaluable: Column,
 ) -> DataFrame:
-    """Episodes per scoreable hour of the persistence rule at every alpha.
+    """Episodes per scoreable hour of the persistence rule at every total alpha.
 
+    Each channel (a p-value column; a null cell is no row of that channel) gathers evidence at
+    alpha divided by the number of channels; a row alarms if any channel does.
     Evidence only grows with alpha, so stretches that stay below ``persistence_s`` at the
     largest alpha never alarm: only the others are spread over the alphas.
     """
-    t, p, top = F.col(track.order[0]), F.col(p_value), float(max(alphas))
+    if not p_values:
+        raise ValueError("no channel of p-values")
+    t, share = F.col(track.order[0]), len(p_values)
+    top = float(max(alphas)) / share
     seconds = row_exposure(rows, track, evaluable=evaluable, max_gap_s=max_gap_s).agg(F.sum("exposure_s")).scalar()
-    base = settle(rows.select(*track.keys, *track.order, p_value), track)
-    base = sweep(base, track, {"_pt": Lag(t)}).withColumn("_dt", t - F.col("_pt"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_channel"), F.col(c).alias("_p")) for i, c in enumerate(p_values)])
+    long = rows.select(*track.keys, *track.order, F.inline(F.filter(cells, lambda x: x["_p"].isNotNull())))
+    own = track.by(*track.keys, "_channel")
+    p = F.col("_p")
+    base = settle(long, own)
+    base = sweep(base, own, {"_pt": Lag(t)}).withColumn("_dt", t - F.col("_pt"))
     base = base.withColumn("_cut", F.col("_dt").isNull() | (F.col("_dt") <= 0) | (F.col("_dt") > max_gap_s))
     mark = F.col("_cut") | (p > top)
-    base = sweep(base, track, {"_run": Running(mark.cast("long"))})
-    stretch = [*track.keys, "_run"]
+    base = sweep(base, own, {"_run": Running(mark.cast("long"))})
+    stretch = [*own.keys, "_run"]
     full = base.groupBy(*stretch).agg(F.sum(F.when(mark, 0.0).otherwise(F.col("_dt"))).alias("_e")).filter(F.col("_e") >= persistence_s)
     live = close(base).join(full.select(*stretch), stretch, "left_semi")
     spread = live.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    off = F.col("_cut") | (p > F.col("alpha") / share)
+    scored = since(spread, track.by(*own.keys, "alpha"), {"_ev": (off, F.when(off, 0.0).otherwise(F.col("_dt")))})
     line = track.by(*track.keys, "alpha")
-    off = F.col("_cut") | (p > F.col("alpha"))
-    scored = since(spread, line, {"_ev": (off, F.when(off, 0.0).otherwise(F.col("_dt")))})
-    eps = alarm_episodes(scored, line, alarm=F.col("_ev") >= persistence_s, merge_gap_s=merge_gap_s).groupBy("alpha").agg(F.count(F.lit(1)).alias("_n"))
+    any_of = close(scored).filter(F.col("_ev") >= persistence_s).select(*line.keys, *track.order).distinct()
+    eps = alarm_episodes(any_of, line, alarm=F.lit(True), merge_gap_s=merge_gap_s).groupBy("alpha").agg(F.count(F.lit(1)).alias("_n"))
     grid = rows.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
     out = grid.join(eps, "alpha", "left").withColumn("_s", seconds)
     return out.select("alpha", F.try_divide(F.coalesce("_n", F.lit(0)).cast("double"), F.col("_s") / 3600).alias("episodes_per_hour"))
@@ -271,8 +281,13 @@ def pareto_points(curve: DataFrame, *, grid: Sequence[float], share: float, rate
     return one.select(F.inline(rows))
 
 
-def method_gate(metrics: DataFrame, gate: Mapping[str, float], *, order: Sequence[str], model: str, model_margin: float = 0.10) -> DataFrame:
-    """First method in order that passes every gate; ``model`` must also beat the others' recall by the margin.
+def method_gate(
+    metrics: DataFrame, gate: Mapping[str, float], *, order: Sequence[str], baseline: str, model: str, model_margin: float = 0.10, by: Sequence[str] = (),
+) -> DataFrame:
+    """First method in ``order`` that passes every gate, per ``by``.
+
+    ``model`` must also reach the recall of ``baseline`` plus the margin, whether or not the
+    baseline passes itself; without a baseline recall it is not selected.
 
     ``metrics`` has one row per method: coverage, event_coverage, recall, recall_low, min_mode_recall, rate.
     """
@@ -282,17 +297,18 @@ def method_gate(metrics: DataFrame, gate: Mapping[str, float], *, order: Sequenc
                      ("recall_low", "wilson_lower_min"), ("min_mode_recall", "per_mode_recall_min")):
         ok = ok & (c(col) >= gate[key])
     ok = F.coalesce(ok & (c("rate") <= gate["max_rate"]), F.lit(False))
-    best_other = metrics.filter(c("method") != model).agg(F.max(F.when(ok, c("recall"))).alias("r")).scalar()
-    rows = metrics.withColumns({"_other": best_other, "passes": ok})
     rank = F.lit(None).cast("int")
     for i, m in reversed(list(enumerate(order))):
         rank = F.when(c("method") == m, i).otherwise(rank)
-    wins = c("passes") & ((c("method") != model) | c("_other").isNull() | (c("recall") >= c("_other") + model_margin))
-    rows = rows.withColumns({"_rank": rank, "_wins": wins})
-    front = F.when(c("_wins") & (c("method") == model) & c("_other").isNotNull(), -1).otherwise(c("_rank"))
-    return rows.withColumn("_front", front).agg(
-        F.min_by(F.when(c("_wins"), c("method")), F.when(c("_wins"), c("_front"))).alias("selected"), F.count_if("passes").alias("n_passing")
+    passing = F.when(ok & (c("method") != model), F.struct(rank.alias("rank"), c("method"))).alias("_plain")
+    rows = metrics.select(*by, c("method"), ok.alias("_ok"), F.when(c("method") == baseline, c("recall")).alias("_base"), F.when((c("method") == model) & ok, c("recall")).alias("_model"), rank.alias("_rank"), passing)
+    one = rows.groupBy(*by).agg(
+        F.min(F.when(c("_plain.rank").isNotNull(), c("_plain"))).alias("_plain"), F.max("_base").alias("_base"), F.max("_model").alias("_model"),
+        F.max(F.when(c("method") == model, c("_rank"))).alias("_at"), F.count_if("_ok").alias("n_passing"),
     )
+    wins = F.coalesce(c("_model") >= c("_base") + model_margin, F.lit(False))
+    best = F.when(wins & (c("_plain").isNull() | (c("_at") < c("_plain.rank"))), F.lit(model)).otherwise(c("_plain.method"))
+    return one.select(*by, best.alias("selected"), "n_passing")
 
 
 def class_gate(channels: DataFrame, *, cls: str = "fault_class", status: str = "status") -> DataFrame:

@@ -58,7 +58,7 @@ def knn_threshold(
     return out.withColumn("keep", F.col(value) >= F.col("threshold"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id reachable from each node; ``nodes(id)``, ``edges(a, b)`` in both directions.
 
     Each round takes the smallest neighbour label and then the label of that label, so
@@ -66,7 +66,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
     """
     edges = durable(edges)
     labels = durable(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    while True:  # a label only falls, so this ends
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("best"))
         step = labels.join(near, labels.id == near.a, "left").select(
             "id", F.col("label").alias("old"), F.least("label", F.coalesce("best", "label")).alias("label")
@@ -76,7 +76,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         labels = jumped.select("id", "label")
         if jumped.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def dbscan(cells: DataFrame, *, key: str, eps_km: float, min_samples: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,19 +183,46 @@ def magnitude_domination(df: DataFrame, *, trained: str, untrained: str, magnitu
     return out.withColumn("flagged", hit)
 
 
-def ks_gate(df: DataFrame, *, value: str, is_post: Column, groups: Sequence[str], p_threshold: float, terms: int = 40) -> DataFrame:
-    """Two-sample KS statistic of pre and post pools per group with its asymptotic p-value; a missing pool is not evaluable."""
+def _ks_exact(n: int, m: int, ks: float) -> float:
+    """Share of the orders of n and m distinct values whose distance reaches ``ks``.
+
+    Moves along the diagonals of the grid of counts seen so far: the share that has reached
+    the distance by (i, j) is the mean of its predecessors weighted by i and j, or one.
+    """
+    reached, i = np.zeros(n + 1), np.arange(n + 1)
+    for step in range(1, n + m + 1):
+        j = step - i
+        before = np.concatenate(([0.0], reached[:-1]))
+        reached = np.where((j >= 0) & (j <= m), (i * before + j * reached) / step, 0.0)
+        reached[(j >= 0) & (j <= m) & (np.abs(i / n - j / m) >= ks - 1e-9)] = 1.0
+    return float(reached[n])
+
+
+def ks_gate(
+    df: DataFrame, *, value: str, is_post: Column, groups: Sequence[str], p_threshold: float, terms: int = 100, exact_limit: int = 10_000,
+) -> DataFrame:
+    """Two-sample KS statistic of pre and post pools per group with its p-value; a missing pool is not evaluable.
+
+    The p-value is exact while both pools hold at most ``exact_limit`` rows, asymptotic beyond.
+    """
     steps = ladder(df, groups, value, {"post": F.when(is_post, 1).otherwise(0).cast("long"), "pre": F.when(is_post, 0).otherwise(1).cast("long")})
     gap = F.abs(F.try_divide(F.col("cum_post"), F.col("tot_post")) - F.try_divide(F.col("cum_pre"), F.col("tot_pre")))
     out = steps.groupBy(*groups).agg(F.max("tot_pre").alias("n_pre"), F.max("tot_post").alias("n_post"), F.max(gap).alias("ks"))
+    # one row per group is left: the exact count depends on two sizes and the statistic alone
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, m: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([_ks_exact(int(a), int(b), d) if 0 < max(a, b) <= exact_limit and d == d else np.nan for a, b, d in zip(n, m, ks)])
+
     lam = F.sqrt(F.col("n_pre") * F.col("n_post") / (F.col("n_pre") + F.col("n_post"))) * F.col("ks")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("_lam") * F.col("_lam")),
     )
-    p = F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
-    out = out.withColumn("_lam", lam)
-    out = out.withColumn("p_value", F.when(F.col("ks").isNotNull(), p)).drop("_lam")
+    limit = F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    small = F.greatest("n_pre", "n_post") <= exact_limit
+    out = out.withColumns({"_lam": lam, "_exact": F.when(F.col("ks").isNotNull(), exact("n_pre", "n_post", "ks"))})
+    p = F.when(F.col("ks").isNotNull(), F.when(small, F.col("_exact")).otherwise(limit))
+    out = out.withColumn("p_value", p).drop("_lam", "_exact")
     status = F.when(F.col("ks").isNull(), "not_evaluable").when(F.col("p_value") < p_threshold, "passed").otherwise("failed")
     return out.withColumn("status", status)
 

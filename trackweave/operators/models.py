@@ -119,13 +119,36 @@ def coefficient_signs(fit: RidgeFit, positive: Sequence[str]) -> dict[str, bool]
     return {f: found.get(f, 0.0) > 0 for f in positive}
 
 
-def ablation_ratio(df: DataFrame, *, features: Sequence[str], commands: Sequence[str], response: str, group: str, alpha: float, minimum: float) -> dict[str, float | bool]:
-    """Residual variance without the command features over the full one; flagged below ``minimum``."""
+def ablation_ratio(
+    df: DataFrame, *, features: Sequence[str], commands: Sequence[str], response: str, group: str, alpha: float, minimum: float, eligible: Column | None = None,
+) -> DataFrame:
+    """full_variance, reduced_variance, ratio, flagged: what leaving out the features of all commands does to the residuals.
+
+    A feature belongs to a command by name or as ``command__...``. Every declared command must
+    have one, otherwise nothing would be ablated and the gate would pass unseen.
+    Both models are fitted on the same rows: those with every feature present.
+    """
+    if not commands:
+        raise ValueError("no command to leave out")
+    if alpha <= 0 or minimum <= 1:
+        raise ValueError("alpha must be positive and the least ratio above one")
+    belongs = {c: [f for f in features if f == c or f.startswith(f"{c}__")] for c in commands}
+    if absent := [c for c, found in belongs.items() if not found]:
+        raise ValueError(f"no feature of the commands {absent}")
+    removed = {f for found in belongs.values() for f in found}
+    whole = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    for f in (*features, response):
+        whole = whole & sc.finite(F.col(f)).isNotNull()
+    rows = df.filter(whole)
     kw = dict(response=response, group=group, alphas=[alpha])
-    full = fit_ridge(df, features=features, **kw)
-    rest = fit_ridge(df, features=[f for f in features if f not in commands], **kw)
-    ratio = rest.residual_variance / full.residual_variance
-    return {"ratio": ratio, "flagged": ratio < minimum}
+    full = fit_ridge(rows, features=features, **kw)
+    kept = [f for f in features if f not in removed]
+    less = fit_ridge(rows, features=kept, **kw).prediction() if kept else None
+    y = F.col(response).cast("double")
+    out = rows.agg(F.var_pop(y - full.prediction()).alias("full_variance"), F.var_pop(y - less if kept else y).alias("reduced_variance"))
+    f, r = F.col("full_variance"), F.col("reduced_variance")
+    ratio = F.when(f != 0, r / f).when(r > 0, F.lit(float("inf"))).when(r == 0, F.lit(1.0))
+    return out.withColumn("ratio", ratio).withColumn("flagged", F.col("ratio") < minimum)
 
 
 def build_matrix(
@@ -170,10 +193,10 @@ def linear_surprise(
     for target in targets:
         model = fit_ridge(df.filter(fit_rows), features=features, response=target, group=group, alphas=alphas)
         res = residual_table(df.withColumn("_fit", fit_rows), model, response=target, keep=[*keep, "_fit"], channel=target)
-        try:
-            centre, scale = parameters(median_mad(res.filter("_fit"), ["r"]))["r"]
-        except (ValueError, KeyError):
+        spread = median_mad(res.filter("_fit"), ["r"])
+        if spread.filter("usable").isEmpty():
             continue
+        centre, scale = parameters(spread)["r"]
         one = res.select(*keep, "channel", (F.abs(F.col("r")) / scale).alias("surprise"))
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:

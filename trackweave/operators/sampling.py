@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +97,15 @@ def partition_counts(sessions: int, forced: int) -> dict[str, int]:
 
 
 def session_split(
-    flights: DataFrame, *, session: str, fault_class: str, seed: str, rare_max: int = 7, attempts: int = 2000,
+    flights: DataFrame, *, session: str, fault_class: str, seed: str, rare_max: int = 7, attempts: int = 20_000,
     plain: Sequence[str] = ("normal", "unknown"),
 ) -> DataFrame:
     """Whole sessions to development / test / holdout, 70/15/15.
 
     Sessions with a rare class (at most ``rare_max`` flights) stay in development. Attempts
     are hashed orders of the other sessions; the first one that shows every frequent class
-    in all three partitions is taken, and none raises. Work grows with sessions x attempts.
+    in all three partitions is taken, and none raises. Attempts are tried in growing lots
+    up to the one that fits, so work grows with the attempts needed.
     """
     from trackweave.plans.durable import durable
 
@@ -116,45 +119,67 @@ def session_split(
         raise ValueError("a session split needs at least three sessions")
     size = partition_counts(n, forced)
     free_dev = size["development"] - forced
-    tries = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
-    hashed = F.sha2(F.concat_ws("\0", F.lit(seed), F.col("attempt").cast("string"), F.col(session).cast("string")), 256)
-    free = everyone.join(rare, session, "left_anti").withColumn("attempt", tries)
-    at = F.row_number().over(Window.partitionBy("attempt").orderBy(hashed, session))
-    placed = free.withColumn("_at", at).withColumn(
-        "partition",
-        F.when(F.col("_at") <= free_dev, "development").when(F.col("_at") <= free_dev + size["test"], "test").otherwise("holdout"),
-    ).drop("_at")
-    every = placed.unionByName(rare.withColumn("attempt", tries).withColumn("partition", F.lit("development")))
-    shown = every.join(mix.join(headline.select(fault_class), fault_class, "left_semi"), session)
-    good = shown.select("attempt", fault_class, "partition").distinct().groupBy("attempt").agg(F.count(F.lit(1)).alias("_k"))
-    wanted = 3 * headline.count()
-    first = good.filter(F.col("_k") == wanted).agg(F.min("attempt")).first()[0] if wanted else 0
-    if first is None:
-        raise ValueError("no session split shows every frequent class in every partition")
-    return every.filter(F.col("attempt") == first).drop("attempt")
-
-
-def balanced_roles(catalog: DataFrame, *, flight: str, mode: str, fault: str, is_fault: Column, quarantined: Column) -> DataFrame:
+    loose = durable(everyone.join(rare, session, "left_anti"))
+    held = headline.count()
+    shows = durable(mix.join(headline.select(fault_class), fault_class, "left_semi").select(session, fault_class))
+
+    def placed(lo: int, hi: int) -> DataFrame:
+        """Partitions of all sessions under the attempts lo to hi - 1."""
+        tries = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
+        hashed = F.sha2(F.concat_ws("\0", F.lit(seed), F.col("attempt").cast("string"), F.col(session).cast("string")), 256)
+        at = F.row_number().over(Window.partitionBy("attempt").orderBy(hashed, session))
+        dealt = loose.withColumn("attempt", tries).withColumn("_at", at).withColumn(
+            "partition",
+            F.when(F.col("_at") <= free_dev, "development").when(F.col("_at") <= free_dev + size["test"], "test").otherwise("holdout"),
+        ).drop("_at")
+        return dealt.unionByName(rare.withColumn("attempt", tries).withColumn("partition", F.lit("development")))
+
+    lo, hi = 0, min(16, attempts)
+    while lo < attempts:
+        good = placed(lo, hi).join(shows, session).select("attempt", fault_class, "partition").distinct().groupBy("attempt").agg(F.count(F.lit(1)).alias("_k"))
+        first = good.filter(F.col("_k") == 3 * held).agg(F.min("attempt")).first()[0] if held else 0
+        if first is not None:
+            return placed(first, first + 1).drop("attempt")
+        lo, hi = hi, min(4 * hi, attempts)
+    raise ValueError("no session split shows every frequent class in every partition")
+
+
+def balanced_roles(
+    catalog: DataFrame, *, flight: str, mode: str, fault: str, is_fault: Column, quarantined: Column, modes: Sequence[str], faults: Sequence[str],
+) -> DataFrame:
     """Roles by position inside (mode) for normal and (mode, fault) for faulty flights, in id order.
 
     Normal: 4 fit, 2 calibration, 1 rehearsal, 2 holdout, the rest development. Fault: 1
-    rehearsal, 1 holdout, the rest development. Quarantined flights take no position.
+    rehearsal, 1 holdout, the rest development. Quarantined flights take no position, flights
+    of other modes or faults get no role. Fewer than 10 normal flights in a mode, or 2 of
+    a fault in it, raise.
     """
-    rows = catalog.withColumns({"_f": is_fault, "_q": F.coalesce(quarantined, F.lit(False))})
-    group = F.when(F.col("_f"), F.concat_ws("|", F.col(mode), F.col(fault))).otherwise(F.col(mode).cast("string"))
-    order = Window.partitionBy("_q", "_f", group).orderBy(flight)
-    rows = rows.withColumn("_i", F.row_number().over(order))
+    rows = catalog.withColumns({"_f": F.coalesce(is_fault, F.lit(False)), "_q": F.coalesce(quarantined, F.lit(False))})
+    known = ~F.col("_q") & F.col(mode).isin(*modes) & (~F.col("_f") | F.col(fault).isin(*faults))
+    group = [mode, F.when(F.col("_f"), F.col(fault)).alias("_fault")]
+    sizes = {(r[0], r[1]): r["count"] for r in rows.filter(known).groupBy(*group).count().collect()}
+    if short := [m for m in modes if sizes.get((m, None), 0) < 10]:
+        raise ValueError(f"fewer than 10 normal flights in {short}")
+    if short := [(m, f) for m in modes for f in faults if sizes.get((m, f), 0) < 2]:
+        raise ValueError(f"fewer than 2 flights of {short}")
+    # only the first places are ranked; the ranks beyond them are cut in each task before the shuffle
+    order = Window.partitionBy(mode, "_f", F.when(F.col("_f"), F.col(fault))).orderBy(flight)
     i = F.col("_i")
-    role = (
-        F.when(F.col("_q"), "quarantine")
-        .when(F.col("_f"), F.when(i == 1, "rehearsal").when(i == 2, "holdout").otherwise("development"))
-        .when(i <= 4, "fit").when(i <= 6, "calibration").when(i == 7, "rehearsal").when(i <= 9, "holdout").otherwise("development")
+    front = rows.filter(known).select(mode, fault, flight, "_f").withColumn("_i", F.row_number().over(order)).filter(i <= 9)
+    place = (
+        F.when(F.col("_f"), F.when(i == 1, "rehearsal").when(i == 2, "holdout"))
+        .when(i <= 4, "fit").when(i <= 6, "calibration").when(i == 7, "rehearsal").otherwise("holdout")
     )
-    return rows.withColumn("role", role).drop("_f", "_q", "_i")
+    named = front.select(flight, place.alias("_place"))
+    role = F.when(F.col("_q"), "quarantine").when(known, F.coalesce("_place", F.lit("development")))
+    return rows.join(named, flight, "left").withColumn("role", role).drop("_f", "_q", "_place")
 
 
 def group_folds(df: DataFrame, *, group: str, max_folds: int = 5) -> DataFrame:
-    """Fold per group: groups by falling size dealt in snake order, so folds have near-equal rows."""
+    """Fold per group: groups by falling size (ties: later names first), each to the fold with the fewest rows so far.
+
+    One row per group passes through one ordered stream whose state is the fold sizes.
+    """
     if max_folds < 2:
         raise ValueError("need at least two folds")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
@@ -162,11 +187,19 @@ def group_folds(df: DataFrame, *, group: str, max_folds: int = 5) -> DataFrame:
     if n < 2:
         raise ValueError("need at least two groups")
     k = min(max_folds, n)
-    sized = sizes.withColumn("_o", F.concat_ws("|", F.lpad((F.lit(10**15) - F.col("rows")).cast("string"), 16, "0"), F.col(group).cast("string")))
-    ranked = sized.join(ladder(sized, [], "_o", {"n": F.lit(1).cast("long")}).select("_o", F.col("cum_n").alias("_r")), "_o")
-    r = F.col("_r") - 1
-    lap, seat = F.floor(r / k), r % k
-    return ranked.select(group, "rows", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = [(0, f) for f in range(k)]
+        for pdf in batches:
+            folds = []
+            for rows in pdf["rows"]:
+                least, f = load[0]
+                heapq.heapreplace(load, (least + int(rows), f))
+                folds.append(f)
+            yield pdf.assign(fold=folds)
+
+    schema = sizes.withColumn("fold", F.lit(0)).schema
+    return sizes.coalesce(1).sortWithinPartitions(F.desc("rows"), F.desc(group)).mapInPandas(deal, schema)
 
 
 def candidate_thresholds(df: DataFrame, *, score: str, cap: int = 4096) -> DataFrame:

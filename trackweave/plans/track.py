@@ -234,7 +234,10 @@ def time_frame(
     before: int,
     after: int = 0,
 ) -> DataFrame:
-    """Like ``row_frame`` with the reach measured in units of the (integer) first order column."""
+    """Like ``row_frame`` with the reach measured in units of the (integer) first order column.
+
+    Rows without a value on that axis lie in no frame: they stay, with null frames.
+    """
     axis = track.order[0]
     size = max(int(track.chunk), before, after, 1)
     sliced = lambda c: F.floor(c / F.lit(size)).cast("long")
@@ -245,7 +248,9 @@ def time_frame(
     )
     w = Window.partitionBy(*track.keys, BLOCK).orderBy(F.col(axis))
     out = spread.withColumns({k: f(w) for k, f in frames.items()})
-    return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
+    out = out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
+    unplaced = df.drop(CHUNK).filter(F.col(axis).isNull())
+    return out.unionByName(unplaced.withColumns({k: F.lit(None).cast(out.schema[k].dataType) for k in frames}))
 
 
 def fit_chunk(df: DataFrame, track: Track, *, rows_per_chunk: int = 2_000_000) -> Track:

@@ -110,20 +110,23 @@ def _(spark, d):
 
 
 def p_rows(spark, d):
-    return telemetry(spark, d).withColumn("p", (1.0 + F.col("row_pos") * 7919 % 997) / 998.0)
+    """Two channels; the second lacks every seventh cell."""
+    i = F.col("row_pos")
+    return telemetry(spark, d).withColumns({"p1": (1.0 + i * 7919 % 997) / 998.0, "p2": F.when(i % 7 != 0, (1.0 + i * 5003 % 991) / 992.0)})
 
 
-ALPHAS = [float(a) for a in np.geomspace(0.01, 0.9, 8)]
-PV = "(1.0 + row_pos * 7919 % 997) / 998.0"
-ALPHA = f"""al AS (SELECT unnest({ALPHAS})::DOUBLE AS alpha), d AS (SELECT *, {PV} AS p, t - lag(t) OVER (PARTITION BY source_id ORDER BY t, row_pos) AS dt FROM tel),
- x AS (SELECT *, dt IS NULL OR dt <= 0 OR dt > 86400 OR p > alpha AS mk FROM d, al), g AS (SELECT *, sum(CASE WHEN mk THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, alpha ORDER BY t, row_pos) AS k FROM x),
- e AS (SELECT *, sum(CASE WHEN mk THEN 0 ELSE dt END) OVER (PARTITION BY source_id, alpha, k ORDER BY t, row_pos) AS ev FROM g),
- o AS (SELECT alpha, t - lag(t) OVER (PARTITION BY source_id, alpha ORDER BY t, row_pos) AS gp FROM e WHERE ev >= 21600), c AS (SELECT alpha, count(*) FILTER (WHERE gp IS NULL OR gp > 86400) AS n FROM o GROUP BY alpha),
- hr AS (SELECT sum(CASE WHEN dt > 0 AND dt <= 86400 THEN dt ELSE 0 END) / 3600 AS hours FROM d), cv AS (SELECT alpha, coalesce(n, 0) / hours AS eph FROM al LEFT JOIN c USING (alpha), hr)"""
+ALPHAS = [float(a) for a in np.geomspace(0.02, 1.8, 8)]
+ALPHA = f"""al AS (SELECT unnest({ALPHAS})::DOUBLE AS alpha),
+ ch AS (SELECT source_id, t, row_pos, 1 AS c, (1.0 + row_pos * 7919 % 997) / 998.0 AS p FROM tel UNION ALL SELECT source_id, t, row_pos, 2, (1.0 + row_pos * 5003 % 991) / 992.0 FROM tel WHERE row_pos % 7 <> 0),
+ d AS (SELECT *, t - lag(t) OVER (PARTITION BY source_id, c ORDER BY t, row_pos) AS dt FROM ch),
+ x AS (SELECT *, dt IS NULL OR dt <= 0 OR dt > 86400 OR p > alpha / 2 AS mk FROM d, al), g AS (SELECT *, sum(CASE WHEN mk THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, c, alpha ORDER BY t, row_pos) AS k FROM x),
+ e AS (SELECT *, sum(CASE WHEN mk THEN 0 ELSE dt END) OVER (PARTITION BY source_id, c, alpha, k ORDER BY t, row_pos) AS ev FROM g), a AS (SELECT DISTINCT source_id, alpha, t, row_pos FROM e WHERE ev >= 21600),
+ o AS (SELECT alpha, t - lag(t) OVER (PARTITION BY source_id, alpha ORDER BY t, row_pos) AS gp FROM a), c AS (SELECT alpha, count(*) FILTER (WHERE gp IS NULL OR gp > 86400) AS n FROM o GROUP BY alpha),
+ td AS (SELECT t - lag(t) OVER (PARTITION BY source_id ORDER BY t, row_pos) AS dt FROM tel), hr AS (SELECT sum(CASE WHEN dt > 0 AND dt <= 86400 THEN dt ELSE 0 END) / 3600 AS hours FROM td), cv AS (SELECT alpha, coalesce(n, 0) / hours AS eph FROM al LEFT JOIN c USING (alpha), hr)"""
 
 
 def alpha_table(spark, d):
-    return cb.alpha_curve(p_rows(spark, d), TRACK, p_value="p", alphas=ALPHAS, persistence_s=21600.0, max_gap_s=86400.0, merge_gap_s=86400.0, evaluable=F.lit(True))
+    return cb.alpha_curve(p_rows(spark, d), TRACK, p_values=["p1", "p2"], alphas=ALPHAS, persistence_s=21600.0, max_gap_s=86400.0, merge_gap_s=86400.0, evaluable=F.lit(True))
 
 
 @query("k10_alpha_curve", f"WITH {ALPHA} SELECT round(alpha, 9) AS alpha, round(eph, 7) AS episodes_per_hour FROM cv")
@@ -136,15 +139,26 @@ def _(spark, d):
     return rounded(rounded(cb.select_alpha(alpha_table(spark, d), budget_per_hour=0.005), "episodes_per_hour", n=7), "alpha", n=9)
 
 
-@query("k16_method_gate", """WITH m AS (SELECT CASE WHEN source_type = 'view' THEN 'native' WHEN source_type = 'click' THEN 'cusum' ELSE 'model' END AS method, avg(CASE WHEN x > 20 THEN 1.0 ELSE 0 END) AS recall FROM tel GROUP BY 1),
- p AS (SELECT *, recall >= 0.5 AS ok FROM m) SELECT CASE WHEN (SELECT recall FROM p WHERE method = 'model' AND ok) >= (SELECT max(recall) FROM p WHERE ok AND method <> 'model') + 0.10 THEN 'model' WHEN (SELECT ok FROM p WHERE method = 'native') THEN 'native'
- WHEN (SELECT ok FROM p WHERE method = 'cusum') THEN 'cusum' END AS selected, (SELECT count(*) FROM p WHERE ok) AS n_passing""")
-def _(spark, d):
+def gate_metrics(spark, d, *by):
     method = F.when(F.col("source_type") == "view", "native").when(F.col("source_type") == "click", "cusum").otherwise("model")
-    m = telemetry(spark, d).groupBy(method.alias("method")).agg(F.avg((F.col("x") > 20).cast("double")).alias("recall"))
-    m = m.withColumns({"coverage": F.lit(0.9), "event_coverage": F.lit(0.9), "recall_low": F.col("recall") - 0.05, "min_mode_recall": F.col("recall"), "rate": F.lit(0.5)})
-    gate = {"coverage_min": 0.8, "event_coverage_min": 0.8, "recall_min": 0.5, "wilson_lower_min": 0.0, "per_mode_recall_min": 0.0, "max_rate": 1.0}
-    return cb.method_gate(m, gate, order=["native", "cusum", "model"], model="model")
+    m = telemetry(spark, d).groupBy(*by, method.alias("method")).agg(F.avg((F.col("x") > 20).cast("double")).alias("recall"))
+    return m.withColumns({"coverage": F.lit(0.9), "event_coverage": F.lit(0.9), "recall_low": F.col("recall") - 0.05, "min_mode_recall": F.col("recall"), "rate": F.lit(0.5)})
+
+
+GATE = {"coverage_min": 0.8, "event_coverage_min": 0.8, "recall_min": 0.5, "wilson_lower_min": 0.0, "per_mode_recall_min": 0.0, "max_rate": 1.0}
+METHOD = "CASE WHEN source_type = 'view' THEN 'native' WHEN source_type = 'click' THEN 'cusum' ELSE 'model' END"
+GATE_SQL = """SELECT {by}CASE WHEN max(recall) FILTER (WHERE method = 'native') >= 0.5 THEN 'native' WHEN max(recall) FILTER (WHERE method = 'cusum') >= 0.5 THEN 'cusum'
+ WHEN max(recall) FILTER (WHERE method = 'model') >= 0.5 AND max(recall) FILTER (WHERE method = 'model') >= max(recall) FILTER (WHERE method = 'cusum') + 0.10 THEN 'model' END AS selected, count(*) FILTER (WHERE recall >= 0.5) AS n_passing FROM m {group}"""
+
+
+@query("k16_method_gate", f"WITH m AS (SELECT {METHOD} AS method, avg(CASE WHEN x > 20 THEN 1.0 ELSE 0 END) AS recall FROM tel GROUP BY 1) {GATE_SQL.format(by='', group='')}")
+def _(spark, d):
+    return cb.method_gate(gate_metrics(spark, d), GATE, order=["native", "cusum", "model"], baseline="cusum", model="model")
+
+
+@query("k16_method_gate_by_entity", f"WITH m AS (SELECT source_id, {METHOD} AS method, avg(CASE WHEN x > 20 THEN 1.0 ELSE 0 END) AS recall FROM tel GROUP BY ALL) {GATE_SQL.format(by='source_id, ', group='GROUP BY source_id')}")
+def _(spark, d):
+    return cb.method_gate(gate_metrics(spark, d, "source_id"), GATE, order=["native", "cusum", "model"], baseline="cusum", model="model", by=["source_id"])
 
 
 # ---------------------------------------------------------------- models
@@ -164,12 +178,12 @@ def _(spark, d):
     return rounded(out, "y", "y_hat", "r", n=5)
 
 
-@query("d44_ablation_ratio", f"""WITH {RIDGE}, s AS (SELECT var_pop(y) AS v0 FROM r), f AS (SELECT avg(power(y - my - b * (f - mf), 2)) AS v1 FROM r, c) SELECT round(v0 / v1, 5) AS ratio, v0 / v1 < 1.02 AS flagged FROM s, f""")
+@query("d44_ablation_ratio", f"""WITH {RIDGE}, s AS (SELECT var_pop(y) AS v0 FROM r), f AS (SELECT avg(power(y - my - b * (f - mf), 2)) AS v1 FROM r, c)
+SELECT round(v1, 5) AS full_variance, round(v0, 5) AS reduced_variance, round(v0 / v1, 5) AS ratio, v0 / v1 < 1.02 AS flagged FROM s, f""")
 def _(spark, d):
     rows = ridge_rows(spark, d).withColumn("zero", F.lit(0.0))
     out = md.ablation_ratio(rows, features=["ground_speed_ms", "zero"], commands=["ground_speed_ms"], response="y", group="source_id", alpha=1000.0, minimum=1.02)
-    one = telemetry(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.round(F.lit(out["ratio"]), 5).alias("ratio"), F.lit(bool(out["flagged"])).alias("flagged"))
+    return rounded(out, "full_variance", "reduced_variance", "ratio", n=5)
 
 
 def matrix(spark, d):

@@ -333,12 +333,17 @@ def _(spark, d):
     return rounded(ev.magnitude_domination(rows, trained="x", untrained="u", magnitude="m"), "rho_untrained", "rho_magnitude", n=8)
 
 
-@query("d38_ks_gate", """WITH b AS (SELECT source_type, x AS v, row_pos % 3 = 0 AS post FROM tel), s AS (SELECT source_type, v, count(*) FILTER (WHERE post) AS p, count(*) FILTER (WHERE NOT post) AS n FROM b GROUP BY ALL),
- c AS (SELECT *, abs(sum(p) OVER w / sum(p) OVER g - sum(n) OVER w / sum(n) OVER g) AS dd, sum(p) OVER g AS tp, sum(n) OVER g AS tn FROM s WINDOW w AS (PARTITION BY source_type ORDER BY v), g AS (PARTITION BY source_type))
-SELECT source_type, CAST(any_value(tn) AS BIGINT) AS n_pre, CAST(any_value(tp) AS BIGINT) AS n_post, round(max(dd), 8) AS ks FROM c GROUP BY source_type""")
+@query("d38_ks_gate", """WITH RECURSIVE b AS (SELECT source_type, x AS v, row_pos % 3 = 0 AS post FROM tel), s AS (SELECT source_type, v, count(*) FILTER (WHERE post) AS p, count(*) FILTER (WHERE NOT post) AS n FROM b GROUP BY ALL),
+ c AS (SELECT *, abs(sum(p) OVER w / sum(p) OVER g - sum(n) OVER w / sum(n) OVER g) AS dd, sum(p) OVER g AS tp, sum(n) OVER g AS tn FROM s WINDOW w AS (PARTITION BY source_type ORDER BY v), g AS (PARTITION BY source_type)),
+ k AS (SELECT source_type, CAST(any_value(tn) AS BIGINT) AS n, CAST(any_value(tp) AS BIGINT) AS m, max(dd) AS ks FROM c GROUP BY source_type),
+ w(source_type, n, m, ks, i, o) AS (SELECT source_type, n, m, ks, 0::BIGINT, list_transform(range(n + 1), lambda a: 0.0::DOUBLE) FROM k WHERE ks > 0
+  UNION ALL SELECT source_type, n, m, ks, i + 1, list_transform(o, lambda v, a: CASE WHEN a - 1 > i + 1 OR i + 2 - a > m THEN 0.0 WHEN abs((a - 1) / n - (i + 2 - a) / m) >= ks - 1e-9 THEN 1.0
+    ELSE (CASE WHEN a > 1 THEN (a - 1) / (i + 1.0) * o[a - 1] ELSE 0 END) + (i + 2 - a) / (i + 1.0) * v END) FROM w WHERE i < n + m),
+ p AS (SELECT source_type, o[n + 1] AS p FROM w WHERE i = n + m)
+SELECT source_type, n AS n_pre, m AS n_post, round(ks, 8) AS ks, round(p, 7) AS p_value, CASE WHEN ks IS NULL THEN 'not_evaluable' WHEN p < 0.2 THEN 'passed' ELSE 'failed' END AS status FROM k LEFT JOIN p USING (source_type)""")
 def _(spark, d):
-    out = ev.ks_gate(telemetry(spark, d), value="x", is_post=F.col("row_pos") % 3 == 0, groups=["source_type"], p_threshold=0.01)
-    return rounded(out.select("source_type", "n_pre", "n_post", "ks"), "ks", n=8)
+    out = ev.ks_gate(telemetry(spark, d), value="x", is_post=F.col("row_pos") % 3 == 0, groups=["source_type"], p_threshold=0.2)
+    return rounded(rounded(out, "ks", n=8), "p_value", n=7)
 
 
 # ---------------------------------------------------------------- truth and reports
@@ -538,23 +543,27 @@ def _(spark, d):
     f = telemetry(spark, d).groupBy("source_id").agg(F.min("source_type").alias("fault_class"))
     f = f.withColumn("session", F.concat(F.lit("s"), (F.col("source_id").cast("long") % 12).cast("string")))
     f = f.withColumn("fault_class", F.when(F.col("source_id").cast("long") % 5 == 0, "motor").when(F.col("source_id").cast("long") % 5 == 1, "sensor").otherwise("normal"))
-    return sp.session_split(f, session="session", fault_class="fault_class", seed="1", attempts=200)
+    return sp.session_split(f, session="session", fault_class="fault_class", seed="1")
 
 
-@query("f10_balanced_roles", """WITH c AS (SELECT DISTINCT source_id, 'm' || CAST(source_id AS BIGINT) % 3 AS mode, CASE WHEN CAST(source_id AS BIGINT) % 4 = 0 THEN 'f' || CAST(source_id AS BIGINT) % 2 END AS fault, CAST(source_id AS BIGINT) % 29 = 0 AS q FROM tel),
- r AS (SELECT *, row_number() OVER (PARTITION BY q, fault IS NOT NULL, mode, fault ORDER BY source_id) AS i FROM c)
-SELECT source_id, CASE WHEN q THEN 'quarantine' WHEN fault IS NOT NULL THEN CASE i WHEN 1 THEN 'rehearsal' WHEN 2 THEN 'holdout' ELSE 'development' END WHEN i <= 4 THEN 'fit' WHEN i <= 6 THEN 'calibration' WHEN i = 7 THEN 'rehearsal' WHEN i <= 9 THEN 'holdout' ELSE 'development' END AS role FROM r""")
+@query("f10_balanced_roles", """WITH c AS (SELECT DISTINCT source_id, 'm' || CAST(source_id AS BIGINT) % 3 AS mode, CASE WHEN CAST(source_id AS BIGINT) % 4 = 0 THEN 'f' || CAST(source_id AS BIGINT) % 5 END AS fault, CAST(source_id AS BIGINT) % 29 = 0 AS q FROM tel),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q, mode, fault ORDER BY source_id) AS i FROM c)
+SELECT source_id, CASE WHEN q THEN 'quarantine' WHEN mode = 'm2' OR fault NOT IN ('f0', 'f1') THEN NULL WHEN fault IS NOT NULL THEN CASE i WHEN 1 THEN 'rehearsal' WHEN 2 THEN 'holdout' ELSE 'development' END
+ WHEN i <= 4 THEN 'fit' WHEN i <= 6 THEN 'calibration' WHEN i = 7 THEN 'rehearsal' WHEN i <= 9 THEN 'holdout' ELSE 'development' END AS role FROM r""")
 def _(spark, d):
     k = F.col("source_id").cast("long")
     c = telemetry(spark, d).select("source_id").distinct().withColumns({
-        "mode": F.concat(F.lit("m"), (k % 3).cast("string")), "fault": F.when(k % 4 == 0, F.concat(F.lit("f"), (k % 2).cast("string"))),
+        "mode": F.concat(F.lit("m"), (k % 3).cast("string")), "fault": F.when(k % 4 == 0, F.concat(F.lit("f"), (k % 5).cast("string"))),
     })
-    out = sp.balanced_roles(c, flight="source_id", mode="mode", fault="fault", is_fault=F.col("fault").isNotNull(), quarantined=k % 29 == 0)
+    out = sp.balanced_roles(
+        c, flight="source_id", mode="mode", fault="fault", is_fault=F.col("fault").isNotNull(), quarantined=k % 29 == 0, modes=["m0", "m1"], faults=["f0", "f1"])
     return out.select("source_id", "role")
 
 
-@query("f11_group_folds", """WITH s AS (SELECT source_id, count(*) AS rows FROM tel GROUP BY source_id), r AS (SELECT *, row_number() OVER (ORDER BY rows DESC, source_id) - 1 AS r FROM s)
-SELECT source_id, rows, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM r""")
+@query("f11_group_folds", """WITH RECURSIVE s AS (SELECT source_id, count(*) AS rows FROM tel GROUP BY source_id), r AS (SELECT *, row_number() OVER (ORDER BY rows DESC, source_id DESC) AS r FROM s),
+ g(r, load, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0
+  UNION ALL SELECT g.r + 1, list_transform(load, lambda v, i: CASE WHEN i = list_position(load, list_min(load)) THEN v + r.rows ELSE v END), list_position(load, list_min(load)) - 1 FROM g JOIN r ON r.r = g.r + 1)
+SELECT source_id, rows, CAST(fold AS INTEGER) AS fold FROM g JOIN r USING (r)""")
 def _(spark, d):
     return sp.group_folds(telemetry(spark, d), group="source_id", max_folds=5)
 
