@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -106,26 +106,69 @@ def crossing_counts(scores: DataFrame, track: Track, *, score: str, reset: Colum
 
 
 def mean_rate_threshold(
-    scores: DataFrame, track: Track, *, score: str, reset: Column, block: str, candidates: Sequence[float], target_per_hour: float,
-    refractory_s: float, replicates: int, seed: str,
+    rows: DataFrame, track: Track, *, score: Callable[[DataFrame, Track], DataFrame], column: str, reset: str, block_s: float, target_per_hour: float,
+    refractory_s: float, replicates: int, seed: str, lot: int = 32,
 ) -> DataFrame:
-    """Smallest candidate whose bootstrap mean alarm rate over normal blocks is at or below the target.
-
-    Normal exposure too short to resolve one alarm at the target raises.
+    """One row: the smallest threshold whose bootstrap mean alarm rate over normal blocks is at or below the target.
+
+    Blocks of ``block_s`` begin at a track's own first row, and ``score(rows, track of blocks)``
+    scores each from a fresh state. Blocks of one row or no duration are no exposure;
+    exposure too short to resolve one alarm at the target raises. A rate only changes at
+    a score that occurs, so lots of occurring scores are tried, narrowing the
+    bracket until its neighbours are known; the threshold lies just above the last
+    score that is too low.
     """
     if target_per_hour <= 0:
         raise ValueError("target must be positive")
-    t, keys = F.col(track.order[0]), [*track.keys, block]
-    length = scores.groupBy(*keys).agg((F.max(t) - F.min(t)).alias("exposure_s"), F.count(F.lit(1)).alias("_n"))
+    t, keys = F.col(track.order[0]), [*track.keys, "block"]
+    begin = rows.groupBy(*track.keys).agg(F.min(t).alias("_t0"))
+    cut = rows.join(begin, list(track.keys)).withColumn("block", F.floor((t - F.col("_t0")) / block_s)).drop("_t0")
+    scored = durable(score(cut, track.by(*keys)).select(*keys, *track.order, column, reset))
+    length = scored.groupBy(*keys).agg((F.max(t) - F.min(t)).alias("exposure_s"), F.count(F.lit(1)).alias("_n"))
     length = durable(length.filter((F.col("_n") >= 2) & (F.col("exposure_s") > 0)).drop("_n"))
-    hours = (length.agg(F.sum("exposure_s")).first()[0] or 0.0) / 3600
-    if hours < 1.0 / target_per_hour:
-        raise ValueError(f"{hours:.6f} normal hours cannot resolve {target_per_hour:.6f} alarms per hour")
-    counts = crossing_counts(scores.join(length, keys, "left_semi"), track, score=score, reset=reset, candidates=candidates, refractory_s=refractory_s, block=block)
-    grid = F.explode(F.array(*[F.lit(float(h)) for h in candidates])).alias("h")
-    table = length.select(*keys, "exposure_s", grid).join(counts, [*keys, "h"], "left").withColumn("onsets", F.coalesce("onsets", F.lit(0)))
-    rates = bootstrap_rates(table, block_key=keys, replicates=replicates, seed=seed).groupBy("h").agg(F.avg("rate").alias("bootstrap_mean"))
-    return rates.withColumn("meets_budget", F.col("bootstrap_mean") <= target_per_hour)
+    total = length.agg((F.sum("exposure_s") / 3600).alias("hours"), F.count(F.lit(1)).alias("n")).first()
+    if (total.hours or 0.0) < 1.0 / target_per_hour:
+        raise ValueError(f"{total.hours or 0.0:.6f} normal hours cannot resolve {target_per_hour:.6f} alarms per hour")
+    live = durable(scored.join(length, keys, "left_semi"))
+
+    def rates(hs: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+        """(onsets per block and h, rate per replicate and h)."""
+        counts = crossing_counts(live, track, score=column, reset=F.col(reset), candidates=hs, refractory_s=refractory_s, block="block")
+        grid = F.explode(F.array(*[F.lit(float(h)) for h in hs])).alias("h")
+        table = durable(length.select(*keys, "exposure_s", grid).join(counts, [*keys, "h"], "left").withColumn("onsets", F.coalesce("onsets", F.lit(0))))
+        return table, bootstrap_rates(table, block_key=keys, replicates=replicates, seed=seed)
+
+    def feasible(hs: Sequence[float]) -> dict[float, bool]:
+        means = rates(hs)[1].groupBy("h").agg(F.avg("rate").alias("m")).collect()
+        return {r.h: r.m is not None and r.m <= target_per_hour for r in means}
+
+    low, high = float(np.finfo(float).eps), INFINITY
+    if feasible([low])[low]:
+        threshold = high = low
+    else:
+        values = live.select(F.col(column).alias("h")).filter(sc.finite(F.col(column)) > low).distinct()
+        while True:
+            inside = values.filter((F.col("h") > low) & (F.col("h") < high))
+            few = [r.h for r in inside.limit(lot + 1).collect()]
+            if not few:
+                break
+            if len(few) > lot:
+                probs = F.array(*[F.lit((i + 1) / (lot + 1)) for i in range(lot)])
+                few = inside.agg(F.percentile_approx("h", probs, F.lit(100 * lot))).first()[0]
+            for h, ok in sorted(feasible(sorted(set(few))).items()):
+                if ok:
+                    high = h
+                    break
+                low = h
+        threshold = float(np.nextafter(low, INFINITY))
+    at = high if high < INFINITY else threshold
+    table, boot = rates([at])
+    seen = table.agg(F.sum("onsets").alias("observed_alarms"))
+    spread = boot.agg(
+        F.avg("rate").alias("bootstrap_mean"), F.percentile("rate", F.lit(0.5)).alias("bootstrap_median"), F.percentile("rate", F.lit(0.95)).alias("bootstrap_p95"))
+    return seen.join(F.broadcast(spread)).select(
+        F.lit(threshold).alias("threshold_h"), "observed_alarms", F.lit(total.hours).alias("observed_hours"), F.lit(total.n).cast("long").alias("n_blocks"),
+        "bootstrap_mean", "bootstrap_median", "bootstrap_p95")
 
 
 def threshold_curve(rows: DataFrame, track: Track, *, score: str, stride_s: float) -> DataFrame:
@@ -179,33 +222,46 @@ def fit_k_of_n_policy(rows: DataFrame, track: Track, *, score: str, stride_s: fl
     return fits.agg(F.min(F.struct("threshold", "n", "k", "fa_per_hour")).alias("b")).select("b.*")
 
 
+def bootstrap_stream(z: DataFrame, track: Track, *, value: str, position: str, total: int, block_rows: int, seed: str) -> DataFrame:
+    """(pos, value): ``total`` rows of whole blocks drawn with replacement.
+
+    Each draw takes a track (all alike, whatever their length) and then any start in it at
+    which a block fits; if no track holds a whole block, any start of any track, wrapping
+    round. ``position`` numbers a track's rows from 0. Only drawn rows are joined.
+    """
+    sizes = z.groupBy(*track.keys).agg(F.count(F.lit(1)).alias("_n"))
+    whole = not sizes.filter(F.col("_n") >= block_rows).isEmpty()
+    eligible = sizes.filter(F.col("_n") >= block_rows) if whole else sizes
+    name = F.sha2(F.concat_ws("\0", *[F.col(k).cast("string") for k in track.keys]), 256)
+    named = eligible.withColumn("_h", name)
+    numbered = durable(named.join(ladder(named, [], "_h", {"n": F.lit(1).cast("long")}).select("_h", (F.col("cum_n") - 1).alias("_no")), "_h").drop("_h"))
+    n = numbered.count()
+    if n == 0:
+        raise ValueError("no row to draw from")
+    draws = z.sparkSession.range(-(-total // block_rows)).withColumn("_no", F.floor(sc.hash_unit(seed, F.lit("track"), F.col("id")) * n))
+    starts = F.col("_n") - block_rows + 1 if whole else F.col("_n")
+    drawn = draws.join(numbered, "_no").withColumn("_from", F.floor(sc.hash_unit(seed, F.lit("start"), F.col("id")) * starts))
+    cells = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block_rows - 1))))
+    cells = cells.select((F.col("id") * block_rows + F.col("_k")).alias("pos"), *track.keys, F.pmod(F.col("_from") + F.col("_k"), F.col("_n")).alias(position)).filter(F.col("pos") < total)
+    return cells.join(z.select(*track.keys, position, value), [*track.keys, position]).select("pos", value)
+
+
 def fit_page_policy(
-    rows: DataFrame, track: Track, *, score: str, slack: float, budget_per_hour: float, candidates: Sequence[float], stride_s: float,
-    hours: float, block_s: float, refractory_s: float, seed: str,
+    rows: DataFrame, track: Track, *, score: str, slack: float, budget_per_hour: float, stride_s: float, hours: float, block_s: float, refractory_s: float, seed: str,
 ) -> DataFrame:
-    """Per candidate h: alarms per hour of the refractory page rule on a block-bootstrapped stream.
+    """One row: mu, sigma, h and the alarms per hour of the refractory page rule at h.
 
-    The stream has ``hours`` of rows, a parameter and not the data, built from hashed draws
-    of whole blocks of consecutive rows. The candidates run side by side.
+    The rule runs on a block-bootstrapped stream of ``hours`` (a parameter, whatever the
+    data). h doubles from 1 until the budget holds and is then halved into place 12 times;
+    several candidates of either search run side by side.
     """
     block_rows, total = max(1, round(block_s / stride_s)), max(1, round(hours * 3600 / stride_s))
     logit = sc.logit_standardise(F.col(score), 0.0, 1.0)
     stats = rows.agg(F.avg(logit).alias("mu"), F.stddev_pop(logit).alias("sd")).first()
-    sigma = stats.sd if stats.sd and stats.sd > 0 else 1.0
-    z = rows.withColumn("_z", (logit - stats.mu) / sigma)
-    z = sweep(z, track, {"_rn": Running(F.lit(1).cast("long"))})
-    z = z.withColumn("_blk", F.floor((F.col("_rn") - 1) / block_rows)).select(*track.keys, "_blk", ((F.col("_rn") - 1) % block_rows).alias("_at"), "_z")
-    whole = z.groupBy(*track.keys, "_blk").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == block_rows)
-    name = F.sha2(F.concat_ws("\0", *[F.col(k).cast("string") for k in track.keys], F.col("_blk").cast("string")), 256)
-    numbered = whole.withColumn("_h", name)
-    numbered = durable(numbered.join(ladder(numbered, [], "_h", {"n": F.lit(1).cast("long")}).select("_h", (F.col("cum_n") - 1).alias("_no")), "_h").drop("_h"))
-    n_blocks = numbered.count()
-    if n_blocks == 0:
-        raise ValueError("no full block of rows")
-    n_draws = -(-total // block_rows)
-    draws = rows.sparkSession.range(n_draws).withColumn("_no", F.floor(sc.hash_unit(seed, F.col("id")) * n_blocks))
-    stream = draws.join(numbered, "_no").join(z, [*track.keys, "_blk"]).select((F.col("id") * block_rows + F.col("_at")).alias("pos"), "_z").filter(F.col("pos") < total)
-    stream = stream.withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in candidates])))
+    mu, sigma = stats.mu or 0.0, stats.sd if stats.sd and stats.sd > 0 else 1.0
+    z = sweep(rows.withColumn("_z", (logit - mu) / sigma), track, {"_rn": Running(F.lit(1).cast("long"))})
+    z = z.select(*track.keys, (F.col("_rn") - 1).alias("_at"), "_z")
+    stream = durable(bootstrap_stream(z, track, value="_z", position="_at", total=total, block_rows=block_rows, seed=seed))
     skip_rows = max(0, round(refractory_s / stride_s))
 
     def fold(part: pd.DataFrame, state: dict) -> np.ndarray:
@@ -221,9 +277,23 @@ def fit_page_policy(
         state.update(s=s, skip=skip)
         return flags
 
-    fired = fold_groups(stream, ["h"], ["pos"], fold, out="_on")
-    out = fired.groupBy("h").agg((F.count_if("_on") / hours).alias("fa_per_hour"))
-    return out.withColumn("meets_budget", F.col("fa_per_hour") <= budget_per_hour)
+    def rate(hs: Sequence[float]) -> dict[float, float]:
+        spread = stream.withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in hs])))
+        fired = fold_groups(spread, ["h"], ["pos"], fold, out="_on").groupBy("h").agg((F.count_if("_on") / hours).alias("r"))
+        return {r.h: r.r for r in fired.collect()}
+
+    found = rate([2.0**i for i in range(21)])
+    low, high = 0.0, next((h for h in sorted(found) if found[h] <= budget_per_hour), max(found))
+    for _ in range(3):  # four halvings in each: their 15 possible midpoints together
+        step = (high - low) / 16
+        found |= rate([low + i * step for i in range(1, 16)])
+        a, b = 0, 16
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (a, mid) if found[low + mid * step] <= budget_per_hour else (mid, b)
+        low, high = low + a * step, low + b * step if b < 16 else high
+    row = (float(mu), float(sigma), float(high), float(found[high]), found[high] <= budget_per_hour)
+    return rows.sparkSession.createDataFrame([row], "mu double, sigma double, h double, fa_per_hour double, meets_budget boolean")
 
 
 def alpha_curve(

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackweave.operators import calibrate as cb
+from trackweave.operators import decide as dc
 from trackweave.operators import inject as ij
 from trackweave.operators import models as md
 from trackweave.operators import robust as rb
@@ -52,13 +53,33 @@ def _(spark, d):
     return rounded(out, "observed_rate", n=7)
 
 
-@query("k8_mean_rate_threshold")
+def fresh(rows, track):
+    out = dc.simple_page_sums(rows, track, {"x": (F.col("x") - 45) / 30}, slack=0.25, max_gap_s=86400.0, evaluable=~F.col("on_ground"))
+    return out.withColumn("cusum_score", F.round("cusum_score", 1) + F.lit(0.0))
+
+
+BLOCKED = SIMPLE.replace("FROM tel", "FROM telb").replace("source_id", "flight_block")
+K8 = f"""telb AS (SELECT *, source_id || ':' || CAST(floor((t - t0) / 604800) AS BIGINT) AS flight_block FROM (SELECT *, min(t) OVER (PARTITION BY source_id) AS t0 FROM tel)), {BLOCKED},
+ q AS (SELECT flight_block, t, row_pos, rst, round(score, 1) + 0.0 AS score FROM s),
+ bl AS (SELECT flight_block, max(t) - min(t) AS exposure_s FROM q GROUP BY 1 HAVING count(*) >= 2 AND max(t) > min(t)),
+ l AS (SELECT q.*, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER (PARTITION BY flight_block ORDER BY t, row_pos), 0) END AS ps FROM q SEMI JOIN bl USING (flight_block)),
+ hh AS (SELECT DISTINCT score AS h FROM l WHERE score > 2.3e-16),
+ c AS (SELECT flight_block, h, t, row_number() OVER (PARTITION BY flight_block, h ORDER BY t, row_pos) AS i FROM l, hh WHERE ps < h AND score >= h),
+ fold AS (SELECT flight_block, h, t AS last, i, true AS emit FROM c WHERE i = 1 UNION ALL
+  SELECT c.flight_block, c.h, CASE WHEN c.t - f.last >= 86400 THEN c.t ELSE f.last END, c.i, c.t - f.last >= 86400 FROM fold f JOIN c ON c.flight_block = f.flight_block AND c.h = f.h AND c.i = f.i + 1),
+ ct AS (SELECT flight_block, h, count(*) AS onsets FROM fold WHERE emit GROUP BY ALL),
+ wt AS MATERIALIZED (SELECT flight_block, exposure_s, r, {WEIGHT} AS w FROM (SELECT flight_block, exposure_s, r, {UNIT.format("'k8' || chr(0) || r || chr(0) || split_part(flight_block, ':', 1) || chr(0) || split_part(flight_block, ':', 2)")} AS u FROM bl, (SELECT unnest(range(0, 30)) AS r))),
+ ex AS (SELECT r, sum(w * exposure_s) / 3600 AS hours FROM wt GROUP BY r), sm AS (SELECT h, r, sum(w * onsets) AS n FROM ct JOIN wt USING (flight_block) GROUP BY ALL),
+ rt AS (SELECT h, r, coalesce(n, 0) / hours AS rate FROM hh CROSS JOIN ex LEFT JOIN sm USING (h, r)), mn AS (SELECT h, avg(rate) AS m, median(rate) AS med, quantile_cont(rate, 0.95) AS p95 FROM rt GROUP BY h),
+ best AS (SELECT min(h) AS h FROM mn WHERE m <= 0.01)"""
+
+
+@query("k8_mean_rate_threshold", f"""WITH RECURSIVE {K8} SELECT round((SELECT coalesce(max(h), 0) FROM hh WHERE h < best.h), 6) AS threshold_h, (SELECT CAST(coalesce(sum(onsets), 0) AS BIGINT) FROM ct WHERE ct.h = best.h) AS observed_alarms,
+ (SELECT round(sum(exposure_s) / 3600, 6) FROM bl) AS observed_hours, (SELECT count(*) FROM bl) AS n_blocks, round(m, 7) AS bootstrap_mean, round(med, 7) AS bootstrap_median, round(p95, 7) AS bootstrap_p95 FROM best JOIN mn USING (h)""")
 def _(spark, d):
-    s = simple(spark, d).withColumn("block", F.floor(F.col("t") / 604800))
-    return cb.mean_rate_threshold(
-        s, TRACK, score="cusum_score", reset=F.col("reset"), block="block", candidates=[0.5, 1.0, 1.5, 2.0, 3.0, 5.0], target_per_hour=0.01,
-        refractory_s=86400.0, replicates=30, seed="k8",
-    )
+    out = cb.mean_rate_threshold(
+        telemetry(spark, d), TRACK, score=fresh, column="cusum_score", reset="reset", block_s=604800.0, target_per_hour=0.01, refractory_s=86400.0, replicates=30, seed="k8")
+    return rounded(rounded(out, "threshold_h", "observed_hours"), "bootstrap_mean", "bootstrap_median", "bootstrap_p95", n=7)
 
 
 @query("k8_crossing_counts", f"""WITH RECURSIVE {SIMPLE}, b AS (SELECT *, CAST(floor(t / 604800) AS BIGINT) AS block FROM s), l AS (SELECT *, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER (PARTITION BY source_id, block ORDER BY t, row_pos), 0) END AS ps FROM b),
@@ -100,13 +121,30 @@ def _(spark, d):
     return rounded(cb.fit_k_of_n_policy(rows, TRACK, score="s", stride_s=60.0, budget_per_hour=2.0), "fa_per_hour")
 
 
-@query("k9_page_policy")
+K9 = f"""lg AS (SELECT source_id, row_pos, t, ln(p / (1 - p)) AS g FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, x / (x + 40))) AS p FROM tel)), st AS (SELECT avg(g) AS mu, stddev_pop(g) AS sd FROM lg),
+ zz AS MATERIALIZED (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY t, row_pos) - 1 AS at, (g - mu) / sd AS z FROM lg, st),
+ nm AS (SELECT source_id, n, row_number() OVER (ORDER BY sha256(source_id)) - 1 AS no, count(*) OVER () AS k FROM (SELECT source_id, count(*) AS n FROM zz GROUP BY 1) WHERE n >= 10),
+ dw AS (SELECT id, source_id, n, CAST(floor({UNIT.format("'k9' || chr(0) || 'start' || chr(0) || id")} * (n - 9)) AS BIGINT) AS f FROM (SELECT unnest(range(0, 120)) AS id) JOIN nm ON no = CAST(floor({UNIT.format("'k9' || chr(0) || 'track' || chr(0) || id")} * k) AS BIGINT)),
+ sr AS MATERIALIZED (SELECT id * 10 + i AS pos, z FROM dw, (SELECT unnest(range(0, 10)) AS i) JOIN zz ON zz.source_id = dw.source_id AND zz.at = f + i),
+ zl AS MATERIALIZED (SELECT list(z ORDER BY pos) AS l FROM sr)"""
+
+
+def page_fold(name: str, source: str) -> str:
+    """Alarms of every h in ``source`` on the drawn stream."""
+    return f"""{name}(h, i, s, skip, n) AS (SELECT h, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM {source} UNION ALL
+  SELECT h, i + 1, CASE WHEN skip > 0 OR v > h THEN 0.0 ELSE v END, CASE WHEN skip > 0 THEN skip - 1 WHEN v > h THEN 5 ELSE 0 END, n + CASE WHEN skip = 0 AND v > h THEN 1 ELSE 0 END
+  FROM (SELECT *, greatest(0.0, s + l[i + 1] - 0.5) AS v FROM {name}, zl WHERE i < 1200))"""
+
+
+@query("k9_page_policy", f"""WITH RECURSIVE {K9}, pw AS (SELECT 2.0::DOUBLE ** unnest(range(0, 21)) AS h), {page_fold("fa", "pw")},
+ top AS (SELECT min(h) AS top FROM fa WHERE i = 1200 AND n / 20.0 <= 1.0), gr AS (SELECT top * unnest(range(1, 4097)) / 4096 AS h FROM top), {page_fold("fb", "gr")},
+ rr AS MATERIALIZED (SELECT h, n / 20.0 AS r FROM fb WHERE i = 1200),
+ bs(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, top FROM top UNION ALL SELECT k + 1, CASE WHEN r <= 1.0 THEN lo ELSE h END, CASE WHEN r <= 1.0 THEN h ELSE hi END FROM bs JOIN rr ON h = (lo + hi) / 2 WHERE k < 12)
+SELECT round(mu, 6) AS mu, round(sd, 6) AS sigma, round(hi, 6) AS h, r AS fa_per_hour, r <= 1.0 AS meets_budget FROM bs JOIN rr ON h = hi, st WHERE k = 12""")
 def _(spark, d):
     rows = telemetry(spark, d).withColumn("p", F.col("x") / (F.col("x") + 40))
-    return cb.fit_page_policy(
-        rows, TRACK, score="p", slack=0.5, budget_per_hour=1.0, candidates=[0.5, 1.0, 2.0, 4.0, 8.0, 16.0], stride_s=60.0, hours=50.0,
-        block_s=600.0, refractory_s=300.0, seed="k9",
-    )
+    out = cb.fit_page_policy(rows, TRACK, score="p", slack=0.5, budget_per_hour=1.0, stride_s=60.0, hours=20.0, block_s=600.0, refractory_s=300.0, seed="k9")
+    return rounded(out, "mu", "sigma", "h")
 
 
 def p_rows(spark, d):
