@@ -94,6 +94,20 @@ def schema_digest(df: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def table_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table, rows, columns, schema_sha256 and content of each table.
+
+    ``content`` is the sum of the rows' hashes: the same for any order and file layout, and
+    computed where the rows are, whatever the size of a file.
+    """
+    parts = []
+    for name, df in tables.items():
+        cells = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(20,0)")
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(cells), F.lit(0)).cast("string").alias("content"))
+        parts.append(one.select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), F.lit(schema_digest(df)).alias("schema_sha256"), "content"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def clean_truth_report(df: DataFrame) -> DataFrame:
     """A clean reference carries no event id, no active or changed row and only evaluable rows."""
     bad = (

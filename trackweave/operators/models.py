@@ -239,8 +239,9 @@ def _path_norm(n: int) -> float:
 def fit_forest(df: DataFrame, channels: Mapping[str, tuple[float, float]], *, trees: int = 200, sample: int = 256, clip: float = 5.0, seed: str = "0", key: Sequence[str]) -> DataFrame:
     """Model table, one row per tree, from hashed samples of scaled complete rows; trees grow in parallel.
 
-    Every tree draws its rows, by its own hash, from one pool of 32 x sample rows with the
-    smallest hash, so the work after the one scan depends on the parameters alone.
+    Every tree draws from all rows by its own hash. A row is offered to as many trees as give
+    each about four times its sample (all trees for a small table, one for a large one),
+    and each task cuts a tree's offers to its sample before the shuffle.
     """
     cols = list(channels)
     ok = F.lit(True)
@@ -248,8 +249,11 @@ def fit_forest(df: DataFrame, channels: Mapping[str, tuple[float, float]], *, tr
         ok = ok & sc.finite(F.col(c)).isNotNull()
     z = {c: F.greatest(F.lit(-clip), F.least((sc.finite(F.col(c)) - m) / s, F.lit(clip))) for c, (m, s) in channels.items()}
     slim = df.filter(ok).select(*key, *[v.alias(f"_z{i}") for i, v in enumerate(z.values())])
-    pool = bottom_k(slim, k=32 * sample, seed=seed, key=key)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
+    n = slim.count()
+    offers = min(trees, max(1, -(-4 * trees * sample // max(n, 1))))
+    first = F.floor(sc.hash_unit(seed, F.lit("tree"), *[F.col(c) for c in key]) * trees)
+    some = F.transform(F.sequence(F.lit(0), F.lit(offers - 1)), lambda j: F.pmod(first + j, F.lit(trees)).cast("long"))
+    drawn = slim.withColumn("tree", F.explode(some))
     drawn = bottom_k(drawn, k=sample, seed=seed, key=["tree", *key], groups=["tree"])
     names = [f"_z{i}" for i in range(len(cols))]
 

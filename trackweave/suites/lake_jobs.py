@@ -239,11 +239,21 @@ def _(spark, d):
     return lake.country_count(telemetry(spark, d), c, time="t", start=1704500000.0, end=1705500000.0, entity="source_id", country="3")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query("l5_input_manifest")
 def _(spark, d):
-    from trackweave.operators.contracts import input_manifest
+    from trackweave.operators.contracts import table_manifest
+
+    return table_manifest({t: table(spark, d, t) for t in TABLES})
+
+
+@query("l5_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES), tel=False)
+def _(spark, d):
+    from trackweave.operators.contracts import table_manifest
 
-    return input_manifest(spark.read.format("binaryFile").load(f"{d}/{{nation,region,supplier}}.parquet"))
+    return table_manifest({t: table(spark, d, t) for t in TABLES}).select("table", "rows")
 
 
 # ---------------------------------------------------------------- trace archives
