@@ -90,7 +90,7 @@ def test_choices_add_up_to_one():
 
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7, 1e3, 1e7])
-    assert contexts._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
+    assert contexts._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-9)
 
 
 def test_awkward_rows(spark):
@@ -98,10 +98,10 @@ def test_awkward_rows(spark):
     got = contexts.score(docs, F.col("doc_id") % 2 == 0).toPandas()
     assert len(got) == docs.count()
     empty = got[got.doc_id.isin([3, 4, 5])]
-    assert (empty.n_tokens == 1).all() and empty.score.nunique() == 1
+    assert (empty.n_tokens == 1).all() and np.ptp(empty.score) < 1e-9
     assert (got.score <= 0).all()
     twice = got[got.doc_id == 15]
-    assert len(twice) == 2 and twice.score.nunique() == 1
+    assert len(twice) == 2 and np.ptp(twice.score) < 1e-6
     assert contexts.score(no_docs(spark), F.lit(True)).count() == 0
     untrained = contexts.score(docs, F.lit(False)).toPandas()
     assert (untrained.n_known == 0).all() and (untrained.train_tokens == 0).all()

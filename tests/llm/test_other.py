@@ -57,8 +57,10 @@ def test_raking_meets_all_marginals(spark):
         assert by.weight.to_numpy() == pytest.approx(want.to_numpy())
     got = mixing.mix(docs, wanted).toPandas()
     assert got.probability.max() == pytest.approx(1) and got.probability.min() > 0
-    kept = got[got.kept].groupby("lang").tokens.sum() / got[got.kept].tokens.sum()
-    assert kept["de"] == pytest.approx(0.3, abs=0.05)
+    expected = (got.tokens * got.probability).groupby(got.lang).sum()
+    assert expected["de"] / expected.sum() == pytest.approx(0.3)
+    drawn = mixing.mix(docs, mixing.TEMPER).toPandas()
+    assert drawn.kept.sum() == pytest.approx(drawn.probability.sum(), rel=0.1)
 
 
 def test_mixing_awkward_rows(spark):

@@ -281,11 +281,10 @@ def score(
                     per = ((c > 0).astype(np.int64), np.where(row >= 0, np.log10(c + 1) - floor, 0.0))
                 else:
                     per = (np.where(row >= 0, np.append(val, 0.0)[row], 0.0),)
-                for x in per:
-                    total = np.concatenate(([0], np.cumsum(x)))
-                    sums.append(total[upto[1:]] - total[upto[:-1]])
+                own = np.repeat(np.arange(rows), np.diff(upto))
+                sums += [np.bincount(own, x, rows) for x in per]
                 miss = np.flatnonzero(row < 0)
-                cold.append((kind, key[miss], np.searchsorted(upto, miss, "right") - 1))
+                cold.append((kind, key[miss], own[miss]))
             kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in cold])
             keys, doc = np.concatenate([k for _, k, _ in cold]), np.concatenate([d for _, _, d in cold])
             order = np.lexsort((kinds, keys, doc))
@@ -297,7 +296,7 @@ def score(
             list_at = np.searchsorted(doc[where], np.arange(rows + 1)).astype(np.int32)
             rest = pa.StructArray.from_arrays([pa.array(kinds[where]), pa.array(keys[where].view(np.int64)), pa.array(times.astype(np.int64))], names=["kind", "key", "times"])
             yield pa.RecordBatch.from_arrays([
-                batch.column(id_col), pa.array(np.diff(at)), pa.array(np.diff(first) + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
+                batch.column(id_col), pa.array(np.diff(at)), pa.array(np.diff(first) + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
                 pa.ListArray.from_arrays(pa.array(list_at), rest),
             ], names=["doc_id", "n_bytes", "n_tokens", "known", "base", "bits", "rest"])
 
