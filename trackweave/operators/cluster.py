@@ -33,7 +33,8 @@ def knn_threshold(
     """Add ``threshold`` = max(quantile of the value over the k nearest cells, floor) and ``keep``.
 
     The search radius doubles for the cells that have not met k others yet, so a round
-    only carries the sparse rest; the last radius spans the globe. The cell itself counts.
+    only carries the sparse rest; the last radius spans the globe. The cell itself counts;
+    distances that agree to a millimetre are ties, broken by name.
     """
     points = durable(cells.withColumn("_w", F.col(value)))
     k = min(k, points.count())
@@ -42,7 +43,7 @@ def knn_threshold(
     while True:
         km = min(km, half_turn)
         pairs = _near_pairs(todo, points, key=key, km=km)
-        order = Window.partitionBy(key).orderBy("distance_km", "other")
+        order = Window.partitionBy(key).orderBy(F.round("distance_km", 6), "other")
         top = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
         found = top.groupBy(key).agg(
             F.count(F.lit(1)).alias("_n"), F.percentile("_w", F.lit(prob)).alias("threshold")

@@ -286,14 +286,37 @@ def _(spark, d):
     return telemetry(spark, d).select("row_pos", F.to_json(F.transform(pts, lambda p: F.array(F.round(p[0], 5), F.round(p[1], 5)))).alias("path"))
 
 
-@query("c7_knn_threshold")
+def centred(size: float, where: str) -> str:
+    """SQL of the cells of a square grid with centre and count."""
+    return f"""g AS (SELECT CAST(floor(lat / {size}) AS BIGINT) AS i, CAST(floor(lon / {size}) AS BIGINT) AS j, count(*) AS n FROM tel GROUP BY 1, 2),
+ p AS (SELECT i || '_' || j AS cell, (i + 0.5::DOUBLE) * {size} AS lat, (j + 0.5::DOUBLE) * {size} AS lon, n FROM g {where})"""
+
+
+FAR = HAV.format(r=6371.0088, a="a.lat", b="a.lon", c="b.lat", d="b.lon")
+KNN = f"""{centred(5.0, "")}, r AS (SELECT a.cell, b.n, row_number() OVER (PARTITION BY a.cell ORDER BY round({FAR}, 6), b.cell) AS k FROM p a CROSS JOIN p b)"""
+
+
+def scan_sql(points: str, eps: float, least: int, tag: str) -> str:
+    """Clusters of ``points`` (cell, lat, lon) by density, named by their smallest core: (cell, cluster)."""
+    return f"""pr{tag} AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM {points} a JOIN {points} b ON {FAR} <= {eps}), co{tag} AS (SELECT a FROM pr{tag} GROUP BY a HAVING count(*) >= {least}),
+ e{tag} AS MATERIALIZED (SELECT a, b FROM pr{tag} WHERE a IN (SELECT a FROM co{tag}) AND b IN (SELECT a FROM co{tag})),
+ l{tag}(id, label) AS (SELECT a, a FROM co{tag} UNION SELECT e{tag}.b, l{tag}.label FROM l{tag} JOIN e{tag} ON e{tag}.a = l{tag}.id),
+ own{tag} AS (SELECT id, min(label) AS label FROM l{tag} GROUP BY id), bd{tag} AS (SELECT a, min(label) AS label FROM pr{tag} JOIN own{tag} ON id = b GROUP BY a),
+ cl{tag} AS (SELECT cell, coalesce(own{tag}.label, bd{tag}.label) AS cluster FROM {points} LEFT JOIN own{tag} ON id = cell LEFT JOIN bd{tag} ON a = cell)"""
+
+
+DENSE = centred(2.0, "WHERE n >= 2")
+
+
+@query("c7_knn_threshold", f"""WITH {KNN}, q AS (SELECT cell, greatest(quantile_cont(n::DOUBLE, 0.95), 5.0) AS threshold FROM r WHERE k <= 50 GROUP BY cell)
+SELECT cell, lat, lon, n::DOUBLE AS flight_count, round(threshold, 6) AS threshold, n >= threshold AS keep FROM p JOIN q USING (cell)""")
 def _(spark, d):
     from trackweave.operators.cluster import knn_threshold
 
     cells = dn.point_density(telemetry(spark, d), cell(5.0))
     la, lo = geo.square_cell_center(F.col("cell"), 5.0)
     cells = cells.select("cell", la.alias("lat"), lo.alias("lon"), F.col("point_count").cast("double").alias("flight_count"))
-    return knn_threshold(cells, key="cell", value="flight_count", k=50, prob=0.95, floor=5.0, start_km=800.0)
+    return rounded(knn_threshold(cells, key="cell", value="flight_count", k=50, prob=0.95, floor=5.0, start_km=800.0), "threshold")
 
 
 def dense_cells(spark, d):
@@ -302,14 +325,16 @@ def dense_cells(spark, d):
     return cells.select("cell", la.alias("lat"), lo.alias("lon"), "point_count").filter(F.col("point_count") >= 2)
 
 
-@query("k1_dbscan")
+@query("k1_dbscan", f"WITH RECURSIVE {DENSE}, {scan_sql('p', 450.0, 6, '')} SELECT cell, lat, lon, n AS point_count, cluster FROM p JOIN cl USING (cell)")
 def _(spark, d):
     from trackweave.operators.cluster import dbscan
 
     return dbscan(dense_cells(spark, d), key="cell", eps_km=450.0, min_samples=6)
 
 
-@query("k2_dbscan_two_pass")
+@query("k2_dbscan_two_pass", f"""WITH RECURSIVE {DENSE}, {scan_sql('p', 450.0, 9, '1')}, rest AS MATERIALIZED (SELECT p.* FROM p JOIN cl1 USING (cell) WHERE cluster IS NULL), {scan_sql('rest', 450.0, 5, '2')}
+SELECT cell, lat, lon, n AS point_count, coalesce(cl1.cluster, cl2.cluster) AS cluster, CASE WHEN cl1.cluster IS NOT NULL THEN 1 WHEN cl2.cluster IS NOT NULL THEN 2 END AS pass_no
+FROM p JOIN cl1 USING (cell) LEFT JOIN cl2 USING (cell)""")
 def _(spark, d):
     from trackweave.operators.cluster import dbscan_two_pass
 
