@@ -51,10 +51,23 @@ def read_state(spark: SparkSession, path: str, *, before: int | None = None) ->
     return None if v is None else spark.read.parquet(f"{path}/v={v}")
 
 
+def _forget(spark: SparkSession, path: str, before: int) -> None:
+    """Drop the versions below the one that a repeat of the running batch would read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    last = _version(spark, path, before)
+    for s in fs.listStatus(root) if last is not None else []:
+        name = s.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < last:
+            fs.delete(s.getPath(), True)
+
+
 def upsert_latest(path: str, *, key: str, order: Sequence[str], keep: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Batch job keeping one newest row per key; ``keep`` may drop rows of the merged table.
 
-    Each batch writes a new version from the one before it, so running it again gives the same table.
+    Each batch writes a new version from the one before it, so running it again gives the same
+    table; older versions are dropped.
     """
 
     def job(batch: DataFrame, batch_id: int) -> None:
@@ -63,6 +76,7 @@ def upsert_latest(path: str, *, key: str, order: Sequence[str], keep: Callable[[
         cols = [c for c in rows.columns if c != key]
         merged = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(key, "_r.*")
         (keep(merged) if keep else merged).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        _forget(batch.sparkSession, path, batch_id)
 
     return job
 
@@ -105,6 +119,7 @@ def keep_newest(path: str, *, order: Sequence[str], n: int = 20) -> Callable[[Da
         known = read_state(batch.sparkSession, path, before=batch_id)
         rows = batch if known is None else known.unionByName(batch)
         rows.orderBy(*[F.desc(c) for c in order]).limit(n).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        _forget(batch.sparkSession, path, batch_id)
 
     return job
 
@@ -124,9 +139,10 @@ def last_per_poll(df: DataFrame, *, entity: str, order: Sequence[str]) -> DataFr
     return df.groupBy(entity).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(entity, "_r.*")
 
 
-def once_per_poll(stream: DataFrame, *, ts: str, entity: Sequence[str], delay: str) -> DataFrame:
-    """Stream form: the first record per entity within the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(entity))
+def once_per_poll(stream: DataFrame, *, ts: str, every: str, entity: Sequence[str], fields: Sequence[str], delay: str, tie: str) -> DataFrame:
+    """The last row of every entity per poll interval, given out once the watermark has passed the interval."""
+    last = F.max_by(F.struct(*fields), F.struct(ts, tie)).alias("_r")
+    return stream.withWatermark(ts, delay).groupBy(F.window(ts, every), *entity).agg(last).select("window", *entity, "_r.*")
 
 
 def rolling(stream: DataFrame, *, ts: str, size: str, slide: str, by: Sequence[str], delay: str, entity: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Streaming jobs drained over the event table, read back and compared as batches."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackweave.sources.lake import scratch
@@ -8,10 +9,23 @@ from trackweave.suites.base import query, r6, rounded, table, telemetry
 from trackweave.suites.detect import SIMPLE
 
 
-def stream(spark, d):
-    """The event table as a stream of track rows."""
-    schema = table(spark, d, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+def stream(spark, d, *, mixed: bool = False):
+    """The event table as a stream of track rows in four micro-batches.
+
+    Batches follow one another in time, or hold every fourth row each (``mixed``), so that
+    rows of one entity and cycle come apart and out of order.
+    """
+    path = scratch(spark, "live")
+    e = table(spark, d, "events")
+    third = F.ntile(4).over(Window.orderBy("day"))
+    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", third - 1)
+    if mixed:
+        parts = e.withColumn("part", F.lit(3) - F.col("event_id") % 4)
+    else:
+        parts = e.withColumn("day", F.to_date("ts")).join(days.select("day", "part"), "day").drop("day")
+    for i in range(4):
+        parts.filter(F.col("part") == i).drop("part").repartition(2).write.mode("append").parquet(f"{path}/in")
+    e = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     return e.select(
         F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("row_pos"), F.col("ts").cast("timestamp").alias("ts"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("x"), F.col("event_type").alias("kind"),
@@ -34,7 +48,7 @@ def batches(spark, df):
 @query("i1_archive_raw", "SELECT row_pos, source_id FROM tel")
 def _(spark, d):
     path = scratch(spark, "archive")
-    raw = stream(spark, d).select(F.to_json(F.struct("row_pos", "source_id")).alias("value"))
+    raw = stream(spark, d, mixed=True).select(F.to_json(F.struct("row_pos", "source_id")).alias("value"))
     drain(live.archive(raw, f"{path}/raw", f"{path}/ckpt", once=True))
     r = F.from_json("value", "row_pos long, source_id string")
     return spark.read.text(f"{path}/raw").select(r["row_pos"].alias("row_pos"), r["source_id"].alias("source_id"))
@@ -43,7 +57,7 @@ def _(spark, d):
 @query("i2_latest_state", "SELECT source_id, arg_max(row_pos, (t, row_pos)) AS row_pos, arg_max(x, (t, row_pos)) AS x FROM tel GROUP BY source_id")
 def _(spark, d):
     path = scratch(spark, "latest")
-    drain(live.per_batch(stream(spark, d), live.upsert_latest(f"{path}/state", key="source_id", order=["t", "row_pos"]), f"{path}/ckpt", once=True))
+    drain(live.per_batch(stream(spark, d, mixed=True), live.upsert_latest(f"{path}/state", key="source_id", order=["t", "row_pos"]), f"{path}/ckpt", once=True))
     return live.read_state(spark, f"{path}/state").select("source_id", "row_pos", "x")
 
 
@@ -51,13 +65,13 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark, "cycles")
     job = live.upsert_latest(f"{path}/state", key="source_id", order=["cycle_id", "t", "row_pos"], keep=live.sweep_cycles)
-    drain(live.per_batch(stream(spark, d).select("source_id", "cycle_id", "t", "row_pos"), job, f"{path}/ckpt", once=True))
+    drain(live.per_batch(stream(spark, d, mixed=True).select("source_id", "cycle_id", "t", "row_pos"), job, f"{path}/ckpt", once=True))
     return live.read_state(spark, f"{path}/state").select("source_id", "cycle_id")
 
 
 @query("i4_history_typed", "SELECT source_id AS icao24, t, x AS lat, CAST(NULL AS DOUBLE) AS velocity, CASE WHEN row_pos % 3 = 0 THEN x END AS track, false AS is_ground FROM tel")
 def _(spark, d):
-    s = stream(spark, d).select(
+    s = stream(spark, d, mixed=True).select(
         F.col("source_id").alias("icao24"), "ts", F.col("x").cast("string").alias("lat"), F.when(F.col("row_pos") % 3 == 0, F.col("x")).alias("track")
     )
     out = batches(spark, live.history_rows(s))
@@ -67,15 +81,15 @@ def _(spark, d):
 @query("i5_alert_stream", "SELECT row_pos, source_id AS icao24 FROM tel WHERE source_type = 'error' ORDER BY t DESC, row_pos DESC LIMIT 20")
 def _(spark, d):
     path = scratch(spark, "alerts")
-    s = stream(spark, d).select(F.col("source_id").alias("icao24"), F.when(F.col("kind") == "error", F.col("kind")).alias("alert_type"), "t", "row_pos")
+    s = stream(spark, d, mixed=True).select(F.col("source_id").alias("icao24"), F.when(F.col("kind") == "error", F.col("kind")).alias("alert_type"), "t", "row_pos")
     drain(live.per_batch(live.alerts(s), live.keep_newest(f"{path}/state", order=["t", "row_pos"]), f"{path}/ckpt", once=True))
     return live.read_state(spark, f"{path}/state").select("row_pos", "icao24")
 
 
-@query("i6_poll_dedup", "SELECT DISTINCT source_id, source_type AS kind FROM tel")
+@query("i6_poll_dedup", "SELECT CAST(t_us // 86400000000 * 86400 AS BIGINT) AS start_s, source_id, source_type AS kind, arg_max(row_pos, (t, row_pos)) AS row_pos FROM tel WHERE (t_us // 86400000000 + 1) * 86400000000 <= (SELECT max(t_us) FROM tel) - 3600000000 GROUP BY ALL")
 def _(spark, d):
-    s = live.once_per_poll(stream(spark, d), ts="ts", entity=["source_id", "kind"], delay="60 days")
-    return batches(spark, s).select("source_id", "kind")
+    s = live.once_per_poll(stream(spark, d), ts="ts", every="1 day", entity=["source_id", "kind"], fields=["row_pos"], delay="1 hour", tie="row_pos")
+    return batches(spark, s).select(F.unix_seconds("window.start").alias("start_s"), "source_id", "kind", "row_pos")
 
 
 @query("i6_poll_last", "SELECT source_id, arg_max(row_pos, (t, row_pos)) AS row_pos FROM tel GROUP BY source_id")
@@ -118,8 +132,8 @@ def _(spark, d):
     path = scratch(spark, "late")
     rows = telemetry(spark, d).select("row_pos", F.timestamp_micros("t_us").alias("ts"))
     for part in (0, 1):
-        rows.filter(F.col("row_pos") % 2 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        rows.filter(F.col("row_pos") % 2 == part).repartition(4).write.mode("append").parquet(f"{path}/in")
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     drain(live.per_batch(s, live.route_late(f"{path}/ok", f"{path}/late", f"{path}/clock", ts="ts", delay_s=864000.0), f"{path}/ckpt", once=True))
     ok, late = (live.read_batches(spark, f"{path}/{k}", rows.schema).select("row_pos", F.lit(k == "late").alias("late")) for k in ("ok", "late"))
     return ok.unionByName(late)
