@@ -118,8 +118,17 @@ def migrate_layout(spark: SparkSession, flat: str, target: str, *, by: str = "so
     spark.read.option("mergeSchema", True).parquet(flat).write.mode("errorifexists").partitionBy(by).parquet(target)
 
 
-def compact(df: DataFrame, path: str, *, files: int, by: Sequence[str] = ()) -> None:
-    """Many small inputs into few files."""
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(conf).getContentSummary(root).getLength()
+
+
+def compact(spark: SparkSession, source: str, path: str, *, target_bytes: int = 128 << 20, by: Sequence[str] = ()) -> None:
+    """Many small Parquet files into files of about ``target_bytes``: their number follows the bytes stored."""
+    files = max(1, -(-stored_bytes(spark, source) // target_bytes))
+    df = spark.read.parquet(source)
     out = df.repartition(files, *by) if by else df.repartition(files)
     out.write.mode("append").parquet(path)
 

@@ -84,7 +84,7 @@ def _(spark, d):
 def _(spark, d):
     root = lake.scratch(spark, "small")
     telemetry(spark, d).select("row_pos", "x").repartition(16).write.parquet(f"{root}/many")
-    lake.compact(spark.read.parquet(f"{root}/many"), f"{root}/few", files=2)
+    lake.compact(spark, f"{root}/many", f"{root}/few", target_bytes=64 << 10)
     return spark.read.parquet(f"{root}/few")
 
 
@@ -306,22 +306,35 @@ def archives(spark, d):
     def build(batches):
         import gzip
 
-        docs: dict[str, list] = {}
-        for pdf in batches:
+        tar = out = name = None
+
+        def add(member, raw):
+            info = tarfile.TarInfo(member)
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+
+        def close():
+            add("traces/bad.json.gz", b"\x1f\x8bbroken")
+            add("readme.txt", b"x")
+            tar.close()
+            out.close()
+            return pd.DataFrame({"source_file": [name]})
+
+        for pdf in batches:  # in the order of files and members: one member at a time
             for r in pdf.itertuples():
-                docs.setdefault(r.source_file, []).append((r.member, r.json_text))
-        for name, members in docs.items():
-            filesystem, target = traces.filesystem(f"{path}/{name}.tar")
-            filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            with filesystem.open_output_stream(target) as out, tarfile.open(fileobj=out, mode="w|") as tar:
-                for member, text in [*sorted(members), ("traces/bad", None), ("readme", "x")]:
-                    raw = b"\x1f\x8bbroken" if text is None else gzip.compress(text.encode())
-                    info = tarfile.TarInfo(f"{member}.json.gz" if member != "readme" else "readme.txt")
-                    info.size = len(raw)
-                    tar.addfile(info, io.BytesIO(raw))
-            yield pd.DataFrame({"source_file": [name]})
-
-    documents(spark, d).repartition("source_file").mapInPandas(build, "source_file string").count()
+                if r.source_file != name:
+                    if tar is not None:
+                        yield close()
+                    name = r.source_file
+                    filesystem, target = traces.filesystem(f"{path}/{name}.tar")
+                    filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    out = filesystem.open_output_stream(target)
+                    tar = tarfile.open(fileobj=out, mode="w|")
+                add(f"{r.member}.json.gz", gzip.compress(r.json_text.encode()))
+        if tar is not None:
+            yield close()
+
+    documents(spark, d).repartition("source_file").sortWithinPartitions("source_file", "member").mapInPandas(build, "source_file string").count()
     return path
 
 
