@@ -83,17 +83,20 @@ def alert_burden(
     })
 
 
-def explode_reasons(df: DataFrame, *, identity: Sequence[str], codes: str = "reason_codes") -> DataFrame:
-    """One row per reason code with the channel its prefix names."""
-    code = F.col("reason_code")
-    channel = (
+def reason_channel(code: Column) -> Column:
+    """The channel that a code's prefix names."""
+    return (
         F.when(code.startswith("DECLARED_"), "declared_status")
         .when(code.startswith("POSITION_QUALITY_"), "position_quality")
         .when(code.startswith("ALTITUDE_AVAILABILITY_"), "altitude_availability")
         .when(code == "MESSAGE_GAP", "message_gap")
         .otherwise("unknown")
     )
-    return df.select(*identity, F.explode(codes).alias("reason_code")).withColumn("channel", channel)
+
+
+def explode_reasons(df: DataFrame, *, identity: Sequence[str], codes: str = "reason_codes") -> DataFrame:
+    """One row per reason code with its channel."""
+    return df.select(*identity, F.explode(codes).alias("reason_code")).withColumn("channel", reason_channel(F.col("reason_code")))
 
 
 def reason_episodes(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.operators.episodes import explode_reasons, reason_episodes
+from trackweave.operators.episodes import reason_channel
 from trackweave.operators.segments import message_intervals
 from trackweave.plans.track import Lag, Track, sweep
 
@@ -120,14 +120,23 @@ def classify(df: DataFrame, track: Track, *, time: str, rules: QualityRules = Qu
     return rows.withColumns({"position_quality_advisory": advisory, "reason_codes": F.array_compact(F.array(*codes))})
 
 
-def reason_summary(classified: DataFrame, *, entity: str, position: str, time: str) -> DataFrame:
-    """Rows, episodes and entities per reason. Partial tables of disjoint parts add up with ``merge_summaries``."""
-    long = explode_reasons(classified, identity=[entity, position, time])
-    per = long.groupBy("channel", "reason_code", entity).agg(F.count(F.lit(1)).alias("_n")).groupBy("channel", "reason_code").agg(
-        F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("flights")
-    )
-    eps = reason_episodes(long, entity=entity, position=position, time=time).groupBy("channel", "reason_code").agg(F.count(F.lit(1)).alias("episodes"))
-    return per.join(eps, ["channel", "reason_code"])
+def reason_summary(classified: DataFrame, *, entity: str, position: str, codes: str = "reason_codes", chunk: float = 1_000_000.0, point_reasons: Sequence[str] = ("MESSAGE_GAP",)) -> DataFrame:
+    """Rows, episodes and entities per reason. Partial tables of disjoint parts add up with ``merge_summaries``.
+
+    An episode begins at a row whose predecessor in position lacks the reason, and at every row of
+    a point reason. Beginnings are found on the rows as they are, with one look back; reasons
+    are only spread out into partial counts.
+    """
+    slim = classified.select(entity, position, codes)
+    back = sweep(slim, Track((entity,), (position,), chunk), {"_prev": Lag(F.struct(F.col(position).alias("p"), F.col(codes).alias("c")))})
+    fresh = F.array_except(codes, F.col("_prev.c"))
+    points = F.array_intersect(codes, F.array(*[F.lit(r) for r in point_reasons]))
+    begins = F.when(F.col("_prev.p") == F.col(position) - 1, F.array_union(fresh, points)).otherwise(F.col(codes))
+    marked = back.select(entity, F.col(codes).alias("_c"), begins.alias("_b"))
+    long = marked.select(entity, F.inline(F.transform("_c", lambda c: F.struct(c.alias("reason_code"), F.array_contains("_b", c).cast("long").alias("_e")))))
+    per = long.groupBy("reason_code", entity).agg(F.count(F.lit(1)).alias("_n"), F.sum("_e").alias("_e"))
+    one = per.groupBy("reason_code").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("flights"), F.sum("_e").alias("episodes"))
+    return one.select(reason_channel(F.col("reason_code")).alias("channel"), "reason_code", "rows", "flights", "episodes")
 
 
 def state_counts(classified: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -124,7 +124,7 @@ def _(spark, d):
 @query("e7_reason_episodes", f"WITH {CLS} SELECT source_id, code AS reason_code, min(t) AS episode_start, max(t) AS episode_end, count(*) AS n_rows FROM ei GROUP BY source_id, code, k")
 def _(spark, d):
     long = explode_reasons(numbered(spark, d), identity=["source_id", "pos", "t"])
-    return reason_episodes(long, entity="source_id", position="pos", time="t").drop("channel")
+    return reason_episodes(long, entity="source_id", position="pos").drop("channel")
 
 
 SUMMARY = f"WITH {CLS} SELECT code AS reason_code, count(*) AS rows, count(DISTINCT source_id) AS flights, CAST(sum(st) AS BIGINT) AS episodes FROM ei GROUP BY code"
@@ -132,7 +132,7 @@ SUMMARY = f"WITH {CLS} SELECT code AS reason_code, count(*) AS rows, count(DISTI
 
 @query("d25_quality_summary", SUMMARY)
 def _(spark, d):
-    return ql.reason_summary(numbered(spark, d), entity="source_id", position="pos", time="t").drop("channel")
+    return ql.reason_summary(numbered(spark, d), entity="source_id", position="pos").drop("channel")
 
 
 @query("d25_state_counts", f"WITH {CLS} SELECT 'scope' AS field, scope AS state, count(*) AS rows FROM r GROUP BY scope UNION ALL SELECT 'sf', sf, count(*) FROM r GROUP BY sf")
@@ -151,7 +151,7 @@ def _(spark, d):
 def _(spark, d):
     rows = numbered(spark, d)
     odd = F.col("source_id").cast("long") % 2 == 1
-    parts = [ql.reason_summary(rows.filter(c), entity="source_id", position="pos", time="t").withColumn("contract", F.lit("gap=43200")) for c in (odd, ~odd)]
+    parts = [ql.reason_summary(rows.filter(c), entity="source_id", position="pos").withColumn("contract", F.lit("gap=43200")) for c in (odd, ~odd)]
     return ql.merge_summaries(parts[0].unionByName(parts[1]), contract="contract").drop("channel", "contract")
 
 
