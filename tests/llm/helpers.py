@@ -11,7 +11,7 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that the operators use inside
-    *[T.StructField(n, T.StringType()) for n in ("row", "name", "node", "key", "level", "kept", "score", "value", "raw", "_k", "digest", "group")],
+    *[T.StructField(n, T.StringType()) for n in ("row", "name", "node", "key", "level", "kept", "score", "value", "raw", "_k", "digest", "group", "probability", "_source", "draw", "u", "all", "s")],
 ])
 
 LONG = " ".join(f"word{i % 700} é{i % 13}." for i in range(30_000))
@@ -25,7 +25,7 @@ TEXTS = [
 
 
 def edge_docs(spark):
-    rows = [(i, t, "en" if n % 3 else None, f"s{n % 2}" if n % 5 else None, None, *["junk"] * 12) for n, (i, t) in enumerate(TEXTS)]
+    rows = [(i, t, "en" if n % 3 else None, f"s{n % 2}" if n % 5 else None, None, *["junk"] * (len(SCHEMA) - 5)) for n, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

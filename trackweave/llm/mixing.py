@@ -120,8 +120,8 @@ def sampled(
     """The rows of ``docs`` that ``mix`` keeps, with their own columns."""
     rates = written(probabilities(_cells(docs, id_col, text_col, topic), wanted, rounds=rounds))
     kind = topic if topic is not None else topic_of(F.col(text_col).cast("string"))
-    near = docs.join(rates, _same(F.col("source").cast("string"), F.col("lang").cast("string"), kind))
-    return near.filter(draw(F.col(id_col), seed) < F.col("probability")).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("all"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"), kind.alias("k"), draw(F.col(id_col), seed).alias("u"))
+    return rows.join(rates, _same(F.col("s"), F.col("l"), F.col("k"))).filter(F.col("u") < F.col("probability")).select("all.*")
 
 
 #: shares of sources, languages and topics go as this power of their tokens
