@@ -118,6 +118,32 @@ def test_fingerprint_classes(spark):
     assert np.mean([got[i] == want[i] for i in want]) > 0.98
 
 
+def test_fingerprint_query_has_the_classes_of_all_pairs(spark, tmp_path):
+    """Pairs just above and just below 0.8, equal fingerprints of different sets, one id with two texts."""
+    base = [f"w{i}" for i in range(204)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:180] + [f"v{i}" for i in range(20)]))]  # 176 of 224: below
+    rows += [(10 * n + j, " ".join([f"g{n}x{i}" for i in range(204 - j * c)] + [f"h{n}y{i}" for i in range(j * c)])) for n in range(1, 31) for c in [16 + n % 10] for j in (0, 1)]
+    rows += [(900, "one two three four five six"), (900, "seven eight nine ten eleven twelve"), (901, "seven eight nine ten eleven twelve"), (902, None), (903, " "), (None, "one two three four five six")]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = queries.QUERIES["op8_fingerprints"](spark, path).toPandas()
+    assert "digest" not in got.columns
+    nodes = list({shingle_set(t, 5) for _, t in rows})
+    part = components([(i, s) for i, s in enumerate(nodes)], 80)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            c = part[nodes.index(shingle_set(t, 5))]
+            least[c] = min(i, least.get(c, i))
+    want = Counter((i, None if i is None else i if not shingle_set(t, 5) else least[part[nodes.index(shingle_set(t, 5))]]) for i, t in rows)
+    none = lambda v: None if v != v else int(v)
+    assert Counter((none(a), none(b)) for a, b in zip(got.doc_id.astype(float), got.class_id.astype(float))) == want
+    assert len({c for _, c in want}) < len({i for i, _ in want})
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.QUERIES["op8_fingerprints"](spark, SF).collect()}
+    assert got == components([(r.doc_id, shingle_set(r.text, 5)) for r in table.collect()], 80)
+
+
 def test_shard_table():
     names = [f"n{i}" for i in range(9)]
     table = sharding.fill(names, 1009)

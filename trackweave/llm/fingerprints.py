@@ -2,11 +2,13 @@
 
 A text's ``permutations`` universal hashes over its word shingles give the least value of each;
 one byte of each makes the fingerprint (hex), and the share of equal bytes, less what chance
-gives, estimates the Jaccard similarity. Bands of the full values name buckets; documents that
-share one are joined in Spark and their similarity verified.
+gives, estimates the Jaccard similarity. Classes come from the band join of ``neardup`` (40 bands
+of 6 further hashes): band-mates are confirmed on their full shingle sets, and equal sets, not
+equal fingerprints, are one from the start.
 
-Null text counts as empty. Texts without words share one fingerprint. A text of fewer words
-than a shingle is one shingle. Rows are kept one by one; other columns are not read.
+Null text counts as empty. Texts without words share one fingerprint and are each their own
+class. A text of fewer words than a shingle is one shingle. Rows are kept one by one; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -17,22 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.components import buckets, linked
+from trackweave.llm.neardup import digests, set_classes, shingle_sets
 from trackweave.llm.tables import written
-from trackweave.llm.text import LOWER, blocks, bytes_of, list_array, minima, mix, permutations, shingles, word_hashes, words
+from trackweave.llm.text import blocks, bytes_of, minima, mix, permutations
 
 U = np.uint64
-PERMUTATIONS, BANDS, ROWS, SHINGLE = 128, 20, 6, 5
+PERMUTATIONS, SHINGLE, PERCENT = 128, 5, 80
 
 
-def signatures(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE, n: int = PERMUTATIONS) -> np.ndarray:
-    """[texts, permutations] least hashes."""
+def signatures(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE, n: int = PERMUTATIONS) -> tuple[np.ndarray, list[bytes | None]]:
+    """[texts, permutations] least hashes, and the digest of each text's shingle set."""
     a, b = permutations(n, 8)
-    solid, at, first = words(LOWER[data], offs)
-    return minima(*shingles(word_hashes(solid, at), first, k), a, b)
+    values, at = shingle_sets(data, offs, k)
+    return minima(values, at, a, b), digests(values, at)
 
 
 def prints(signature: np.ndarray) -> np.ndarray:
@@ -45,54 +47,33 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(((x == y).mean(axis=1) * 256 - 1) / 255, 0.0)
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    key = np.zeros((len(signature), bands), U)
-    for r in range(rows):
-        key = mix(key * U(0x9E3779B97F4A7C15) + signature[:, r * bands : (r + 1) * bands] + (np.arange(1, bands + 1, dtype=U) << U(48)))
-    return key
-
-
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint and bands of each row."""
+    """doc_id, text, fingerprint and digest (of the shingle set; null if it is empty) of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, text_col):
-            signature = signatures(data, offs, k)
-            n = batch.num_rows
+            signature, names = signatures(data, offs, k)
             yield pa.RecordBatch.from_arrays([
-                batch.column(id_col), pa.array([p.tobytes().hex() for p in prints(signature)]),
-                list_array(band_keys(signature).view(np.int64).ravel(), np.arange(n + 1) * BANDS, pa.int64()),
-            ], names=["doc_id", "fingerprint", "bands"])
+                batch.column(id_col), batch.column(text_col), pa.array([p.tobytes().hex() for p in prints(signature)]), pa.array(names, pa.binary()),
+            ], names=["doc_id", "text", "fingerprint", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, fingerprint string, bands array<long>")
-
-
-def _alike(x: str, y: str) -> Column:
-    """The likeness of two fingerprint strings, by built-in functions."""
-    pair = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)), lambda i: (F.substring(x, i * 2 + 1, F.lit(2)) == F.substring(y, i * 2 + 1, F.lit(2))).cast("int"))
-    same = F.aggregate(pair, F.lit(0), lambda s, v: s + v) / PERMUTATIONS
-    return F.greatest((same * 256 - 1) / 255, F.lit(0.0))
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, text string, fingerprint string, digest binary")
 
 
-def near_classes(found: DataFrame, *, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id for each row of ``fingerprints``: the smallest id reachable over band-mates of that likeness.
+def with_classes(rows: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """``rows`` of ``docs`` (doc_id, digest, ...) with class_id in the digest's place: the smallest id reachable over confirmed band-mates.
 
     Rows with one id and different texts keep the class of each text; a null id has none.
     """
-    found = written(found)
-    named = found.filter(F.col("doc_id").isNotNull())
-    first = named.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    first = written(first)
-    look = first.select("node", "fingerprint")
+    found = rows.join(set_classes(docs, id_col=id_col, text_col=text_col, k=k, percent=PERCENT), "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
+    return found.select(*[c for c in rows.columns if c != "digest"], own)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = look.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), look.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-        return pairs.distinct().join(x, "a").join(y, "b").filter(_alike("fa", "fb") >= least).select("a", "b")
 
-    part = linked(buckets(first.select(F.explode("bands").alias("key"), "node")), verified).withColumnRenamed("component", "class_id")
-    out = found.join(look, "fingerprint", "left").join(part, "node", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
+def near_classes(found: DataFrame, *, k: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id for each row of ``fingerprints``."""
+    return with_classes(found.select("doc_id", "digest"), found.select("doc_id", "text"), k=k)
 
 
 def _edited(text: str, following: str) -> str:
@@ -102,11 +83,11 @@ def _edited(text: str, following: str) -> str:
 
 def _sign(texts: list[str]) -> np.ndarray:
     data, offs = bytes_of(pa.array(texts, pa.large_string()))
-    return prints(signatures(data, offs))
+    return prints(signatures(data, offs)[0])
 
 
 def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and digest of each row.
 
     The edited text has its last half of code points replaced by as many of the next row's first.
     Rows are ordered by id (null first; rows of one id by text) over range partitions, each read
@@ -114,20 +95,20 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     one row per partition is resolved apart. The last row is followed by the first.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    fields = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, digest binary"
 
-    def rows_of(keys: list, texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray) -> list[pa.Array]:
+    def rows_of(keys: list, texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray, sets: list[bytes | None]) -> list[pa.Array]:
         edited = [_edited(t, f) for t, f in zip(texts, following)]
         theirs_edited = _sign(edited)
         return [
             pa.array(keys, type=kinds[0]), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array([p.tobytes().hex() for p in own]), pa.array([p.tobytes().hex() for p in theirs_edited]), pa.array(likeness(own, theirs_edited)), pa.array(likeness(own, theirs)),
+            pa.array([p.tobytes().hex() for p in own]), pa.array([p.tobytes().hex() for p in theirs_edited]), pa.array(likeness(own, theirs_edited)), pa.array(likeness(own, theirs)), pa.array(sets, pa.binary()),
         ]
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(docs.schema[id_col].dataType)]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "digest"]
     edge = ["part", "head", "tail"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,33 +116,34 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         held: tuple | None = None
         for batch, data, offs in blocks(batches, text_col, 2 << 20):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            keys, own = batch.column(id_col).to_pylist(), prints(signatures(data, offs))
+            signature, sets = signatures(data, offs)
+            keys, own = batch.column(id_col).to_pylist(), prints(signature)
             if head is None:
                 head = texts[0]
             else:
-                texts, keys, own = [held[1], *texts], [held[0], *keys], np.concatenate([held[2], own])
-            held = keys[-1], texts[-1], own[-1:]
+                texts, keys, own, sets = [held[1], *texts], [held[0], *keys], np.concatenate([held[2], own]), [held[3], *sets]
+            held = keys[-1], texts[-1], own[-1:], sets[-1]
             n = len(texts) - 1
             if n:
-                cols = rows_of(keys[:-1], texts[:-1], own[:-1], texts[1:], own[1:])
+                cols = rows_of(keys[:-1], texts[:-1], own[:-1], texts[1:], own[1:], sets[:-1])
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=names + edge)
         if held:
-            blank = [pa.array([held[0]], type=kinds[0]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2]
+            blank = [pa.array([held[0]], type=kinds[0]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2, pa.array([held[3]], pa.binary())]
             yield pa.RecordBatch.from_arrays([*blank, pa.array([part], pa.int64()), pa.array([head]), pa.array([held[1]])], names=names + edge)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key, text, following = (batch.column(c)[i].as_py() for c in ("doc_id", "tail", "next"))
+                key, text, following, name = (batch.column(c)[i].as_py() for c in ("doc_id", "tail", "next", "digest"))
                 both = _sign([text, following])
-                yield pa.RecordBatch.from_arrays(rows_of([key], [text], both[:1], [following], both[1:]), names=names)
+                yield pa.RecordBatch.from_arrays(rows_of([key], [text], both[:1], [following], both[1:], [name]), names=names)
 
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), F.col(text_col)]
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
     done = written(rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(stream, f"{fields}, part long, head string, tail string"))
     # one row per partition
     by = Window.orderBy("part")
-    edges = done.filter(F.col("part").isNotNull()).select("doc_id", "part", "head", "tail")
+    edges = done.filter(F.col("part").isNotNull()).select("doc_id", "part", "head", "tail", "digest")
     first = F.first("head").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edges = edges.select("doc_id", "tail", F.coalesce(F.lead("head").over(by), first).alias("next"))
+    edges = edges.select("doc_id", "tail", "digest", F.coalesce(F.lead("head").over(by), first).alias("next"))
     return done.filter(F.col("part").isNull()).select(*names).unionByName(edges.mapInArrow(close, fields))

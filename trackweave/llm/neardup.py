@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +96,11 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, bands: in
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles, parity) of each row that has any; parity holds for each of its bits whether an odd number of shingles fall on it."""
+def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int, by_set: bool = False) -> DataFrame:
+    """(node, shingles, parity) of each row that has any; parity holds for each of its bits whether an odd number of shingles fall on it.
+
+    The node is the id, or the digest of the set if ``by_set``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, text_col):
@@ -107,36 +110,20 @@ def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFra
             odd = (np.bincount(spot, minlength=n * bits) % 2).astype(np.uint8).reshape(n, bits)
             parity = np.packbits(odd, axis=1, bitorder="little").view("<i8")
             yield pa.RecordBatch.from_arrays([
-                batch.column(id_col), list_array(values.view(np.int64), at, pa.int64()), list_array(parity.ravel(), np.arange(n + 1) * PARITY_LONGS, pa.int64()),
+                pa.array(digests(values, at), pa.binary()) if by_set else batch.column(id_col), list_array(values.view(np.int64), at, pa.int64()), list_array(parity.ravel(), np.arange(n + 1) * PARITY_LONGS, pa.int64()),
             ], names=["node", "shingles", "parity"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = "binary" if by_set else docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"node {kind}, shingles array<long>, parity array<long>").filter(F.size("shingles") > 0)
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
-) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row; linked are sets with at least ``percent`` % of the union in common."""
-    limit = sketch_limit(percent / 100, bands * rows)
-    sig = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows))
-    named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
-    first = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), one).select("digest", "node", "one.*"))
-    # rows that share an id
-    again = written(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"))
-    repeats = not again.isEmpty()
-    extra = None
-    if repeats:
-        several = named.join(again, "doc_id").join(first.select("digest", "node"), "digest")
-        extra = several.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+def _parts(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, percent: int, extra: DataFrame | None = None, bounded: bool = True) -> DataFrame:
+    """(node, component) of the nodes of ``first`` (node, n, sketch, bands) that are linked; ``sets_of`` gives the full sets of nodes."""
     light = first.select("node", "n", "sketch")
     bucket = written(buckets(first.select(F.explode("bands").alias("key"), "node")))
     # the full sets of classes that share a bucket. A text is as large as its set: the joins of both
     # are always merged, so that what they move is in proportion to the input at any size
-    need = bucket.select(F.col("node").alias(id_col)).distinct()
-    sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k)
-    sets = written(sets.dropDuplicates(["node", "shingles"]) if repeats else sets)
+    sets = written(sets_of(bucket.select("node").distinct()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those alike by sketch and then by full sets."""
@@ -159,8 +146,58 @@ def near_duplicates(
         n = F.size("shingles")
         return own.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("c"), "parity")
 
-    part = linked(bucket, confirmed, extra, bound=None if repeats else support, percent=percent)
+    return linked(bucket, confirmed, extra, bound=support if bounded else None, percent=percent)
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row; linked are sets with at least ``percent`` % of the union in common."""
+    limit = sketch_limit(percent / 100, bands * rows)
+    sig = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows))
+    named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
+    first = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), one).select("digest", "node", "one.*"))
+    # rows that share an id
+    again = written(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"))
+    repeats = not again.isEmpty()
+    extra = None
+    if repeats:
+        several = named.join(again, "doc_id").join(first.select("digest", "node"), "digest")
+        extra = several.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        need = nodes.select(F.col("node").alias(id_col))
+        sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k)
+        return sets.dropDuplicates(["node", "shingles"]) if repeats else sets
+
+    part = _parts(first, sets_of, limit, percent, extra, bounded=not repeats)
     ids = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     out = sig.select("doc_id", "n_shingles", "digest").join(first.select("digest", "node"), "digest", "left").join(part, "node", "left")
     out = out.withColumn("component_id", F.coalesce(ids, F.when(F.col("doc_id").isNotNull(), F.least("node", "doc_id")))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def set_classes(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
+) -> DataFrame:
+    """digest, class_id for each shingle set that a row with an id has: the smallest id of all rows whose sets are linked.
+
+    Sets are the nodes, so different texts under one id keep their own classes.
+    """
+    limit = sketch_limit(percent / 100, bands * rows)
+    sig = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows))
+    named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
+    first = written(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), one).select(F.col("digest").alias("node"), "doc_id", "one.*"))
+    repeats = not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        need = first.join(nodes, "node", "left_semi").select(F.col("doc_id").alias(id_col)).distinct()
+        sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k, by_set=True)
+        return sets.dropDuplicates(["node"]) if repeats else sets
+
+    part = _parts(first, sets_of, limit, percent)
+    found = written(first.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return found.join(least, "component").select(F.col("node").alias("digest"), "class_id")

@@ -81,7 +81,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return fingerprints.with_classes(fingerprints.compared(docs), docs)
 
 
 @_query("op5_license_scan", licenses.scan_sql())
