@@ -16,11 +16,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+#: bits a byte above which a text is in none of the languages learned: as it stands, a byte takes 8
+MOST_BITS = 8.0
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null text or no letter."""
+    """Drops documents whose language cannot be told: null text, no letter, or coded by no learned language in ``MOST_BITS`` a byte.
+
+    If no row has both a text and a language there is nothing to code by, and letters decide alone.
+    """
     trees = language.learn(docs, id_col="doc_id", text_col="text", lang_col="lang")
-    found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), trees, id_col="row")
-    return found.filter(F.col("lang_pred") != "und").select("doc_id.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    if trees is None:
+        return language.lettered(rows, id_col="row").filter("lettered").select("doc_id.*")
+    found = language.predict(rows, trees, id_col="row")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select("doc_id.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

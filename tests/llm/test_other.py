@@ -195,6 +195,23 @@ def test_pipeline_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_language_stage_without_any_language(spark):
+    docs = edge_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    want = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    got = corpus_pipeline.identify_language(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(want) and want
+
+
+def test_language_stage_rejects_what_no_learned_language_codes(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(1)
+    odd = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 800)), "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200))]
+    docs = table.unionByName(spark.createDataFrame([(9001 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], table.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in table.collect()}
+
+
 def test_pipeline_of_awkward_and_of_no_rows(spark):
     for docs in (edge_docs(spark), no_docs(spark)):
         columns = docs.columns

@@ -154,6 +154,26 @@ def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order:
     return Trees.freeze(languages, key & ((U(1) << bits) - U(1)), (key >> bits).astype(np.int64), n, order)
 
 
+def _letters(texts: pa.Array, folded: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    upto = np.concatenate(([0], np.cumsum(_LETTER[folded])))
+    letter = upto[offs[1:]] > upto[offs[:-1]]
+    for i in np.flatnonzero(~letter):
+        letter[i] = any(c.isalpha() for c in texts[i].as_py() or "")
+    return letter
+
+
+def lettered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and lettered (whether the text has a letter) of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in blocks(batches, text_col, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_letters(batch.column(text_col), fold(data), offs))], names=["doc_id", "lettered"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, lettered boolean")
+
+
 def predict(docs: DataFrame, trees: Trees | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (posterior under equal priors) and bits_per_byte of each row."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
@@ -164,11 +184,7 @@ def predict(docs: DataFrame, trees: Trees | None, *, id_col: str = "doc_id", tex
         for batch, data, offs in blocks(batches, text_col, 1 << 20):
             rows = batch.num_rows
             folded = fold(data)
-            upto = np.concatenate(([0], np.cumsum(_LETTER[folded])))
-            letter = upto[offs[1:]] > upto[offs[:-1]]
-            texts = batch.column(text_col)
-            for i in np.flatnonzero(~letter):
-                letter[i] = any(c.isalpha() for c in texts[i].as_py() or "")
+            letter = _letters(batch.column(text_col), folded, offs)
             name, sure, rate = ["und"] * rows, np.zeros(rows), np.zeros(rows)
             if score:
                 key, at = grams(folded, offs, len(trees.keys) - 1)
