@@ -1,6 +1,8 @@
 """Gates, roles and caps: what must raise, and rows that must survive."""
 
+import hashlib
 import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from trackweave.operators import evaluate as ev
 from trackweave.operators import models as md
 from trackweave.operators import sampling as sp
 from trackweave.plans.track import Track, time_frame
+from trackweave.suites import calibration  # noqa: F401  (registers the query)
+from trackweave.suites.base import QUERIES, telemetry
 
 GATE = {"coverage_min": 0.5, "event_coverage_min": 0.5, "recall_min": 0.5, "wilson_lower_min": 0.3, "per_mode_recall_min": 0.3, "max_rate": 1.0}
 
@@ -98,3 +102,42 @@ def test_session_split_goes_on_until_an_attempt_fits(spark):
     got = sp.session_split(df, session="session", fault_class="fault", seed="x")
     parts = {r.session: r.partition for r in got.collect()}
     assert len(parts) == 9 and {parts[s] for s in ("s0", "s1", "s2")} == {"development", "test", "holdout"}
+
+
+def test_page_policy_over_50_hours_equals_the_plain_fold(spark):
+    """300 blocks of 10 rows drawn one by one, every h folded on its own."""
+    sf, tracks = "/root/testdata/sf0.001", {}
+    for r in sorted(telemetry(spark, sf).select("source_id", "t", "row_pos", "x").collect(), key=lambda r: (r.source_id, r.t, r.row_pos)):
+        p = max(1e-6, min(1 - 1e-6, r.x / (r.x + 40)))
+        tracks.setdefault(r.source_id, []).append(math.log(p / (1 - p)))
+    g = [v for rows in tracks.values() for v in rows]
+    mu = math.fsum(g) / len(g)
+    sd = math.sqrt(math.fsum((v - mu) ** 2 for v in g) / len(g))
+    unit = lambda *k: int(hashlib.sha256("\0".join(map(str, ("k9", *k))).encode()).hexdigest()[:13], 16) / 2**52
+    names = sorted((n for n, rows in tracks.items() if len(rows) >= 10), key=lambda n: hashlib.sha256(n.encode()).hexdigest())
+    stream = []
+    for i in range(300):
+        rows = tracks[names[int(unit("track", i) * len(names))]]
+        start = int(unit("start", i) * (len(rows) - 9))
+        stream += [(v - mu) / sd for v in rows[start : start + 10]]
+
+    def rate(h):
+        s, skip, n = 0.0, 0, 0
+        for v in stream:
+            if skip:
+                skip, s = skip - 1, 0.0
+                continue
+            s = max(0.0, s + v - 0.5)
+            if s > h:
+                s, skip, n = 0.0, 5, n + 1
+        return n / 50
+
+    high = next(2.0**i for i in range(21) if rate(2.0**i) <= 1.0)
+    low = 0.0
+    for _ in range(12):
+        mid = (low + high) / 2
+        low, high = (low, mid) if rate(mid) <= 1.0 else (mid, high)
+    got = QUERIES["k9_page_policy_50h"](spark, sf).first()
+    assert len(stream) == 3000
+    assert (got.mu, got.sigma, got.h) == pytest.approx((mu, sd, high), abs=2e-6)
+    assert (got.fa_per_hour, got.meets_budget) == (pytest.approx(rate(high)), True)

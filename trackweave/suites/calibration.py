@@ -147,6 +147,14 @@ def _(spark, d):
     return rounded(out, "mu", "sigma", "h")
 
 
+@query("k9_page_policy_50h")
+def _(spark, d):
+    """The whole bootstrap of the reference; the SQL above walks 20 hours of it only."""
+    rows = telemetry(spark, d).withColumn("p", F.col("x") / (F.col("x") + 40))
+    out = cb.fit_page_policy(rows, TRACK, score="p", slack=0.5, budget_per_hour=1.0, stride_s=60.0, hours=50.0, block_s=600.0, refractory_s=300.0, seed="k9")
+    return rounded(out, "mu", "sigma", "h")
+
+
 def p_rows(spark, d):
     """Two channels; the second lacks every seventh cell."""
     i = F.col("row_pos")
