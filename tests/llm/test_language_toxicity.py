@@ -70,6 +70,17 @@ def test_a_tie_goes_to_the_first_name(spark):
     assert {(r.lang_pred, r.score) for r in language.predict(docs, trees).collect()} == {("a", 0.5)}
 
 
+@pytest.mark.parametrize("nodes", [60_000, 10])
+def test_a_small_bound_takes_fewer_documents_at_the_same_order(spark, nodes):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = lambda df: language.learn(df, id_col="doc_id", text_col="text", lang_col="lang", max_nodes=nodes)
+    trees, again = learn(docs), learn(docs.repartition(7))
+    assert len(trees.keys) == 4
+    assert all(np.array_equal(a, b) for x, y in ((trees.keys, again.keys), (trees.cost, again.cost)) for a, b in zip(x, y))
+    got = language.predict(docs, trees).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.QUERIES["op2_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

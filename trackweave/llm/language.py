@@ -7,8 +7,9 @@ for each longer context that lacks it; below all contexts a byte takes 8 bits. A
 the language that codes it shortest (ties: the first by name).
 
 The trees are fitted on a sample of about ``sample`` documents of each language, drawn by a hash
-of the id; the order falls while the trees hold more than ``max_nodes`` entries. So the
-model that is broadcast is bounded whatever the corpus. Every text is scored whole.
+of the id; the sample is halved, down to ``LEAST_SAMPLE`` a language, while its trees hold more
+than ``max_nodes`` entries. So the sample alone bounds the model that is broadcast; the order is
+fixed, and counts are never cut. Every text is scored whole.
 
 Letters are folded to lower case, digits and white space to one sign each. Null texts and texts
 without a letter are ``und`` with score 0, as is everything if there is nothing to learn from.
@@ -31,6 +32,8 @@ U = np.uint64
 FOLD = LOWER.copy()
 FOLD[IS_SPACE] = 32
 FOLD[48:58] = 48
+#: documents a language that the sample is not halved below: at an expected 32, a language without any is all but impossible
+LEAST_SAMPLE = 32
 _LETTER = np.zeros(256, np.int64)
 _LETTER[97:123] = 1
 
@@ -133,8 +136,10 @@ def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order:
     if not sizes:
         return None
     languages = sorted(sizes)
-    share = F.create_map(*[x for v in languages for x in (F.lit(v), F.lit(min(1.0, sample / sizes[v])))])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+
+    def drawn(sample: int) -> DataFrame:
+        share = F.create_map(*[x for v in languages for x in (F.lit(v), F.lit(min(1.0, sample / sizes[v])))])
+        return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, "text"):
@@ -144,11 +149,12 @@ def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     while True:
-        counts = drawn.select("lang", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        got = counts.limit(max_nodes + 1).toArrow()
-        if got.num_rows <= max_nodes or order == 1:
+        counts = drawn(sample).select("lang", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        got = (counts.limit(max_nodes + 1) if sample > LEAST_SAMPLE else counts).toArrow()
+        if got.num_rows <= max_nodes or sample <= LEAST_SAMPLE:
             break
-        order -= 1
+        # a sample above every language's size draws all: go on from the largest
+        sample = max(LEAST_SAMPLE, min(sample, max(sizes.values())) // 2)
     key, n = got.column("key").to_numpy().view(U), got.column("n").to_numpy()
     bits = U(8 * (order + 1))
     return Trees.freeze(languages, key & ((U(1) << bits) - U(1)), (key >> bits).astype(np.int64), n, order)
