@@ -282,7 +282,7 @@ def score(
                 else:
                     per = (np.where(row >= 0, np.append(val, 0.0)[row], 0.0),)
                 own = np.repeat(np.arange(rows), np.diff(upto))
-                sums += [np.bincount(own, x, rows) for x in per]
+                sums += [np.bincount(own, x, rows).astype(float) for x in per]  # of nothing it counts in integers
                 miss = np.flatnonzero(row < 0)
                 cold.append((kind, key[miss], own[miss]))
             kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in cold])
