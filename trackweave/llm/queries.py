@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import contexts, exactdup, fingerprints, language, licenses, mixing, neardup, packing, sharding, toxicity
+from trackweave.llm import contexts, exactdup, fingerprints, language, licenses, mixing, neardup, negatives, packing, repeats, runs, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,47 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_license_scan", licenses.scan_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir), licenses.TEMPLATES).withColumn("containment", F.round("containment", 6))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    placed = chosen.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    edited = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_made_periodic(_documents(spark, sf_dir)), least=24, repeats=3)
+
+    def higher(x: Column, y: Column) -> Column:
+        """Greater exponent first, by whole numbers."""
+        left, right = x["length"] * y["period"], y["length"] * x["period"]
+        tie = F.when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"]))
+        return F.when(left != right, F.sign(right - left)).otherwise(tie).cast("int")
+
+    top = F.get(F.array_sort("runs", higher), F.lit(0))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.withColumn("top", top)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query("op12_hard_negatives", negatives.NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0, label=label, positives=5, negatives=3, low=50, high=95)
+
+
+@_query("op13_repeat_removal")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_documents(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
