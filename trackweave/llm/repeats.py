@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,14 +35,16 @@ from trackweave.llm.text import blocks, mix
 
 U = np.uint64
 _ODD, _START = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: windows of a string at most
+RUN = 64
 #: documents with a common name beyond which its windows are divided
 CROWD = 50_000
-TILE = 1 << 19
+TILE = 1 << 18
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each ``length`` bytes."""
-    piece, size, factor = mix(data.astype(U) + _START), 1, _ODD
+    piece, size, factor = mix(data.astype(U) + _START), 1, np.array([_ODD])  # arrays wrap without a word
     out, have = None, 0
     rest = length
     while rest:
@@ -93,18 +94,17 @@ def strings(data: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> tup
     count = np.diff(np.append(at, len(name)))
     ok = inside[at]
     at, count = at[ok], count[ok]
+    if len(count) and count.max() > RUN:  # periodic text: strings stay short
+        times = -(-count // RUN)
+        shift = RUN * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        at, count = np.repeat(at, times) + shift, np.minimum(np.repeat(count, times) - shift, RUN)
     return name[at], at, count, np.searchsorted(offs, at, "right") - 1
 
 
-def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """[strings, n] the 8-byte words from each place on."""
-    out = np.empty((len(at), n), U)
-    for i in range(n):
-        word = np.zeros(len(at), U)
-        for j in range(8):
-            word = (word << U(8)) | data[at + 8 * i + j].astype(U)
-        out[:, i] = word
-    return out
+def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number of the same order."""
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
+    return eight.view(">u8").ravel().astype(U)
 
 
 def _spans(data: np.ndarray, at: np.ndarray, end: np.ndarray, first: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,58 +115,43 @@ def _spans(data: np.ndarray, at: np.ndarray, end: np.ndarray, first: np.ndarray,
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(at) < 2:
         return none
-    padded = np.concatenate((data, np.zeros(8 * (-(-length // 8) + 2), np.uint8)))
-    key = window_hashes(data, length)[at]
-    order = np.argsort(key, kind="stable")
+    key = _hashes_at(data, at, length)
+    order = np.argsort(key)
+    key = key[order]
     tied = np.zeros(len(at) + 1, bool)
-    tied[1:-1] = key[order[1:]] == key[order[:-1]]
-    order = order[tied[:-1] | tied[1:]]
+    np.equal(key[1:], key[:-1], out=tied[1:-1])
+    keep = tied[:-1] | tied[1:]
+    order, key = order[keep], key[keep]
     if not len(order):
         return none
-    # bytes decide what a hash has brought together: groups of equal windows, exactly
-    full = -(-length // 8)
-    w = _words(padded, at[order], full)
-    if length % 8:
-        w[:, -1] &= ~U((1 << (8 * (8 - length % 8))) - 1)
-    equal = np.zeros(len(order), bool)
-    equal[1:] = (w[1:] == w[:-1]).all(axis=1)
-    if not equal[1:][key[order[1:]] == key[order[:-1]]].all():
-        sort = np.lexsort(w.T[::-1])
-        order, w = order[sort], w[sort]
-        equal[1:] = (w[1:] == w[:-1]).all(axis=1)
-    group = np.cumsum(~equal) - 1
-    # a group of one document removes nothing; one preceded by the same byte throughout is not maximal
-    head = np.flatnonzero(~equal)
-    left = np.where(first[order], -1 - np.arange(len(order)), padded[at[order] - 1].astype(np.int64))
-    d = doc[order]
+    # a group of one document removes nothing; one preceded by the same byte throughout is not maximal. A clash of
+    # hashes can only make a group look livelier than it is
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    left, d = np.where(first[order], -1 - order, data[at[order] - 1].astype(np.int64)), doc[order]
     live = (np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)) & (np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head))
-    keep = live[group]
-    order, group, left, d = order[keep], group[keep], left[keep], d[keep]
+    keep = np.repeat(live, np.diff(np.append(head, len(order))))
+    order, left, d = order[keep], left[keep], d[keep]
     if not len(order):
         return none
-    # order within a group by what follows, as far as the context goes
-    room = end[order] - at[order] - length
-    deep = -(-int(room.max(initial=0)) // 8)
-    padded = np.concatenate((data, np.zeros(length + 8 * (deep + 1), np.uint8)))
-    after = _words(padded, at[order] + length, deep) if deep else np.zeros((len(order), 0), U)
-    for i in range(deep):  # blank what lies beyond the context
-        have = np.clip(room - 8 * i, 0, 8)
-        after[:, i] &= np.where(have == 0, U(0), ~U(0) << (U(8) * (U(8) - np.maximum(have, 1).astype(U))))
-    sort = np.lexsort((room, *after.T[::-1], group))
-    order, group, left, d, room, after = order[sort], group[sort], left[sort], d[sort], room[sort], after[sort]
-    common = np.zeros(len(order), np.int64)
-    going = np.ones(len(order) - 1, bool)
+    # from here on bytes decide: suffixes in order, as far as their context goes
+    room = end[order] - at[order]
+    padded = np.concatenate((data, np.zeros(int(room.max()) + 16, np.uint8)))
+    deep = -(-int(room.max()) // 8)
+    words = []
     for i in range(deep):
-        x = after[1:, i] ^ after[:-1, i]
-        lead = np.full(len(x), 8, np.int64)
-        for j in range(8):
-            lead[(lead == 8) & ((x >> U(8 * (7 - j))) != 0)] = j
+        have = np.clip(room - 8 * i, 0, 8)
+        words.append(_words(padded, np.minimum(at[order] + 8 * i, len(padded) - 8)) & np.where(have == 0, U(0), ~U(0) << (U(8) * (U(8) - np.maximum(have, 1).astype(U)))))
+    sort = np.lexsort((room, *words[::-1]))
+    order, left, d, room = order[sort], left[sort], d[sort], room[sort]
+    common, going = np.zeros(len(order), np.int64), np.ones(len(order) - 1, bool)
+    for w in words:
+        w = w[sort]
+        differ = w[1:] ^ w[:-1]
+        lead = sum((differ < U(1 << (8 * j))).astype(np.int64) for j in range(8))
         common[1:] += np.where(going, lead, 0)
-        going &= lead == 8
+        going &= differ == 0
     common[1:] = np.minimum(common[1:], np.minimum(room[1:], room[:-1]))
-    same = np.concatenate(([False], group[1:] == group[:-1]))
-    lcp = np.where(same, common + length, 0)
-    hit, size = interval_scan(lcp, left, d, length)
+    hit, size = interval_scan(np.where(common >= length, common, 0), left, d, length)
     return order[hit], size
 
 
@@ -265,10 +250,51 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-def _names(packed: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(name, block, doc, docs): one row for each name and block; ``doc`` is null where several documents of the block have the name."""
+def _press(*arrays: np.ndarray) -> bytes:
+    """The arrays as one compressed value."""
+    sizes = np.array([a.nbytes for a in arrays], "<i8")
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+
+
+def _opened(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    sizes = np.frombuffer(data, "<i8", len(kinds)).tolist()
+    out, at = [], 8 * len(kinds)
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its places in order) of each part that has any."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        yield p, order[bounds[p] : bounds[p + 1]]
+
+
+#: entries, and bytes of strings, that a task gathers before it packs them by destination
+ENTRIES, GATHERED = 1 << 20, 16 << 20
+_NAME_KINDS = ("<u4", "<u2", "<i8", "<i8", "<i4", "<u1")
+_STRING_KINDS = ("<u1", "<u4", "<i8", "<i4", "<i8", "<i8", "<u1")
+
+
+def _short(name: np.ndarray) -> np.ndarray:
+    """48 bits of a name, evenly spread."""
+    return mix(name + U(1)) >> U(16)
+
+
+def _names(packed: DataFrame, length: int, anchor: int, parts: int) -> DataFrame:
+    """(part, entries): packed, one entry for each name and block: the name, the block, its document, how often, whether several documents have it."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        short, block, doc, many, several = (np.concatenate(x) for x in zip(*held))
+        out = [(p, _press((short[at] >> U(16)).astype("<u4"), (short[at] & U(0xFFFF)).astype("<u2"), block[at], doc[at], many[at], several[at])) for p, at in _by_part((short % U(parts)).astype(np.int64), parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "entries"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for row in _rows(batches):
             data, offs, ids, known = _unpacked(row)
             name, _, _, text = strings(data, offs, length, anchor)
@@ -281,102 +307,126 @@ def _names(packed: DataFrame, length: int, anchor: int) -> DataFrame:
             head = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
             lo, hi = doc[head], doc[np.append(head[1:], len(doc)) - 1]
             many = np.diff(np.append(head, len(name)))
-            # in the order of documents: what repeats from row to row is stored small
+            # in the order of documents: what repeats from entry to entry is stored small
             by_doc = np.argsort(lo, kind="stable")
-            lo, hi, many, name = lo[by_doc], hi[by_doc], many[by_doc], name[head][by_doc]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(name.view(np.int64)), pa.array(np.full(len(lo), row["block"])), pa.array(lo, mask=lo != hi), pa.array(many.astype(np.int32)),
-            ], names=["name", "block", "doc", "docs"])
+            held.append((_short(name[head])[by_doc], np.full(len(lo), row["block"], "<i8"), lo[by_doc], many[by_doc].astype("<i4"), (lo != hi)[by_doc].astype("<u1")))
+            size += len(lo)
+            if size >= ENTRIES:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
-    return packed.mapInArrow(work, "name long, block long, doc long, docs int")
+    return packed.mapInArrow(work, "part int, entries binary")
 
 
 def _shared(names: DataFrame, parts: int) -> DataFrame:
     """(block, names): for each block, packed, those of its names that several documents have, and into how many parts each is divided."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_held = list(batches)
-        if not sum(b.num_rows for b in parts_held):
+        held = [_opened(row["entries"], *_NAME_KINDS) for row in _rows(batches)]
+        if not held:
             return
-        held = pa.Table.from_batches(parts_held)
-        name, block = held.column("name").to_numpy(), held.column("block").to_numpy()
-        doc, docs = pc.fill_null(held.column("doc"), 0).to_numpy(), held.column("docs").to_numpy()
-        several = held.column("doc").is_null().to_numpy(zero_copy_only=False)
+        high, low, block, doc, many, several = (np.concatenate(x) for x in zip(*held))
+        del held
+        name = (high.astype(U) << U(16)) | low.astype(U)
         order = np.argsort(name, kind="stable")
-        name, block, doc, docs, several = name[order], block[order], doc[order], docs[order], several[order]
+        name, block, doc, many, several = name[order], block[order], doc[order], many[order].astype(np.int64), several[order]
         head = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        shared = np.maximum.reduceat(several, head) | (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head))
-        many = np.add.reduceat(docs.astype(np.int64), head)
+        shared = (np.maximum.reduceat(several, head) > 0) | (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head))
         size = np.diff(np.append(head, len(name)))
         keep = np.repeat(shared, size)
-        name, block, cut = name[keep], block[keep], np.repeat(-(-many // CROWD), size)[keep]
+        name, block, cut = name[keep], block[keep], np.repeat(-(-np.add.reduceat(many, head) // CROWD), size)[keep]
         order = np.argsort(block, kind="stable")
-        name, block, cut = name[order], block[order], cut[order]
+        name, block, cut = name[order], block[order], cut[order].astype("<i4")
         at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
-        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block[lo]], pa.int64()), pa.array([name[lo:hi].astype("<i8").tobytes()], pa.binary()), pa.array([cut[lo:hi].astype("<i4").tobytes()], pa.binary()),
-            ], names=["block", "names", "cuts"])
+        out = [(int(block[lo]), _press((name[lo:hi] >> U(16)).astype("<u4"), (name[lo:hi] & U(0xFFFF)).astype("<u2"), cut[lo:hi])) for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(block)])]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "names"])
 
-    return names.repartition(parts, "name").mapInArrow(work, "block long, names binary, cuts binary")
+    return names.repartition(parts, "part").mapInArrow(work, "block long, names binary")
 
 
-def _sent(packed: DataFrame, shared: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(name, part, block, row, start, doc, bytes): the strings of shared names; without bytes, a span already known (``doc`` is its size)."""
-    lists = shared.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("names", "cuts")).alias("lists"))
+def _sent(packed: DataFrame, shared: DataFrame, length: int, anchor: int, parts: int) -> DataFrame:
+    """(part, strings) for the windows of shared names, (part, block, spans) for bytes known to be covered already; all packed."""
+    lists = shared.groupBy(F.col("block").alias("b")).agg(F.collect_list("names").alias("lists"))
     both = packed.join(lists, packed["block"] == lists["b"]).drop("b")
+    fields = ["part", "strings", "block", "spans"]
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        to, size, block, row, start, doc = (np.concatenate(x) for x in zip(*[h[:-1] for h in held]))
+        raw = np.frombuffer(b"".join(h[-1] for h in held), np.uint8)
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = []
+        for p, own in _by_part((to % U(parts)).astype(np.int64), parts):
+            n = size[own]
+            places = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((p, _press((to[own] >> U(56)).astype("<u1"), n.astype("<u4"), block[own], row[own].astype("<i4"), start[own], doc[own], raw[places])))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.binary())], names=fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            data, offs, ids, known = _unpacked(row)
-            wanted = np.concatenate([np.frombuffer(x["names"], "<i8") for x in row["lists"]]).view(U)
-            cuts = np.concatenate([np.frombuffer(x["cuts"], "<i4") for x in row["lists"]])
+        held, gathered = [], 0
+        for source in _rows(batches):
+            data, offs, ids, known = _unpacked(source)
+            lists = [_opened(x, "<u4", "<u2", "<i4") for x in source["lists"]]
+            wanted = np.concatenate([(x[0].astype(U) << U(16)) | x[1].astype(U) for x in lists])
             order = np.argsort(wanted)
-            wanted, cuts = wanted[order], cuts[order]
+            wanted, cuts = wanted[order], np.concatenate([x[2] for x in lists])[order]
             name, at, count, text = strings(data, offs, length, anchor)
-            spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
-            keep = (wanted[spot] == name) & known[text]
+            short = _short(name)
+            spot = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
+            keep = (wanted[spot] == short) & known[text]
             name, at, count, text, cut = name[keep], at[keep], count[keep], text[keep], cuts[spot[keep]]
             if not len(name):
                 continue
-            hashes = window_hashes(data, length)
-            part = np.zeros(len(name), np.int64)
+            part = np.zeros(len(name), U)
             if (cut > 1).any():
                 times = np.where(cut > 1, count, 1)
                 shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 name, text, cut, at = np.repeat(name, times), np.repeat(text, times), np.repeat(cut, times), np.repeat(at, times) + shift
                 count = np.where(cut > 1, 1, np.repeat(count, times))
-                part = np.where(cut > 1, (hashes[at] % cut.astype(U)).astype(np.int64), 0)
+                part = np.where(cut > 1, _hashes_at(data, at, length) % cut.astype(U), U(0))
             # of equal strings only the smallest document's is sent
-            doc = ids[text]
-            order = np.lexsort((at, doc, hashes[at + count - 1], hashes[at], count, name))
-            name, at, count, text, part, doc = name[order], at[order], count[order], text[order], part[order], doc[order]
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (count[1:] != count[:-1]) | (hashes[at[1:]] != hashes[at[:-1]]) | (hashes[at[1:] + count[1:] - 1] != hashes[at[:-1] + count[:-1] - 1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            copy = np.flatnonzero((doc > doc[lead]) & ~new)
+            doc, begins, ends = ids[text], _hashes_at(data, at, length), _hashes_at(data, at + count - 1, length)
+            order = np.lexsort((at, doc, ends, begins, count))
+            same = (count[order[1:]] == count[order[:-1]]) & (begins[order[1:]] == begins[order[:-1]]) & (ends[order[1:]] == ends[order[:-1]])
+            new = np.concatenate(([True], ~same))
+            lead = np.empty(len(order), np.int64)
+            lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            copy = np.flatnonzero(doc > doc[lead])
             copy = copy[_same_bytes(data, at[copy], at[lead[copy]], count[copy] + length - 1)]
-            covered = np.zeros(len(name), bool)
-            covered[copy] = True
-            # an equal string of the same document adds nothing either, but keeps its own place
-            rest = np.flatnonzero(~covered)
-            size = count + length - 1
+            size, start, block = count + length - 1, at - offs[text], source["block"]
+            rest = np.ones(len(name), bool)
+            rest[copy] = False
+            rest = np.flatnonzero(rest)
             raw = data.tobytes()
-            sent = pa.array([raw[a : a + n] for a, n in zip(at[rest].tolist(), size[rest].tolist())], pa.binary())
-            start = at - offs[text]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(name[rest].view(np.int64)), pa.array(part[rest].astype(np.int32)), pa.array(np.full(len(rest), row["block"])), pa.array(text[rest].astype(np.int32)), pa.array(start[rest]), pa.array(doc[rest]), sent,
-            ], names=_SENT)
-            order = copy[np.lexsort((start[copy], text[copy]))]
-            begin, stop, own = _union(text[order], start[order], start[order] + size[order])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(mix(begin.astype(U) + U(row["block"] & 0xFFFFFFFF)).view(np.int64)), pa.array(np.full(len(own), -1, np.int32)), pa.array(np.full(len(own), row["block"])), pa.array(own.astype(np.int32)), pa.array(begin), pa.array(stop - begin), pa.nulls(len(own), pa.binary()),
-            ], names=_SENT)
+            held.append((
+                mix(name[rest] + mix(part[rest] + U(1))), size[rest], np.full(len(rest), block, "<i8"), text[rest], start[rest], doc[rest],
+                b"".join([raw[a : a + n] for a, n in zip(at[rest].tolist(), size[rest].tolist())]),
+            ))
+            gathered += len(held[-1][-1])
+            begin, stop, own = _union(text[copy], start[copy], start[copy] + size[copy])
+            if len(own):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block % parts], pa.int32()), pa.nulls(1, pa.binary()), pa.array([block], pa.int64()), pa.array([_press(np.stack((own, begin, stop), axis=1).astype("<i8"))], pa.binary()),
+                ], names=fields)
+            if gathered >= GATHERED:
+                yield from flush(held)
+                held, gathered = [], 0
+        if held:
+            yield from flush(held)
 
-    return both.mapInArrow(work, "name long, part int, block long, row int, start long, doc long, bytes binary")
+    return both.mapInArrow(work, "part int, strings binary, block long, spans binary")
 
 
-_SENT = ["name", "part", "block", "row", "start", "doc", "bytes"]
+def _hashes_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at the given places, a tile at a time."""
+    out = np.empty(len(at), U)
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(0, len(data) + TILE, TILE))
+    for n in np.flatnonzero(np.diff(bounds)).tolist():
+        own = order[bounds[n] : bounds[n + 1]]
+        out[own] = window_hashes(data[n * TILE : (n + 1) * TILE + length - 1], length)[at[own] - n * TILE]
+    return out
 
 
 def _same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -404,77 +454,69 @@ def _union(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 def _found(sent: DataFrame, length: int, parts: int, batch_bytes: int) -> DataFrame:
-    """(block, spans): packed (row, start, size) of covered bytes."""
-
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        known = t.filter(t.column("bytes").is_null())
-        t = t.filter(t.column("bytes").is_valid())
-        block, row, start, size = (known.column(c).to_numpy() for c in ("block", "row", "start", "doc"))
-        if t.num_rows:
-            col = t.column("bytes").combine_chunks()
-            col = col.cast(pa.large_binary()) if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks).cast(pa.large_binary())
-            offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-            data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-            offs = offs - offs[0]
-            count = np.diff(offs) - length + 1
-            own = np.repeat(np.arange(len(count)), count)
+    """(block, spans): packed (row, start, stop) of covered bytes."""
+
+    def solve(tag: np.ndarray, size: np.ndarray, block: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # one tag has all windows of its names: tags are worked on apart
+        order = np.argsort(tag, kind="stable")
+        at = np.concatenate(([0], np.cumsum(size)))
+        room = np.cumsum(size[order])
+        border = np.flatnonzero(np.concatenate((tag[order[1:]] != tag[order[:-1]], [True]))) + 1
+        lo, done = 0, 0
+        for n, hi in enumerate(border.tolist()):
+            if room[hi - 1] - done < batch_bytes and n < len(border) - 1:
+                continue
+            own = order[lo:hi]
+            lo, done = hi, room[hi - 1]
+            many = size[own]
+            ends = np.cumsum(many)
+            text = data[np.repeat(at[own] - (ends - many), many) + np.arange(many.sum())]
+            count = many - length + 1
+            of = np.repeat(np.arange(len(own)), count)
             shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hit, covers = _spans(data, offs[:-1][own] + shift, offs[1:][own], shift == 0, t.column("doc").to_numpy()[own], length)
-            of = own[hit]
-            block = np.concatenate((block, t.column("block").to_numpy()[of]))
-            row = np.concatenate((row, t.column("row").to_numpy()[of]))
-            start = np.concatenate((start, t.column("start").to_numpy()[of] + shift[hit]))
-            size = np.concatenate((size, covers))
+            hit, covers = _spans(text, (ends - many)[of] + shift, ends[of], shift == 0, doc[own][of], length)
+            which = own[of[hit]]
+            yield from spans_of(block[which], row[which].astype(np.int64), start[which] + shift[hit], covers)
+
+    def spans_of(block: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((start, row, block))
-        block, row, start, size = block[order], row[order].astype(np.int64), start[order], size[order]
+        block, row, start, size = block[order], row[order], start[order], size[order]
         at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
+        out = []
         for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
             begin, stop, own = _union(row[lo:hi], start[lo:hi], start[lo:hi] + size[lo:hi])
-            packed = np.stack((own, begin, stop), axis=1).astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block[lo]], pa.int64()), pa.array([packed], pa.binary())], names=["block", "spans"])
+            out.append((int(block[lo]), _press(np.stack((own, begin, stop), axis=1).astype("<i8"))))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "spans"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room = [], 0
-        for batch in batches:
-            at = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("bytes")), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
-            name = batch.column("name").to_numpy()
-            edges = np.flatnonzero((name[1:] != name[:-1]) | (np.diff(batch.column("part").to_numpy()) != 0)) + 1
-            if held and batch.num_rows:
-                last = held[-1]
-                if last.column("name")[last.num_rows - 1].as_py() != name[0] or last.column("part")[last.num_rows - 1].as_py() != batch.column("part")[0].as_py():
-                    edges = np.concatenate(([0], edges))
-            for e in edges.tolist():
-                # whole groups only: cut at the first border once the batch is full
-                if room + (sizes[e - 1] if e else 0) - (sizes[at - 1] if at else 0) >= batch_bytes:
-                    if e > at:
-                        held.append(batch.slice(at, e - at))
-                    yield from solve(held)
-                    held, room, at = [], 0, e
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-                room += sizes[-1] - (sizes[at - 1] if at else 0)
+        held = []
+        for row in _rows(batches):
+            if row["strings"] is None:
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["spans"]], pa.binary())], names=["block", "spans"])
+            else:
+                tag, *rest = _opened(row["strings"], *_STRING_KINDS)
+                held.append((tag.astype(np.int64) + (row["part"] << 8), rest[0].astype(np.int64), *rest[1:]))
         if held:
-            yield from solve(held)
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            yield from solve(*columns)
 
-    dealt = sent.repartition(parts, "name", "part").sortWithinPartitions("name", "part")
-    return dealt.mapInArrow(work, "block long, spans binary")
+    return sent.repartition(parts, "part").mapInArrow(work, "block long, spans binary")
 
 
 def without_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 20, block_bytes: int = 4 << 20, batch_bytes: int = 4 << 20,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 20, block_bytes: int = 2 << 20, batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, n_bytes, spans (start, stop; the maximal removed stretches) and kept (the other bytes) of each row."""
     if not 1 <= anchor <= length:
         raise ValueError("an anchor lies within a window")
     packed = written(_packed(docs, id_col, text_col, block_bytes))
-    volume = packed.agg(F.sum(F.length("sizes") / 8), F.sum(F.length("texts"))).first()
+    volume = packed.agg(F.sum(F.length("texts"))).first()[0]
     least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # partitions of some ten megabytes whatever the input
-    parts = max(least, int((volume[1] or 0) // (8 << 20)) + 1)
-    shared = _shared(_names(packed, length, anchor), parts)
-    spans = _found(_sent(packed, shared, length, anchor), length, parts, batch_bytes)
+    # tasks of some megabytes of compressed text whatever the input
+    parts = max(least, int((volume or 0) // (4 << 20)) + 1)
+    shared = _shared(_names(packed, length, anchor, parts), parts)
+    spans = _found(_sent(packed, shared, length, anchor, parts), length, parts, batch_bytes)
     lists = spans.groupBy(F.col("block").alias("b")).agg(F.collect_list("spans").alias("lists"))
     both = packed.join(lists, packed["block"] == lists["b"], "left").drop("b")
     item = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -483,7 +525,7 @@ def without_repeats(
         for row in _rows(batches):
             data, offs, ids, known = _unpacked(row)
             n = len(ids)
-            raw = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in row["lists"] or []]
+            raw = [_opened(x, "<i8")[0].reshape(-1, 3) for x in row["lists"] or []]
             s = np.concatenate(raw) if raw else np.zeros((0, 3), np.int64)
             s = s[np.lexsort((s[:, 1], s[:, 0]))]
             begin, stop, own = _union(s[:, 0], s[:, 1], s[:, 2])
