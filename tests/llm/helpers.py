@@ -11,7 +11,7 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that the operators use inside
-    *[T.StructField(n, T.StringType()) for n in ("row", "name", "node", "key", "level", "kept", "score", "value", "raw", "_k", "digest", "group", "probability", "_source", "draw", "u", "all", "s")],
+    *[T.StructField(n, T.StringType()) for n in ("row", "name", "node", "key", "level", "kept", "score", "value", "raw", "_k", "digest", "group", "probability", "_source", "draw", "u", "all", "s", "_own", "_id", "_sha", "i", "h", "k", "g", "turn", "packed", "block", "names", "runs", "part")],
 ])
 
 LONG = " ".join(f"word{i % 700} é{i % 13}." for i in range(30_000))

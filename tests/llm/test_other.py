@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scripts.check import canon
 from tests.llm.helpers import components, edge_docs, no_docs, shingle_set
-from trackweave.llm import fingerprints, licenses, mixing, queries, sharding
+from trackweave.llm import fingerprints, licenses, mixing, neardup, queries, sharding
+from trackweave.llm import text as text_work
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,7 +47,9 @@ def test_raking_meets_all_marginals(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     wanted = {"source": 0.5, "lang": {"en": 0.4, "de": 0.3}, "topic": 0.8}
     rows = mixing._cells(docs, "doc_id", "text", None)
-    cells = mixing.rake(rows.groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens")), wanted, rounds=200).toPandas()
+    cells, miss = mixing.rake(rows.groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens")), wanted)
+    cells = cells.toPandas()
+    assert miss <= 1e-10
     total = cells.tokens.sum()
     by = cells.groupby("lang")[["tokens", "weight"]].sum()
     assert by.weight["en"] / total == pytest.approx(0.4) and by.weight["de"] / total == pytest.approx(0.3)
@@ -63,6 +66,19 @@ def test_raking_meets_all_marginals(spark):
     assert drawn.kept.sum() == pytest.approx(drawn.probability.sum(), rel=0.1)
 
 
+def test_raking_says_when_targets_cannot_be_met(spark):
+    rows = [("a", "en", "t", 10), ("b", "de", "t", 10), ("c", "en", "t", 10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        fitted, miss = mixing.rake(cells, {"source": {"a": 0.2, "b": 0.6, "c": 0.2}, "lang": {"en": 0.7, "de": 0.3}})
+    assert miss > 0.01 and fitted.agg(F.sum("weight")).first()[0] == pytest.approx(30)
+    # targets that can be met only with a cell at nothing are reached slowly, and reached
+    rows = [("a", "en", "t", 10), ("a", "de", "t", 10), ("b", "de", "t", 10)]
+    fitted, miss = mixing.rake(spark.createDataFrame(rows, cells.schema), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.4, "de": 0.6}})
+    by = {(r.source, r.lang): r.weight for r in fitted.collect()}
+    assert miss <= 1e-10 and by["a", "en"] == pytest.approx(12) and by["a", "de"] == pytest.approx(3)
+
+
 def test_mixing_awkward_rows(spark):
     docs = edge_docs(spark)
     got = mixing.mix(docs, mixing.TEMPER)
@@ -75,7 +91,7 @@ def test_mixing_awkward_rows(spark):
 
 def check_compared(docs):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
-    got = fingerprints.compared(docs).toPandas()
+    got = fingerprints.compared(fingerprints.signed(docs)).toPandas()
     want = Counter()
     for i, (key, text) in enumerate(rows):
         following, half = rows[(i + 1) % len(rows)][1], len(text) // 2
@@ -105,19 +121,56 @@ def test_fingerprints_of_awkward_rows(spark):
     # rows that share an id have no order of their own: leave those out
     got = check_compared(edge_docs(spark).dropDuplicates(["doc_id"]))
     assert got[got.doc_id.isin([3, 4, 5])].fingerprint.nunique() == 1
-    assert fingerprints.compared(edge_docs(spark)).count() == edge_docs(spark).count()
-    assert fingerprints.compared(no_docs(spark)).count() == 0
-    one = fingerprints.compared(edge_docs(spark).filter("doc_id = 6")).collect()
+    assert fingerprints.fingerprints(edge_docs(spark)).count() == edge_docs(spark).count()
+    assert fingerprints.fingerprints(no_docs(spark)).count() == 0
+    one = fingerprints.fingerprints(edge_docs(spark).filter("doc_id = 6")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
 def test_fingerprint_classes(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r.class_id for r in fingerprints.near_classes(fingerprints.fingerprints(docs)).collect()}
+    got = {r.doc_id: r.class_id for r in fingerprints.fingerprints(docs).collect()}
     want = components([(r.doc_id, shingle_set(r.text, 5)) for r in docs.collect()], 80)
     assert np.mean([got[i] == want[i] for i in want]) > 0.98
 
 
+def test_fingerprints_equal_plain_minhash(spark):
+    """Each byte from the least of a * x + b over a text's shingles, by plain loops."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(25).unionByName(edge_docs(spark).filter("doc_id < 10").select("doc_id", "text", "lang", "source", "n_chars"))
+    a, b = (x.tolist() for x in text_work.permutations(fingerprints.BANDS * fingerprints.ROWS, 6))
+
+    def plain(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        names, _ = neardup.shingle_sets(raw, np.array([0, len(raw)]), 5)
+        least = [min([(i * (int(x) >> 32) + j) % 2**32 for x in names], default=2**32 - 1) for i, j in zip(a[:128], b)]
+        return bytes(int(text_work.mix(np.array([v + 1], np.uint64))[0]) >> 56 for v in least)
+
+    def alike(x, y):
+        return max((sum(p == q for p, q in zip(x, y)) / 128 * 256 - 1) / 255, 0.0)
+
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0], r[1]))
+    got = {}
+    for r in fingerprints.fingerprints(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for n, (i, t) in enumerate(rows):
+        if len(got[i]) > 1 or len(got[rows[(n + 1) % len(rows)][0]]) > 1:
+            continue
+        following = rows[(n + 1) % len(rows)][1]
+        half = len(t) // 2
+        own, edited, after = plain(t), plain(t[: len(t) - half] + following[:half]), plain(following)
+        r = got[i][0]
+        assert (r.fingerprint, r.edited_fingerprint) == (own.hex(), edited.hex())
+        assert r.near_edited == pytest.approx(alike(own, edited)) and r.near_next == pytest.approx(alike(own, after))
+
+
+def test_filter_passes_all_its_ids(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    few = neardup.passing(docs, docs.filter("doc_id % 7 = 0"), "doc_id")
+    got = {r.doc_id for r in few.collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 800
+    assert neardup.passing(docs, docs.limit(0), "doc_id").count() == 0
+
+
 def test_fingerprint_query_has_the_classes_of_all_pairs(spark, tmp_path):
     """Pairs just above and just below 0.8, equal fingerprints of different sets, one id with two texts."""
     base = [f"w{i}" for i in range(204)]

@@ -1,10 +1,12 @@
 """MinHash document fingerprints.
 
-A text's ``permutations`` universal hashes over its word shingles give the least value of each;
-one byte of each makes the fingerprint (hex), and the share of equal bytes, less what chance
-gives, estimates the Jaccard similarity. Classes come from the band join of ``neardup`` (40 bands
-of 6 further hashes): band-mates are confirmed on their full shingle sets, and equal sets, not
-equal fingerprints, are one from the start.
+A text's universal hashes over its word shingles give the least value of each, its samples. One byte
+of each of the first ``permutations`` samples makes the fingerprint (hex), and the share of equal bytes, less what chance
+gives, estimates the Jaccard similarity. Bands of all samples are joined: band-mates are confirmed
+on their full shingle sets, and equal sets, not equal fingerprints, are one from the start. One pass makes both.
+
+Texts are ordered by id as compressed values; those that share a band are shingled again where they are
+read, behind a filter of fixed size, so no text is shuffled a second time.
 
 Null text counts as empty. Texts without words share one fingerprint and are each their own
 class. A text of fewer words than a shingle is one shingle. Rows are kept one by one; other
@@ -18,28 +20,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.neardup import digests, set_classes, shingle_sets
+from trackweave.llm.neardup import SKETCH_BITS, band_keys, digests, odd_sketches, set_classes, shingle_sets
 from trackweave.llm.tables import written
-from trackweave.llm.text import blocks, bytes_of, minima, mix, permutations
+from trackweave.llm.text import bytes_of, list_array, minima, mix, permutations
 
 U = np.uint64
 PERMUTATIONS, SHINGLE, PERCENT = 128, 5, 80
+BANDS, ROWS = 40, 6
 
 
-def signatures(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE, n: int = PERMUTATIONS) -> tuple[np.ndarray, list[bytes | None]]:
-    """[texts, permutations] least hashes, and the digest of each text's shingle set."""
-    a, b = permutations(n, 8)
+def samples(data: np.ndarray, offs: np.ndarray, n: int, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """([texts, n] least hashes, shingles and their bounds in each text)."""
+    a, b = permutations(BANDS * ROWS, 6)
     values, at = shingle_sets(data, offs, k)
-    return minima(values, at, a, b), digests(values, at)
+    return minima(values, at, a[:n], b[:n]), values, at
 
 
 def prints(signature: np.ndarray) -> np.ndarray:
     """[texts, permutations] bytes of the fingerprint."""
-    return (mix(signature.astype(U) + U(1)) >> U(56)).astype(np.uint8)
+    return (mix(signature[:, :PERMUTATIONS].astype(U) + U(1)) >> U(56)).astype(np.uint8)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -47,35 +51,6 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(((x == y).mean(axis=1) * 256 - 1) / 255, 0.0)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, text, fingerprint and digest (of the shingle set; null if it is empty) of each row."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, text_col):
-            signature, names = signatures(data, offs, k)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(id_col), batch.column(text_col), pa.array([p.tobytes().hex() for p in prints(signature)]), pa.array(names, pa.binary()),
-            ], names=["doc_id", "text", "fingerprint", "digest"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, text string, fingerprint string, digest binary")
-
-
-def with_classes(rows: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``rows`` of ``docs`` (doc_id, digest, ...) with class_id in the digest's place: the smallest id reachable over confirmed band-mates.
-
-    Rows with one id and different texts keep the class of each text; a null id has none.
-    """
-    found = rows.join(set_classes(docs, id_col=id_col, text_col=text_col, k=k, percent=PERCENT), "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
-    return found.select(*[c for c in rows.columns if c != "digest"], own)
-
-
-def near_classes(found: DataFrame, *, k: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id for each row of ``fingerprints``."""
-    return with_classes(found.select("doc_id", "digest"), found.select("doc_id", "text"), k=k)
-
-
 def _edited(text: str, following: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
@@ -83,67 +58,135 @@ def _edited(text: str, following: str) -> str:
 
 def _sign(texts: list[str]) -> np.ndarray:
     data, offs = bytes_of(pa.array(texts, pa.large_string()))
-    return prints(signatures(data, offs)[0])
+    return prints(samples(data, offs, PERMUTATIONS)[0])
 
 
-def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and digest of each row.
+_FOUND = ["n_chars", "edited_sha256", "print", "edited_print", "near_edited", "near_next"]
+_OWN = ["digest", "n_shingles", "bands", "sketch"]
+_FOUND_TYPES = "n_chars long, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double"
 
-    The edited text has its last half of code points replaced by as many of the next row's first.
-    Rows are ordered by id (null first; rows of one id by text) over range partitions, each read
-    as a stream; what a partition's last row needs of the next partition is its first text, so
-    one row per partition is resolved apart. The last row is followed by the first.
-    """
+
+def _against(texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray) -> list[pa.Array]:
+    """The columns of ``_FOUND``: each text against its edited form and the next text."""
+    edited = [_edited(t, f) for t, f in zip(texts, following)]
+    changed = _sign(edited)
+    return [
+        pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        pa.array([p.tobytes() for p in own], pa.binary()), pa.array([p.tobytes() for p in changed], pa.binary()), pa.array(likeness(own, changed)), pa.array(likeness(own, theirs)),
+    ]
+
+
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, turn, packed): texts compressed, over range partitions by id (null first) and, within an id, by text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, digest binary"
 
-    def rows_of(keys: list, texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray, sets: list[bytes | None]) -> list[pa.Array]:
-        edited = [_edited(t, f) for t, f in zip(texts, following)]
-        theirs_edited = _sign(edited)
-        return [
-            pa.array(keys, type=kinds[0]), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array([p.tobytes().hex() for p in own]), pa.array([p.tobytes().hex() for p in theirs_edited]), pa.array(likeness(own, theirs_edited)), pa.array(likeness(own, theirs)), pa.array(sets, pa.binary()),
-        ]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6)
+        for batch in batches:
+            packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("turn"), pa.array(packed, pa.binary())], names=["doc_id", "turn", "packed"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("turn"), text.alias("text")).mapInArrow(pack, f"doc_id {kind}, turn long, packed binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("turn")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "packed")
+
 
+def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+    """A written table: doc_id, the columns of ``_OWN`` and, but for the last row of each partition, those of ``_FOUND``; such a row has part, head and tail instead."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(docs.schema[id_col].dataType)]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "digest"]
-    edge = ["part", "head", "tail"]
+    kind = docs.schema[id_col].dataType
+    names = ["doc_id", *_OWN, *_FOUND, "part", "head", "tail"]
+
+    def own_columns(sample: np.ndarray, values: np.ndarray, at: np.ndarray) -> list[list]:
+        full = np.flatnonzero(np.diff(at))
+        keys, sketch = band_keys(sample[full], BANDS, ROWS), odd_sketches(sample[full])
+        upto = np.zeros(len(at) - 1, np.int64)
+        upto[full] = 1
+        upto = np.concatenate(([0], np.cumsum(upto)))
+        return [pa.array(digests(values, at), pa.binary()), pa.array(np.diff(at)), list_array(keys.view(np.int64).ravel(), upto * BANDS, pa.int64()), list_array(sketch.ravel(), upto * (SKETCH_BITS // 64), pa.int64())]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, head = TaskContext.get().partitionId(), None
-        held: tuple | None = None
-        for batch, data, offs in blocks(batches, text_col, 2 << 20):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            signature, sets = signatures(data, offs)
-            keys, own = batch.column(id_col).to_pylist(), prints(signature)
-            if head is None:
-                head = texts[0]
+        part, head, held = TaskContext.get().partitionId(), None, None
+        opened = zstandard.ZstdDecompressor()
+
+        def blocks() -> Iterator[tuple[list, list[bytes]]]:
+            keys, raws, size = [], [], 0
+            for batch in batches:
+                for key, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist()):
+                    keys.append(key)
+                    raws.append(opened.decompress(packed))
+                    size += len(raws[-1])
+                    if size >= block_bytes:
+                        yield keys, raws
+                        keys, raws, size = [], [], 0
+            if keys:
+                yield keys, raws
+
+        def rows(keys: list, own: list[pa.Array], found: list[pa.Array], edge: list[pa.Array] | None = None) -> pa.RecordBatch:
+            n = len(keys)
+            edge = edge or [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(kind)), *own, *found, *edge], names=names)
+
+        for keys, raws in blocks():
+            texts = [r.decode() for r in raws]
+            data, offs = np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+            sample, values, at = samples(data, offs, BANDS * ROWS)
+            own, mine = own_columns(sample, values, at), prints(sample)
+            if held:
+                key, text, before, columns = held
+                yield rows([key], columns, _against([text], before, texts[:1], mine[:1]))
             else:
-                texts, keys, own, sets = [held[1], *texts], [held[0], *keys], np.concatenate([held[2], own]), [held[3], *sets]
-            held = keys[-1], texts[-1], own[-1:], sets[-1]
+                head = texts[0]
             n = len(texts) - 1
             if n:
-                cols = rows_of(keys[:-1], texts[:-1], own[:-1], texts[1:], own[1:], sets[:-1])
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=names + edge)
+                yield rows(keys[:-1], [c.slice(0, n) for c in own], _against(texts[:-1], mine[:-1], texts[1:], mine[1:]))
+            held = keys[-1], texts[-1], mine[-1:], [c.slice(n) for c in own]
         if held:
-            blank = [pa.array([held[0]], type=kinds[0]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2, pa.array([held[3]], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array([part], pa.int64()), pa.array([head]), pa.array([held[1]])], names=names + edge)
+            key, text, _, columns = held
+            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
+            yield rows([key], columns, blank, [pa.array([part], pa.int64()), pa.array([head], pa.string()), pa.array([text], pa.string())])
+
+    own_types = "digest binary, n_shingles long, bands array<long>, sketch array<long>"
+    return written(_ordered(docs, id_col, text_col).mapInArrow(stream, f"doc_id {kind.simpleString()}, {own_types}, {_FOUND_TYPES}, part long, head string, tail string"))
+
+
+def compared(done: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and digest of each row of ``signed``.
+
+    The edited text has its last half of code points replaced by as many of the next row's first.
+    Rows are ordered by id (null first; rows of one id by a hash of the text); the last row is followed by the first.
+    """
+    kind = done.schema["doc_id"].dataType.simpleString()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key, text, following, name = (batch.column(c)[i].as_py() for c in ("doc_id", "tail", "next", "digest"))
+                text, following = batch.column("tail")[i].as_py(), batch.column("next")[i].as_py()
                 both = _sign([text, following])
-                yield pa.RecordBatch.from_arrays(rows_of([key], [text], both[:1], [following], both[1:], [name]), names=names)
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("digest"), *_against([text], both[:1], [following], both[1:])], names=["doc_id", "digest", *_FOUND])
 
-    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), F.col(text_col)]
-    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
-    done = written(rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(stream, f"{fields}, part long, head string, tail string"))
-    # one row per partition
+    # numbers of partitions alone are put in order; texts are joined to them
+    edges = done.filter(F.col("part").isNotNull())
     by = Window.orderBy("part")
-    edges = done.filter(F.col("part").isNotNull()).select("doc_id", "part", "head", "tail", "digest")
-    first = F.first("head").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edges = edges.select("doc_id", "tail", "digest", F.coalesce(F.lead("head").over(by), first).alias("next"))
-    return done.filter(F.col("part").isNull()).select(*names).unionByName(edges.mapInArrow(close, fields))
+    first = F.first("part").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = edges.select("part").select("part", F.coalesce(F.lead("part").over(by), first).alias("after"))
+    heads = edges.select(F.col("part").alias("after"), F.col("head").alias("next"))
+    last = edges.select("doc_id", "digest", "part", "tail").join(order, "part").join(heads, "after").select("doc_id", "digest", "tail", "next")
+    rows = done.filter(F.col("part").isNull()).select("doc_id", "digest", *_FOUND).unionByName(last.mapInArrow(close, f"doc_id {kind}, digest binary, {_FOUND_TYPES}"))
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select("doc_id", "n_chars", "edited_sha256", text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next", "digest")
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``compared`` and class_id, the smallest id reachable over confirmed band-mates.
+
+    Rows with one id and different texts keep the class of each text; a null id has none.
+    """
+    done = signed(docs, id_col=id_col, text_col=text_col)
+    classes = set_classes(done.select("doc_id", "n_shingles", "digest", "bands", "sketch"), docs, id_col=id_col, text_col=text_col, k=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS)
+    found = compared(done).join(classes, "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", own)

@@ -128,11 +128,12 @@ class Trees:
 
 
 def learn(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order: int = 3, sample: int = 4000, max_nodes: int = 1 << 21, max_languages: int = 512) -> Trees | None:
-    """Fit the trees on the rows given; None if none has a text and a language."""
+    """Fit the trees on the rows given; None if none has a text and a language.
+
+    Of more than ``max_languages`` values those with most rows are learned (ties by name), the others never predicted: a column of that many is dirty.
+    """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"{lang_col} holds more than {max_languages} values")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)

@@ -6,8 +6,8 @@ little as the targets allow. A cell's fitted weight over its tokens, divided by
 such ratio, is the probability with which its documents are kept: the expected tokens of
 what stays have the target shares in every marginal.
 
-Rows are reduced to cells before any shuffle, so a hot source is a few rows. The cells are a
-written table in each round; a round's marginals are aggregates joined back. A draw is a
+Rows are reduced to cells before any shuffle, so a hot source is a few rows. A round's marginals are
+window sums over the cells; a few rounds make one written table, so no plan grows with their number. A draw is a
 hash of the id, the same in any layout.
 
 Null source, language or topic is a value of its own; null or empty text has no tokens and is
@@ -17,7 +17,9 @@ draw. Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.tables import written
@@ -40,45 +42,77 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _marginal(cells: DataFrame, dim: str, value: str, name: str) -> DataFrame:
-    return cells.groupBy(F.col(dim).alias("_k")).agg(F.sum(value).alias(name))
-
-
-def targets(cells: DataFrame, dim: str, wanted: float | dict[str, float]) -> DataFrame:
-    """(_k, target) in tokens. A number tempers: shares go as that power of the tokens. A dict
-    names shares; values that it leaves out divide the rest by their tokens."""
-    own = _marginal(cells, dim, "tokens", "t").filter("t > 0")
-    if isinstance(wanted, dict):
-        named = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))])
-        own = own.withColumn("s", named[F.col("_k")]).withColumn("u", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.lit(0.0)))
-        total = own.agg(F.sum("t").alias("all"), F.sum("s").alias("ss"), F.sum("u").alias("su"))
-        rest = F.greatest(1.0 - F.coalesce("ss", F.lit(0.0)), F.lit(0.0))
-        share = F.coalesce("s", rest * F.col("u") / F.col("su"))
-        shares = own.join(F.broadcast(total)).withColumn("share", share)
-        whole = shares.agg(F.sum("share").alias("whole"))
-        return shares.join(F.broadcast(whole)).select("_k", (F.col("all") * F.col("share") / F.col("whole")).alias("target"))
-    own = own.withColumn("p", F.pow("t", F.lit(float(wanted))))
-    total = own.agg(F.sum("t").alias("all"), F.sum("p").alias("sp"))
-    return own.join(F.broadcast(total)).select("_k", (F.col("all") * F.col("p") / F.col("sp")).alias("target"))
-
-
-def rake(cells: DataFrame, wanted: dict[str, float | dict[str, float]], *, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
-    """``cells`` with the fitted ``weight``, after ``rounds`` or once every marginal is met to ``tolerance``."""
-    goal = {d: written(targets(cells, d, w)) for d, w in wanted.items()}
-    cells = written(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(rounds):
-        gap = F.lit(0.0)
-        for d in wanted:
-            have = _marginal(cells, d, "weight", "_s").withColumnRenamed("_k", "_h")
-            step = have.join(goal[d], F.col("_h").eqNullSafe(F.col("_k")), "left").select("_h", F.coalesce(F.col("target") / F.when(F.col("_s") > 0, F.col("_s")), F.lit(1.0)).alias("_f"))
-            cells = cells.join(step, F.col(d).eqNullSafe(F.col("_h"))).withColumn("weight", F.col("weight") * F.col("_f")).withColumn(f"_gap_{d}", F.abs(F.col("_f") - 1)).drop("_h", "_f")
-            gap = F.greatest(gap, F.col(f"_gap_{d}"))
-        cells = written(cells.withColumn("_gap", gap).drop(*[f"_gap_{d}" for d in wanted]))
-        worst = cells.agg(F.max("_gap")).first()[0]
+def with_targets(cells: DataFrame, wanted: dict[str, float | dict[str, float]]) -> DataFrame:
+    """``cells`` with ``_goal_<dim>``, the tokens wanted of a cell's value in each marginal (null for values without tokens).
+
+    A number tempers: shares go as that power of the tokens. A dict names shares; values that it
+    leaves out divide the rest by their tokens.
+    """
+    out, sums = cells, []
+    for d, w in wanted.items():
+        own = f"_t_{d}"
+        # of the cells of one value one stands for it in sums over values
+        out = out.withColumn(own, F.sum("tokens").over(Window.partitionBy(d))).withColumn(f"_one_{d}", F.row_number().over(Window.partitionBy(d).orderBy(*DIMS)) == 1)
+        t = F.when(F.col(f"_one_{d}") & (F.col(own) > 0), F.col(own).cast("double"))
+        if isinstance(w, dict):
+            named = _named(d, w)
+            sums += [F.sum(F.when(t.isNotNull(), named)), F.sum(F.when(named.isNull(), t))]
+        else:
+            sums += [F.sum(F.pow(t, F.lit(float(w)))), F.lit(0.0)]
+    out = written(out)
+    total, *parts = out.agg(F.sum("tokens"), *sums).first()
+    for n, (d, w) in enumerate(wanted.items()):
+        first, rest = parts[2 * n] or 0.0, parts[2 * n + 1] or 0.0
+        t = F.when(F.col(f"_t_{d}") > 0, F.col(f"_t_{d}").cast("double"))
+        if isinstance(w, dict):
+            room = max(1.0 - first, 0.0) if rest else 0.0
+            share = F.when(t.isNotNull(), F.coalesce(_named(d, w), F.lit(room) * t / F.lit(rest or 1.0)))
+            goal = F.lit(float(total or 0)) * share / F.lit((first + room) or 1.0)
+        else:
+            goal = F.lit(float(total or 0)) * F.pow(t, F.lit(float(w))) / F.lit(first or 1.0)
+        out = out.withColumn(f"_goal_{d}", goal)
+    return out.select(*cells.columns, *[f"_goal_{d}" for d in wanted])
+
+
+def _named(dim: str, shares: dict[str, float]) -> Column:
+    return F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))])[F.coalesce(F.col(dim), F.lit(""))] if shares else F.lit(None).cast("double")
+
+
+#: rounds whose plans are one job; the fit is looked at after each job
+ROUNDS = 4
+#: a job that closes less than this share of the gap says that the targets cannot all be met
+STALL = 0.1
+
+
+def rake(cells: DataFrame, wanted: dict[str, float | dict[str, float]], *, tolerance: float = 1e-10) -> tuple[DataFrame, float]:
+    """``cells`` with the fitted ``weight``, and the largest relative miss of a marginal in the last round.
+
+    Rounds go on until every marginal is met to ``tolerance``. Targets that the cells cannot meet together (a language that one
+    source alone has, with unequal shares) make the miss settle above it: then rounds end, with a warning.
+    """
+    cells = written(with_targets(cells, wanted).withColumn("weight", F.col("tokens").cast("double")))
+    names, miss = [c for c in cells.columns if c != "weight"], None
+    while True:
+        weight = "weight"
+        for r in range(ROUNDS):
+            gaps = []
+            for d in wanted:
+                have = F.sum(weight).over(Window.partitionBy(d))
+                cells = cells.withColumn("_f", F.coalesce(F.col(f"_goal_{d}") / F.when(have > 0, have), F.lit(1.0)))
+                cells = cells.withColumn(weight, F.col(weight) * F.col("_f"))
+                if r == ROUNDS - 1:
+                    cells = cells.withColumn(f"_gap_{d}", F.abs(F.col("_f") - 1))
+                    gaps.append(F.col(f"_gap_{d}"))
+        cells = written(cells.select(*names, "weight", (F.greatest(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(0.0)).alias("_gap")))
+        now = cells.agg(F.max("_gap")).first()[0] or 0.0
         cells = cells.drop("_gap")
-        if worst is None or worst <= tolerance:
+        if now <= tolerance:
+            break
+        if miss is not None and now > miss * (1 - STALL):
+            warnings.warn(f"the targets cannot all be met: a marginal misses its own by {now:.3g} of it", stacklevel=2)
             break
-    return cells
+        miss = now
+    return cells.drop(*[f"_goal_{d}" for d in wanted]), now
 
 
 def _cells(docs: DataFrame, id_col: str, text_col: str, topic: Column | None) -> DataFrame:
@@ -89,13 +123,13 @@ def _cells(docs: DataFrame, id_col: str, text_col: str, topic: Column | None) ->
     )
 
 
-def probabilities(rows: DataFrame, wanted: dict[str, float | dict[str, float]], *, rounds: int = 50) -> DataFrame:
+def probabilities(rows: DataFrame, wanted: dict[str, float | dict[str, float]]) -> DataFrame:
     """(_source, _lang, _topic, probability) of each cell of the rows."""
-    cells = rake(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), wanted, rounds=rounds)
+    cells, _ = rake(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), wanted)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    rates = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMS], rate.alias("_rate"))
-    top = rates.agg(F.max("_rate").alias("_top"))
-    return rates.join(F.broadcast(top)).withColumn("probability", F.coalesce(F.col("_rate") / F.col("_top"), F.lit(1.0))).drop("_rate", "_top")
+    top = cells.agg(F.max(rate)).first()[0]
+    share = rate / F.lit(top) if top else F.lit(None).cast("double")
+    return cells.select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.coalesce(share, F.lit(1.0)).alias("probability"))
 
 
 def _same(source: Column, lang: Column, topic: Column) -> Column:
@@ -104,21 +138,21 @@ def _same(source: Column, lang: Column, topic: Column) -> Column:
 
 def mix(
     docs: DataFrame, wanted: dict[str, float | dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
-    topic: Column | None = None, rounds: int = 50, seed: str = "mix",
+    topic: Column | None = None, seed: str = "mix",
 ) -> DataFrame:
     """id, source, lang, topic, tokens, probability, draw and kept for each row."""
     rows = written(_cells(docs, id_col, text_col, topic))
-    rates = probabilities(rows, wanted, rounds=rounds)
+    rates = probabilities(rows, wanted)
     out = rows.join(rates, _same(F.col("source"), F.col("lang"), F.col("topic"))).withColumn("draw", draw(F.col("doc_id"), seed))
     return out.select("doc_id", *DIMS, "tokens", "probability", "draw", (F.col("draw") < F.col("probability")).alias("kept"))
 
 
 def sampled(
     docs: DataFrame, wanted: dict[str, float | dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
-    topic: Column | None = None, rounds: int = 50, seed: str = "mix",
+    topic: Column | None = None, seed: str = "mix",
 ) -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps, with their own columns."""
-    rates = written(probabilities(_cells(docs, id_col, text_col, topic), wanted, rounds=rounds))
+    rates = written(probabilities(_cells(docs, id_col, text_col, topic), wanted))
     kind = topic if topic is not None else topic_of(F.col(text_col).cast("string"))
     rows = docs.select(F.struct("*").alias("all"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"), kind.alias("k"), draw(F.col(id_col), seed).alias("u"))
     return rows.join(rates, _same(F.col("s"), F.col("l"), F.col("k"))).filter(F.col("u") < F.col("probability")).select("all.*")

@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.components import PARITY_LONGS, bits_apart, buckets, linked
@@ -63,6 +63,15 @@ def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(flips.reshape(n, bits), axis=1, bitorder="little").view("<i8")
 
 
+def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[rows, bands] a key of each band's ``rows`` samples."""
+    key = np.zeros((len(samples), bands), U)
+    salt = np.arange(1, bands + 1, dtype=U) << U(48)
+    for r in range(rows):
+        key = mix(key * U(0x9E3779B97F4A7C15) + samples[:, r::rows] + salt)
+    return key
+
+
 def sketch_limit(threshold: float, samples: int, bits: int = SKETCH_BITS) -> int:
     """Differing bits beyond which a pair is surely below the threshold."""
     differ = samples * (1 - threshold) + 6 * math.sqrt(samples * threshold * (1 - threshold))
@@ -73,16 +82,13 @@ def sketch_limit(threshold: float, samples: int, bits: int = SKETCH_BITS) -> int
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, digest, bands, sketch) of each row."""
     a, b = permutations(bands * rows, 6)
-    salt = np.arange(1, bands + 1, dtype=U) << U(48)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, text_col):
             values, at = shingle_sets(data, offs, k)
             full = np.flatnonzero(np.diff(at))
             sample = minima(values, at, a, b)[full]
-            key = np.zeros((len(full), bands), U)
-            for r in range(rows):
-                key = mix(key * U(0x9E3779B97F4A7C15) + sample[:, r::rows] + salt)
+            key = band_keys(sample, bands, rows)
             where = np.zeros(len(at) - 1, np.int64)
             where[full] = 1
             upto = np.concatenate(([0], np.cumsum(where)))
@@ -178,24 +184,56 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: bits of the filter behind which sets are made: 8 MB whatever the input; what passes it wrongly is made in vain
+FILTER_BITS = 1 << 26
+
+
+def _filter_places(key: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)]
+
+
+def id_filter(ids: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of the ids, built by the cluster and of fixed size."""
+    place = F.explode(F.array(*_filter_places(key))).alias("p")
+    words = ids.select(place).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def passing(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (column ``key`` of both), and a few others; no row is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids, key))
+    names = docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                p = batch.column(f"_p{i}").to_numpy()
+                fine &= (held.value[p >> 6] >> (p & 63)) & 1 == 1
+            yield batch.select(names).filter(pa.array(fine))
+
+    return docs.select(*names, *[p.alias(f"_p{i}") for i, p in enumerate(_filter_places(key))]).mapInArrow(work, docs.schema)
+
+
 def set_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
+    sig: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
 ) -> DataFrame:
     """digest, class_id for each shingle set that a row with an id has: the smallest id of all rows whose sets are linked.
 
-    Sets are the nodes, so different texts under one id keep their own classes.
+    ``sig`` is a table of (doc_id, n_shingles, digest, bands, sketch) of the rows of ``docs``. Sets are the nodes, so different texts under one id keep their own classes.
     """
     limit = sketch_limit(percent / 100, bands * rows)
-    sig = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, bands=bands, rows=rows))
     named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
     first = written(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), one).select(F.col("digest").alias("node"), "doc_id", "one.*"))
-    repeats = not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        need = first.join(nodes, "node", "left_semi").select(F.col("doc_id").alias(id_col)).distinct()
-        sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k, by_set=True)
-        return sets.dropDuplicates(["node"]) if repeats else sets
+        # a set that is made in vain or twice joins nothing new
+        need = first.join(nodes, "node", "left_semi").select(F.col("doc_id").alias(id_col))
+        few = passing(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), need, id_col)
+        return full_sets(few, id_col=id_col, text_col=text_col, k=k, by_set=True)
 
     part = _parts(first, sets_of, limit, percent)
     found = written(first.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))

@@ -81,8 +81,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return fingerprints.with_classes(fingerprints.compared(docs), docs)
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
 @_query("op5_license_scan", licenses.scan_sql())
