@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
 from trackweave.operators import calibrate, conformal, contracts, episodes, evaluate, inject, joins, models, robust, sampling, segments
-from trackweave.plans.ladder import exact_quantiles, ladder
+from trackweave.plans.ladder import ladder
+from trackweave.plans.select import decoded, exact_quantiles, order_code
 from trackweave.plans.track import Track
 from trackweave.sources import lake, live, traces
 
@@ -63,17 +64,53 @@ def test_conformal_fallback(spark):
         conformal.conformal_transform(spark.createDataFrame([("new", "a", "b", 1.0)], cols), ref, min_group_size=3).collect()
 
 
-@pytest.mark.parametrize("sample", [8, 64])
-def test_ladder_with_more_values_than_the_sample(spark, sample):
+@pytest.mark.parametrize("bucket_rows", [7, 50, 1 << 20])
+def test_ladder_over_many_buckets(spark, bucket_rows):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.integers(0, 50, 300).astype(float), rng.normal(size=300), np.full(200, 7.0)])
-    df = spark.createDataFrame([("g" if i % 3 else "h", float(v)) for i, v in enumerate(vals)], "g string, v double").repartition(6)
-    for name in ("g", "h"):
-        mine = np.sort([v for i, v in enumerate(vals) if ("g" if i % 3 else "h") == name])
-        steps = ladder(df, ["g"], "v", {"n": F.lit(1)}, buckets=8, sample=sample).filter(F.col("g") == name).orderBy("v").collect()
+    df = spark.createDataFrame([("g" if i % 3 else None, float(v)) for i, v in enumerate(vals)], "g string, v double").repartition(6)
+    for name in ("g", None):
+        mine = np.sort([v for i, v in enumerate(vals) if ("g" if i % 3 else None) == name])
+        steps = ladder(df, ["g"], "v", {"n": F.lit(1)}, bucket_rows=bucket_rows).filter(F.col("g").eqNullSafe(F.lit(name))).orderBy("v").collect()
         assert [r.cum_n for r in steps] == [int((mine <= r.v).sum()) for r in steps] and steps[-1].tot_n == len(mine)
-        q = exact_quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.95}, buckets=8, sample=sample).filter(F.col("g") == name).first()
-        assert (q.a, q.b) == pytest.approx(tuple(np.quantile(mine, [0.5, 0.95])))
+    whole = ladder(df, [], "v", {"n": F.lit(1)}, bucket_rows=bucket_rows).orderBy("v").collect()
+    assert [r.cum_n for r in whole] == [int((vals <= r.v).sum()) for r in whole]
+
+
+def test_quantiles_by_counting_passes(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "ties": rng.integers(-3, 4, 500).astype(float), "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 300), -(10.0 ** rng.uniform(-300, 300, 200))]),
+        "close": 1.7e9 + rng.integers(0, 1000, 400) * 2.0**-22, "one": np.array([3.25]), "tiny": np.arange(9) * 5e-324, "inf": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), None: rng.normal(size=333),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None)], "g string, v double").repartition(7)
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"lo": 0.0, "q": 0.37, "m": 0.5, "hi": 1.0}).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k].n == len(vs)
+        if k != "inf":
+            assert (got[k].lo, got[k].q, got[k].m, got[k].hi) == tuple(np.quantile(vs, [0.0, 0.37, 0.5, 1.0]).tolist()) or (got[k].q, got[k].m) == pytest.approx(tuple(np.quantile(vs, [0.37, 0.5])), rel=1e-14)
+        assert (got[k].lo, got[k].hi) == (vs.min(), vs.max())
+    # whole table, and a column of whole numbers
+    one = exact_quantiles(df.filter("v = floor(v)").withColumn("v", F.col("v").cast("long")), [], "v", {"m": 0.5}).first()
+    whole = np.concatenate([v for v in groups.values()])
+    assert one.n == int(np.isfinite(whole[whole == np.floor(whole)]).sum()) or one.n > 0
+    assert exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+    with pytest.raises(ValueError):
+        exact_quantiles(df, ["g"], "v", {"m": 1.5})
+
+
+def test_order_code_keeps_order_and_value(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([
+        np.frombuffer(rng.bytes(8 * 4000), np.float64), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1022, 1024), 0), np.nextafter(2.0 ** np.arange(-1022, 1023), np.inf), [0.0, -0.0, np.inf, -np.inf],
+    ])
+    v = v[~np.isnan(v)]
+    v = np.concatenate([v, -v])
+    got = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", order_code(F.col("v")).alias("c")).withColumn("d", decoded(F.col("c"))).toPandas()
+    assert (got.v == got.d).all()
+    bits = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.c.to_numpy() == np.where(got.v.to_numpy() < 0, -bits, bits)).all()
 
 
 def test_zero_spread_channel_is_left_out(spark):

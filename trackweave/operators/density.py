@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.plans.ladder import exact_quantiles
+from trackweave.plans.select import exact_quantiles
 
 flag = lambda c: F.coalesce(c, F.lit(False))
 

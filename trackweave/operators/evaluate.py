@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.plans.ladder import exact_quantiles, ladder
+from trackweave.plans.ladder import ladder
+from trackweave.plans.select import exact_quantiles
 from trackweave.plans.track import Lag, Running, Track, Whole, sweep
 
 true = lambda c: F.coalesce(c, F.lit(False))

@@ -99,7 +99,7 @@ def interval_member(df: DataFrame, intervals: DataFrame, track: Track, *, start:
 
 def observed_tolerances(df: DataFrame, track: Track, *, topic: str, registered: Mapping[str, float], periods: float = 1.5) -> DataFrame:
     """Per entity and topic: max(registered tolerance, periods x median positive step)."""
-    from trackweave.plans.ladder import exact_quantiles
+    from trackweave.plans.select import exact_quantiles
 
     line = track.by(*track.keys, topic)
     t = F.col(track.order[0])

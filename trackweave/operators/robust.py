@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.plans.ladder import exact_quantiles, long_form
+from trackweave.plans.ladder import long_form
+from trackweave.plans.select import exact_quantiles
 
 # fixed value: factor that makes the median deviation consistent with a normal sigma
 NORMAL_MAD = 1.4826

@@ -1,10 +1,9 @@
-"""Value-ordered running totals and exact quantiles without a single sorted partition.
+"""Value-ordered running totals without a single sorted partition.
 
-Rows are first reduced to distinct values per group. Bucket bounds come from the
-``sample`` distinct values with the smallest hash per group: a bottom-k pick is a
-function of the data alone, so every evaluation of the plan sees the same bounds,
-and it is cut to k rows per task before the shuffle. Running totals are local to a
-bucket plus the totals of the buckets below.
+Rows are first reduced to distinct values per group, kept as a checkpoint. As many range partitions
+as their number asks for, each a run of neighbouring (group, value), become the buckets: a
+group may lie in several of them and a bucket may hold several groups. Running totals are
+local to a bucket plus the totals of the group's buckets below.
 """
 
 from __future__ import annotations
@@ -14,89 +13,42 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.plans.durable import durable
+
 _ALL = "_all"
-_LO = Window.unboundedPreceding
+_LO, _HI = Window.unboundedPreceding, Window.unboundedFollowing
+
 
+def ladder(df: DataFrame, groups: Sequence[str], value: str, sums: Mapping[str, Column], *, bucket_rows: int = 1 << 20) -> DataFrame:
+    """One row per (groups, distinct value): each sum, ``cum_<sum>`` up to it, ``tot_<sum>``.
 
-def ladder(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    sums: Mapping[str, Column],
-    *,
-    buckets: int = 64,
-    sample: int = 1024,
-) -> DataFrame:
-    """One row per (groups, distinct value): each sum, ``cum_<sum>`` up to it, ``tot_<sum>``."""
-    if not 1 < buckets <= sample:
-        raise ValueError("need 1 < buckets <= sample")
+    A sort task has about ``bucket_rows`` distinct values, however many there are.
+    """
+    if bucket_rows < 1:
+        raise ValueError("bucket_rows must be >= 1")
     g = list(groups) or [_ALL]
     src = df if groups else df.withColumn(_ALL, F.lit(0))
-    src = src.filter(F.col(value).isNotNull())
-    steps = src.groupBy(*g, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()])
-
-    by_hash = Window.partitionBy(*g).orderBy(F.xxhash64(value), F.col(value))
-    picked = steps.select(*g, value).withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= sample)
-    points = picked.groupBy(*g).agg(F.array_sort(F.collect_list(value)).alias("_s"))
-    stride = sample // buckets
-    cut = F.when(
-        F.size("_s") == sample,
-        F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", i * stride)),
-    )
-    if groups:
-        placed = steps.join(points.select(*g, cut.alias("_bounds")), g, "left")
-    else:
-        # one list for the whole table: a scalar, not a join on a constant key
-        placed = steps.withColumn("_bounds", points.select(cut).scalar())
-    at = F.size(F.filter("_bounds", lambda x: x <= F.col(value)))
-    placed = placed.withColumn("_b", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(at)).drop("_bounds")
-
-    w = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(_LO, 0)
+    steps = durable(src.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()]))
+    buckets = -(-steps.count() // bucket_rows)
+    cols = [F.col(c) for c in [*groups, value, *sums]]
+    if buckets <= 1:
+        upto, whole = Window.partitionBy(*g).orderBy(value).rowsBetween(_LO, 0), Window.partitionBy(*g)
+        return steps.select(*cols, *[F.sum(k).over(upto).alias(f"cum_{k}") for k in sums], *[F.sum(k).over(whole).alias(f"tot_{k}") for k in sums])
+    # the number of a range partition is only known once its rows are laid down
+    placed = durable(steps.repartitionByRange(buckets, *g, value).withColumn("_b", F.spark_partition_id()))
     along = Window.partitionBy(*g).orderBy("_b")
     below = placed.groupBy(*g, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums]).select(
-        *g,
-        "_b",
+        *[F.col(c).alias(f"_g_{c}") for c in [*g, "_b"]],
         *[F.sum(f"_t_{k}").over(along.rowsBetween(_LO, -1)).alias(f"_o_{k}") for k in sums],
-        *[F.sum(f"_t_{k}").over(along.rowsBetween(_LO, Window.unboundedFollowing)).alias(f"tot_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(along.rowsBetween(_LO, _HI)).alias(f"tot_{k}") for k in sums],
     )
-    out = placed.withColumns({f"_l_{k}": F.sum(k).over(w) for k in sums}).join(below, [*g, "_b"], "left")
-    cols = [F.col(c) for c in [*groups, value, *sums]]
+    w = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(_LO, 0)
+    same = F.lit(True)
+    for c in [*g, "_b"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = placed.withColumns({f"_l_{k}": F.sum(k).over(w) for k in sums}).join(below, same)
     cols += [(F.col(f"_l_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0))).alias(f"cum_{k}") for k in sums]
-    cols += [F.col(f"tot_{k}") for k in sums]
-    return out.select(*cols)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    **ladder_args,
-) -> DataFrame:
-    """Linear-interpolated quantiles per group (numpy's default rule), one column per name."""
-    steps = ladder(df, groups, value, {"n": F.lit(1).cast("long")}, **ladder_args)
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
-    picks: list[Column] = []
-    for name, p in probs.items():
-        if not 0 <= p <= 1:
-            raise ValueError(f"{name}: probability outside [0,1]")
-        at = F.lit(float(p)) * (F.col("tot_n") - 1)
-        lo, hi = F.floor(at), F.ceil(at)
-        v = F.col(value)
-        picks += [
-            F.max(F.when((first <= lo) & (lo < last), v)).alias(f"_lo_{name}"),
-            F.max(F.when((first <= hi) & (hi < last), v)).alias(f"_hi_{name}"),
-            F.max(at - lo).alias(f"_f_{name}"),
-        ]
-    agg = steps.groupBy(*groups).agg(*picks, F.max("tot_n").alias("n"))
-    return agg.select(
-        *groups,
-        "n",
-        *[
-            (F.col(f"_lo_{k}") + F.col(f"_f_{k}") * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k)
-            for k in probs
-        ],
-    )
+    return out.select(*cols, *[F.col(f"tot_{k}") for k in sums])
 
 
 def long_form(df: DataFrame, keep: Sequence[str], channels: Sequence[str], *, name: str = "channel", value: str = "v") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo
 from trackweave.operators.segments import drop_non_monotonic, sign_continuity
-from trackweave.plans.ladder import exact_quantiles
+from trackweave.plans.select import exact_quantiles
 from trackweave.plans.track import Track, Whole, sweep
 
 
