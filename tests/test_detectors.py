@@ -136,18 +136,61 @@ def test_temporal_evidence(spark):
         dc.temporal_evidence(df, tr, p_value="p", alpha=0.05, mode="persistence", max_gap_s=60.0, persistence_s=1.0, reference_surprisal=1.0)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from trackweave.streaming import live
+def test_stream_in_any_order_equals_batch(spark, tmp_path):
+    """Rows of one entity over micro-batches out of order; a closing row passes the watermark over all."""
+    from trackweave.streaming import keyed, live
 
     rows = [(k, i, t, z, True) for k, i, t, z in simple_series()]
     df = spark.createDataFrame(rows, "k string, row_pos long, t double, z double, ok boolean")
-    for part in range(3):  # in time order, one file per micro-batch
-        df.filter((F.col("row_pos") >= part * 100) & (F.col("row_pos") < part * 100 + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in (2, 0, 1):
+        df.filter(F.col("row_pos") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(None, -1, 1e9, None, None)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = live.page_sums(s, entity="k", time="t", position="row_pos", value="z", evaluable="ok", slack=0.5, max_gap_s=10.0)
+    out = keyed.page_sums(s, entity="k", time="t", position="row_pos", value="z", evaluable="ok", slack=0.5, max_gap_s=10.0, delay="1 day", slice_s=60.0)
     q = live.per_batch(out, live.append_batches(str(tmp_path / "out")), str(tmp_path / "ck"), once=True)
     q.awaitTermination()
-    got = {r.row_pos: r.cusum_score for r in live.read_batches(spark, str(tmp_path / "out"), out.schema).collect()}
+    found = live.read_batches(spark, str(tmp_path / "out"), out.schema).collect()
+    got = {r.row_pos: r.cusum_score for r in found}
     want = dc.simple_page_sums(df, Track(("k",), ("t", "row_pos"), 17.0), {"z": F.col("z")}, slack=0.5, max_gap_s=10.0, evaluable=F.col("ok"))
     want = {r.row_pos: r.cusum_score for r in want.collect()}
+    assert len(found) == len(got)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
+def states(q):
+    return [s for p in q.recentProgress for s in p["stateOperators"]]
+
+
+def test_latest_touches_only_the_keys_of_a_batch(spark, tmp_path):
+    from trackweave.streaming import keyed, live
+
+    schema = "k string, t double, v long"
+    spark.createDataFrame([(f"k{i}", 1.0, i) for i in range(500)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("k3", 2.0, 33), ("k4", 0.5, 44), ("new", 0.0, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    how = dict(key=["k"], order=["t", "v"])
+    out = keyed.latest(s, **how)
+    q = live.per_batch(out, live.append_batches(str(tmp_path / "out")), str(tmp_path / "ck"), once=True, mode="update")
+    q.awaitTermination()
+    assert [(s["numRowsUpdated"], s["numRowsTotal"]) for s in states(q)][:2] == [(500, 500), (3, 501)]
+    table = keyed.newest(live.read_batches(spark, str(tmp_path / "out"), out.schema), **how)
+    got = {r.k: r.v for r in table.collect()}
+    assert len(got) == 501 and (got["k3"], got["k4"], got["new"]) == (33, 4, 1)
+
+
+def test_keys_of_old_cycles_leave_the_state(spark, tmp_path):
+    from trackweave.streaming import keyed, live
+
+    schema, order = "k string, c long, t double", ["c", "t"]
+    for n, rows in enumerate([[("a", 1, 0.0), ("b", 1, 0.0), ("c", 1, 0.0)], [("a", 2, 1.0), ("b", 3, 2.0)], [("b", 5, 4.0), ("a", 4, 3.0), ("a", 3, 2.5)], [("b", 6, 5.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = keyed.cycle_changes(s, key="k", cycle="c", order=order)
+    q = live.per_batch(out, live.append_batches(str(tmp_path / "out")), str(tmp_path / "ck"), once=True, mode="update")
+    q.awaitTermination()
+    changes = live.read_batches(spark, str(tmp_path / "out"), out.schema)
+    table = keyed.present(changes, key="k", order=order)
+    # c was last seen five cycles ago, a two, which the watermark has reached after the last batch
+    assert {(r.k, r.c) for r in live.sweep_cycles(table.filter("c >= 5")).collect()} == {("b", 6)}
+    assert {r.k for r in table.collect()} <= {"a", "b"} and changes.filter("gone AND k = 'c'").count() == 1
+    assert states(q)[-1]["numRowsTotal"] < 6

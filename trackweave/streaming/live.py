@@ -1,4 +1,4 @@
-"""Streaming jobs over live rows: archive, latest state, cycle sweep, history, alerts, windows, page sums.
+"""Streaming jobs over live rows: archive, cycle sweep, history, alerts, windows, late rows. State kept by key is in ``keyed``.
 
 Sinks written per micro-batch are keyed by the batch id, so a repeated batch replaces its
 own output. A micro-batch is bounded by the source's rate option.
@@ -6,15 +6,12 @@ own output. A micro-batch is bounded by the source's rate option.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY_SCHEMA = "icao24 string, ts timestamp, lat double, lon double, alt double, velocity double, track double, vertical_rate double, is_ground boolean, is_military boolean"
 
@@ -63,24 +60,6 @@ def _forget(spark: SparkSession, path: str, before: int) -> None:
             fs.delete(s.getPath(), True)
 
 
-def upsert_latest(path: str, *, key: str, order: Sequence[str], keep: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch job keeping one newest row per key; ``keep`` may drop rows of the merged table.
-
-    Each batch writes a new version from the one before it, so running it again gives the same
-    table; older versions are dropped.
-    """
-
-    def job(batch: DataFrame, batch_id: int) -> None:
-        known = read_state(batch.sparkSession, path, before=batch_id)
-        rows = batch if known is None else known.unionByName(batch)
-        cols = [c for c in rows.columns if c != key]
-        merged = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(key, "_r.*")
-        (keep(merged) if keep else merged).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        _forget(batch.sparkSession, path, batch_id)
-
-    return job
-
-
 def sweep_cycles(state: DataFrame, *, cycle: str = "cycle_id", source: Sequence[str] = ()) -> DataFrame:
     """Entities seen in the running cycle or the one completed before it (per source); rows without a cycle stay."""
     seen = state.filter(F.col(cycle).isNotNull()).select(*source, cycle).distinct()
@@ -140,7 +119,11 @@ def last_per_poll(df: DataFrame, *, entity: str, order: Sequence[str]) -> DataFr
 
 
 def once_per_poll(stream: DataFrame, *, ts: str, every: str, entity: Sequence[str], fields: Sequence[str], delay: str, tie: str) -> DataFrame:
-    """The last row of every entity per poll interval, given out once the watermark has passed the interval."""
+    """The last row of every entity per poll interval.
+
+    In output mode ``append`` it is given out once the watermark has passed the interval, in mode
+    ``update`` by each batch that changes it, the newest interval included; either way passed intervals leave the state.
+    """
     last = F.max_by(F.struct(*fields), F.struct(ts, tie)).alias("_r")
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, every), *entity).agg(last).select("window", *entity, "_r.*")
 
@@ -191,34 +174,6 @@ def route_late(on_time: str, late: str, clock: str, *, ts: str, delay_s: float)
     return job
 
 
-def page_sums(
-    stream: DataFrame, *, entity: str, time: str, position: str, value: str, evaluable: str, slack: float, max_gap_s: float,
-) -> DataFrame:
-    """Row-by-row two-sided page sums with the state kept per entity between micro-batches.
-
-    The same recurrence as ``decide.simple_page_sums``: reset at a start, a non-positive or
-    long step and a non-evaluable row. Rows of one micro-batch are put in (time, position) order.
-    """
-    out = f"{entity} string, {position} long, {time} double, reset boolean, cusum_score double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev, up, down = state.get if state.exists else (None, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values([time, position])
-        resets, scores = np.zeros(len(rows), dtype=bool), np.zeros(len(rows))
-        for i, (t, v, ok) in enumerate(zip(rows[time].to_numpy(float), rows[value].to_numpy(float), rows[evaluable].to_numpy(bool))):
-            cut = prev is None or not ok or t - prev <= 0 or t - prev > max_gap_s
-            if cut:
-                up = down = 0.0
-            elif np.isfinite(v):
-                up, down = max(0.0, up + v - slack), max(0.0, down - v - slack)
-            resets[i], scores[i], prev = cut, max(up, down), t
-        state.update((float(prev), float(up), float(down)))
-        yield pd.DataFrame({entity: key[0], position: rows[position].to_numpy(), time: rows[time].to_numpy(float), "reset": resets, "cusum_score": scores})
-
-    cols = stream.select(entity, time, position, value, evaluable)
-    return cols.groupBy(entity).applyInPandasWithState(step, out, "prev double, up double, down double", "append", GroupStateTimeout.NoTimeout)
-
-
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """Everything ``append_batches`` wrote; empty when nothing has been written."""
     try:

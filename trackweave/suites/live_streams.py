@@ -4,16 +4,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackweave.sources.lake import scratch
-from trackweave.streaming import live
+from trackweave.streaming import keyed, live
 from trackweave.suites.base import query, r6, rounded, table, telemetry
 from trackweave.suites.detect import SIMPLE
 
 
-def stream(spark, d, *, mixed: bool = False):
+def stream(spark, d, *, mixed: bool = False, closing: bool = False):
     """The event table as a stream of track rows in four micro-batches.
 
     Batches follow one another in time, or hold every fourth row each (``mixed``), so that
-    rows of one entity and cycle come apart and out of order.
+    rows of one entity and cycle come apart and out of order. A ``closing`` row of no entity, a hundred
+    years on, lets the watermark pass all others.
     """
     path = scratch(spark, "live")
     e = table(spark, d, "events")
@@ -25,6 +26,10 @@ def stream(spark, d, *, mixed: bool = False):
         parts = e.withColumn("day", F.to_date("ts")).join(days.select("day", "part"), "day").drop("day")
     for i in range(4):
         parts.filter(F.col("part") == i).drop("part").repartition(2).write.mode("append").parquet(f"{path}/in")
+    if closing:
+        far = {"ts": keyed.closing_time(F.col("ts")), "event_id": F.lit(-1), "user_id": F.lit(None), "event_type": F.lit("closing"), "value": F.lit(None)}
+        last = e.orderBy(F.desc("ts"), "event_id").limit(1)
+        last.select(*[(far[f.name].cast(f.dataType) if f.name in far else F.col(f.name)).alias(f.name) for f in e.schema]).write.mode("append").parquet(f"{path}/in")
     e = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     return e.select(
         F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("row_pos"), F.col("ts").cast("timestamp").alias("ts"),
@@ -39,9 +44,9 @@ def drain(q):
         raise q.exception()
 
 
-def batches(spark, df):
+def batches(spark, df, *, mode="append"):
     path = scratch(spark, "stream")
-    drain(live.per_batch(df, live.append_batches(f"{path}/out"), f"{path}/ckpt", once=True))
+    drain(live.per_batch(df, live.append_batches(f"{path}/out"), f"{path}/ckpt", once=True, mode=mode))
     return live.read_batches(spark, f"{path}/out", df.schema)
 
 
@@ -56,17 +61,18 @@ def _(spark, d):
 
 @query("i2_latest_state", "SELECT source_id, arg_max(row_pos, (t, row_pos)) AS row_pos, arg_max(x, (t, row_pos)) AS x FROM tel GROUP BY source_id")
 def _(spark, d):
-    path = scratch(spark, "latest")
-    drain(live.per_batch(stream(spark, d, mixed=True), live.upsert_latest(f"{path}/state", key="source_id", order=["t", "row_pos"]), f"{path}/ckpt", once=True))
-    return live.read_state(spark, f"{path}/state").select("source_id", "row_pos", "x")
+    how = dict(key=["source_id"], order=["t", "row_pos"])
+    changes = batches(spark, keyed.latest(stream(spark, d, mixed=True).select("source_id", "t", "row_pos", "x"), **how), mode="update")
+    return keyed.newest(changes, **how).select("source_id", "row_pos", "x")
 
 
 @query("i3_cycle_sweep", "WITH s AS (SELECT source_id, max(row_pos // 500) AS cycle_id FROM tel GROUP BY source_id), m AS (SELECT max(cycle_id) AS c FROM s), p AS (SELECT coalesce((SELECT max(cycle_id) FROM s, m WHERE cycle_id < c), (SELECT c FROM m)) AS p) SELECT source_id, cycle_id FROM s, p WHERE cycle_id >= p")
 def _(spark, d):
-    path = scratch(spark, "cycles")
-    job = live.upsert_latest(f"{path}/state", key="source_id", order=["cycle_id", "t", "row_pos"], keep=live.sweep_cycles)
-    drain(live.per_batch(stream(spark, d, mixed=True).select("source_id", "cycle_id", "t", "row_pos"), job, f"{path}/ckpt", once=True))
-    return live.read_state(spark, f"{path}/state").select("source_id", "cycle_id")
+    order = ["cycle_id", "t", "row_pos"]
+    rows = stream(spark, d, mixed=True).select("source_id", "cycle_id", "t", "row_pos")
+    changes = batches(spark, keyed.cycle_changes(rows, key="source_id", cycle="cycle_id", order=order), mode="update")
+    # timers go by the watermark, which follows a batch behind: what it has still left is swept from the table
+    return live.sweep_cycles(keyed.present(changes, key="source_id", order=order)).select("source_id", "cycle_id")
 
 
 @query("i4_history_typed", "SELECT source_id AS icao24, t, x AS lat, CAST(NULL AS DOUBLE) AS velocity, CASE WHEN row_pos % 3 = 0 THEN x END AS track, false AS is_ground FROM tel")
@@ -86,10 +92,11 @@ def _(spark, d):
     return live.read_state(spark, f"{path}/state").select("row_pos", "icao24")
 
 
-@query("i6_poll_dedup", "SELECT CAST(t_us // 86400000000 * 86400 AS BIGINT) AS start_s, source_id, source_type AS kind, arg_max(row_pos, (t, row_pos)) AS row_pos FROM tel WHERE (t_us // 86400000000 + 1) * 86400000000 <= (SELECT max(t_us) FROM tel) - 3600000000 GROUP BY ALL")
+@query("i6_poll_dedup", "SELECT CAST(t_us // 86400000000 * 86400 AS BIGINT) AS start_s, source_id, source_type AS kind, arg_max(row_pos, (t, row_pos)) AS row_pos FROM tel GROUP BY ALL")
 def _(spark, d):
-    s = live.once_per_poll(stream(spark, d), ts="ts", every="1 day", entity=["source_id", "kind"], fields=["row_pos"], delay="1 hour", tie="row_pos")
-    return batches(spark, s).select(F.unix_seconds("window.start").alias("start_s"), "source_id", "kind", "row_pos")
+    s = live.once_per_poll(stream(spark, d, mixed=True), ts="ts", every="1 day", entity=["source_id", "kind"], fields=["t", "row_pos"], delay="31 days", tie="row_pos")
+    changes = batches(spark, s, mode="update").withColumn("start_s", F.unix_seconds("window.start"))
+    return keyed.newest(changes, key=["start_s", "source_id", "kind"], order=["t", "row_pos"]).select("start_s", "source_id", "kind", "row_pos")
 
 
 @query("i6_poll_last", "SELECT source_id, arg_max(row_pos, (t, row_pos)) AS row_pos FROM tel GROUP BY source_id")
@@ -122,8 +129,8 @@ def _(spark, d):
 
 @query("i10_streaming_cusum", f"WITH {SIMPLE} SELECT row_pos, rst AS reset, round(score, 6) + 0.0 AS cusum_score FROM s")
 def _(spark, d):
-    s = stream(spark, d).withColumns({"z": (F.col("x") - 45) / 30, "ok": F.col("kind") != "signup"})
-    out = live.page_sums(s, entity="source_id", time="t", position="row_pos", value="z", evaluable="ok", slack=0.25, max_gap_s=86400.0)
+    s = stream(spark, d, mixed=True, closing=True).withColumns({"z": (F.col("x") - 45) / 30, "ok": F.col("kind") != "signup"})
+    out = keyed.page_sums(s, entity="source_id", time="t", position="row_pos", value="z", evaluable="ok", slack=0.25, max_gap_s=86400.0, delay="31 days", slice_s=864000.0)
     return rounded(batches(spark, out).select("row_pos", "reset", "cusum_score"), "cusum_score")
 
 
