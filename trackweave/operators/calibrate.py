@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.operators.decide import fold_groups
+from trackweave.operators.decide import crossings, fold_groups, spaced
 from trackweave.operators.episodes import alarm_episodes, row_exposure
 from trackweave.plans.durable import durable
 from trackweave.plans.ladder import ladder
@@ -83,26 +83,12 @@ def crossing_counts(scores: DataFrame, track: Track, *, score: str, reset: Colum
     A row only speaks for the candidates between its predecessor and itself, so rows are
     not multiplied by the number of candidates.
     """
-    t = track.order[0]
     inner = track.by(*track.keys, block)
-    rows = sweep(scores, inner, {"_ps": Lag(F.col(score))})
-    was = F.when(F.coalesce(reset, F.lit(False)), 0.0).otherwise(F.coalesce(F.col("_ps"), F.lit(0.0)))
     grid = F.array(*[F.lit(float(h)) for h in candidates])
-    rows = rows.withColumns({"_was": was}).withColumn("h", F.explode(F.filter(grid, lambda h: (F.col("_was") < h) & (h <= F.col(score)))))
+    passed = F.filter(grid, lambda h: (F.col("_was") < h) & (h <= F.col(score)))
+    hits = crossings(scores, inner, score=score, reset=reset).select(*inner.keys, *track.order, F.explode(passed).alias("h"))
     line = track.by(*inner.keys, "h")
-    rows = runs(rows, line, {"t": F.col(t)}, lambda p, c: c["t"] - p["t"] >= refractory_s, out="_isle")
-
-    def fold(part: pd.DataFrame, state: dict) -> np.ndarray:
-        keep, last = np.zeros(len(part), dtype=bool), state.get("last", -np.inf)
-        for i, now in enumerate(part[t].to_numpy(float)):
-            if now - last >= refractory_s:
-                keep[i], last = True, now
-        state["last"] = last
-        return keep
-
-    slim = rows.select(*line.keys, *track.order, "_isle")
-    fired = fold_groups(slim, [*line.keys, "_isle"], list(track.order), fold, out="_emit").filter("_emit")
-    return fired.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("onsets"))
+    return spaced(hits, line, apart=refractory_s).groupBy(*line.keys).agg(F.count(F.lit(1)).alias("onsets"))
 
 
 def mean_rate_threshold(

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.plans.track import Lag, Running, Track, accumulate, close, row_frame, runs, settle, since, sweep
+from trackweave.plans.durable import durable
+from trackweave.plans.track import Ahead, Lag, Running, Track, accumulate, close, row_frame, runs, settle, since, sweep
 
 
 @dataclass(frozen=True)
@@ -174,31 +175,56 @@ def fold_groups(df: DataFrame, groups: list[str], order: list[str], fold: Fold,
     return laid.mapInPandas(run, schema)
 
 
-def crossing_alarms(
-    df: DataFrame, track: Track, *, score: str, reset: Column, threshold: float, refractory_s: float,
-) -> DataFrame:
-    """Rows where the score rises through ``threshold``, at least ``refractory_s`` after the last one emitted.
+def spaced(hits: DataFrame, track: Track, *, apart: float) -> DataFrame:
+    """The rows of each track that fire if the first does and then always the first at least ``apart`` after the one that fired last.
 
-    Crossings further apart than the refractory time do not influence each other, so the
-    greedy rule only runs inside stretches of close crossings.
+    Rows further apart do not influence each other, so the first of each stretch of close
+    rows fires. Inside a stretch every row points at the first one ``apart`` later; following
+    the pointers from its head reaches the rows that fire. Pointers are doubled: what two rounds reach
+    one jump reaches next, so a stretch of n fires takes about log2(n) joins on row numbers, however dense it is.
     """
-    if threshold <= 0 or refractory_s <= 0:
-        raise ValueError("threshold and refractory_s must be positive")
     t = track.order[0]
+    rows = runs(hits, track, {"t": F.col(t)}, lambda p, c: c["t"] - p["t"] >= apart, out="_isle")
+    line = track.by(*track.keys, "_isle")
+    rows = durable(sweep(rows, line, {"_n": Running(F.lit(1).cast("long"))}))
+    on = [*line.keys, "_n"]
+    span = rows.groupBy(*line.keys).agg((F.max(t) - F.min(t)).alias("_span")).filter(F.col("_span") >= apart).drop("_span")
+    inner = durable(rows.join(span, list(line.keys), "left_semi").select(*on, *track.order))
+    reached = rows.filter("_n = 1").select(*on)
+    if not inner.isEmpty():
+        # a question at each row's time plus the gap is answered by the next row at or after it
+        asked = inner.select(*line.keys, "_n", (F.col(t) + apart).alias(t), *[F.lit(None).cast(inner.schema[c].dataType).alias(c) for c in track.order[1:]], F.lit(0).alias("_side"))
+        both = asked.unionByName(inner.withColumn("_side", F.lit(1)))
+        ahead = Track(line.keys, (t, "_side", *track.order[1:]), track.chunk)
+        row = F.col("_side") == 1
+        jump = sweep(both, ahead, {"_to": Ahead(F.col("_n"), when=row)}).filter("_side = 0 AND _to IS NOT NULL").select(*on, "_to")
+        jump = durable(jump)
+        while True:
+            further = reached.join(jump, on).select(*line.keys, F.col("_to").alias("_n"))
+            reached = durable(reached.unionByName(further))
+            # where a jump lands the same jump goes on
+            after = jump.select(*line.keys, F.col("_n").alias("_to"), F.col("_to").alias("_then"))
+            jump = durable(jump.join(after, [*line.keys, "_to"]).select(*on, F.col("_then").alias("_to")))
+            if jump.isEmpty():
+                break
+    return rows.join(reached, on, "left_semi").drop("_isle", "_n")
+
+
+def crossings(df: DataFrame, track: Track, *, score: str, reset: Column) -> DataFrame:
+    """Add ``_was``, the score of the row before, 0 at a reset and at a start."""
     rows = sweep(df, track, {"_ps": Lag(F.col(score))})
     was = F.when(F.coalesce(reset, F.lit(False)), 0.0).otherwise(F.coalesce(F.col("_ps"), F.lit(0.0)))
-    hits = rows.filter((was < threshold) & (F.col(score) >= threshold)).drop("_ps")
-    hits = runs(hits, track, {"t": F.col(t)}, lambda p, c: c["t"] - p["t"] >= refractory_s, out="_isle")
+    return rows.withColumn("_was", was).drop("_ps")
 
-    def fold(rows: pd.DataFrame, state: dict) -> np.ndarray:
-        keep, last = np.zeros(len(rows), dtype=bool), state.get("last", -np.inf)
-        for i, now in enumerate(rows[t].to_numpy(float)):
-            if now - last >= refractory_s:
-                keep[i], last = True, now
-        state["last"] = last
-        return keep
-
-    return fold_groups(hits, [*track.keys, "_isle"], list(track.order), fold, out="_emit").filter("_emit").drop("_emit", "_isle")
+
+def crossing_alarms(
+    df: DataFrame, track: Track, *, score: str, reset: Column, threshold: float, refractory_s: float,
+) -> DataFrame:
+    """Rows where the score rises through ``threshold``, at least ``refractory_s`` after the last one emitted."""
+    if threshold <= 0 or refractory_s <= 0:
+        raise ValueError("threshold and refractory_s must be positive")
+    hits = crossings(df, track, score=score, reset=reset).filter((F.col("_was") < threshold) & (F.col(score) >= threshold)).drop("_was")
+    return spaced(hits, track, apart=refractory_s)
 
 
 def refractory_page_alarms(
