@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import geo
@@ -79,21 +79,59 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _boxes_around(name: str) -> Column:
+    """The boxes that may hold a point within reach of one in this box: two steps along each axis at most."""
+    step = F.sequence(F.lit(-2), F.lit(2))
+    at = [F.col(f"{name}.{c}") for c in ("cx", "cy", "cz")]
+    return F.flatten(F.flatten(F.transform(step, lambda i: F.transform(step, lambda j: F.transform(
+        step, lambda k: F.struct((at[0] + i).alias("cx"), (at[1] + j).alias("cy"), (at[2] + k).alias("cz")))))))
+
+
 def dbscan(cells: DataFrame, *, key: str, eps_km: float, min_samples: int) -> DataFrame:
     """Add ``cluster``: the smallest core key of the cluster, null for noise.
 
     A core has at least ``min_samples`` cells within ``eps_km``, itself included; a border
     cell joins its adjacent cluster with the smallest label.
+
+    Points fall into boxes so small that all points of a box are neighbours: a box of ``min_samples`` points
+    holds cores only, without a look at any pair. Points of other boxes count their
+    neighbours, where enough can be near at all. Two neighbouring boxes are linked by the first pair
+    of cores that is close enough, so components are those of a graph of boxes; no list of pairs of points is kept.
     """
-    points = durable(cells)
-    pairs = durable(_near_pairs(points.select(key, "lat", "lon"), points.select(key, "lat", "lon"), key=key, km=eps_km).select(key, "other"))
-    cores = durable(pairs.groupBy(key).count().filter(F.col("count") >= min_samples).select(F.col(key).alias("id")))
-    linked = pairs.join(cores.withColumnRenamed("id", key), key, "left_semi")
-    edges = linked.join(cores.withColumnRenamed("id", "other"), "other", "left_semi").select(F.col(key).alias("a"), F.col("other").alias("b"))
-    labels = connected_components(cores, edges)
-    reach = pairs.join(labels.withColumnRenamed("id", "other"), "other").groupBy(key).agg(F.min("label").alias("_border"))
-    own = labels.select(F.col("id").alias(key), F.col("label").alias("_own"))
-    out = points.join(own, key, "left").join(reach, key, "left")
+    side = chord_of_km(eps_km) * (1 - 1e-6) / 3**0.5
+    cx, cy, cz = unit_cube(F.col("lat"), F.col("lon"), side)
+    points = durable(cells.withColumn("_box", F.struct(cx.alias("cx"), cy.alias("cy"), cz.alias("cz"))))
+    sizes = durable(points.groupBy("_box").agg(F.count(F.lit(1)).alias("_n")))
+    reach = sizes.select("_box", F.col("_n"), F.explode(_boxes_around("_box")).alias("_other"))
+    reach = durable(reach.join(sizes.select(F.col("_box").alias("_other"), F.col("_n").alias("_n_other")), "_other"))
+    slim = points.select(key, "lat", "lon", "_box")
+    there = lambda df: df.select(F.col("_box").alias("_other"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *[c for c in df.columns if c not in (key, "lat", "lon", "_box")])
+    close = geo.haversine(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo"), radius=geo.EARTH_RADIUS_KM) <= eps_km
+
+    room = reach.groupBy("_box").agg(F.max("_n").alias("_n"), F.sum("_n_other").alias("_most")).filter((F.col("_n") < min_samples) & (F.col("_most") >= min_samples))
+    unsure = slim.join(room.select("_box", "_n"), "_box")
+    others = reach.filter("_box <> _other").select("_box", "_other")
+    counted = unsure.join(others, "_box").join(there(slim), "_other").filter(close).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    found = unsure.join(counted, key).filter(F.col("_n") + F.col("_c") >= min_samples).select(*slim.columns)
+    cores = durable(slim.join(sizes.filter(F.col("_n") >= min_samples).select("_box"), "_box", "left_semi").select(*slim.columns).unionByName(found))
+
+    heads = durable(cores.groupBy("_box").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_k")))
+    with_cores = others.join(heads.select("_box", F.col("_k")), "_box").join(heads.select(F.col("_box").alias("_other"), F.col("_k").alias("_k_other")), "_other")
+    # each pair of boxes once, asked from the side of fewer cores
+    fewer = (F.col("_k") < F.col("_k_other")) | ((F.col("_k") == F.col("_k_other")) & (F.col("_box") < F.col("_other")))
+    asked = cores.select("_box", "lat", "lon").join(with_cores.filter(fewer).select("_box", "_other"), "_box")
+    far = there(cores).withColumnRenamed("_other", "_there")
+    witness = asked.join(far, (F.col("_other") == F.col("_there")) & close, "left_semi").select(F.col("_box").alias("a"), F.col("_other").alias("b")).distinct()
+    edges = witness.unionByName(witness.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    parts = durable(connected_components(heads.select(F.col("_box").alias("id")), edges).withColumnRenamed("id", "_box"))
+    labels = parts.join(heads, "_box").groupBy("label").agg(F.min("_least").alias("_own"))
+    of_box = durable(parts.join(labels, "label").select("_box", "_own"))
+
+    rest = slim.join(cores.select(key), key, "left_anti")
+    lit = cores.join(of_box, "_box").select(key, "lat", "lon", "_box", F.col("_own").alias("_cluster"))
+    border = rest.join(reach.select("_box", "_other"), "_box").join(there(lit), "_other").filter(close).groupBy(key).agg(F.min("_cluster").alias("_border"))
+    own = cores.join(of_box, "_box").select(key, "_own")
+    out = points.drop("_box").join(own, key, "left").join(border, key, "left")
     return out.withColumn("cluster", F.coalesce("_own", "_border")).drop("_own", "_border")
 
 
