@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
-from trackweave.plans.track import Ahead, Carry, Lag, Lead, Running, Track, Whole, row_frame, runs, sweep, time_frame
-
+from trackweave.plans.track import BLOCK, Ahead, Carry, Frame, Lag, Lead, Running, Track, Whole, row_frame, runs, sweep, time_frame
 
 
 def trailing_median(df: DataFrame, track: Track, *, value: str, rows: int, out: str) -> DataFrame:
@@ -24,40 +23,44 @@ def _numbered(df: DataFrame, track: Track, extra: Mapping[str, object] | None =
     return sweep(df, track, {"_rn": Running(F.lit(1).cast("long")), **(extra or {})})
 
 
+def _spread(rows: DataFrame, *, window: int, stride: int) -> DataFrame:
+    """Rows, numbered by ``_rn`` from 1, once for each window they lie in: ``_win`` and their place ``_at`` in it from 0."""
+    first = F.greatest(F.ceil((F.col("_rn") - window) / stride), F.lit(0)).cast("long")
+    last = F.floor((F.col("_rn") - 1) / stride).cast("long")
+    homes = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("_win", F.explode(homes)).withColumn("_at", F.col("_rn") - 1 - F.col("_win") * stride)
+
+
+def _whole(window: int, max_gap_s: float) -> Column:
+    """Windows with all their rows and no inner gap above the limit."""
+    return (F.col("_n") == window) & (F.coalesce(F.col("_gap"), F.lit(0.0)) <= max_gap_s)
+
+
 def sliding_windows(
     df: DataFrame, track: Track, *, features: Sequence[str], window: int, stride: int, max_gap_s: float,
-    extra: Mapping[str, Column] | None = None, block_rows: int = 100_000,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per window of ``window`` rows starting every ``stride`` rows: x, mask, t_start, t_end.
 
     A window with an inner gap above ``max_gap_s`` is rejected. ``x`` holds missing cells
     as 0 and ``mask`` is 1 where a cell is finite. ``extra`` columns are gathered as lists.
+    A row goes to the windows that hold it, so lists are built for windows alone.
     """
     if window < 1 or stride < 1:
         raise ValueError("window and stride must be >= 1")
-    t = track.order[0]
+    t, more = track.order[0], dict(extra or {})
     rows = _numbered(df, track, {"_pt": Lag(F.col(t))}).withColumn("_dt", F.col(t) - F.col("_pt"))
     cells = [sc.finite(F.col(f)).cast("float") for f in features]
-    rows = rows.withColumns({
-        "_x": F.array(*[F.coalesce(c, F.lit(0.0).cast("float")) for c in cells]),
-        "_m": F.array(*[c.isNotNull().cast("float") for c in cells]),
-    })
-    for name, c in (extra or {}).items():
-        rows = rows.withColumn(f"_e_{name}", c)
-    span = lambda w: w.rowsBetween(0, window - 1)
-    frames = {
-        "x": lambda w: F.collect_list("_x").over(span(w)), "mask": lambda w: F.collect_list("_m").over(span(w)),
-        "t_end": lambda w: F.last(F.col(t)).over(span(w)), "_n": lambda w: F.count(F.lit(1)).over(span(w)),
-        **{name: (lambda w, n=name: F.collect_list(f"_e_{n}").over(span(w))) for name in (extra or {})},
-    }
-    if window > 1:
-        frames["_gap"] = lambda w: F.max("_dt").over(w.rowsBetween(1, window - 1))
-    keep = [*track.keys, *track.order, *[f"_e_{n}" for n in (extra or {})]]
-    out = row_frame(rows.select(*keep, "_x", "_m", "_dt", "_rn"), track, frames, before=0, after=window - 1, number="_rn", block_rows=block_rows)
-    ok = (F.col("_n") == window) & ((F.col("_rn") - 1) % stride == 0)
-    if window > 1:
-        ok = ok & (F.coalesce(F.col("_gap"), F.lit(0.0)) <= max_gap_s)
-    return out.filter(ok).select(*track.keys, F.col(t).alias("t_start"), "t_end", "x", "mask", *(extra or {}))
+    item = F.struct(
+        F.col("_at"), F.array(*[F.coalesce(c, F.lit(0.0).cast("float")) for c in cells]).alias("x"), F.array(*[c.isNotNull().cast("float") for c in cells]).alias("m"),
+        *[c.alias(f"e_{name}") for name, c in more.items()],
+    )
+    rows = _spread(rows, window=window, stride=stride).withColumn("_item", item)
+    wins = rows.groupBy(*track.keys, "_win").agg(
+        F.min_by(F.col(t), F.col("_at")).alias("t_start"), F.max_by(F.col(t), F.col("_at")).alias("t_end"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("_at") > 0, F.col("_dt"))).alias("_gap"), F.collect_list("_item").alias("_items"),
+    ).filter(_whole(window, max_gap_s)).withColumn("_items", F.array_sort("_items"))
+    return wins.select(*track.keys, "t_start", "t_end", F.col("_items.x").alias("x"), F.col("_items.m").alias("mask"), *[F.col(f"_items.e_{name}").alias(name) for name in more])
 
 
 def history_windows(
@@ -126,23 +129,17 @@ def window_truth(
         "_e": F.coalesce(evaluable, F.lit(False)).cast("int"),
         "_c": F.coalesce(evaluable & changed, F.lit(False)).cast("int"),
     })
-    tail = lambda w: w.rowsBetween(window - r, window - 1)
-    frames = {
-        "t_end": lambda w: F.last(F.col(t)).over(w.rowsBetween(0, window - 1)),
-        "_n": lambda w: F.count(F.lit(1)).over(w.rowsBetween(0, window - 1)),
-        "_den": lambda w: F.sum("_e").over(tail(w)), "_num": lambda w: F.sum("_c").over(tail(w)),
-        "_gap": lambda w: F.max("_dt").over(w.rowsBetween(1, max(window - 1, 1))),
-    }
-    if r < window:
-        frames["_old"] = lambda w: F.sum("_c").over(w.rowsBetween(0, window - r - 1))
-    out = row_frame(rows, track, frames, before=0, after=max(window - 1, 1), number="_rn")
-    gap = F.coalesce(F.col("_gap"), F.lit(0.0)) if window > 1 else F.lit(0.0)
-    out = out.filter((F.col("_n") == window) & ((F.col("_rn") - 1) % stride == 0) & (gap <= max_gap_s))
+    scored = F.col("_at") >= window - r
+    out = _spread(rows.select(*track.keys, F.col(t), "_rn", "_dt", "_e", "_c"), window=window, stride=stride).groupBy(*track.keys, "_win").agg(
+        F.min_by(F.col(t), F.col("_at")).alias("t_start"), F.max_by(F.col(t), F.col("_at")).alias("t_end"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("_at") > 0, F.col("_dt"))).alias("_gap"),
+        F.sum(F.when(scored, F.col("_e"))).alias("_den"), F.sum(F.when(scored, F.col("_c"))).alias("_num"), F.sum(F.when(~scored, F.col("_c"))).alias("_old"),
+    ).filter(_whole(window, max_gap_s))
     q = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))
     out = out.withColumn("q_w", q)
     steady = F.coalesce(F.col("q_w").isin(0.0, 1.0), F.lit(False))
     return out.select(
-        *track.keys, F.col(t).alias("t_start"), "t_end", "q_w", F.col("q_w").isNotNull().alias("truth_scoreable"),
+        *track.keys, "t_start", "t_end", "q_w", F.col("q_w").isNotNull().alias("truth_scoreable"),
         (F.col("q_w") > 0).alias("y_any"), steady.alias("steady_subset"), F.when(steady, F.col("q_w") == 1.0).alias("steady_label"),
         (F.col("_old") > 0 if r < window else F.lit(False)).alias("history_contaminated"),
     )
@@ -157,32 +154,30 @@ def lag_summary(
     ``track.order[0]`` is an integer clock with ``unit`` ticks per unit. An interval holds
     ages low <= a < high (the first also a = high); weight is 1 + (high - a)/(high - low).
     """
-    axis, reach = track.order[0], int(max(h for _, h in ages) * unit)
-    pair = F.struct(F.col(axis).alias("t"), sc.finite(F.col(value)).alias("v"))
-    rows = time_frame(
-        df.withColumn("_pair", pair), track, {"_hist": lambda w: F.collect_list("_pair").over(w.rangeBetween(-reach, 0))}, before=reach
-    )
+    axis, reach = track.order[0], math.ceil(max(h for _, h in ages) * unit)
+    v = F.col("_v")
+    # times count from the start of a row's slice: sums of products keep their digits
+    rel = lambda: (F.col(axis) - F.col(BLOCK) * max(int(track.chunk), reach, 1)) / float(unit)
+    frames: dict[str, Frame] = {}
+    for i, (low, high) in enumerate(ages):
+        old = math.floor(high * unit) if low == 0 else math.ceil(high * unit) - 1
+        over = lambda c, w, o=old, y=math.ceil(low * unit): c.over(w.rangeBetween(-o, -y))
+        frames |= {
+            f"_n{i}": lambda w, f=over: f(F.count(v), w), f"_v{i}": lambda w, f=over: f(F.sum(v), w),
+            f"_t{i}": lambda w, f=over: f(F.sum(F.when(v.isNotNull(), rel())), w), f"_p{i}": lambda w, f=over: f(F.sum(v * rel()), w),
+        }
+    frames["_now"] = lambda w: F.max(rel()).over(w.rangeBetween(0, 0))
+    rows = time_frame(df.withColumn("_v", sc.finite(F.col(value))), track, frames, before=reach)
     names = [f"{value}__tri_{i}" for i in range(len(ages))]
-    age = lambda p: (F.col(axis) - p["t"]) / float(unit)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
-
-    def mean(low: float, high: float) -> Column:
-        def inside(p: Column) -> Column:
-            young = age(p) <= high if low == 0 else age(p) < high
-            return p["v"].isNotNull() & (age(p) >= low) & young
-
-        def weight(p: Column) -> Column:
-            return 1.0 + (high - age(p)) / (high - low)
-
-        def weighted(p: Column) -> Column:
-            return weight(p) * p["v"]
 
-        hits = F.filter("_hist", inside)
-        return F.when(F.size(hits) > 0, total(F.transform(hits, weighted)) / total(F.transform(hits, weight)))
+    def mean(i: int, low: float, high: float) -> Column:
+        # weight 1 + (high - now + t) / (high - low) is a line in t: its sums need the sums of v, t and t v alone
+        flat, slope = 1.0 + (high - F.col("_now")) / (high - low), 1.0 / (high - low)
+        return F.when(F.col(f"_n{i}") > 0, (flat * F.col(f"_v{i}") + slope * F.col(f"_p{i}")) / (flat * F.col(f"_n{i}") + slope * F.col(f"_t{i}")))
 
-    rows = rows.withColumns({name: mean(low, high) for name, (low, high) in zip(names, ages)})
+    rows = rows.withColumns({name: mean(i, low, high) for i, (name, (low, high)) in enumerate(zip(names, ages))})
     last = sc.finite(F.col(value))
-    return rows.withColumns({f"{value}__last": last, f"{value}__delta": last - F.col(names[-1])}).drop("_pair", "_hist")
+    return rows.withColumns({f"{value}__last": last, f"{value}__delta": last - F.col(names[-1])}).drop("_v", "_now", *[f"_{c}{i}" for c in "nvtp" for i in range(len(ages))])
 
 
 def future_mean(df: DataFrame, track: Track, *, value: str, horizon: int, out: str) -> DataFrame:
