@@ -1,4 +1,7 @@
-"""Intermediate results as Parquet in the folder that all executors share."""
+"""Intermediate results as Parquet in the folder that all executors share.
+
+Files of the shuffles that made a table are dropped once it is written: what follows reads the table.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +12,13 @@ from pyspark.sql import DataFrame
 from trackweave.plans.durable import checkpoint_dir
 
 
+#: a setting of the session, so it holds for what comes after as well
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: lineage ends in files that outlive any executor."""
     path = f"{checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.sparkSession.conf.set(CLEANUP_CONF, "true")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
