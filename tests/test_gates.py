@@ -141,3 +141,41 @@ def test_page_policy_over_50_hours_equals_the_plain_fold(spark):
     assert len(stream) == 3000
     assert (got.mu, got.sigma, got.h) == pytest.approx((mu, sd, high), abs=2e-6)
     assert (got.fa_per_hour, got.meets_budget) == (pytest.approx(rate(high)), True)
+
+
+def test_turns_equal_the_greedy_loop():
+    import heapq
+    import random
+
+    from trackweave.operators.sampling import _turns
+
+    g = random.Random(7)
+    for _ in range(300):
+        k = g.randrange(2, 7)
+        load = [0] * k
+        for size in sorted({g.randrange(1, 40) for _ in range(g.randrange(1, 6))}, reverse=True):
+            count = g.choice([1, 2, 3, g.randrange(1, 60)])
+            heap = [(v, f) for f, v in enumerate(load)]
+            heapq.heapify(heap)
+            want = []
+            for _ in range(count):
+                v, f = heap[0]
+                want.append(f)
+                heapq.heapreplace(heap, (v + size, f))
+            phases, load = _turns(load, size, count)
+            assert len(phases) <= k
+            got = []
+            for i in range(count):
+                first, turn = [p for p in phases if p[0] <= i][-1]
+                got.append(turn[(i - first) % len(turn)])
+            assert got == want and sorted((v, f) for f, v in enumerate(load)) == sorted(heap)
+
+
+def test_group_folds_of_whole_numbers_and_a_missing_name(spark):
+    from trackweave.operators.sampling import group_folds
+
+    sizes = {9: 4, 10: 4, 11: 4, None: 4, 5: 1, 100: 7}
+    df = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "g int")
+    got = {r.g: (r.rows, r.fold) for r in group_folds(df, group="g", max_folds=3).collect()}
+    # 100 -> 0; 11 -> 1, 10 -> 2, 9 -> 1 (four rows each), none -> 2; 5 -> 0
+    assert got == {100: (7, 0), 11: (4, 1), 10: (4, 2), 9: (4, 1), None: (4, 2), 5: (1, 0)}

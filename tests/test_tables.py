@@ -210,7 +210,10 @@ def test_inconsistent_event_raises(spark):
 
 def test_contracts(spark):
     with pytest.raises(ValueError):
-        contracts.AlertBudget(1.0, {"a": 1.5})
+        contracts.AlertBudget(0.5, {"a": 1.5})
+    with pytest.raises(ValueError, match="more than the total"):
+        contracts.AlertBudget(0.001, {"speed": 0.0006, "track": 0.0005})
+    assert contracts.AlertBudget(0.3, {"a": 0.1, "b": 0.2}).channel_alpha["b"] == 0.2  # 0.1 + 0.2 rounds up
     with pytest.raises(ValueError):
         contracts.DetectorProfile("a", "persistence", 60.0)
     with pytest.raises(ValueError):
@@ -285,3 +288,25 @@ def test_codes(spark):
     assert [r[0] for r in sq.select(sc.normalise_squawk(F.col("s"))).collect()] == ["7700", "0033", "7500", None]
     p = spark.range(1).select(sc.normal_cdf(F.lit(1.6448536)).alias("p")).first().p
     assert p == pytest.approx(0.95, abs=1e-6)
+
+
+def test_only_stale_partitions_are_rewritten(spark, tmp_path):
+    import glob
+    import os
+
+    from trackweave.sources import topics
+
+    path = str(tmp_path / "records")
+    rows = [(f"f{i}", i, "normal", i % 4) for i in range(40)]
+    spark.createDataFrame(rows, "flight_id string, n int, fault_class string, part int").repartition("part").write.partitionBy("part").parquet(path)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    before = files()
+    truth = spark.createDataFrame([("f5", "motor"), ("f9", "motor"), ("f6", "normal"), ("zz", "motor")], "flight_id string, fault_class string")
+    assert [r.part for r in topics.reconcile_layer(spark, path, truth, partition="part").collect()] == [1]
+    after = files()
+    assert {f for f in before if "part=1" not in f} == {f for f in after if "part=1" not in f}
+    assert all(after[f] == t for f, t in before.items() if "part=1" not in f)
+    got = {(r.flight_id, r.n, r.fault_class, r.part) for r in spark.read.parquet(path).collect()}
+    assert got == {(f, n, "motor" if f in ("f5", "f9") else c, p) for f, n, c, p in rows}
+    # a second run finds nothing left to do
+    assert topics.reconcile_layer(spark, path, truth, partition="part").count() == 0 and files() == after

@@ -132,18 +132,18 @@ def union_layers(layers: Sequence[DataFrame], *, on: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class AlertBudget:
-    """Total episodes per hour and its allocation to channels."""
+    """One false-alert level and what each channel gets of it: never more than the whole."""
 
-    total_per_hour: float
+    total_alpha: float
     channel_alpha: Mapping[str, float]
 
     def __post_init__(self) -> None:
-        if not (math.isfinite(self.total_per_hour) and self.total_per_hour > 0):
-            raise ValueError("total budget must be finite and positive")
-        if not self.channel_alpha or any(not 0 < a < 1 for a in self.channel_alpha.values()):
-            raise ValueError("every channel needs an alpha inside (0, 1)")
-        if sum(self.channel_alpha.values()) >= 1:
-            raise ValueError("channel alphas must sum to less than 1")
+        given = [self.total_alpha, *self.channel_alpha.values()]
+        if not self.channel_alpha or any(not (math.isfinite(a) and 0 < a < 1) for a in given):
+            raise ValueError("the total and every channel need an alpha inside (0, 1)")
+        # the sum of shares may round up by the last bit
+        if math.fsum(self.channel_alpha.values()) > self.total_alpha + math.ulp(1.0):
+            raise ValueError("the channels get more than the total")
 
 
 @dataclass(frozen=True)
@@ -176,6 +176,7 @@ class DetectorProfile:
         if self.channel not in budget.channel_alpha:
             raise ValueError(f"no alert allocation for {self.channel!r}")
         kw = {k: getattr(self, k) for k in ("persistence_s", "reference_surprisal", "accumulation_threshold")}
-        return temporal_evidence(df, track, p_value=p_value, alpha=budget.channel_alpha[self.channel], mode=self.mode, max_gap_s=self.max_gap_s, **kw)
+        out = temporal_evidence(df, track, p_value=p_value, alpha=budget.channel_alpha[self.channel], mode=self.mode, max_gap_s=self.max_gap_s, **kw)
+        return out.withColumn("channel", F.lit(self.channel))
 
 

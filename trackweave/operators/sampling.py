@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
+from trackweave.plans.durable import durable
 from trackweave.plans.ladder import ladder
 from trackweave.plans.track import Running, Track, sweep
 
@@ -175,31 +174,58 @@ def balanced_roles(
     return rows.join(named, flight, "left").withColumn("role", role).drop("_f", "_q", "_place")
 
 
+def _turns(load: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How ``count`` groups of one size are dealt, each to the fold with the fewest rows: (first place, folds in turn) of each phase, and the rows of the folds afterwards.
+
+    A fold is next in order of (its rows, its number). Once the folds that have caught up lie within one size
+    of each other they take turns, until the next larger fold joins in: there are no more phases than folds.
+    """
+    load, done, phases = list(load), 0, []
+    line = sorted(range(len(load)), key=lambda f: (load[f], f))
+    for m in range(1, len(line) + 1):
+        turn = sorted(line[:m], key=lambda f: (load[f], f))
+        most = count - done
+        if m < len(line):
+            top, after = load[line[m]], line[m]
+            room = {f: max(0, (top - load[f]) // size + 1 if f < after else -(-(top - load[f]) // size)) for f in turn}
+            most = min(most, sum(room.values()))
+        if not most:
+            continue
+        phases.append((done, turn))
+        for i, f in enumerate(turn):
+            load[f] += size * (most // m + (i < most % m))
+        done += most
+        if done == count:
+            break
+    return phases, load
+
+
 def group_folds(df: DataFrame, *, group: str, max_folds: int = 5) -> DataFrame:
     """Fold per group: groups by falling size (ties: later names first), each to the fold with the fewest rows so far.
 
-    One row per group passes through one ordered stream whose state is the fold sizes.
+    Groups of one size are dealt together: only the distinct sizes, of which n rows have at most the root of 2 n, pass
+    through the driver. A group finds its fold by its place among those of its size.
     """
     if max_folds < 2:
         raise ValueError("need at least two folds")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-    n = sizes.count()
+    sizes = durable(df.groupBy(group).agg(F.count(F.lit(1)).alias("rows")))
+    counts = {r["rows"]: r["n"] for r in sizes.groupBy("rows").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
     if n < 2:
         raise ValueError("need at least two groups")
-    k = min(max_folds, n)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = [(0, f) for f in range(k)]
-        for pdf in batches:
-            folds = []
-            for rows in pdf["rows"]:
-                least, f = load[0]
-                heapq.heapreplace(load, (least + int(rows), f))
-                folds.append(f)
-            yield pdf.assign(fold=folds)
-
-    schema = sizes.withColumn("fold", F.lit(0)).schema
-    return sizes.coalesce(1).sortWithinPartitions(F.desc("rows"), F.desc(group)).mapInPandas(deal, schema)
+    load, dealt = [0] * min(max_folds, n), []
+    for size in sorted(counts, reverse=True):
+        phases, load = _turns(load, size, counts[size])
+        dealt.append((size, counts[size], phases))
+    plan = df.sparkSession.createDataFrame(dealt, "rows long, _many long, phases array<struct<first:long,turn:array<int>>>")
+    steps = ladder(sizes, ["rows"], group, {"n": F.lit(1).cast("long")})
+    # falling names; the group without a name, if there is one, comes last of its size
+    places = steps.select(F.col("rows").alias("_rows"), F.col(group).alias("_name"), (F.col("tot_n") - F.col("cum_n")).alias("_at"))
+    rows = sizes.join(places, (F.col("rows") == F.col("_rows")) & (F.col(group) == F.col("_name")), "left").join(plan, "rows")
+    rows = rows.withColumn("_place", F.coalesce("_at", F.col("_many") - 1))
+    phase = F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("_place")), -1)
+    turn = (F.col("_place") - phase["first"]) % F.size(phase["turn"])
+    return rows.select(group, "rows", F.get(phase["turn"], turn.cast("int")).alias("fold"))
 
 
 def candidate_thresholds(df: DataFrame, *, score: str, cap: int = 4096) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo
 from trackweave.operators.segments import drop_non_monotonic, sign_continuity
+from trackweave.plans.durable import durable
 from trackweave.plans.select import exact_quantiles
 from trackweave.plans.track import Track, Whole, sweep
 
@@ -101,3 +102,20 @@ def reconcile_class(records: DataFrame, truth: DataFrame, *, flight: str = "flig
     rows = records.join(truth.select(flight, F.col(column).alias("_now")), flight, "left")
     now = F.coalesce("_now", column)
     return rows.withColumn("reclassified", ~now.eqNullSafe(F.col(column))).withColumn(column, now).drop("_now")
+
+
+def reconcile_layer(spark: SparkSession, path: str, truth: DataFrame, *, partition: str, flight: str = "flight_id", column: str = "fault_class") -> DataFrame:
+    """Bring the records written under ``path`` to the current class; (partition) of each partition that was rewritten.
+
+    Only partitions that hold a differing class are read whole and replaced. New files are staged
+    beside the old ones and take their place when the job commits, so a run that dies leaves every
+    partition as it was or as it should be, and the next run finds what still differs.
+    """
+    now = reconcile_class(spark.read.parquet(path), truth, flight=flight, column=column)
+    stale = durable(now.filter("reclassified").select(partition).distinct())
+    if not stale.isEmpty():
+        # a table cannot be overwritten while it is read: the new rows are laid down first
+        fresh = durable(now.drop("reclassified").join(stale, partition, "left_semi"))
+        rows = fresh.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy(partition).parquet(path)
+    return stale

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trackweave.plans.track import Lag, Track, sweep
+
 HISTORY_SCHEMA = "icao24 string, ts timestamp, lat double, lon double, alt double, velocity double, track double, vertical_rate double, is_ground boolean, is_military boolean"
 
 
@@ -128,11 +130,28 @@ def once_per_poll(stream: DataFrame, *, ts: str, every: str, entity: Sequence[st
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, every), *entity).agg(last).select("window", *entity, "_r.*")
 
 
-def rolling(stream: DataFrame, *, ts: str, size: str, slide: str, by: Sequence[str], delay: str, entity: str) -> DataFrame:
-    """Rows and approximate distinct entities per sliding window and key (exact ones: ``density.live_density``)."""
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, size, slide), *by).agg(
-        F.count(F.lit(1)).alias("points"), F.approx_count_distinct(entity).alias("entities")
-    )
+def panes(stream: DataFrame, *, ts: str, slide_s: int, by: Sequence[str], entity: str, delay: str) -> DataFrame:
+    """Rows of each key and entity per pane (a slide of time, numbered), given out once when the watermark has passed it."""
+    per = stream.withWatermark(ts, delay).groupBy(F.window(ts, f"{slide_s} seconds"), *by, entity).agg(F.count(F.lit(1)).alias("points"))
+    return per.select(F.floor(F.unix_seconds("window.start") / slide_s).alias("pane"), *by, entity, "points")
+
+
+def rolling(found: DataFrame, *, by: Sequence[str], entity: str, size_s: int, slide_s: int) -> DataFrame:
+    """start_s, key, points and distinct entities of every window of ``size_s`` that slides by ``slide_s``, from its panes.
+
+    An entity is counted in a window at the first pane in which it occurs there: the windows
+    that hold a pane but not the entity's pane before. So no set of entities is kept, and counts are exact.
+    """
+    if size_s % slide_s:
+        raise ValueError("a window is a whole number of slides")
+    reach = size_s // slide_s
+    line = Track((*by, entity), ("pane",), 4096.0 * reach)
+    rows = sweep(found, line, {"_last": Lag(F.col("pane"))})
+    first = F.col("pane") - reach + 1
+    rows = rows.select(*by, "pane", "points", "_last", F.explode(F.sequence(first, F.col("pane"))).alias("_start"))
+    fresh = (F.col("_last").isNull() | (F.col("_last") < F.col("_start"))).cast("long")
+    out = rows.groupBy("_start", *by).agg(F.sum("points").alias("points"), F.sum(fresh).alias("entities"))
+    return out.select((F.col("_start") * slide_s).alias("start_s"), *by, "points", "entities")
 
 
 def tumbling_last(stream: DataFrame, *, ts: str, every: str, entity: str, fields: Sequence[str], delay: str, tie: str) -> DataFrame:

@@ -124,7 +124,7 @@ def _(spark, d):
 K9 = f"""lg AS (SELECT source_id, row_pos, t, ln(p / (1 - p)) AS g FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, x / (x + 40))) AS p FROM tel)), st AS (SELECT avg(g) AS mu, stddev_pop(g) AS sd FROM lg),
  zz AS MATERIALIZED (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY t, row_pos) - 1 AS at, (g - mu) / sd AS z FROM lg, st),
  nm AS (SELECT source_id, n, row_number() OVER (ORDER BY sha256(source_id)) - 1 AS no, count(*) OVER () AS k FROM (SELECT source_id, count(*) AS n FROM zz GROUP BY 1) WHERE n >= 10),
- dw AS (SELECT id, source_id, n, CAST(floor({UNIT.format("'k9' || chr(0) || 'start' || chr(0) || id")} * (n - 9)) AS BIGINT) AS f FROM (SELECT unnest(range(0, 120)) AS id) JOIN nm ON no = CAST(floor({UNIT.format("'k9' || chr(0) || 'track' || chr(0) || id")} * k) AS BIGINT)),
+ dw AS (SELECT id, source_id, n, CAST(floor({UNIT.format("'k9' || chr(0) || 'start' || chr(0) || id")} * (n - 9)) AS BIGINT) AS f FROM (SELECT unnest(range(0, 300)) AS id) JOIN nm ON no = CAST(floor({UNIT.format("'k9' || chr(0) || 'track' || chr(0) || id")} * k) AS BIGINT)),
  sr AS MATERIALIZED (SELECT id * 10 + i AS pos, z FROM dw, (SELECT unnest(range(0, 10)) AS i) JOIN zz ON zz.source_id = dw.source_id AND zz.at = f + i),
  zl AS MATERIALIZED (SELECT list(z ORDER BY pos) AS l FROM sr)"""
 
@@ -133,23 +133,15 @@ def page_fold(name: str, source: str) -> str:
     """Alarms of every h in ``source`` on the drawn stream."""
     return f"""{name}(h, i, s, skip, n) AS (SELECT h, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM {source} UNION ALL
   SELECT h, i + 1, CASE WHEN skip > 0 OR v > h THEN 0.0 ELSE v END, CASE WHEN skip > 0 THEN skip - 1 WHEN v > h THEN 5 ELSE 0 END, n + CASE WHEN skip = 0 AND v > h THEN 1 ELSE 0 END
-  FROM (SELECT *, greatest(0.0, s + l[i + 1] - 0.5) AS v FROM {name}, zl WHERE i < 1200))"""
+  FROM (SELECT *, greatest(0.0, s + l[i + 1] - 0.5) AS v FROM {name}, zl WHERE i < 3000))"""
 
 
 @query("k9_page_policy", f"""WITH RECURSIVE {K9}, pw AS (SELECT 2.0::DOUBLE ** unnest(range(0, 21)) AS h), {page_fold("fa", "pw")},
- top AS (SELECT min(h) AS top FROM fa WHERE i = 1200 AND n / 20.0 <= 1.0), gr AS (SELECT top * unnest(range(1, 4097)) / 4096 AS h FROM top), {page_fold("fb", "gr")},
- rr AS MATERIALIZED (SELECT h, n / 20.0 AS r FROM fb WHERE i = 1200),
+ top AS (SELECT min(h) AS top FROM fa WHERE i = 3000 AND n / 50.0 <= 1.0), gr AS (SELECT top * unnest(range(1, 4097)) / 4096 AS h FROM top), {page_fold("fb", "gr")},
+ rr AS MATERIALIZED (SELECT h, n / 50.0 AS r FROM fb WHERE i = 3000),
  bs(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, top FROM top UNION ALL SELECT k + 1, CASE WHEN r <= 1.0 THEN lo ELSE h END, CASE WHEN r <= 1.0 THEN h ELSE hi END FROM bs JOIN rr ON h = (lo + hi) / 2 WHERE k < 12)
 SELECT round(mu, 6) AS mu, round(sd, 6) AS sigma, round(hi, 6) AS h, r AS fa_per_hour, r <= 1.0 AS meets_budget FROM bs JOIN rr ON h = hi, st WHERE k = 12""")
 def _(spark, d):
-    rows = telemetry(spark, d).withColumn("p", F.col("x") / (F.col("x") + 40))
-    out = cb.fit_page_policy(rows, TRACK, score="p", slack=0.5, budget_per_hour=1.0, stride_s=60.0, hours=20.0, block_s=600.0, refractory_s=300.0, seed="k9")
-    return rounded(out, "mu", "sigma", "h")
-
-
-@query("k9_page_policy_50h")
-def _(spark, d):
-    """The whole bootstrap of the reference; the SQL above walks 20 hours of it only."""
     rows = telemetry(spark, d).withColumn("p", F.col("x") / (F.col("x") + 40))
     out = cb.fit_page_policy(rows, TRACK, score="p", slack=0.5, budget_per_hour=1.0, stride_s=60.0, hours=50.0, block_s=600.0, refractory_s=300.0, seed="k9")
     return rounded(out, "mu", "sigma", "h")

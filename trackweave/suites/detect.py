@@ -9,6 +9,7 @@ from trackweave.operators import decide as dc
 from trackweave.operators import residuals as rs
 from trackweave.operators import windows as wn
 from trackweave.plans.track import Track
+from trackweave.operators.contracts import AlertBudget, DetectorProfile
 from trackweave.suites.base import TRACK, query, r6, rounded, telemetry
 
 MICROS = Track(("source_id",), ("t_us", "row_pos"), 3 * 86400e6)
@@ -290,6 +291,18 @@ def _(spark, d):
     return rounded(out.select("row_pos", "temporal_evidence", "alarm", "reset_reason"), "temporal_evidence", n=4)
 
 
+@query("l8_profile_alarms", f"""WITH {PREV}, b AS (SELECT *, {PV} AS p, pr IS NULL OR dt <= 0 OR dt > 86400 AS cut FROM pv), g AS (SELECT *, sum(CASE WHEN cut OR p > 0.5 THEN 1 ELSE 0 END) OVER w AS k FROM b {W}),
+e AS (SELECT *, sum(CASE WHEN cut OR p > 0.5 THEN 0 ELSE dt END) OVER (PARTITION BY source_id, k ORDER BY t, row_pos) AS ev FROM g)
+SELECT 'speed' AS channel, row_pos, ev >= 43200 AS alarm FROM e UNION ALL SELECT 'track', row_pos, p <= 0.3 FROM b""")
+def _(spark, d):
+    budget = AlertBudget(0.8, {"speed": 0.5, "track": 0.3})
+    held = DetectorProfile("speed", "persistence", 86400.0, persistence_s=43200.0)
+    once = DetectorProfile("track", "instant", 86400.0)
+    rows = p_values(spark, d)
+    both = [x.apply(rows, TRACK, budget, p_value="p").select("channel", "row_pos", "alarm") for x in (held, once)]
+    return both[0].unionByName(both[1])
+
+
 @query("e18_accumulation", f"""WITH {PREV}, b AS (SELECT *, {PV} AS p, pr IS NULL OR dt <= 0 OR dt > 86400 AS cut FROM pv), g AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER w AS k FROM b {W}),
 e AS (SELECT *, sum(CASE WHEN cut THEN 0 ELSE dt * (-ln(p) - 0.9) END) OVER (PARTITION BY source_id, k ORDER BY t, row_pos) AS ps FROM g),
 s AS (SELECT *, ps - least(0, min(ps) OVER (PARTITION BY source_id, k ORDER BY t, row_pos)) AS ev FROM e)

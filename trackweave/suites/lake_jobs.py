@@ -408,9 +408,12 @@ def _(spark, d):
 
 @query("a25_metadata_reconcile", "SELECT DISTINCT source_id AS flight_id, CASE WHEN CAST(source_id AS BIGINT) % 5 = 0 THEN 'motor' ELSE 'normal' END AS fault_class, CAST(source_id AS BIGINT) % 5 = 0 AS reclassified FROM tel")
 def _(spark, d):
-    ids = telemetry(spark, d).select(F.col("source_id").alias("flight_id")).distinct()
-    truth = ids.filter(F.col("flight_id").cast("long") % 5 == 0).withColumn("fault_class", F.lit("motor"))
-    return topics.reconcile_class(ids.withColumn("fault_class", F.lit("normal")), truth)
+    path, key = lake.scratch(spark, "records"), F.col("flight_id").cast("long")
+    rows = telemetry(spark, d).select(F.col("source_id").alias("flight_id"), "row_pos", F.lit("normal").alias("fault_class"))
+    rows.withColumn("part", key % 10).repartition("part").write.partitionBy("part").parquet(path)
+    truth = rows.select("flight_id").distinct().filter(key % 5 == 0).withColumn("fault_class", F.lit("motor"))
+    topics.reconcile_layer(spark, path, truth, partition="part")
+    return spark.read.parquet(path).select("flight_id", "fault_class", (F.col("fault_class") != "normal").alias("reclassified")).distinct()
 
 
 @query("h31_source_day", "SELECT row_pos, '2024-01-0' || (1 + row_pos % 3) AS day FROM tel")

@@ -107,11 +107,11 @@ def _(spark, d):
 MAXT = "(SELECT max(t_us) FROM tel)"
 
 
-@query("i7_rolling_windows", f"""WITH w AS (SELECT source_type, unnest(range((t_us // 21600000000 - 3) * 21600000000, (t_us // 21600000000 + 1) * 21600000000, 21600000000)) AS s FROM tel)
-SELECT CAST(s / 1000000 AS BIGINT) AS start_s, source_type AS kind, count(*) AS points FROM w WHERE s + 86400000000 <= {MAXT} - 3600000000 GROUP BY ALL""")
+@query("i7_rolling_windows", """WITH w AS (SELECT source_id, source_type, unnest(range((t_us // 21600000000 - 3) * 21600000000, (t_us // 21600000000 + 1) * 21600000000, 21600000000)) AS s FROM tel)
+SELECT CAST(s / 1000000 AS BIGINT) AS start_s, source_type AS kind, count(*) AS points, count(DISTINCT source_id) AS entities FROM w GROUP BY ALL""")
 def _(spark, d):
-    s = live.rolling(stream(spark, d), ts="ts", size="24 hours", slide="6 hours", by=["kind"], delay="1 hour", entity="source_id")
-    return batches(spark, s).select(F.unix_seconds("window.start").alias("start_s"), "kind", "points")
+    s = live.panes(stream(spark, d, mixed=True, closing=True), ts="ts", slide_s=21_600, by=["kind"], entity="source_id", delay="31 days")
+    return live.rolling(batches(spark, s), by=["kind"], entity="source_id", size_s=86_400, slide_s=21_600)
 
 
 @query("i8_tumbling_last", f"SELECT CAST(t_us // 86400000000 * 86400 AS BIGINT) AS start_s, source_id, arg_max(x, (t, row_pos)) AS x FROM tel WHERE (t_us // 86400000000 + 1) * 86400000000 <= {MAXT} - 3600000000 GROUP BY 1, 2")
