@@ -191,6 +191,6 @@ def test_keys_of_old_cycles_leave_the_state(spark, tmp_path):
     changes = live.read_batches(spark, str(tmp_path / "out"), out.schema)
     table = keyed.present(changes, key="k", order=order)
     # c was last seen five cycles ago, a two, which the watermark has reached after the last batch
-    assert {(r.k, r.c) for r in live.sweep_cycles(table.filter("c >= 5")).collect()} == {("b", 6)}
+    assert {(r.k, r.c) for r in live.sweep_cycles(table.filter("c >= 5"), cycle="c").collect()} == {("b", 6)}
     assert {r.k for r in table.collect()} <= {"a", "b"} and changes.filter("gone AND k = 'c'").count() == 1
     assert states(q)[-1]["numRowsTotal"] < 6

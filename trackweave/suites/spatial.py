@@ -341,7 +341,15 @@ def _(spark, d):
     return dbscan_two_pass(dense_cells(spark, d), key="cell", eps_km=450.0, strict=9, relaxed=5)
 
 
-@query("k3_traffic_clusters")
+NEAR2 = f"""{centred(2.0, "")}, r AS MATERIALIZED (SELECT a.cell, b.n FROM p a CROSS JOIN p b QUALIFY row_number() OVER (PARTITION BY a.cell ORDER BY round({FAR}, 6), b.cell) <= 60),
+ hot AS MATERIALIZED (SELECT p.* FROM p JOIN (SELECT cell, greatest(quantile_cont(n::DOUBLE, 0.5), 2.0) AS th FROM r GROUP BY cell) USING (cell) WHERE n >= th)"""
+
+
+@query("k3_traffic_clusters", f"""WITH RECURSIVE {NEAR2}, {scan_sql('hot', 450.0, 6, '1')}, rest AS MATERIALIZED (SELECT hot.* FROM hot JOIN cl1 USING (cell) WHERE cluster IS NULL), {scan_sql('rest', 450.0, 4, '2')},
+c AS MATERIALIZED (SELECT lat, lon, n::DOUBLE AS w, coalesce(cl1.cluster, cl2.cluster) AS cluster FROM hot JOIN cl1 USING (cell) LEFT JOIN cl2 USING (cell) WHERE coalesce(cl1.cluster, cl2.cluster) IS NOT NULL),
+m AS (SELECT cluster, count(*) AS n_cells, sum(w) AS total_flight_count, sum(lat * w) / sum(w) AS clat, sum(lon * w) / sum(w) AS clon FROM c GROUP BY cluster)
+SELECT cluster, any_value(n_cells) AS n_cells, any_value(total_flight_count) AS total_flight_count, round(any_value(clat), 6) + 0.0 AS center_lat, round(any_value(clon), 6) + 0.0 AS center_lon,
+ round(max({HAV.format(r=6371.0088, a='clat', b='clon', c='lat', d='lon')}), 3) AS radius_km FROM c JOIN m USING (cluster) GROUP BY cluster""")
 def _(spark, d):
     from trackweave.operators.cluster import dbscan_two_pass, knn_threshold, summarize_clusters
 
@@ -349,7 +357,8 @@ def _(spark, d):
     la, lo = geo.square_cell_center(F.col("cell"), 2.0)
     cells = cells.select("cell", la.alias("lat"), lo.alias("lon"), F.col("point_count").cast("double").alias("flight_count"))
     hot = knn_threshold(cells, key="cell", value="flight_count", k=60, prob=0.5, floor=2.0, start_km=800.0).filter("keep")
-    return summarize_clusters(dbscan_two_pass(hot, key="cell", eps_km=450.0, strict=6, relaxed=4), weight="flight_count")
+    out = summarize_clusters(dbscan_two_pass(hot, key="cell", eps_km=450.0, strict=6, relaxed=4), weight="flight_count")
+    return rounded(rounded(out, "center_lat", "center_lon"), "radius_km", n=3)
 
 
 @query("d14_cluster_summary", f"""WITH c AS (SELECT {BIG} AS cluster, lat, lon, x AS w FROM tel),
