@@ -31,6 +31,8 @@ from trackweave.llm.text import bytes_of, list_array, minima, mix, permutations
 
 U = np.uint64
 PERMUTATIONS, SHINGLE, PERCENT = 128, 5, 80
+#: with it, Spark drops the files of a shuffle once the job that needed them has ended; each step here ends in a written table
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BANDS, ROWS = 40, 6
 
 
@@ -92,7 +94,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order, "packed")
 
 
-def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """A written table: doc_id, the columns of ``_OWN`` and, but for the last row of each partition, those of ``_FOUND``; such a row has part, head and tail instead."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -185,6 +187,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Rows with one id and different texts keep the class of each text; a null id has none.
     """
+    docs.sparkSession.conf.set(CLEANUP_CONF, "true")
     done = signed(docs, id_col=id_col, text_col=text_col)
     classes = set_classes(done.select("doc_id", "n_shingles", "digest", "bands", "sketch"), docs, id_col=id_col, text_col=text_col, k=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS)
     found = compared(done).join(classes, "digest", "left")

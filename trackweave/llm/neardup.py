@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.components import PARITY_LONGS, bits_apart, buckets, linked
 from trackweave.llm.tables import written
-from trackweave.llm.text import LOWER, blocks, distinct, list_array, minima, mix, permutations, shingles, word_hashes, words
+from trackweave.llm.text import BLOCK_BYTES, LOWER, blocks, distinct, list_array, minima, mix, permutations, shingles, word_hashes, words
 
 U = np.uint64
 SKETCH_BITS = 512
@@ -102,14 +102,14 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, bands: in
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int, by_set: bool = False) -> DataFrame:
+def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int, by_set: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, shingles, parity) of each row that has any; parity holds for each of its bits whether an odd number of shingles fall on it.
 
     The node is the id, or the digest of the set if ``by_set``.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches, text_col):
+        for batch, data, offs in blocks(batches, text_col, block_bytes):
             values, at = shingle_sets(data, offs, k)
             n, bits = batch.num_rows, 64 * PARITY_LONGS
             spot = np.repeat(np.arange(n) * bits, np.diff(at)) + (mix(values) % U(bits)).astype(np.int64)
@@ -233,7 +233,7 @@ def set_classes(
         # a set that is made in vain or twice joins nothing new
         need = first.join(nodes, "node", "left_semi").select(F.col("doc_id").alias(id_col))
         few = passing(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), need, id_col)
-        return full_sets(few, id_col=id_col, text_col=text_col, k=k, by_set=True)
+        return full_sets(few, id_col=id_col, text_col=text_col, k=k, by_set=True, block_bytes=1 << 20)
 
     part = _parts(first, sets_of, limit, percent)
     found = written(first.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
