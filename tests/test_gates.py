@@ -137,7 +137,7 @@ def test_page_policy_over_50_hours_equals_the_plain_fold(spark):
     for _ in range(12):
         mid = (low + high) / 2
         low, high = (low, mid) if rate(mid) <= 1.0 else (mid, high)
-    got = QUERIES["k9_page_policy_50h"](spark, sf).first()
+    got = QUERIES["k9_page_policy"](spark, sf).first()
     assert len(stream) == 3000
     assert (got.mu, got.sigma, got.h) == pytest.approx((mu, sd, high), abs=2e-6)
     assert (got.fa_per_hour, got.meets_budget) == (pytest.approx(rate(high)), True)
