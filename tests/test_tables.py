@@ -15,7 +15,7 @@ from trackweave.operators import calibrate, conformal, contracts, episodes, eval
 from trackweave.plans.ladder import ladder
 from trackweave.plans.select import decoded, exact_quantiles, order_code
 from trackweave.plans.track import Track
-from trackweave.sources import lake, live, traces
+from trackweave.sources import lake, live, topics, traces
 
 TR = Track(("k",), ("t", "row_pos"), 50.0)
 
@@ -310,3 +310,13 @@ def test_only_stale_partitions_are_rewritten(spark, tmp_path):
     assert got == {(f, n, "motor" if f in ("f5", "f9") else c, p) for f, n, c, p in rows}
     # a second run finds nothing left to do
     assert topics.reconcile_layer(spark, path, truth, partition="part").count() == 0 and files() == after
+
+
+def test_a_flight_without_trim_samples_leaves_the_others(spark):
+    rows = [("a", 0, 0.0, 1500.0), ("a", 1, 5.0, 1510.0), ("b", 2, 0.0, 1400.0), ("b", 3, 1.0, 1420.0), ("b", 4, 9.0, 1480.0), ("c", 5, 8.0, 1300.0), ("c", 6, 9.0, 1310.0)]
+    topic = spark.createDataFrame(rows, "flight_id string, row_pos long, t double, rc double")
+    onset = spark.createDataFrame([("a", 7.0), ("b", 7.0), ("c", 7.0)], "flight_id string, onset_s double")
+    got = topics.normalise_topic(topic, rename={"rc": "pwm"}, trim=["pwm"], onset=onset, untrimmed="drop")
+    assert {r.row_pos: r.pwm for r in got.collect()} == {0: -5.0, 1: 5.0, 2: -10.0, 3: 10.0, 4: 70.0}
+    with pytest.raises(Exception, match="no pwm samples before the onset"):
+        topics.normalise_topic(topic, rename={"rc": "pwm"}, trim=["pwm"], onset=onset).collect()

@@ -35,12 +35,15 @@ def relative_time(topics: Mapping[str, DataFrame], *, flight: str = "flight_id",
 def normalise_topic(
     df: DataFrame, *, rename: Mapping[str, str], degrees: Sequence[str] = (), trim: Sequence[str] = (), quaternion: Sequence[str] = (),
     mean_of: Mapping[str, tuple[str, str]] = {}, onset: DataFrame | None = None, flight: str = "flight_id", position: str = "row_pos",
+    untrimmed: str = "raise",
 ) -> DataFrame:
     """Renamed numeric channels: degrees to wrapped radians, commands minus their median before the onset, continuous quaternions.
 
     ``onset(flight, onset_s)`` lists faulty flights; the others trim over all rows. A flight
-    without any value to trim by raises.
+    without any value to trim by raises, or is left out (``untrimmed="drop"``) so that it does not stop the others.
     """
+    if untrimmed not in ("raise", "drop"):
+        raise ValueError(f"unknown way with untrimmed flights {untrimmed!r}")
     cols = {v: F.col(k).cast("double") for k, v in rename.items() if k in df.columns}
     rows = df.select(flight, position, "t", *[c.alias(n) for n, c in cols.items()])
     for name, (a, b) in mean_of.items():
@@ -52,7 +55,10 @@ def normalise_topic(
         for c in trims:
             mid = exact_quantiles(base, [flight], c, {"_mid": 0.5}).drop("n")
             missing = F.raise_error(F.lit(f"no {c} samples before the onset")).cast("double")
-            rows = rows.join(mid, flight, "left").withColumn(c, F.col(c) - F.coalesce("_mid", missing)).drop("_mid")
+            if untrimmed == "drop":
+                rows = rows.join(mid.filter(F.col("_mid").isNotNull()), flight).withColumn(c, F.col(c) - F.col("_mid")).drop("_mid")
+            else:
+                rows = rows.join(mid, flight, "left").withColumn(c, F.col(c) - F.coalesce("_mid", missing)).drop("_mid")
     if quaternion:
         rows = sign_continuity(rows, Track((flight,), (position,), 1e6), list(quaternion))
     return rows

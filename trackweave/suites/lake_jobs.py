@@ -395,7 +395,7 @@ def _(spark, d):
     tel = telemetry(spark, d).withColumns({"flight_id": F.col("source_id"), "stamp": F.col("t_us") * 1000})
     rel = topics.relative_time({k: tel.filter(F.col("source_type") == k) for k in ("view", "click")})
     onset = tel.select("flight_id").distinct().withColumn("onset_s", F.lit(1000000.0))
-    out = topics.normalise_topic(rel["view"], rename={"roll_deg": "roll", "track_deg": "pwm"}, degrees=["roll"], trim=["pwm"], onset=onset)
+    out = topics.normalise_topic(rel["view"], rename={"roll_deg": "roll", "track_deg": "pwm"}, degrees=["roll"], trim=["pwm"], onset=onset, untrimmed="drop")
     return rounded(rounded(rounded(out.select("row_pos", "t", "roll", "pwm"), "t"), "roll", n=9), "pwm")
 
 
