@@ -165,10 +165,16 @@ def fold_groups(df: DataFrame, groups: list[str], order: list[str], fold: Fold,
         key, state = None, {}
         for pdf in batches:
             flags = np.zeros(len(pdf), dtype=bool)
-            for k, idx in pdf.groupby(groups, sort=False, dropna=False).indices.items():
+            # groups in the order of their rows: the last one may go on in the next batch
+            here, before = pdf[groups], pdf[groups].shift()
+            new = ((here != before) & ~(here.isna() & before.isna())).any(axis=1).to_numpy()
+            new[:1] = True
+            starts = np.flatnonzero(new)
+            for a, b, k in zip(starts, [*starts[1:], len(pdf)], here.iloc[starts].itertuples(index=False, name=None)):
+                k = tuple(None if pd.isna(v) else v for v in k)
                 if k != key:
                     key, state = k, {}
-                flags[idx] = fold(pdf.iloc[idx], state)
+                flags[a:b] = fold(pdf.iloc[a:b], state)
             yield pdf.assign(**{out: flags})
 
     laid = df.repartition(*groups).sortWithinPartitions(*groups, *order)
@@ -239,14 +245,16 @@ def refractory_page_alarms(
     v = F.coalesce(sc.finite(z), F.lit(0.0))
     rows = settle(df.withColumn("_v", v), track)
     rows = accumulate(rows, track, {"_free": (F.lit(False), F.col("_v") - slack)})
-    over = F.col("_free") > threshold
+    # a little below the threshold, so that no rounding of the running sums hides a row that may fire
+    near = threshold - 1e-6
+    over = F.col("_free") > near
     rows = since(rows, track, {"_age": (over, F.when(over, 0).otherwise(1)), "_any": (F.lit(False), over.cast("int"))})
     renew = (F.col("_free") <= 0) & ((F.col("_any") == 0) | (F.col("_age") > refractory_rows))
     rows = sweep(rows.withColumn("_renew", renew), track, {"_pr": Lag(F.col("_renew"))})
     rows = sweep(rows, track, {"_isle": Running(F.coalesce(F.col("_pr"), F.lit(False)).cast("long"))})
     rows = close(rows.drop("_pr", "_renew", "_age", "_any"))
     keys = [*track.keys, "_isle"]
-    hot = rows.groupBy(*keys).agg(F.max("_free").alias("_top")).filter(F.col("_top") > threshold).select(*keys)
+    hot = rows.groupBy(*keys).agg(F.max("_free").alias("_top")).filter(F.col("_top") > near).select(*keys)
 
     def fold(rows: pd.DataFrame, state: dict) -> np.ndarray:
         s, skip = state.get("s", 0.0), state.get("skip", 0)
