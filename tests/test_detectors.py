@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.operators import calibrate
 from trackweave.operators import decide as dc
 from trackweave.plans.track import Track
 
@@ -116,6 +118,48 @@ def test_crossing_alarms(spark):
     assert {r.row_pos for r in got.collect()} == want
 
 
+def test_a_folded_group_goes_on_over_batches(spark):
+    # of a batch of four rows, a5 b1 b1 b5, a frame lists the groups as a5 b5 b1
+    rows = [("a", 5, 0), ("b", 1, 0), ("b", 1, 1), *[("b", 5, i) for i in range(9)]]
+    df = spark.createDataFrame(rows, "k string, g long, i long")
+
+    def third(pdf, state):
+        seen = state.get("n", 0) + np.arange(1, len(pdf) + 1)
+        state["n"] = int(seen[-1])
+        return seen % 3 == 0
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = dc.fold_groups(df, ["k", "g"], ["i"], third, out="on").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.i) for r in got if r.on} == {("b", 2), ("b", 5), ("b", 8)}
+
+
+def test_a_sum_at_the_threshold_does_not_hang_on_its_last_digit(spark):
+    below, above = 0.3 + 0.6 + 0.1, 0.1 + 0.2
+    assert below < 1.0 and above > 0.3
+    rows = spark.createDataFrame([("s", 0, 0.0, 0.0, 0), ("s", 1, 1.0, below, 0)], "k string, row_pos long, t double, z double, block long")
+    tr = Track(("k",), ("t", "row_pos"), 13.0)
+    got = dc.crossing_alarms(rows, tr, score="z", reset=F.lit(False), threshold=1.0, refractory_s=7.0)
+    assert [(r.row_pos, r.z) for r in got.collect()] == [(1, below)]
+    counts = calibrate.crossing_counts(rows, tr, score="z", reset=F.lit(False), candidates=[1.0], refractory_s=7.0, block="block")
+    assert [(r.h, r.onsets) for r in counts.collect()] == [(1.0, 1)]
+    page = spark.createDataFrame([("f", i, float(i), False, v) for i, v in enumerate([0.0, 0.1, 0.2, 0.1])], "flight string, row_pos long, t double, ground boolean, a double")
+    out = dc.page_sums(page, Track(("flight",), ("row_pos",), 7.0), {"a": dc.Calibration(0.0, 1.0, 0.0)}, time="t", on_ground="ground", threshold=0.3)
+    assert [r.cusum_joint_alarm for r in out.orderBy("row_pos").collect()] == [False, False, False, True]
+
+
+def test_scores_are_rounded_from_settled_sums(spark):
+    from trackweave.suites.calibration import fresh
+
+    # 0.5 / 30 and 1 / 30 add up to 0.05, in doubles to a little less
+    rows = [("s", i, float(i), False, x) for i, x in enumerate([50.0, 53.0, 53.5])]
+    df = spark.createDataFrame(rows, "k string, row_pos long, t double, on_ground boolean, x double")
+    got = fresh(df, Track(("k",), ("t", "row_pos"), 13.0)).orderBy("row_pos").collect()
+    assert [r.cusum_score for r in got] == [0.0, 0.0, 0.1]
+
+
 def test_temporal_evidence(spark):
     rows = [("f", i, t, p) for i, (t, p) in enumerate([(0, 0.5), (10, 0.01), (20, 0.01), (30, 0.5), (40, 0.01), (200, 0.01), (210, 0.01)])]
     df = spark.createDataFrame([(k, i, float(t), p) for k, i, t, p in rows], "k string, row_pos long, t double, p double")

@@ -135,6 +135,11 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def settled(x: Column) -> Column:
+    """A sum of doubles without the digits that depend on the order in which it was added up; compare this with a threshold."""
+    return F.round(x, 9)
+
+
 def logit_standardise(p: Column, mu: float, sigma: float) -> Column:
     q = F.when(p.isNotNull(), F.greatest(F.lit(1e-6), F.least(p, F.lit(1 - 1e-6))))
     return (F.log(q / (1 - q)) - mu) / sigma

@@ -74,7 +74,7 @@ def page_sums(
     observed = sum((F.col(f"{c}_observed").cast("int") for c in channels), F.lit(0))
     rows = rows.withColumns({"cusum_joint_score": F.greatest(*states), "cusum_observed_channels": observed})
     rows = rows.withColumn("cusum_evaluable", F.col("cusum_observed_channels") > 0)
-    rows = rows.withColumn("cusum_joint_alarm", F.col("cusum_evaluable") & (F.col("cusum_joint_score") > threshold))
+    rows = rows.withColumn("cusum_joint_alarm", F.col("cusum_evaluable") & (sc.settled(F.col("cusum_joint_score")) > threshold))
     return close(rows.drop("_pt", "_pg", "_had", *[f"_el_{c}" for c in channels]))
 
 
@@ -217,8 +217,8 @@ def spaced(hits: DataFrame, track: Track, *, apart: float) -> DataFrame:
 
 
 def crossings(df: DataFrame, track: Track, *, score: str, reset: Column) -> DataFrame:
-    """Add ``_was``, the score of the row before, 0 at a reset and at a start."""
-    rows = sweep(df, track, {"_ps": Lag(F.col(score))})
+    """Add ``_now``, the settled score, and ``_was``, that of the row before, 0 at a reset and at a start."""
+    rows = sweep(df.withColumn("_now", sc.settled(F.col(score))), track, {"_ps": Lag(F.col("_now"))})
     was = F.when(F.coalesce(reset, F.lit(False)), 0.0).otherwise(F.coalesce(F.col("_ps"), F.lit(0.0)))
     return rows.withColumn("_was", was).drop("_ps")
 
@@ -229,7 +229,7 @@ def crossing_alarms(
     """Rows where the score rises through ``threshold``, at least ``refractory_s`` after the last one emitted."""
     if threshold <= 0 or refractory_s <= 0:
         raise ValueError("threshold and refractory_s must be positive")
-    hits = crossings(df, track, score=score, reset=reset).filter((F.col("_was") < threshold) & (F.col(score) >= threshold)).drop("_was")
+    hits = crossings(df, track, score=score, reset=reset).filter((F.col("_was") < threshold) & (F.col("_now") >= threshold)).drop("_was", "_now")
     return spaced(hits, track, apart=refractory_s)
 
 

@@ -225,7 +225,7 @@ PAGE = f"""{PREV}, rr AS (SELECT *, CASE WHEN pr IS NULL THEN 'flight_start' WHE
 
 
 @query("e11_vector_page_cusum", f"""WITH {PAGE} SELECT row_pos, a.reason AS cusum_reset_reason, round(a.sp, 6) + 0.0 AS alt_pos, round(a.sn, 6) + 0.0 AS alt_neg, round(b.sp, 6) + 0.0 AS x_pos, a.mr AS alt_missing_reset,
- round(greatest(a.sp, a.sn, b.sp, b.sn), 6) + 0.0 AS joint, (a.obs OR b.obs) AND greatest(a.sp, a.sn, b.sp, b.sn) > 2.0 AS alarm FROM q_a a JOIN q_b b USING (row_pos)""")
+ round(greatest(a.sp, a.sn, b.sp, b.sn), 6) + 0.0 AS joint, (a.obs OR b.obs) AND round(greatest(a.sp, a.sn, b.sp, b.sn), 9) > 2.0 AS alarm FROM q_a a JOIN q_b b USING (row_pos)""")
 def _(spark, d):
     out = page(spark, d)
     return out.select(
@@ -256,7 +256,7 @@ def _(spark, d):
     return rounded(simple(spark, d).select("row_pos", "reset", "cusum_score"), "cusum_score")
 
 
-@query("e13_crossing_alarms", f"""WITH RECURSIVE {SIMPLE}, l AS (SELECT *, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER w, 0) END AS ps FROM s {W}),
+@query("e13_crossing_alarms", f"""WITH RECURSIVE {SIMPLE}, f9 AS (SELECT * REPLACE (round(score, 9) AS score) FROM s), l AS (SELECT *, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER w, 0) END AS ps FROM f9 {W}),
  c AS (SELECT source_id, row_pos, t, row_number() OVER w AS i FROM l WHERE ps < 1.0 AND score >= 1.0 {W}),
  fold AS (SELECT source_id, row_pos, t AS last, i, true AS emit FROM c WHERE i = 1
   UNION ALL SELECT c.source_id, c.row_pos, CASE WHEN c.t - f.last >= 172800 THEN c.t ELSE f.last END, c.i, c.t - f.last >= 172800 FROM fold f JOIN c ON c.source_id = f.source_id AND c.i = f.i + 1)
