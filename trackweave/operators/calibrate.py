@@ -85,7 +85,7 @@ def crossing_counts(scores: DataFrame, track: Track, *, score: str, reset: Colum
     """
     inner = track.by(*track.keys, block)
     grid = F.array(*[F.lit(float(h)) for h in candidates])
-    passed = F.filter(grid, lambda h: (F.col("_was") < h) & (h <= F.col(score)))
+    passed = F.filter(grid, lambda h: (F.col("_was") < h) & (h <= F.col("_now")))
     hits = crossings(scores, inner, score=score, reset=reset).select(*inner.keys, *track.order, F.explode(passed).alias("h"))
     line = track.by(*inner.keys, "h")
     return spaced(hits, line, apart=refractory_s).groupBy(*line.keys).agg(F.count(F.lit(1)).alias("onsets"))
@@ -109,7 +109,7 @@ def mean_rate_threshold(
     t, keys = F.col(track.order[0]), [*track.keys, "block"]
     begin = rows.groupBy(*track.keys).agg(F.min(t).alias("_t0"))
     cut = rows.join(begin, list(track.keys)).withColumn("block", F.floor((t - F.col("_t0")) / block_s)).drop("_t0")
-    scored = durable(score(cut, track.by(*keys)).select(*keys, *track.order, column, reset))
+    scored = durable(score(cut, track.by(*keys)).select(*keys, *track.order, sc.settled(F.col(column)).alias(column), reset))
     length = scored.groupBy(*keys).agg((F.max(t) - F.min(t)).alias("exposure_s"), F.count(F.lit(1)).alias("_n"))
     length = durable(length.filter((F.col("_n") >= 2) & (F.col("exposure_s") > 0)).drop("_n"))
     total = length.agg((F.sum("exposure_s") / 3600).alias("hours"), F.count(F.lit(1)).alias("n")).first()

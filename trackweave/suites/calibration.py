@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from trackweave.functions import scalars as sc
 from trackweave.operators import calibrate as cb
 from trackweave.operators import decide as dc
 from trackweave.operators import inject as ij
@@ -55,12 +56,12 @@ def _(spark, d):
 
 def fresh(rows, track):
     out = dc.simple_page_sums(rows, track, {"x": (F.col("x") - 45) / 30}, slack=0.25, max_gap_s=86400.0, evaluable=~F.col("on_ground"))
-    return out.withColumn("cusum_score", F.round("cusum_score", 1) + F.lit(0.0))
+    return out.withColumn("cusum_score", F.round(sc.settled(F.col("cusum_score")), 1) + F.lit(0.0))
 
 
 BLOCKED = SIMPLE.replace("FROM tel", "FROM telb").replace("source_id", "flight_block")
 K8 = f"""telb AS (SELECT *, source_id || ':' || CAST(floor((t - t0) / 604800) AS BIGINT) AS flight_block FROM (SELECT *, min(t) OVER (PARTITION BY source_id) AS t0 FROM tel)), {BLOCKED},
- q AS (SELECT flight_block, t, row_pos, rst, round(score, 1) + 0.0 AS score FROM s),
+ q AS (SELECT flight_block, t, row_pos, rst, CAST(round(CAST(round(score, 9) AS DECIMAL(38, 9)), 1) AS DOUBLE) AS score FROM s),
  bl AS (SELECT flight_block, max(t) - min(t) AS exposure_s FROM q GROUP BY 1 HAVING count(*) >= 2 AND max(t) > min(t)),
  l AS (SELECT q.*, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER (PARTITION BY flight_block ORDER BY t, row_pos), 0) END AS ps FROM q SEMI JOIN bl USING (flight_block)),
  hh AS (SELECT DISTINCT score AS h FROM l WHERE score > 2.3e-16),
@@ -82,7 +83,7 @@ def _(spark, d):
     return rounded(rounded(out, "threshold_h", "observed_hours"), "bootstrap_mean", "bootstrap_median", "bootstrap_p95", n=7)
 
 
-@query("k8_crossing_counts", f"""WITH RECURSIVE {SIMPLE}, b AS (SELECT *, CAST(floor(t / 604800) AS BIGINT) AS block FROM s), l AS (SELECT *, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER (PARTITION BY source_id, block ORDER BY t, row_pos), 0) END AS ps FROM b),
+@query("k8_crossing_counts", f"""WITH RECURSIVE {SIMPLE}, b AS (SELECT * REPLACE (round(score, 9) AS score), CAST(floor(t / 604800) AS BIGINT) AS block FROM s), l AS (SELECT *, CASE WHEN rst THEN 0 ELSE coalesce(lag(score) OVER (PARTITION BY source_id, block ORDER BY t, row_pos), 0) END AS ps FROM b),
  hh AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS h), c AS (SELECT source_id, block, h, t, row_number() OVER (PARTITION BY source_id, block, h ORDER BY t, row_pos) AS i FROM l, hh WHERE ps < h AND score >= h),
  fold AS (SELECT source_id, block, h, t AS last, i, true AS emit FROM c WHERE i = 1 UNION ALL
   SELECT c.source_id, c.block, c.h, CASE WHEN c.t - f.last >= 86400 THEN c.t ELSE f.last END, c.i, c.t - f.last >= 86400 FROM fold f JOIN c ON c.source_id = f.source_id AND c.block = f.block AND c.h = f.h AND c.i = f.i + 1)
