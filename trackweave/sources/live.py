@@ -26,7 +26,10 @@ def from_record(raw: Column) -> Column:
 
     Null when id or position is missing or zero, or when an airborne record has no altitude.
     """
-    r = F.from_json(raw, RECORD_SCHEMA)
+    return _record(F.from_json(raw, RECORD_SCHEMA))
+
+
+def _record(r: Column) -> Column:
     alt = F.coalesce(r["alt_baro"], r["alt_geom"].cast("string"))
     ground = F.coalesce(F.lower(alt) == "ground", F.lit(False))
     feet = F.when(ground, 0.0).otherwise(alt.try_cast("double"))
@@ -44,7 +47,10 @@ def from_record(raw: Column) -> Column:
 
 def from_state(raw: Column, now: Column) -> Column:
     """Provider with one positional array of at least 17 slots per aircraft, already in SI units; age from the last contact."""
-    s = F.from_json(raw, "array<string>")
+    return _state(F.from_json(raw, "array<string>"), now)
+
+
+def _state(s: Column, now: Column) -> Column:
     at = lambda i: F.get(s, F.lit(i))
     num = lambda i: at(i).try_cast("double")
     hex_id, squawk = F.lower(F.trim(at(0))), F.coalesce(at(14), F.lit(""))
@@ -63,6 +69,11 @@ PROVIDERS: dict[str, tuple[Callable[[Column, Column], Column], int]] = {
     "adsblol": (lambda raw, now: from_record(raw), 60),
     "opensky": (from_state, 90),
 }
+# name -> (schema of the text, normaliser of the parsed text)
+_PARSED: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
+    "adsblol": (RECORD_SCHEMA, lambda r, now: _record(r)),
+    "opensky": ("array<string>", _state),
+}
 
 
 def normalise(df: DataFrame, provider: str, *, raw: str = "value", now: Column | None = None) -> DataFrame:
@@ -70,8 +81,13 @@ def normalise(df: DataFrame, provider: str, *, raw: str = "value", now: Column |
     if provider not in PROVIDERS:
         raise KeyError(f"unknown provider {provider!r}")
     clock = now if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
-    rec = PROVIDERS[provider][0](F.col(raw), clock)
-    return df.withColumn("_rec", rec).filter(F.col("_rec").isNotNull()).select(*[c for c in df.columns if c != raw], "_rec.*")
+    schema, build = _PARSED[provider]
+    keep = [c for c in df.columns if c != raw]
+    # a generator is evaluated once a row; a plain column would be parsed again for each field and for the filter
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    rows = df.select(*keep, once(F.from_json(F.col(raw), schema), "_raw"))
+    rows = rows.select(*keep, once(build(F.col("_raw"), clock), "_rec"))
+    return rows.filter(F.col("_rec").isNotNull()).select(*keep, "_rec.*")
 
 
 def landing_rows(lines: DataFrame, *, file: Column | None = None) -> DataFrame:
