@@ -53,7 +53,8 @@ def archive_members(spark: SparkSession, pattern: str) -> DataFrame:
                 rows: list[tuple] = []
                 try:
                     with _open(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
-                        for m in tar:
+                        while (m := tar.next()) is not None:
+                            tar.members.clear()  # an archive's headers are not kept
                             if m.isfile() and "traces" in m.name and m.name.endswith((".json", ".json.gz")):
                                 rows.append((path, m.name, m.offset_data, m.size, None))
                                 if len(rows) == 10_000:
@@ -64,9 +65,12 @@ def archive_members(spark: SparkSession, pattern: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
 
     files = spark.read.format("binaryFile").load(pattern).select("path")
-    return files.repartition("path").mapInPandas(members, MEMBER_SCHEMA)
+    # the number is given, else the few short names would be put together in one task
+    return files.repartition(max(files.count(), 1), "path").mapInPandas(members, MEMBER_SCHEMA)
 
 
+#: bytes of an archive that are read by one task at least
+RANGE_BYTES = 16 << 20
 MEMBER_COLUMNS = ["source_file", "member", "offset", "size", "error"]
 
 
@@ -92,8 +96,9 @@ def read_members(members: DataFrame, *, tasks: int | None = None) -> DataFrame:
                 yield pd.DataFrame(out, columns=["source_file", "member", "json_text", "error"])
 
     good = members.filter(F.col("error").isNull() & F.col("member").isNotNull())
-    # archives are read by (file, range) so that one archive is not one task
-    spread = good.repartition(tasks, "source_file", "member") if tasks else good.repartition("source_file", "member")
+    # archives are read by (file, range) so that one archive is not one task and a task reads on where it is
+    at = ["source_file", F.floor(F.col("offset") / RANGE_BYTES)]
+    spread = good.repartition(tasks, *at) if tasks else good.repartition(*at)
     return spread.mapInPandas(read, TEXT_SCHEMA)
 
 

@@ -4,6 +4,7 @@ import io
 import tarfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -295,12 +296,12 @@ def _(spark, d):
 @query("a1_trace_archive_scan", f"WITH {DOCS} SELECT DISTINCT 'day-' || CAST(source_id AS BIGINT) % 4 || '.tar' AS archive, 'traces/x-' || source_id || '-' || row_pos // 15000 || '.json.gz' AS member FROM td")
 def _(spark, d):
     path = archives(spark, d)
-    got = traces.read_members(traces.archive_members(spark, f"{path}/*.tar")).filter(F.col("json_text").isNotNull())
+    got = traces.read_members(traces.archive_members(spark, f"{path}/*/*.tar")).filter(F.col("json_text").isNotNull())
     return got.select(F.element_at(F.split("source_file", "/"), -1).alias("archive"), "member")
 
 
 def archives(spark, d):
-    """One tar of gzipped documents per source file, plus a corrupt member, in the shared folder."""
+    """Tars of gzipped documents in the shared folder: each task writes its volume of every source file, plus a corrupt member."""
     path = lake.scratch(spark, "tars")
 
     def build(batches):
@@ -312,6 +313,7 @@ def archives(spark, d):
             info = tarfile.TarInfo(member)
             info.size = len(raw)
             tar.addfile(info, io.BytesIO(raw))
+            tar.members.clear()
 
         def close():
             add("traces/bad.json.gz", b"\x1f\x8bbroken")
@@ -326,7 +328,7 @@ def archives(spark, d):
                     if tar is not None:
                         yield close()
                     name = r.source_file
-                    filesystem, target = traces.filesystem(f"{path}/{name}.tar")
+                    filesystem, target = traces.filesystem(f"{path}/{TaskContext.get().partitionId()}/{name}.tar")
                     filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
                     out = filesystem.open_output_stream(target)
                     tar = tarfile.open(fileobj=out, mode="w|")
@@ -334,7 +336,7 @@ def archives(spark, d):
         if tar is not None:
             yield close()
 
-    documents(spark, d).repartition("source_file").sortWithinPartitions("source_file", "member").mapInPandas(build, "source_file string").count()
+    documents(spark, d).repartition("source_file", "member").sortWithinPartitions("source_file", "member").mapInPandas(build, "source_file string").count()
     return path
 
 
