@@ -320,3 +320,55 @@ def test_a_flight_without_trim_samples_leaves_the_others(spark):
     assert {r.row_pos: r.pwm for r in got.collect()} == {0: -5.0, 1: 5.0, 2: -10.0, 3: 10.0, 4: 70.0}
     with pytest.raises(Exception, match="no pwm samples before the onset"):
         topics.normalise_topic(topic, rename={"rc": "pwm"}, trim=["pwm"], onset=onset).collect()
+
+
+def test_a_record_is_parsed_once(spark):
+    text = json.dumps({"hex": " AB1", "lat": 1.5, "lon": 2.0, "alt_baro": "1000", "gs": 10.0, "seen": 3.0})
+    df = spark.createDataFrame([(0, text), (1, "no json"), (2, json.dumps({"hex": "c", "lat": 0.0, "lon": 1.0, "alt_baro": "1"}))], "row_pos long, value string")
+    out = live.normalise(df, "adsblol")
+    assert [(r.row_pos, r.icao24, r.alt, r.signal_age_sec) for r in out.collect()] == [(0, "ab1", 304.8, 3.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_archives_are_listed_in_a_task_each(spark, tmp_path):
+    for name in ("a", "b", "c", "d", "e"):
+        with tarfile.open(tmp_path / f"{name}.tar", "w") as tar:
+            for i in range(3):
+                info = tarfile.TarInfo(f"traces/{name}{i}.json")
+                info.size = 2
+                tar.addfile(info, io.BytesIO(b"{}"))
+    found = traces.archive_members(spark, f"{tmp_path}/*.tar")
+    assert found.rdd.getNumPartitions() == 5
+    assert sorted(r.member for r in traces.read_members(found).collect()) == sorted(f"traces/{n}{i}.json" for n in "abcde" for i in range(3))
+
+
+def test_alpha_curve_without_a_row_per_alpha(spark):
+    rnd, rows, t = __import__("random").Random(4), [], 0.0
+    for i in range(150):
+        t += rnd.choice([0.0, 5.0, 10.0, 10.0, 90.0])
+        rows.append(("f" if i < 110 else "g", t, i, rnd.random(), rnd.choice([None, 0.01, 0.3, 0.9])))
+    alphas = [0.9, 0.2, 1.6]
+    want = []
+    for a in alphas:
+        n = seconds = 0
+        for k in ("f", "g"):
+            mine, alarms, prev = [r for r in rows if r[0] == k], set(), None
+            for r in mine:
+                seconds += r[1] - prev if prev is not None and 0 < r[1] - prev <= 60 else 0
+                prev = r[1]
+            for c in (3, 4):
+                prev, ev = None, 0.0
+                for r in (r for r in mine if r[c] is not None):
+                    dt = None if prev is None else r[1] - prev
+                    ev = 0.0 if dt is None or dt <= 0 or dt > 60 or r[c] > a / 2 else ev + dt
+                    prev = r[1]
+                    if ev >= 15:
+                        alarms.add(r[1])
+            times = sorted(alarms)
+            n += sum(i == 0 or times[i] - times[i - 1] > 30 for i in range(len(times)))
+        want.append((a, pytest.approx(n / (seconds / 3600))))
+    df = spark.createDataFrame(rows, "k string, t double, row_pos long, p1 double, p2 double")
+    out = calibrate.alpha_curve(df, TR, p_values=["p1", "p2"], alphas=alphas, persistence_s=15.0, max_gap_s=60.0, merge_gap_s=30.0, evaluable=F.lit(True))
+    assert [(r.alpha, r.episodes_per_hour) for r in out.collect()] == want
+    # the only generator spreads the one row of counts
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1

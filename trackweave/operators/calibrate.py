@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as sc
 from trackweave.operators.decide import crossings, fold_groups, spaced
-from trackweave.operators.episodes import alarm_episodes, row_exposure
+from trackweave.operators.episodes import row_exposure
 from trackweave.plans.durable import durable
 from trackweave.plans.ladder import ladder
-from trackweave.plans.track import Lag, Running, Track, close, row_frame, runs, settle, since, sweep
+from trackweave.plans.track import Carry, Lag, Running, Track, close, row_frame, runs, settle, sweep
 
 # fixed values: distribution function of a Poisson count with mean 1 at 0, 1, 2, ...
 POISSON_ONE = (
@@ -288,36 +289,32 @@ def alpha_curve(
     """Episodes per scoreable hour of the persistence rule at every total alpha.
 
     Each channel (a p-value column; a null cell is no row of that channel) gathers evidence at
-    alpha divided by the number of channels; a row alarms if any channel does.
-    Evidence only grows with alpha, so stretches that stay below ``persistence_s`` at the
-    largest alpha never alarm: only the others are spread over the alphas.
+    alpha divided by the number of channels; a row alarms if any channel does. Evidence is the time since
+    the channel's latest row that is cut off or above its share of alpha. It only grows with alpha, so
+    a row is told by the smallest alpha at which it alarms: rows are not spread over the alphas.
     """
     if not p_values:
         raise ValueError("no channel of p-values")
     t, share = F.col(track.order[0]), len(p_values)
-    top = float(max(alphas)) / share
-    seconds = row_exposure(rows, track, evaluable=evaluable, max_gap_s=max_gap_s).agg(F.sum("exposure_s")).scalar()
-    cells = F.array(*[F.struct(F.lit(i).alias("_channel"), F.col(c).alias("_p")) for i, c in enumerate(p_values)])
-    long = rows.select(*track.keys, *track.order, F.inline(F.filter(cells, lambda x: x["_p"].isNotNull())))
-    own = track.by(*track.keys, "_channel")
-    p = F.col("_p")
-    base = settle(long, own)
-    base = sweep(base, own, {"_pt": Lag(t)}).withColumn("_dt", t - F.col("_pt"))
-    base = base.withColumn("_cut", F.col("_dt").isNull() | (F.col("_dt") <= 0) | (F.col("_dt") > max_gap_s))
-    mark = F.col("_cut") | (p > top)
-    base = sweep(base, own, {"_run": Running(mark.cast("long"))})
-    stretch = [*own.keys, "_run"]
-    full = base.groupBy(*stretch).agg(F.sum(F.when(mark, 0.0).otherwise(F.col("_dt"))).alias("_e")).filter(F.col("_e") >= persistence_s)
-    live = close(base).join(full.select(*stretch), stretch, "left_semi")
-    spread = live.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    off = F.col("_cut") | (p > F.col("alpha") / share)
-    scored = since(spread, track.by(*own.keys, "alpha"), {"_ev": (off, F.when(off, 0.0).otherwise(F.col("_dt")))})
-    line = track.by(*track.keys, "alpha")
-    any_of = close(scored).filter(F.col("_ev") >= persistence_s).select(*line.keys, *track.order).distinct()
-    eps = alarm_episodes(any_of, line, alarm=F.lit(True), merge_gap_s=merge_gap_s).groupBy("alpha").agg(F.count(F.lit(1)).alias("_n"))
-    grid = rows.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
-    out = grid.join(eps, "alpha", "left").withColumn("_s", seconds)
-    return out.select("alpha", F.try_divide(F.coalesce("_n", F.lit(0)).cast("double"), F.col("_s") / 3600).alias("episodes_per_hour"))
+    grid = sorted({float(a) for a in alphas})
+    cells = [F.col(c).alias(f"_p{i}") for i, c in enumerate(p_values)]
+    base = settle(rows.select(*track.keys, *track.order, evaluable.alias("_ok"), *cells), track)
+    seconds = row_exposure(base, track, evaluable=F.col("_ok"), max_gap_s=max_gap_s).agg(F.sum("exposure_s")).scalar()
+    seen = [F.col(f"_p{c}").isNotNull() for c in range(share)]
+    marked = sweep(base.drop("_ok"), track, {f"_t{c}": Carry(t, when=seen[c], inclusive=False) for c in range(share)})
+    step = [t - F.col(f"_t{c}") for c in range(share)]
+    cut = [s.isNull() | (s <= 0) | (s > max_gap_s) for s in step]
+    off = {(c, i): seen[c] & (cut[c] | (F.col(f"_p{c}") > a / share)) for c in range(share) for i, a in enumerate(grid)}
+    marked = sweep(marked, track, {f"_m{c}_{i}": Carry(t, when=o) for (c, i), o in off.items()})
+    held = {(c, i): seen[c] & (t - F.col(f"_m{c}_{i}") >= persistence_s) for c, i in off}
+    least = [F.when(reduce(Column.__or__, [F.coalesce(held[c, i], F.lit(False)) for c in range(share)]), F.lit(i)) for i in range(len(grid))]
+    hits = durable(close(marked.withColumn("_first", F.coalesce(*least))).filter(F.col("_first").isNotNull()).select(*track.keys, *track.order, "_first"))
+    hits = sweep(hits, track, {f"_a{i}": Carry(t, when=F.col("_first") <= i, inclusive=False) for i in range(len(grid))})
+    opens = [(F.col("_first") <= i) & (F.col(f"_a{i}").isNull() | (t - F.col(f"_a{i}") > merge_gap_s)) for i in range(len(grid))]
+    counts = hits.agg(*[F.count_if(o).alias(f"_n{i}") for i, o in enumerate(opens)])
+    each = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_n{grid.index(float(a))}").alias("_n")) for a in alphas])
+    out = counts.select(F.inline(each)).withColumn("_s", seconds)
+    return out.select("alpha", F.try_divide(F.col("_n").cast("double"), F.col("_s") / 3600).alias("episodes_per_hour"))
 
 
 def select_alpha(curve: DataFrame, *, budget_per_hour: float, fallback: float = 1e-12) -> DataFrame:
