@@ -372,3 +372,13 @@ def test_alpha_curve_without_a_row_per_alpha(spark):
     assert [(r.alpha, r.episodes_per_hour) for r in out.collect()] == want
     # the only generator spreads the one row of counts
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_reasons_are_laid_out_once(spark):
+    rows = [("f", p, float(p), c) for p, c in enumerate([["A"], ["A", "MESSAGE_GAP"], ["MESSAGE_GAP"], ["A"], []])]
+    df = spark.createDataFrame(rows, "source_id string, pos long, t double, reason_codes array<string>")
+    out = episodes.reason_episodes(episodes.explode_reasons(df, identity=["source_id", "pos", "t"]), entity="source_id", position="pos", time="t")
+    got = sorted((r.reason_code, r.episode_start, r.episode_end, r.n_rows) for r in out.collect())
+    assert got == [("A", 0.0, 1.0, 2), ("A", 3.0, 3.0, 1), ("MESSAGE_GAP", 1.0, 1.0, 1), ("MESSAGE_GAP", 2.0, 2.0, 1)]
+    # the rows and their carries read one layout instead of exploding the reasons twice
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 0

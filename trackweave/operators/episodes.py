@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.plans.track import Lag, Running, Track, Whole, runs, sweep
+from trackweave.plans.track import Lag, Running, Track, Whole, runs, settle, sweep
 
 
 def alarm_episodes(df: DataFrame, track: Track, *, alarm: Column, merge_gap_s: float) -> DataFrame:
@@ -107,7 +107,8 @@ def reason_episodes(
     keys = (entity, "channel", "reason_code")
     line = Track(keys, (position,), chunk)
     apart = lambda p, c: (c["p"] != p["p"] + 1) | c["r"].isin(*point_reasons)
-    rows = runs(reasons, line, {"p": F.col(position), "r": F.col("reason_code")}, apart, out="_ep")
+    laid = settle(reasons.select(*keys, position, time), line)
+    rows = runs(laid, line, {"p": F.col(position), "r": F.col("reason_code")}, apart, out="_ep")
     pos = F.col(position)
     return rows.groupBy(*keys, "_ep").agg(
         F.min_by(time, pos).alias("episode_start"), F.max_by(time, pos).alias("episode_end"),

@@ -74,9 +74,11 @@ def classified(spark, d):
 
 
 def numbered(spark, d):
-    from trackweave.plans.track import Running, sweep
+    from trackweave.plans.track import Running, close, settle, sweep
 
-    return sweep(classified(spark, d), POSITION, {"pos": Running(F.lit(1).cast("long"))})
+    # classified once; the sweep would do it again for its carries
+    slim = settle(classified(spark, d).select("source_id", "row_pos", "t", "reason_codes"), POSITION)
+    return close(sweep(slim, POSITION, {"pos": Running(F.lit(1).cast("long"))}))
 
 
 @query("b12_reason_codes", f"WITH {CLS} SELECT row_pos, array_to_string(codes, ',') AS codes FROM r")
