@@ -197,6 +197,21 @@ def test_fingerprint_query_has_the_classes_of_all_pairs(spark, tmp_path):
     assert got == components([(r.doc_id, shingle_set(r.text, 5)) for r in table.collect()], 80)
 
 
+def test_bands_travel_with_numbers_and_are_written_once(spark, monkeypatch):
+    """Each of 40 bands carries its node: a number, not a digest. Texts reach a task by bytes, whatever the number of rows."""
+    nodes, tables, sizes = [], [], []
+    buckets, write, signed = neardup.buckets, neardup.written, fingerprints.signed
+    monkeypatch.setattr(neardup, "buckets", lambda keyed: nodes.append(dict(keyed.dtypes)["node"]) or buckets(keyed))
+    monkeypatch.setattr(neardup, "written", lambda df: tables.append(df.columns) or write(df))
+    monkeypatch.setattr(fingerprints, "signed", lambda docs, **how: sizes.append(int(spark.conf.get(fingerprints.BATCH_CONF))) or signed(docs, **how))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(n, " ".join(f"w{n % 3}x{i}" for i in range(50)) + f" tail{n}") for n in range(12)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()
+    assert {r.doc_id: r.class_id for r in got} == {n: n % 3 for n in range(12)}
+    assert nodes == ["bigint"] and not any("bands" in t for t in tables)
+    assert sizes == [fingerprints.BATCH_BYTES] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_shard_table():
     names = [f"n{i}" for i in range(9)]
     table = sharding.fill(names, 1009)

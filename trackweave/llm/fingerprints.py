@@ -33,6 +33,8 @@ U = np.uint64
 PERMUTATIONS, SHINGLE, PERCENT = 128, 5, 80
 #: with it, Spark drops the files of a shuffle once the job that needed them has ended; each step here ends in a written table
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: what a Python worker is given at once: texts come by bytes, not by thousands of rows
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 BANDS, ROWS = 40, 6
 
 
@@ -65,7 +67,7 @@ def _sign(texts: list[str]) -> np.ndarray:
 
 _FOUND = ["n_chars", "edited_sha256", "print", "edited_print", "near_edited", "near_next"]
 _OWN = ["digest", "n_shingles", "bands", "sketch"]
-_FOUND_TYPES = "n_chars long, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double"
+_FOUND_TYPES = "n_chars long, edited_sha256 binary, print binary, edited_print binary, near_edited double, near_next double"
 
 
 def _against(texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray) -> list[pa.Array]:
@@ -73,7 +75,7 @@ def _against(texts: list[str], own: np.ndarray, following: list[str], theirs: np
     edited = [_edited(t, f) for t, f in zip(texts, following)]
     changed = _sign(edited)
     return [
-        pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
         pa.array([p.tobytes() for p in own], pa.binary()), pa.array([p.tobytes() for p in changed], pa.binary()), pa.array(likeness(own, changed)), pa.array(likeness(own, theirs)),
     ]
 
@@ -147,7 +149,7 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
             held = keys[-1], texts[-1], mine[-1:], [c.slice(n) for c in own]
         if held:
             key, text, _, columns = held
-            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
+            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             yield rows([key], columns, blank, [pa.array([part], pa.int64()), pa.array([head], pa.string()), pa.array([text], pa.string())])
 
     own_types = "digest binary, n_shingles long, bands array<long>, sketch array<long>"
@@ -179,7 +181,7 @@ def compared(done: DataFrame) -> DataFrame:
     last = edges.select("doc_id", "digest", "part", "tail").join(order, "part").join(heads, "after").select("doc_id", "digest", "tail", "next")
     rows = done.filter(F.col("part").isNull()).select("doc_id", "digest", *_FOUND).unionByName(last.mapInArrow(close, f"doc_id {kind}, digest binary, {_FOUND_TYPES}"))
     text = lambda c: F.lower(F.hex(c))
-    return rows.select("doc_id", "n_chars", "edited_sha256", text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next", "digest")
+    return rows.select("doc_id", "n_chars", text("edited_sha256").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next", "digest")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +189,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Rows with one id and different texts keep the class of each text; a null id has none.
     """
-    docs.sparkSession.conf.set(CLEANUP_CONF, "true")
-    done = signed(docs, id_col=id_col, text_col=text_col)
-    classes = set_classes(done.select("doc_id", "n_shingles", "digest", "bands", "sketch"), docs, id_col=id_col, text_col=text_col, k=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS)
+    conf = docs.sparkSession.conf
+    conf.set(CLEANUP_CONF, "true")
+    before = conf.get(BATCH_CONF, None)
+    conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:  # both end in written tables
+        done = signed(docs, id_col=id_col, text_col=text_col)
+        classes = set_classes(done.select("doc_id", "n_shingles", "digest", "bands", "sketch"), docs, id_col=id_col, text_col=text_col, k=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS)
+    finally:
+        conf.unset(BATCH_CONF) if before is None else conf.set(BATCH_CONF, before)
     found = compared(done).join(classes, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", own)

@@ -123,32 +123,44 @@ def full_sets(docs: DataFrame, *, id_col: str, text_col: str, k: int, by_set: bo
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(work, f"node {kind}, shingles array<long>, parity array<long>").filter(F.size("shingles") > 0)
 
 
-def _parts(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, percent: int, extra: DataFrame | None = None, bounded: bool = True) -> DataFrame:
-    """(node, component) of the nodes of ``first`` (node, n, sketch, bands) that are linked; ``sets_of`` gives the full sets of nodes."""
-    light = first.select("node", "n", "sketch")
-    bucket = written(buckets(first.select(F.explode("bands").alias("key"), "node")))
+def _parts(first: DataFrame, banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, percent: int, extra: DataFrame | None = None, bounded: bool = True) -> DataFrame:
+    """(node, component) of the nodes of ``first`` (node, n, sketch) that are linked; ``banded`` has (node, bands), ``sets_of`` gives the full sets of nodes.
+
+    If ``first`` has a column name, the sets come under it in place of the node.
+    """
+    named = "name" in first.columns
+    light = first.select("node", "n", "sketch", *["name"] * named)
+    bucket = written(buckets(banded.select(F.explode("bands").alias("key"), "node")))
     # the full sets of classes that share a bucket. A text is as large as its set: the joins of both
     # are always merged, so that what they move is in proportion to the input at any size
     sets = written(sets_of(bucket.select("node").distinct()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those alike by sketch and then by full sets."""
-        x = light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        y = light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        x = light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), *[F.col("name").alias("ka")] * named)
+        y = light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), *[F.col("name").alias("kb")] * named)
+        ka, kb = ("ka", "kb") if named else ("a", "b")
         sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        likely = written(pairs.distinct().join(x, "a").join(y, "b").filter(sizes & (bits_apart("sa", "sb", SKETCH_BITS // 64) <= limit)).select("a", "b"))
+        likely = written(pairs.distinct().join(x, "a").join(y, "b").filter(sizes & (bits_apart("sa", "sb", SKETCH_BITS // 64) <= limit)).select("a", "b", *["ka", "kb"] * named))
         if likely.isEmpty():
-            return likely
-        va, vb = sets.select(F.col("node").alias("a"), F.col("shingles").alias("va")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("vb"))
-        both = likely.hint("merge").join(va, "a").hint("merge").join(vb, "b")
+            return likely.select("a", "b")
+        va, vb = sets.select(F.col("node").alias(ka), F.col("shingles").alias("va")), sets.select(F.col("node").alias(kb), F.col("shingles").alias("vb"))
+        both = likely.hint("merge").join(va, ka).hint("merge").join(vb, kb)
         inter = F.size(F.array_intersect("va", "vb"))
         return both.filter(100 * inter >= percent * (F.size("va") + F.size("vb") - inter)).select("a", "b")
 
     def support(nodes: DataFrame) -> DataFrame:
         """(node, n, c, parity): the size of a node's set, how much of it occurs in other nodes' sets at all, its bitmap."""
-        own = sets.join(nodes, "node", "left_semi")
+        if named:
+            own = sets.withColumnRenamed("node", "name").join(light.join(nodes, "node", "left_semi").select("node", "name"), "name")
+        else:
+            own = sets.join(nodes, "node", "left_semi")
         alone = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1")
         alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        if named:
+            # sets are counted before they are joined by number, else they would move again
+            sizes = sets.select(F.col("node").alias("name"), F.size("shingles").alias("n"), "parity")
+            return sizes.join(light.select("node", "name"), "name").join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "parity")
         n = F.size("shingles")
         return own.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("c"), "parity")
 
@@ -177,7 +189,7 @@ def near_duplicates(
         sets = full_sets(docs.join(need.hint("merge"), id_col, "left_semi"), id_col=id_col, text_col=text_col, k=k)
         return sets.dropDuplicates(["node", "shingles"]) if repeats else sets
 
-    part = _parts(first, sets_of, limit, percent, extra, bounded=not repeats)
+    part = _parts(first, first, sets_of, limit, percent, extra, bounded=not repeats)
     ids = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     out = sig.select("doc_id", "n_shingles", "digest").join(first.select("digest", "node"), "digest", "left").join(part, "node", "left")
     out = out.withColumn("component_id", F.coalesce(ids, F.when(F.col("doc_id").isNotNull(), F.least("node", "doc_id")))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -226,8 +238,12 @@ def set_classes(
     """
     limit = sketch_limit(percent / 100, bands * rows)
     named = sig.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands"), "doc_id").alias("one")
-    first = written(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), one).select(F.col("digest").alias("node"), "doc_id", "one.*"))
+    one = F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch"), "doc_id").alias("one")
+    # every band of a node carries its name: a number is a third of a digest. Bands stay in ``sig``, where they are written already
+    first = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), one).select(F.col("digest").alias("name"), "doc_id", "one.*")
+    first = written(first.withColumn("node", F.monotonically_increasing_id()))
+    # rows of one id and one set give a band twice, which joins nothing new
+    banded = named.select(F.col("digest").alias("name"), "doc_id", "bands").hint("merge").join(first.select("name", "doc_id", "node"), ["name", "doc_id"]).select("node", "bands")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # a set that is made in vain or twice joins nothing new
@@ -235,7 +251,7 @@ def set_classes(
         few = passing(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), need, id_col)
         return full_sets(few, id_col=id_col, text_col=text_col, k=k, by_set=True, block_bytes=1 << 20)
 
-    part = _parts(first, sets_of, limit, percent)
-    found = written(first.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+    part = _parts(first, banded, sets_of, limit, percent)
+    found = written(first.select("node", "name", "doc_id").join(part, "node", "left").select("name", "doc_id", F.coalesce("component", "node").alias("component")))
     least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return found.join(least, "component").select(F.col("node").alias("digest"), "class_id")
+    return found.join(least, "component").select(F.col("name").alias("digest"), "class_id")
