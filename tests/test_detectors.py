@@ -205,6 +205,48 @@ def states(q):
     return [s for p in q.recentProgress for s in p["stateOperators"]]
 
 
+@pytest.mark.parametrize("held", [262_144, 5])
+def test_rows_wait_outside_the_python_state(spark, tmp_path, monkeypatch, held):
+    """A batch that completes no slice touches no sums; complete slices are folded at once, also those that do not fit in memory."""
+    from trackweave.streaming import keyed, live
+
+    monkeypatch.setattr(keyed, "_HELD", held, raising=False)
+    monkeypatch.setattr(keyed, "_PIECE", 4, raising=False)
+    rows = [(k, i, t, z if i % 11 else None, i % 13 != 0) for k, i, t, z in simple_series()] + [("n", -2, float("nan"), 1.0, True), ("n", -3, None, 1.0, True)]
+    df = spark.createDataFrame(rows, "k string, row_pos long, t double, z double, ok boolean")
+    for part in (1, 2, 0):
+        df.filter(F.pmod("row_pos", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(None, -1, 1e9, None, None)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = keyed.page_sums(s, entity="k", time="t", position="row_pos", value="z", evaluable="ok", slack=0.5, max_gap_s=10.0, delay="1 day", slice_s=60.0)
+    q = live.per_batch(out, live.append_batches(str(tmp_path / "out")), str(tmp_path / "ck"), once=True)
+    q.awaitTermination()
+    found = live.read_batches(spark, str(tmp_path / "out"), out.schema).collect()
+    df = df.filter("row_pos >= 0")
+    want = dc.simple_page_sums(df, Track(("k",), ("t", "row_pos"), 17.0), {"z": F.col("z")}, slack=0.5, max_gap_s=10.0, evaluable=F.col("ok"))
+    want = {(r.k, r.row_pos): (r.reset, pytest.approx(r.cusum_score)) for r in want.collect()}
+    assert len(found) == len(want) and {(r.k, r.row_pos): (r.reset, r.cusum_score) for r in found} == want
+    sums = [s for s in states(q) if s["operatorName"].startswith("transformWithState")]
+    keys = df.select("k").distinct().count()
+    assert [s["numRowsUpdated"] for s in sums[:-1]] == [0] * (len(sums) - 1)
+    assert sums[-1]["numRowsTotal"] == keys
+
+
+def test_stream_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Four micro-batches and the closing row, in as many files as their size asks for."""
+    from trackweave.suites import live_streams
+
+    monkeypatch.setattr(live_streams, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(live_streams, "scratch", lambda spark, name: str(tmp_path / name))
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    s = live_streams.stream(spark, "/root/testdata/sf0.001", mixed=True, closing=True)
+    assert len(list((tmp_path / "live" / "in").glob("*.parquet"))) == 4 * -(-n // 200) + 1
+    seen = []
+    q = s.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda b, i: seen.append(b.count())).start()
+    q.awaitTermination()
+    assert [c for c in seen if c] == [n // 4] * 4 + [1]
+
+
 def test_latest_touches_only_the_keys_of_a_batch(spark, tmp_path):
     from trackweave.streaming import keyed, live
 

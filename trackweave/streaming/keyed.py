@@ -7,7 +7,6 @@ whatever the number of keys known. What a batch changes goes to the sink under t
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -100,87 +99,87 @@ def present(changes: DataFrame, *, key: str, order: Sequence[str]) -> DataFrame:
     return last.filter("NOT gone").drop("gone")
 
 
-_ITEM = struct.Struct("<dqd?")
 #: seconds that the event clock runs ahead of ``time``: a stream's first watermark is the epoch, and what lies before it is late
 _AHEAD = 1 << 33
 
 
 class _OrderedSums(StatefulProcessor):
-    """Two-sided page sums over rows put in order by slices of time.
+    """Two-sided page sums over slices of time that are complete, in order of time; only the sums are kept between batches.
 
-    A slice's rows wait, packed, until the watermark has passed its end; then they are sorted and folded one by one, so
-    memory holds one slice of one key.
+    A batch may complete many slices of a key. Beyond ``most`` rows they are parked in the state store, so memory holds
+    that many rows.
     """
 
-    def __init__(self, entity: str, slack: float, max_gap_s: float, slice_s: float):
-        self.entity, self.slack, self.max_gap_s, self.slice_s = entity, slack, max_gap_s, slice_s
+    def __init__(self, entity: str, slack: float, max_gap_s: float, most: int):
+        self.entity, self.slack, self.max_gap_s, self.most = entity, slack, max_gap_s, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.sums = handle.getValueState("sums", "prev double, up double, down double")
-        self.waiting = handle.getMapState("waiting", "slice long", "packed binary")
+        self.parked = handle.getMapState("parked", "slice long, piece int", "times array<double>, positions array<long>, values array<double>, evaluable array<boolean>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh: dict[int, list[bytes]] = {}
-        for n, r in enumerate(rows, 1):
-            value = float("nan") if r.value is None else r.value
-            fresh.setdefault(math.floor(r.time / self.slice_s), []).append(_ITEM.pack(r.time, r.position, value, bool(r.evaluable)))
-            if n % 65_536 == 0:
-                self._wait(fresh)
-                fresh = {}
-        self._wait(fresh)
-        return iter(())
-
-    def _wait(self, fresh: dict[int, list[bytes]]) -> None:
-        for part, items in fresh.items():
-            before = self.waiting.getValue((part,)) if self.waiting.containsKey((part,)) else None
-            if before is None:
-                self.handle.registerTimer(self._end(part))
-            self.waiting.updateValue((part,), ((bytes(before[0]) if before else b"") + b"".join(items),))
-
-    def _end(self, part: int) -> int:
-        return math.ceil(((part + 1) * self.slice_s + _AHEAD) * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(k[0] for k in self.waiting.keys() if self._end(k[0]) <= until)
+        held, away, n = {}, set(), 0
+        for _, part, piece, *lists in rows:
+            held[part, piece] = tuple(lists)
+            n += len(lists[0])
+            if n > self.most:
+                for at, kept in held.items():
+                    self.parked.updateValue(at, kept)
+                away.update(held)
+                held, n = {}, 0
         prev, up, down = self.sums.get() if self.sums.exists() else (None, 0.0, 0.0)
-        for part in due:
-            packed = bytes(self.waiting.getValue((part,))[0])
-            self.waiting.removeKey((part,))
-            for t, position, v, ok in sorted(_ITEM.iter_unpack(packed), key=lambda x: x[:2]):
+        for at in sorted(away.union(held)):
+            if at in held:
+                lists = held.pop(at)
+            else:
+                lists = tuple(self.parked.getValue(at))
+                self.parked.removeKey(at)
+            reset, score = [], []
+            for t, v, ok in zip(lists[0], lists[2], lists[3]):
                 cut = prev is None or not ok or t - prev <= 0 or t - prev > self.max_gap_s
                 if cut:
                     up = down = 0.0
-                elif math.isfinite(v):
+                elif v is not None and math.isfinite(v):
                     up, down = max(0.0, up + v - self.slack), max(0.0, down - v - self.slack)
                 prev = t
-                yield Row(**{self.entity: key[0], "position": position, "time": t, "reset": cut, "cusum_score": max(up, down)})
-        if due:
-            self.sums.update((prev, up, down))
+                reset.append(cut)
+                score.append(max(up, down))
+            yield Row(**{self.entity: key[0], "positions": lists[1], "times": lists[0], "reset": reset, "cusum_score": score})
+        self.sums.update((prev, up, down))
 
     def close(self) -> None:
         pass
 
 
+#: rows that travel to a task and back as one, and those of one key that a task holds
+_PIECE, _HELD = 256, 262_144
+
+
 def page_sums(
     stream: DataFrame, *, entity: str, time: str, position: str, value: str, evaluable: str, slack: float, max_gap_s: float, delay: str, slice_s: float = 3600.0,
 ) -> DataFrame:
     """Row-by-row two-sided page sums with the state kept per entity between micro-batches.
 
     The same recurrence as ``decide.simple_page_sums``: reset at a start, a non-positive or long
-    step and a non-evaluable row. ``time`` is in seconds. Rows may come in any order within ``delay``: they are
-    folded by (time, position) once the watermark has passed their slice of ``slice_s`` seconds; rows without a time are left out.
+    step and a non-evaluable row. ``time`` is in seconds. Rows may come in any order within ``delay``: those of an entity and a slice
+    of ``slice_s`` seconds are collected by a streaming aggregation, and once the watermark has passed the slice they are
+    folded by (time, position); rows without a finite time are left out.
     """
     on_disk(stream.sparkSession)
     at = F.timestamp_micros(((F.col(time) + _AHEAD) * 1e6).cast("long"))
-    rows = stream.filter(F.col(time).isNotNull()).select(
+    rows = stream.filter(F.abs(F.col(time)) < float("inf")).select(
         F.col(entity).cast("string").alias(entity), F.col(time).cast("double").alias("time"), F.col(position).cast("long").alias("position"),
         F.col(value).cast("double").alias("value"), F.coalesce(F.col(evaluable), F.lit(False)).alias("evaluable"), at.alias("_at"),
     ).withWatermark("_at", delay)
-    out = f"{entity} string, position long, time double, reset boolean, cusum_score double"
-    folded = rows.groupBy(entity).transformWithState(_OrderedSums(entity, slack, max_gap_s, slice_s), out, "append", "EventTime")
-    return folded.select(entity, F.col("position").alias(position), F.col("time").alias(time), "reset", "cusum_score")
+    whole = rows.groupBy(entity, F.window("_at", f"{round(slice_s * 1e6)} microseconds").alias("w")).agg(F.sort_array(F.collect_list(F.struct("time", "position", "value", "evaluable"))).alias("rows"))
+    # a slice goes on in pieces, so that a batch of rows for Python has a bounded size
+    first = F.sequence(F.lit(1), F.size("rows"), F.lit(_PIECE))
+    pieces = whole.select(entity, F.unix_micros("w.start").alias("slice"), "rows", F.posexplode(first).alias("piece", "first")).withColumn("rows", F.slice("rows", F.col("first"), F.lit(_PIECE)))
+    pieces = pieces.select(entity, "slice", "piece", *[F.col(f"rows.{c}").alias(f"{c}s") for c in ("time", "position", "value", "evaluable")])
+    out = f"{entity} string, positions array<long>, times array<double>, reset array<boolean>, cusum_score array<double>"
+    folded = pieces.groupBy(entity).transformWithState(_OrderedSums(entity, slack, max_gap_s, _HELD), out, "append", "None")
+    each = folded.select(entity, F.explode(F.arrays_zip("positions", "times", "reset", "cusum_score")).alias("r"))
+    return each.select(entity, F.col("r.positions").alias(position), F.col("r.times").alias(time), "r.reset", "r.cusum_score")
 
 
 def closing_time(rows: Column, *, days: int = 36_525) -> Column:

@@ -9,6 +9,10 @@ from trackweave.suites.base import query, r6, rounded, table, telemetry
 from trackweave.suites.detect import SIMPLE
 
 
+#: rows of a file of a micro-batch; a larger batch has more files, and as many tasks
+FILE_ROWS = 250_000
+
+
 def stream(spark, d, *, mixed: bool = False, closing: bool = False):
     """The event table as a stream of track rows in four micro-batches.
 
@@ -24,13 +28,14 @@ def stream(spark, d, *, mixed: bool = False, closing: bool = False):
         parts = e.withColumn("part", F.lit(3) - F.col("event_id") % 4)
     else:
         parts = e.withColumn("day", F.to_date("ts")).join(days.select("day", "part"), "day").drop("day")
+    files = max(2, -(-e.count() // (4 * FILE_ROWS)))
     for i in range(4):
-        parts.filter(F.col("part") == i).drop("part").repartition(2).write.mode("append").parquet(f"{path}/in")
+        parts.filter(F.col("part") == i).drop("part").repartition(files).write.mode("append").parquet(f"{path}/in")
     if closing:
         far = {"ts": keyed.closing_time(F.col("ts")), "event_id": F.lit(-1), "user_id": F.lit(None), "event_type": F.lit("closing"), "value": F.lit(None)}
         last = e.orderBy(F.desc("ts"), "event_id").limit(1)
         last.select(*[(far[f.name].cast(f.dataType) if f.name in far else F.col(f.name)).alias(f.name) for f in e.schema]).write.mode("append").parquet(f"{path}/in")
-    e = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    e = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     return e.select(
         F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("row_pos"), F.col("ts").cast("timestamp").alias("ts"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("x"), F.col("event_type").alias("kind"),
