@@ -69,3 +69,33 @@ def test_odd_words_tokenize_as_in_whole_texts():
     ids, at = tokens.encode(np.frombuffer(b"".join(raw), np.uint8), offs, 1)
     want = tokens.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids + [1] for e in want]
+
+
+def test_table_of_words_is_bounded():
+    """What a worker keeps does not grow with the texts that it has seen."""
+    tokens = packing.WordTokens(packing.tokenizer_file(NAME))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    for part in (words[:150_000], words[150_000:300_000], words[300_000:], words[:3]):
+        raw = " ".join(part).encode()
+        ids, at = tokens.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 1)
+    assert ids.tolist() == [*tokens.tokenizer.encode(" ".join(words[:3]), add_special_tokens=False).ids, 1]
+    assert len(tokens.row) <= 400_000
+
+
+def test_texts_reach_python_by_bytes(spark):
+    """Packing and the language stage plan their texts in small batches, whatever the number of rows."""
+    import corpus_pipeline
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id doc_id", "repeat('a word ', 8000) text", "cast(null as string) lang")
+    sizes = lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches)
+    try:
+        for step in (lambda: packing.pack(docs, NAME), lambda: corpus_pipeline.identify_language(spark, docs, "")):
+            spark.conf.unset(conf)
+            step()
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 400 * 56_000 and max(found) < 6 << 20
+    finally:
+        spark.conf.set(conf, before)

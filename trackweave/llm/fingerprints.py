@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.neardup import SKETCH_BITS, band_keys, digests, odd_sketches, set_classes, shingle_sets
-from trackweave.llm.tables import written
+from trackweave.llm.tables import BATCH_CONF, written
 from trackweave.llm.text import bytes_of, list_array, minima, mix, permutations
 
 U = np.uint64
@@ -34,7 +34,7 @@ PERMUTATIONS, SHINGLE, PERCENT = 128, 5, 80
 #: with it, Spark drops the files of a shuffle once the job that needed them has ended; each step here ends in a written table
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: what a Python worker is given at once: texts come by bytes, not by thousands of rows
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+BATCH_BYTES = 2 << 20
 BANDS, ROWS = 40, 6
 
 

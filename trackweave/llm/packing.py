@@ -8,7 +8,7 @@ partition is left. Its windows are nearly equal; if the fullest exceeds the capa
 group is dealt again over one window more.
 
 Groups are formed within a task, so ids are never shuffled and a task holds one block of
-text and one group. A group's shape depends only on the rows of its input partition, which
+text, one group and a table of words of bounded size. A group's shape depends only on the rows of its input partition, which
 a lost task reads again in the same order.
 
 Null and empty texts are documents of the end id alone. Repeated rows are packed as often
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from trackweave.llm.tables import by_bytes
 from trackweave.llm.text import IS_SPACE, LOWER, blocks, list_array
 
 #: classes of bytes: 0 white space, 1 letter (or part of one), 2 digit, 3 other; digits stand alone
@@ -90,10 +91,11 @@ class WordTokens:
     """Ids of texts from a tokenizer that drops white space and marks word ends.
 
     No unit of such a tokenizer crosses white space, so a text's ids are those of its units in
-    order. Each distinct unit is tokenized once per worker and kept in a table of about ``room``.
+    order. Units are tokenized when they first come and kept in a table; one of more than ``room`` is
+    emptied before the next block, so a worker's memory does not grow with its texts.
     """
 
-    def __init__(self, path: str, room: int = 1_500_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -213,6 +215,7 @@ def pack(
     if not 0 < piece <= length:
         raise ValueError("piece must lie between 1 and length")
     kind = docs.schema[id_col].dataType
+    by_bytes(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_file(tokenizer)
@@ -242,7 +245,7 @@ def pack(
             waiting.clear()
             return out
 
-        for batch, data, offs in blocks(batches, text_col, 8 << 20):
+        for batch, data, offs in blocks(batches, text_col):
             flat, at = tokens.encode(data, offs, end_id)
             raw = memoryview(flat.astype("<u4")).cast("B")
             ready: list[tuple] = []
